@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import byte_bpe, embedding_dedup, language_id, licences, mixing, nearest, ngram_join, secrets, token_counts, warc
+
+#: The most repeated source is seen at most so often where the least repeated one is seen once.
+MAX_REPETITION = 1.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +18,58 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), digests=True)
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), max_repetition=MAX_REPETITION)
+    return mixed.selectExpr("doc_id", "source", "_mix_tokens AS n_tokens", "_mix_epoch AS epoch", "_mix_weight AS weight", "_mix_key AS mix_key")
+
+
+def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.archive_pages(_table(spark, sf_dir, "pages"), least_bytes=0)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.train(docs))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_embedding_dedup, op4_source_mixing, op5_warc_zstd, op6_secret_scan, op7_nearest_neighbours, op8_licence_scan, op9_token_counts, op10_language_id)
+}
+
+_OP5 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT p.*, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 160, 5), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[bits[i + 1:i + 5]::BIT::INT + 1]), 'string_agg', '') AS payload_digest,
+       CASE WHEN least IS NOT NULL AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to
+FROM (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: bin(('0x' || h[i])::INT).lpad(4, '0')), 'string_agg', '') AS bits FROM f)
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc_zstd": _OP5, "op8_licence_scan": licences.oracle_sql()}
