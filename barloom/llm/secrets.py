@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 KINDS = ["assign", "access", "hex", "crf"]
 KEYWORD = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
+ACCESS = re.compile("AKIA[A-Z0-9]+")
+#: Whole runs, as a greedy match starts at a run's first character; shorter ones, which are dropped anyway, are passed over.
+HEX = re.compile("[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Forms of words remembered by a worker; rows sampled for training, windows kept of them, and words on either side.
 REMEMBERED, SAMPLE, WINDOWS, SIDE = 300_000, 16_000, 6_000, 5
@@ -62,6 +64,21 @@ def shape(word: str) -> np.ndarray:
     ], np.float32)
 
 
+_STRIPPED = "\"'.,;:()[]{}<>"
+_HEX = frozenset("0123456789abcdef")
+_MARKS = frozenset("=:_-/+@*%$#&\"'")
+
+
+def form(word: str) -> tuple | None:
+    """What decides a short digit-free word's shape, so that few shapes are worked out; None for other words."""
+    core = word.strip(_STRIPPED)
+    n = len(core)
+    alpha = core.isalpha()
+    if n >= 16 or not (alpha or word.isascii()) or (not alpha and any(c in word for c in "0123456789")):
+        return None
+    return (n, alpha and core.isupper(), n > 1 and core[0].isupper() and core != core.upper(), word.isascii(), KEYWORD.search(word) is not None, _MARKS.intersection(word), word[-1:] in ("=", ":"), word[:1] in "\"'", word in ("=", ":", ":="), "://" in word, word.startswith("AKIA"), n >= 12 and _HEX.issuperset(core))
+
+
 N_SHAPE = len(shape("x"))
 #: A word's features: its own form, those of the word before, the one before that and the one after; then the text's.
 N_TEXT = 4
@@ -163,10 +180,19 @@ class Scanner:
     def __init__(self, model: TaggingModel | None):
         self.model = model
         self._place: dict[str, int] = {}
+        self._forms: dict[tuple, int] = {}
+        self._used = 0
         self._scores = np.zeros((1024, 4, 3))
 
     def _of(self, word: str) -> int:
-        at = self._place[word] = len(self._place)
+        key = form(word)
+        if key is not None and (at := self._forms.get(key)) is not None:
+            self._place[word] = at
+            return at
+        at = self._place[word] = self._used
+        self._used += 1
+        if key is not None:
+            self._forms[key] = at
         if at >= len(self._scores):
             self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
         w = self.model.weights[: 4 * N_SHAPE].reshape(4, N_SHAPE, 3)
@@ -179,7 +205,10 @@ class Scanner:
             return []
         words = split_words(text)
         if len(self._place) + len(words) >= REMEMBERED:
-            self._place.clear()  # else a text's own words could lose their places
+            # not within a text, whose own words would lose their places
+            self._place.clear()
+            self._forms.clear()
+            self._used = 0
         place = self._place
         at = np.fromiter([p if (p := place.get(w)) is not None else self._of(w) for w in words], np.int64, len(words))
         s = self._scores[at]
