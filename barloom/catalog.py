@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import registry
-from .plans import backtests, fundamentals, indicators, model, screens, sectors, tables  # noqa: F401  each registers its queries
+from .plans import sectors, indicators, screens, backtests, fundamentals, model, tables  # noqa: F401, I001  each registers its queries; sectors first, as the screens' SQL uses its blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1,275 @@
+"""Queries of back-tests, curves and walk-forward gates."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.exprs import holds, rounded, share_of
+from ..operators import backtests as bt
+from ..operators import indicators as ind
+from ..operators import screens
+from ..sources import panel
+from . import frames
+from .registry import query
+from .sql import _stop, d, lead, r, with_
+
+HORIZONS = (5, 10, 20)
+_RET = ", ".join(f"{lead('close', h)} / {lead('open')} - 1 AS ret_{h}" for h in HORIZONS)
+_DONE = " AND ".join(f"ret_{h} IS NOT NULL" for h in HORIZONS)
+
+
+def _stats(cols: list[str], days: str | None = None) -> str:
+    out = ["count(*) AS n", "count(DISTINCT trade_date) AS n_dates"]
+    for c in cols:
+        out += [r(f"avg({c})", f"mean_{c}"), r(f"median({c})", f"median_{c}"), r(f"avg(CASE WHEN {c} > 0 THEN 1.0 ELSE 0.0 END)", f"win_{c}")]
+    return ", ".join(out + ([r(f"avg({days})", "mean_days")] if days else []))
+
+
+_BASE = "(SELECT 'signal' AS cohort, * FROM x WHERE hit UNION ALL SELECT 'baseline', * FROM x SEMI JOIN (SELECT * FROM x WHERE hit) h USING (trade_date))"
+
+
+@query(with_(["b1", "gold"], f", x AS (SELECT * FROM (SELECT b1.*, golden AS hit, {_RET.replace('ts_code', 'b1.ts_code').replace('trade_date', 'b1.trade_date')} FROM b1 JOIN gold USING (ts_code, trade_date)) WHERE {_DONE}) SELECT cohort, {_stats([f'ret_{h}' for h in HORIZONS])} FROM {_BASE} GROUP BY cohort"))
+def bt_cross(spark, sf_dir):
+    rows = ind.forward_returns(ind.crosses(panel.bars(spark, sf_dir), 20, 60), HORIZONS)
+    cols = [f"ret_{h}" for h in HORIZONS]
+    return rounded(bt.cohort_stats(bt.with_baseline(rows.dropna(subset=cols), F.col("golden")), cols, ["cohort"]))
+
+
+_TRADES = f"SELECT *, {_stop(4)} / open_t1 - 1 AS ret, CASE WHEN coalesce(open_t2 < low_t1, false) THEN 1 WHEN coalesce(open_t3 < low_t1, false) THEN 2 ELSE 3 END AS days FROM b1fwd WHERE " + " AND ".join(f"open_t{i} IS NOT NULL" for i in range(1, 5)) + " AND low_t1 IS NOT NULL"
+
+
+def _complete(spark, sf_dir):
+    return bt.with_stop_trades(frames.wide_forward(spark, sf_dir)).where("ret IS NOT NULL")
+
+
+@query(with_(["b1fwd"], f", x AS (SELECT *, b1 AS hit FROM ({_TRADES})) SELECT cohort, {_stats(['ret'], 'days')} FROM {_BASE} GROUP BY cohort"))
+def bt_b1(spark, sf_dir):
+    return rounded(bt.cohort_stats(bt.with_baseline(_complete(spark, sf_dir), screens.is_b1()), ["ret"], ["cohort"], "holding_days"))
+
+
+@query(with_(["b1fwd"], f", x AS (SELECT *, coalesce(trend_short < bull_bear AND bull_bear > 0, false) AS hit FROM ({_TRADES})) SELECT cohort, {_stats(['ret'], 'days')} FROM {_BASE} GROUP BY cohort"))
+def bt_b2(spark, sf_dir):
+    return rounded(bt.cohort_stats(bt.with_baseline(_complete(spark, sf_dir), screens.is_b2()), ["ret"], ["cohort"], "holding_days"))
+
+
+@query(with_(["b1fwd", "pit"], f", x AS (SELECT t.*, b1 AS hit, coalesce(p.signal, 0) = 1 OR coalesce(p.var2z, 0) > 0 AS gp FROM ({_TRADES}) t LEFT JOIN pit p USING (ts_code, trade_date)) SELECT CASE WHEN cohort = 'baseline' THEN 'market' WHEN gp THEN 'gp' ELSE 'plain' END AS cohort, {_stats(['ret'], 'days')} FROM {_BASE} GROUP BY 1"))
+def bt_b1_gp(spark, sf_dir):
+    """Three cohorts: hits in a golden pit (fired on the date or still in it), other hits, and the market."""
+    pit = ind.golden_pit(panel.bars(spark, sf_dir)).select("ts_code", "trade_date", "signal", "var2z")
+    rows = _complete(spark, sf_dir).join(pit, ["ts_code", "trade_date"], "left").withColumn("gp", holds(F.col("signal") == 1) | holds(F.col("var2z") > 0))
+    rows = bt.with_baseline(rows, screens.is_b1())
+    cohort = F.when(F.col("cohort") == "baseline", "market").when(F.col("gp"), "gp").otherwise("plain")
+    return rounded(bt.cohort_stats(rows.withColumn("cohort", cohort), ["ret"], ["cohort"], "holding_days"))
+
+
+@query(with_(["b1fwd"], f", x AS (SELECT *, b1 AS hit FROM ({_TRADES})) SELECT cohort, CASE days WHEN 1 THEN 'stop_t2' WHEN 2 THEN 'stop_t3' ELSE 'forced' END AS exit_kind, count(*) AS n, {r('count(*) / sum(count(*)) OVER (PARTITION BY cohort)', 'share')} FROM {_BASE} GROUP BY cohort, days"))
+def exit_kinds(spark, sf_dir):
+    return rounded(bt.exit_kinds(bt.with_baseline(_complete(spark, sf_dir), screens.is_b1()), ["cohort"]))
+
+
+_CONDS = {"c1": "vol_ratio < 1", "c2": "j < 15", "c3": "close > ma60", "c4": "trend_short > bull_bear", "c5": "close > bull_bear"}
+_MASKS = {k: f"coalesce({v}, false)" for k, v in _CONDS.items()} | {"b1": "b1"} | {f"{k}_inv": f"NOT coalesce({_CONDS[k]}, false)" for k in ("c3", "c4", "c5")}
+_MASKS["b1_mr"] = " AND ".join([_MASKS["c1"], _MASKS["c2"], _MASKS["c3_inv"], _MASKS["c4_inv"], _MASKS["c5_inv"]])
+
+
+@query(with_(["b1"], f", x AS (SELECT * FROM (SELECT *, {_RET} FROM b1) WHERE {_DONE} AND j IS NOT NULL), m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS condition, * FROM x WHERE {v}" for k, v in _MASKS.items()) + "), "
+    "b AS (SELECT condition, " + ", ".join(f"avg(ret_{h}) AS b_{h}" for h in HORIZONS) + " FROM (SELECT DISTINCT condition, trade_date FROM m) JOIN x USING (trade_date) GROUP BY condition) "
+    "SELECT condition, count(*) AS n, count(DISTINCT trade_date) AS n_dates, " + ", ".join(r(f"avg(ret_{h})", f"mean_ret_{h}") + ", " + r(f"avg(ret_{h}) - any_value(b_{h})", f"lift_ret_{h}") for h in HORIZONS) + " FROM m JOIN b USING (condition) GROUP BY condition"))
+def b1_attribution(spark, sf_dir):
+    """Each condition, its inverse and the mean-reversion mix; an unknown condition counts as an inverse hit."""
+    rows = ind.wide(ind.forward_returns(panel.bars(spark, sf_dir), HORIZONS)).where("j IS NOT NULL")
+    c = {k: holds(v) for k, v in screens.b1_conditions().items()}
+    masks = c | {"b1": screens.is_b1()} | {f"{k}_inv": ~c[k] for k in ("c3", "c4", "c5")} | {"b1_mr": c["c1"] & c["c2"] & ~c["c3"] & ~c["c4"] & ~c["c5"]}
+    return rounded(bt.attribution(rows, masks, [f"ret_{h}" for h in HORIZONS]))
+
+
+_HOLDS = (2, 3, 4, 5, 7, 10)
+#: J limit, volume ratio limit, least amount.
+_SETS = [(15, 1.0, None), (10, 1.0, None), (5, 1.0, None), (15, 0.8, None), (15, 0.7, None), (15, 0.5, None), (5, 0.7, None), (5, 0.5, None), (15, 1.0, 30000), (15, 0.7, 30000), (5, 0.7, 30000), (5, 0.5, 30000), (5, 0.5, 100000)]
+
+
+def _sweep(items: list[tuple[str, str, int]]) -> str:
+    days = lambda h: "CASE " + " ".join(f"WHEN coalesce(open_t{i} < low_t1, false) THEN {i - 1}" for i in range(2, h)) + f" ELSE {h - 1} END" if h > 2 else "1"
+    done = lambda h: " AND ".join(f"open_t{i} IS NOT NULL" for i in range(1, h + 1)) + " AND low_t1 IS NOT NULL"
+    x = " UNION ALL ".join(f"SELECT '{n}' AS config, trade_date, {m} AS hit, CASE WHEN {done(h)} THEN {_stop(h)} / open_t1 - 1 END AS ret, {days(h)} AS days FROM b1fwd" for n, m, h in items)
+    return f""", x AS ({x}), s AS (SELECT * FROM x WHERE hit AND ret IS NOT NULL), b AS (SELECT * FROM x SEMI JOIN s USING (config, trade_date) WHERE ret IS NOT NULL),
+ss AS (SELECT config, count(*) AS n_sig, avg(ret) AS sm, avg((ret > 0)::INT) AS sw FROM s GROUP BY 1), bs AS (SELECT config, count(*) AS n_base, avg(ret) AS bm, avg((ret > 0)::INT) AS bw FROM b GROUP BY 1),
+al AS (SELECT config, avg(days) FILTER (hit) AS md FROM x GROUP BY 1)
+SELECT config, coalesce(n_sig, 0) AS n_sig, n_base, {r('sm', 'sig_mean')}, {r('sw', 'sig_win')}, {r('bm', 'base_mean')}, {r('bw', 'base_win')}, {r('md', 'mean_days')}, {r('sm - bm', 'lift')} FROM al LEFT JOIN ss USING (config) LEFT JOIN bs USING (config)"""
+
+
+@query(with_(["b1fwd"], _sweep([(f"hold_{h}", "b1", h) for h in _HOLDS])))
+def sweep_hold(spark, sf_dir):
+    return rounded(bt.sweep(frames.wide_forward(spark, sf_dir), {f"hold_{h}": (screens.is_b1(), h) for h in _HOLDS}))
+
+
+def _name(j, v, a):
+    return f"j{j}_v{v}_a{a or 0}"
+
+
+@query(with_(["b1fwd"], _sweep([(_name(*x), f"coalesce(vol_ratio < {x[1]} AND j < {x[0]} AND close > ma60 AND trend_short > bull_bear AND close > bull_bear{f' AND amount >= {x[2]}' if x[2] else ''}, false)", 4) for x in _SETS])))
+def sweep_thresholds(spark, sf_dir):
+    c = screens.b1_conditions()
+    rest = holds(c["c3"]) & holds(c["c4"]) & holds(c["c5"])
+    configs = {_name(j, v, a): (rest & holds(F.col("vol_ratio") < v) & holds(F.col("j") < j) & (holds(F.col("amount") >= a) if a else F.lit(True)), 4) for j, v, a in _SETS}
+    return rounded(bt.sweep(frames.wide_forward(spark, sf_dir), configs))
+
+
+@query(with_(["strat"], f""", done AS (SELECT * FROM strat WHERE ret IS NOT NULL), b AS (SELECT strategy, avg(ret) AS bm FROM done SEMI JOIN (SELECT strategy, trade_date FROM done WHERE is_signal) s USING (strategy, trade_date) GROUP BY 1)
+SELECT strategy, min(strftime(trade_date, '%Y%m%d')) AS period_start, max(strftime(trade_date, '%Y%m%d')) AS period_end, count(*) AS signal_count, count(DISTINCT trade_date) AS signal_dates, {r('avg(ret)', 'mean')}, {r('avg(ret) - 0.002', 'net_mean')},
+{r('median(ret)', 'median')}, {r('avg((ret > 0)::INT)', 'win_rate')}, {r('any_value(bm)', 'baseline')}, {r('avg(ret) - any_value(bm)', 'excess')} FROM done JOIN b USING (strategy) WHERE is_signal GROUP BY strategy"""))
+def event_metrics(spark, sf_dir):
+    """All strategies in one pass; the baseline is pre-aggregated by strategy and date."""
+    rows = frames.strategy_rows(spark, sf_dir).where("ret IS NOT NULL")
+    by_date = rows.groupBy("strategy", "trade_date").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.max("is_signal").alias("hit"))
+    base = by_date.where("hit").groupBy("strategy").agg((F.sum("s") / F.sum("n")).alias("baseline"))
+    own = rows.where("is_signal").groupBy("strategy").agg(F.min("trade_date").alias("period_start"), F.max("trade_date").alias("period_end"), F.count("*").alias("signal_count"), F.countDistinct("trade_date").alias("signal_dates"), F.avg("ret").alias("mean"), (F.avg("ret") - bt.COST).alias("net_mean"), F.median("ret").alias("median"), share_of(F.col("ret") > 0).alias("win_rate"))
+    return rounded(own.join(base, "strategy").withColumn("excess", F.col("mean") - F.col("baseline")))
+
+
+_SPLIT = "DATE '1999-01-01'"
+
+
+@query(with_(["strat"], f""", x AS (SELECT strategy, CASE WHEN trade_date < {_SPLIT} THEN 'development' ELSE 'holdout' END AS period, trade_date, ret FROM strat WHERE is_signal AND ret IS NOT NULL),
+c AS (SELECT strategy, period, trade_date, greatest(avg(ret) - 0.002, -0.95) AS g FROM x GROUP BY ALL),
+n AS (SELECT *, product(1 + g) OVER (PARTITION BY strategy, period ORDER BY trade_date) AS nav FROM c), dd AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY strategy, period ORDER BY trade_date), 1) - 1 AS dd FROM n)
+SELECT strategy, period, any_value(k) AS signal_count, {r('any_value(m) - 0.002', 'net_mean')}, {r('any_value(w)', 'win_rate')}, count(*) AS cohort_count, {r('ln(arg_max(nav, trade_date))', 'log_nav')}, {r('min(dd)', 'max_drawdown')}
+FROM dd JOIN (SELECT strategy, period, count(*) AS k, avg(ret) AS m, avg((ret > 0)::INT) AS w FROM x GROUP BY ALL) USING (strategy, period) GROUP BY strategy, period"""))
+def cohort_split(spark, sf_dir):
+    """Development and hold-out periods: one cohort a signal date, its mean return after cost chained to a NAV."""
+    period = F.when(F.col("trade_date") < F.lit("1999-01-01").cast("date"), "development").otherwise("holdout")
+    rows = frames.strategy_rows(spark, sf_dir).where("is_signal AND ret IS NOT NULL").withColumn("period", period)
+    cohort = rows.groupBy("strategy", "period", "trade_date").agg((F.avg("ret") - bt.COST).alias("leg"), F.count("*").alias("k"), F.sum("ret").alias("s"), F.sum(F.when(F.col("ret") > 0, 1).otherwise(0)).alias("w"))
+    legs = cohort.withColumns({"strategy": F.struct("strategy", "period")})
+    curve = bt.curve(legs.select("strategy", "trade_date", "leg")).groupBy("strategy").agg(F.ln(F.max_by("nav", "trade_date")).alias("log_nav"), F.min("drawdown").alias("max_drawdown"))
+    total = cohort.groupBy("strategy", "period").agg(F.sum("k").alias("signal_count"), (F.sum("s") / F.sum("k") - bt.COST).alias("net_mean"), (F.sum("w") / F.sum("k")).alias("win_rate"), F.count("*").alias("cohort_count"))
+    return rounded(total.join(curve.select("strategy.*", "log_nav", "max_drawdown"), ["strategy", "period"]))
+
+
+@query(with_(["strat"], f"SELECT strategy, CASE WHEN ret - 0.002 > 0 THEN 'win' ELSE 'loss' END AS outcome, {d()}, ts_code, {r('ret')}, {r('ret - 0.002', 'net')}, row_number() OVER (PARTITION BY strategy, ret - 0.002 > 0 ORDER BY strat.trade_date DESC, ts_code) AS position FROM strat WHERE is_signal AND ret IS NOT NULL QUALIFY position <= 4"))
+def cases(spark, sf_dir):
+    """The latest four winning and four losing completed trades of each strategy, by their return after cost."""
+    net = F.col("ret") - bt.COST
+    rows = frames.strategy_rows(spark, sf_dir).where("is_signal AND ret IS NOT NULL").withColumns({"net": net, "outcome": F.when(net > 0, "win").otherwise("loss")})
+    w = Window.partitionBy("strategy", "outcome").orderBy(F.desc("trade_date"), "ts_code")
+    return rounded(rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= bt.CASES).select("strategy", "outcome", "trade_date", "ts_code", "ret", "net", "position"))
+
+
+@query(with_(["strat"], f"SELECT strategy, count(ret) AS completed, count(DISTINCT ts_code) FILTER (ret IS NOT NULL) AS instruments, count(DISTINCT trade_date) FILTER (ret IS NOT NULL) AS signal_dates, {r('datediff(' + chr(39) + 'day' + chr(39) + ', min(trade_date) FILTER (ret IS NOT NULL), max(trade_date) FILTER (ret IS NOT NULL)) / 365.25', 'years')} FROM strat WHERE is_signal GROUP BY strategy"))
+def credibility(spark, sf_dir):
+    done = F.col("ret").isNotNull()
+    of = lambda c: F.when(done, F.col(c))
+    rows = frames.strategy_rows(spark, sf_dir).where("is_signal")
+    return rounded(rows.groupBy("strategy").agg(F.count("ret").alias("completed"), F.countDistinct(of("ts_code")).alias("instruments"), F.countDistinct(of("trade_date")).alias("signal_dates"), (F.datediff(F.max(of("trade_date")), F.min(of("trade_date"))) / 365.25).alias("years")))
+
+
+# --- curves -------------------------------------------------------------------------------------------------------------
+
+_CURVE = f"""c AS (SELECT strategy, trade_date, greatest(sum(leg) / count(*), -0.95) AS g FROM legs WHERE leg IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, product(1 + g) OVER (PARTITION BY strategy ORDER BY trade_date) AS nav FROM c)
+SELECT strategy, {d('trade_date')}, {r('g', 'daily_return')}, {r('ln(nav)', 'log_nav')}, {r('nav / greatest(max(nav) OVER (PARTITION BY strategy ORDER BY n.trade_date), 1) - 1', 'drawdown')} FROM n"""
+
+
+def _legs(signals: str, hold: int, open_exit: bool, only_complete: bool) -> str:
+    last = hold + 1 if open_exit else hold
+    keep = f"WHERE s.bar_no + {last} <= s.n" if only_complete else ""
+    return f""", nb AS (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date) AS bar_no, lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) AS prev, count(*) OVER (PARTITION BY ts_code) AS n FROM bars),
+sig AS (SELECT strategy, nb.* FROM nb JOIN ({signals}) g USING (ts_code, trade_date)),
+legs AS (SELECT strategy, b.trade_date, CASE WHEN b.bar_no = s.bar_no + 1 THEN b.close / b.open - 1 - 0.002 WHEN b.bar_no <= s.bar_no + {hold} THEN b.close / b.prev - 1 ELSE b.open / b.prev - 1 END AS leg
+  FROM sig s JOIN nb b ON b.ts_code = s.ts_code AND b.bar_no BETWEEN s.bar_no + 1 AND s.bar_no + {last} {keep}), {_CURVE}"""
+
+
+def _curve_out(legs):
+    c = bt.curve(legs)
+    return rounded(c.select("strategy", "trade_date", "daily_return", F.ln("nav").alias("log_nav"), "drawdown"))
+
+
+_GOLD = "SELECT 'ma20_ma60' AS strategy, ts_code, trade_date FROM gold WHERE golden"
+_PIT = "SELECT 'golden_pit' AS strategy, ts_code, trade_date FROM pit WHERE signal = 1"
+_BRK = "SELECT 'breakout' AS strategy, ts_code, trade_date FROM tech WHERE breakout_signal"
+
+
+def _golden(bars):
+    return ind.crosses(bars, 20, 60).where("golden").select(F.lit("ma20_ma60").alias("strategy"), "ts_code", "trade_date")
+
+
+@query(with_(["bars", "gold"], _legs(_GOLD, 20, False, False)))
+def curve_fixed(spark, sf_dir):
+    bars = panel.bars(spark, sf_dir)
+    return _curve_out(bt.holding_legs(bars, _golden(bars), 20))
+
+
+@query(with_(["bars", "pit"], _legs(_PIT, 5, True, False)))
+def curve_open_exit(spark, sf_dir):
+    bars = panel.bars(spark, sf_dir)
+    signals = ind.golden_pit(bars).where("signal = 1").select(F.lit("golden_pit").alias("strategy"), "ts_code", "trade_date")
+    return _curve_out(bt.holding_legs(bars, signals, 5, open_exit=True))
+
+
+@query(with_(["bars", "tech"], _legs(_BRK, 20, True, True)))
+def curve_sparse(spark, sf_dir):
+    bars = panel.bars(spark, sf_dir)
+    signals = ind.breakout_and_trend(ind.reversal_features(bars)).where("breakout_signal").select(F.lit("breakout").alias("strategy"), "ts_code", "trade_date")
+    return _curve_out(bt.holding_legs(bars, signals, 20, open_exit=True, only_complete=True))
+
+
+_T = "PARTITION BY ts_code ORDER BY trade_date"
+
+
+@query(with_(["bars", "b1"], f""", f AS (SELECT *, {', '.join(f'lead(open, {i}) OVER ({_T}) AS o{i}, lead(close, {i}) OVER ({_T}) AS c{i}, lead(trade_date, {i}) OVER ({_T}) AS d{i}' for i in (1, 2, 3, 4))}, lead(low) OVER ({_T}) AS low1 FROM bars),
+g AS (SELECT f.*, coalesce(o2 < low1, false) AS s2, coalesce(o3 < low1, false) AS s3 FROM f SEMI JOIN (SELECT * FROM b1 WHERE b1) h USING (ts_code, trade_date)),
+legs AS (SELECT 'b1' AS strategy, trade_date, leg FROM (SELECT d1 AS trade_date, c1 / o1 - 1 - 0.002 AS leg FROM g UNION ALL SELECT d2, CASE WHEN s2 THEN o2 ELSE c2 END / c1 - 1 FROM g
+  UNION ALL SELECT d3, CASE WHEN s3 THEN o3 ELSE c3 END / c2 - 1 FROM g WHERE NOT s2 UNION ALL SELECT d4, o4 / c3 - 1 FROM g WHERE NOT s2 AND NOT s3) WHERE trade_date IS NOT NULL), {_CURVE}"""))
+def curve_stopped(spark, sf_dir):
+    bars = panel.bars(spark, sf_dir)
+    signals = ind.wide(bars).where(screens.is_b1()).select(F.lit("b1").alias("strategy"), "ts_code", "trade_date")
+    return _curve_out(bt.stopped_legs(bars, signals))
+
+
+# --- walk-forward -------------------------------------------------------------------------------------------------------
+
+#: The universe here is about a hundredth of a market's.
+_SCALE = 0.01
+_GATES = ", ".join(f"('{s}', {max(1, int(n * _SCALE))}, {m}, {e}, {w})" for s, n, m, e, w in bt.GATES if s != "value_quality")
+_WF = f""", g(strategy, mn, mm, me, mw) AS (VALUES {_GATES}),
+w AS (SELECT ts - 252 AS train_start, ts - 1 AS train_end, ts AS test_start, least(ts + 20, (SELECT max(trade_index) FROM calendar)) AS test_end FROM (SELECT unnest(range(252, (SELECT max(trade_index) + 1 FROM calendar), 21)) AS ts)),
+tr AS (SELECT s.*, w.test_start FROM strat s JOIN w ON trade_index BETWEEN train_start AND train_end AND exit_index < w.test_start WHERE ret IS NOT NULL),
+sg AS (SELECT strategy, test_start, count(*) AS n, avg(ret) AS m, avg((ret > 0)::INT) AS wr FROM tr WHERE is_signal GROUP BY ALL),
+ba AS (SELECT strategy, test_start, avg(ret) AS bm FROM tr SEMI JOIN (SELECT * FROM tr WHERE is_signal) q USING (strategy, test_start, trade_index) GROUP BY ALL),
+te AS (SELECT strategy, test_start, count(*) AS tn FROM strat JOIN w ON trade_index BETWEEN test_start AND test_end WHERE is_signal GROUP BY ALL),
+wf AS (SELECT g.strategy, train_start, train_end, test_start, test_end, coalesce(n, 0) AS training_signals, m - 0.002 AS net_mean, m - bm AS excess, wr AS win_rate,
+  coalesce(coalesce(n, 0) >= mn AND m - 0.002 >= mm AND m - bm >= me AND wr >= mw, false) AS approved, coalesce(tn, 0) AS test_signals
+  FROM g CROSS JOIN w LEFT JOIN sg USING (strategy, test_start) LEFT JOIN ba USING (strategy, test_start) LEFT JOIN te USING (strategy, test_start))"""
+
+
+def _gated(spark, sf_dir):
+    # read twice below: the gates, and the signals that they let through
+    rows = frames.strategy_rows(spark, sf_dir)
+    windows = bt.walk_forward_windows(panel.calendar(panel.bars(spark, sf_dir)))
+    return rows, bt.walk_forward(rows, windows, bt.gates(spark, _SCALE).where("strategy != 'value_quality'"))
+
+
+@query(with_(["strat", "calendar"], _WF + f" SELECT strategy, train_start, train_end, test_start, test_end, training_signals, {r('net_mean')}, {r('excess')}, {r('win_rate')}, approved, test_signals FROM wf"))
+def walk_forward(spark, sf_dir):
+    return rounded(_gated(spark, sf_dir)[1])
+
+
+@query(with_(["strat", "calendar"], _WF + f""", oos AS (SELECT s.* FROM strat s SEMI JOIN (SELECT * FROM wf WHERE approved) a ON s.strategy = a.strategy AND s.trade_index BETWEEN a.test_start AND a.test_end WHERE is_signal)
+SELECT strategy, count(*) AS total_windows, count(*) FILTER (approved) AS enabled_windows, coalesce(any_value(o.n), 0) AS oos_signals, coalesce(any_value(o.c), 0) AS oos_completed, {r('any_value(o.m) - 0.002', 'oos_net_mean')}, arg_max(approved, test_start) AS latest_approved
+FROM wf LEFT JOIN (SELECT strategy, count(*) AS n, count(ret) AS c, avg(ret) AS m FROM oos GROUP BY 1) o USING (strategy) GROUP BY strategy"""))
+def walk_forward_payload(spark, sf_dir):
+    rows, gates = _gated(spark, sf_dir)
+    oos = bt.out_of_sample(rows, gates).groupBy("strategy").agg(F.count("*").alias("oos_signals"), F.count("ret").alias("oos_completed"), (F.avg("ret") - bt.COST).alias("oos_net_mean"))
+    w = gates.groupBy("strategy").agg(F.count("*").alias("total_windows"), F.sum(F.when(F.col("approved"), 1).otherwise(0)).alias("enabled_windows"), F.max_by("approved", "test_start").alias("latest_approved"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rounded(w.join(oos, "strategy", "left").select("strategy", "total_windows", "enabled_windows", zero("oos_signals"), zero("oos_completed"), "oos_net_mean", "latest_approved"))
+
+
+@query(with_(["strat", "calendar"], _WF + """ SELECT strategy, CASE WHEN arg_max(approved, test_start) THEN 'active' WHEN count(*) FILTER (approved) > 0 THEN 'paused' ELSE 'observe' END AS status, arg_max(approved, test_start) AS latest_approved, count(*) OVER (PARTITION BY CASE WHEN arg_max(approved, test_start) THEN 'active' WHEN count(*) FILTER (approved) > 0 THEN 'paused' ELSE 'observe' END) AS same_status FROM wf GROUP BY strategy"""))
+def strategy_table(spark, sf_dir):
+    """Each strategy's status: active if its latest gate approves, paused if an earlier one did, else observed only."""
+    _, gates = _gated(spark, sf_dir)
+    s = gates.groupBy("strategy").agg(F.max_by("approved", "test_start").alias("latest_approved"), F.max("approved").alias("ever"))
+    s = s.withColumn("status", F.when(F.col("latest_approved"), "active").when(F.col("ever"), "paused").otherwise("observe"))
+    return rounded(s.withColumn("same_status", F.count("*").over(Window.partitionBy("status"))).select("strategy", "status", "latest_approved", "same_status"))
