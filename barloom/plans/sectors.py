@@ -114,7 +114,7 @@ def concept_rank(spark, sf_dir):
 _RATE = "CASE WHEN ts_code LIKE '%.BJ' THEN 0.30 WHEN substr(ts_code, 1, 3) IN ('300','301','688','689') THEN 0.20 WHEN contains(upper(coalesce(name, '')), 'ST') AND trade_date < DATE '2026-07-06' THEN 0.05 ELSE 0.10 END::DECIMAL(4,2)"
 
 
-@query(with_(["boards", "instruments"], f""", pb AS (SELECT bars.*, name, CASE WHEN substr(ts_code, 4, 3)::INT % 5 = 0 THEN round(close::DECIMAL(18,2) / (1 + {_RATE})::DOUBLE, 2)::DECIMAL(18,2)::DOUBLE ELSE pre_close END AS pc FROM bars LEFT JOIN instruments USING (ts_code)),
+@query(with_(["boards", "instruments"], f""", pb AS (SELECT *, CASE WHEN substr(ts_code, 4, 3)::INT % 5 = 0 THEN floor(close / (1 + {_RATE})::DOUBLE * 100 + 0.5) / 100 ELSE pre END AS pc FROM (SELECT bars.* EXCLUDE (close), floor(close * 100 + 0.5) / 100 AS close, floor(pre_close * 100 + 0.5) / 100 AS pre, name FROM bars LEFT JOIN instruments USING (ts_code))),
 m AS (SELECT k.trade_date, k.concept_code, k.rank, b.close, b.pc, b.pc > 0 AND b.close::DECIMAL(18,2) = round(b.pc::DECIMAL(18,2) * (1 + {_RATE.replace('trade_date', 'k.trade_date').replace('ts_code', 'm.ts_code')}), 2)::DECIMAL(18,2) AS up FROM boards k JOIN members m USING (trade_date, concept_code) LEFT JOIN pb b ON b.trade_date = k.trade_date AND b.ts_code = m.ts_code WHERE k.rank <= 10)
 SELECT {d('trade_date')}, concept_code, rank, count(*) AS members, CASE WHEN count(*) FILTER (close IS NOT NULL AND pc IS NOT NULL) > 0 THEN count(*) FILTER (up) END AS limit_ups FROM m GROUP BY m.trade_date, concept_code, rank"""))
 def concept_limit_up(spark, sf_dir):
@@ -125,7 +125,9 @@ def concept_limit_up(spark, sf_dir):
     names = panel.instruments(spark, sf_dir)
     own = bars.join(F.broadcast(names.select("ts_code", "name")), "ts_code", "left")
     rate = F.lit(1).cast("decimal(4,2)") + limit_rate(F.col("ts_code"), F.col("name"), F.col("trade_date"))
-    made = F.round(F.col("close").cast("decimal(18,2)").cast("double") / rate.cast("double"), 2).cast("decimal(18,2)").cast("double")
+    tick = lambda c: F.floor(c * 100 + 0.5).cast("double") / 100
+    own = own.withColumns({"close": tick(F.col("close")), "pre_close": tick(F.col("pre_close"))})
+    made = tick(F.col("close") / rate.cast("double"))
     own = own.withColumn("pre_close", F.when(F.substring("ts_code", 4, 3).cast("int") % 5 == 0, made).otherwise(F.col("pre_close"))).drop("name")
     return rounded(sec.limit_up_counts(boards, members, own, names))
 

@@ -1 +1,91 @@
+"""Queries of codes, search, deduplication, combination and pending dates."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import codes
+from ..functions.exprs import rounded
+from ..operators import combine as comb
+from ..operators import indicators as ind
+from ..operators import nextday as nd
+from ..operators import screens
+from ..sources import panel, tables
+from . import frames
+from .model import _FIXED, _KNOWN, _PROB
+from .registry import query
+from .sql import d, r, with_
+
+_SUFFIX = "CASE WHEN substr(s, 1, 2) IN ('60','68','90') THEN 'SH' WHEN substr(s, 1, 2) IN ('00','30','20') THEN 'SZ' WHEN substr(s, 1, 2) IN ('43','83','87','88','92') THEN 'BJ' END"
+
+
+def _raw(spark, sf_dir):
+    """Codes as they come: part keys of up to six digits, some with a suffix or blanks."""
+    key = F.col("p_partkey").cast("string")
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.lpad((F.col("p_partkey") * 37 % 1000000).cast("string"), 6, "0"), F.lit(" "))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lpad((F.col("p_partkey") * 7919 % 1000000).cast("string"), 6, "0"), F.lit(".sz"))).otherwise(key)
+    return panel.table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+
+
+_RAW = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ' ' || lpad((p_partkey * 37 % 1000000)::VARCHAR, 6, '0') || ' ' WHEN 1 THEN lpad((p_partkey * 7919 % 1000000)::VARCHAR, 6, '0') || '.sz' ELSE p_partkey::VARCHAR END AS raw FROM part"
+
+
+@query(f"SELECT p_partkey, CASE WHEN regexp_full_match(s, '[0-9]{{6}}') THEN coalesce(s || '.' || {_SUFFIX}, s) ELSE s END AS canonical FROM (SELECT p_partkey, upper(trim(raw)) AS s FROM ({_RAW}))")
+def code_canon(spark, sf_dir):
+    return rounded(_raw(spark, sf_dir).select("p_partkey", codes.canonical_code(F.col("raw")).alias("canonical")))
+
+
+@query(with_(["instruments"], f"SELECT p_partkey, coalesce(i.ts_code, CASE WHEN regexp_full_match(s, '[0-9]{{6}}') THEN s || '.' || {_SUFFIX} END) AS ts_code FROM (SELECT p_partkey, CASE WHEN length(x) < 6 THEN lpad(x, 6, '0') ELSE x END AS s FROM (SELECT p_partkey, split_part(trim(raw), '.', 1) AS x FROM ({_RAW}))) LEFT JOIN (SELECT symbol, ts_code FROM instruments) i ON i.symbol = s"))
+def code_resolve(spark, sf_dir):
+    return rounded(codes.resolve_codes(_raw(spark, sf_dir), "raw", panel.instruments(spark, sf_dir)).select("p_partkey", "ts_code"))
+
+
+@query(with_(["bars", "instruments"], f"SELECT ts_code, {d()}, name FROM bars LEFT JOIN instruments USING (ts_code) WHERE ts_code = '300001.SZ' OR split_part(ts_code, '.', 1) = '300001' OR contains(lower(name), '300001')"))
+def search_rows(spark, sf_dir):
+    rows = tables.with_names(panel.bars(spark, sf_dir), panel.instruments(spark, sf_dir)).select("ts_code", "trade_date", "name")
+    return rounded(comb.search(rows, "300001"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y%m%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def dedupe_latest(spark, sf_dir):
+    o = panel.table(spark, sf_dir, "orders")
+    return rounded(tables.last_write(o, ["o_custkey"], F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyyMMdd").alias("day")))
+
+
+@query(with_(["bars"], "SELECT strftime(day, '%Y%m%d') AS trade_date FROM (SELECT unnest(generate_series(m + 1, DATE '2001-12-31', INTERVAL 1 DAY)) AS day FROM (SELECT max(trade_date) AS m FROM bars)) WHERE isodow(day) <= 5"))
+def pending_dates(spark, sf_dir):
+    return rounded(tables.pending_days(panel.bars(spark, sf_dir), "2001-12-31"))
+
+
+@query("SELECT event_id, 'k' AS key, (props::JSON ->> 'k')::DOUBLE AS value FROM events WHERE event_type = 'click' AND (props::JSON ->> 'k') IS NOT NULL")
+def json_snapshot(spark, sf_dir):
+    """Events' JSON text parsed to a map and exploded to rows, numbers read leniently."""
+    e = panel.table(spark, sf_dir, "events").where("event_type = 'click'")
+    out = e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "text"))
+    return rounded(out.select("event_id", "key", codes.lenient_number(F.col("text")).alias("value")).where("key = 'k'"))
+
+
+@query(with_(["b1"], "SELECT ts_code, count(*) AS n, string_agg(strftime(trade_date, '%Y%m%d'), ',' ORDER BY trade_date) AS dates FROM b1 WHERE b1 GROUP BY ts_code"))
+def signal_dates(spark, sf_dir):
+    dates = comb.signal_dates(frames.wide(spark, sf_dir).where(screens.is_b1()))
+    return rounded(dates.select("ts_code", F.size("dates").alias("n"), F.array_join(F.transform("dates", lambda x: F.date_format(x, "yyyyMMdd")), ",").alias("dates")))
+
+
+@query(with_(["nd", "b1", "pit"], f""", s AS (SELECT trade_date AS signal_date, ts_code FROM b1 WHERE b1), p AS (SELECT trade_date AS signal_date, ts_code, pr, row_number() OVER (PARTITION BY trade_date ORDER BY pr DESC, ts_code) AS prediction_rank FROM (SELECT nd.trade_date, ts_code, floor({_PROB} * 1e6 + 0.5) / 1e6 AS pr FROM nd SEMI JOIN (SELECT * FROM pit WHERE signal = 1) g USING (ts_code, trade_date) WHERE {_KNOWN}))
+SELECT {d('signal_date')}, ts_code AS canonical_code, pr AS prob_up, prediction_rank, has_signal, row_number() OVER (PARTITION BY t.signal_date ORDER BY prediction_rank NULLS LAST, ts_code) AS position FROM (
+  SELECT signal_date, ts_code, pr, prediction_rank, s.ok IS NOT NULL AS has_signal FROM (SELECT *, true AS ok FROM s) s FULL JOIN p USING (signal_date, ts_code)) t"""))
+def combine_predictions(spark, sf_dir):
+    """B1 hits annotated with predictions for golden-pit instruments; predictions without a hit stay."""
+    bars = panel.bars(spark, sf_dir)
+    pit = ind.golden_pit(bars).where("signal = 1").select("ts_code", "trade_date")
+    scored = nd.score(_FIXED, nd.dataset(bars)).join(pit, ["ts_code", "trade_date"], "left_semi")
+    pred = scored.select(F.col("trade_date").alias("signal_date"), "ts_code", (F.floor(F.col("prob_up") * 1e6 + 0.5) / 1e6).alias("prob_up"), "reasons")
+    hits = ind.wide(bars).where(screens.is_b1()).select(F.col("trade_date").alias("signal_date"), "ts_code")
+    return rounded(comb.combine(hits, pred).select("signal_date", "canonical_code", "prob_up", "prediction_rank", "has_signal", "position"))
+
+
+@query(with_(["bars"], f"SELECT strftime(date_trunc('month', trade_date), '%Y%m%d') AS trade_month, count(*) AS row_count, count(DISTINCT ts_code) AS instruments, {r('sum(amount) / 1e6', 'amount_m')}, date_trunc('month', trade_date) = max(date_trunc('month', trade_date)) OVER () AS is_latest FROM bars GROUP BY date_trunc('month', trade_date)"))
+def month_manifest(spark, sf_dir):
+    """What a manifest of the bar table's partitions holds."""
+    m = panel.bars(spark, sf_dir).groupBy(F.trunc("trade_date", "MM").alias("trade_month")).agg(F.count("*").alias("row_count"), F.countDistinct("ts_code").alias("instruments"), (F.sum("amount") / 1e6).alias("amount_m"))
+    return rounded(m.withColumn("is_latest", F.col("trade_month") == F.max("trade_month").over(Window.partitionBy())))
