@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .embeddings import cosines, is_valid, matrix, unit, valid_vectors
-from .shared import connected_components, saved
+from .shared import saved, smallest_ids
 
 #: Rows of a bucket that one task compares at once; vectors for which the bits aim a bucket.
 BLOCK, BUCKET = 1024, 256
@@ -101,11 +101,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.
 
     met = saved(dealt.groupBy("dim", "t", "code", "b1", "b2").applyInArrow(compared, "node long, n long, root long"), "met")
     links = met.groupBy("node").agg(F.sum("n").alias("n"))
-    first = nodes.select("node", "first")
-    edges = met.where("node != root").select("node", "root").distinct().join(first, "node").join(first.select(F.col("node").alias("root"), F.col("first").alias("to")), "root")
-    found = connected_components(edges, "first", "to")
-    named = nodes.select("node", "first", "copies").join(links, "node", "left").join(found, F.col("first") == F.col("id"), "left")
-    named = saved(named.select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "named")
+    edges = met.where("node != root").select("node", "root").distinct()
+    named = smallest_ids(nodes.select("node", "first"), edges, "node", "root")
+    counted = nodes.select("node", "copies").join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    named = saved(counted.join(named, "node"), "named")
     own = valid.select("vec_id", "node").join(named, "node", "left").select("vec_id", "n_links", "component_id")
     ids = F.col("vec_id").cast("long")
     rest = vectors.where(~is_valid()).select(ids.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), ids.alias("component_id"))

@@ -95,3 +95,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         cur = saved(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
     # a star forest: each id has its centre as its only lower neighbour
     return cur.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(cur.select(F.col("lo"), F.col("lo")).distinct())
+
+
+def smallest_ids(owners: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component_id) for owners' (node, first): the smallest ``first`` among all nodes that the links (a, b) connect.
+
+    Nodes whose ``first`` is null connect others all the same."""
+    found = connected_components(links, a, b)
+    rooted = saved(owners.join(found, F.col("node") == F.col("id"), "left").select("node", "first", F.coalesce("component", "node").alias("root")), "rooted")
+    least = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
+    return saved(rooted.join(least, "root").select("node", "component_id"), "components")
