@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.codes import is_risky
 from ..functions.exprs import rounded
 from ..operators import indicators as ind
 from ..operators import screens
@@ -118,3 +119,28 @@ def recommend_b2(spark, sf_dir):
     score = 18 - F.abs(F.col("gap_pct") - 6) + F.least(liq, F.lit(10.0))
     best = screens.recommend(rows, F.floor(score * 1e6 + 0.5) / 1e6, [F.lit("gap to the long line")], panel.instruments(spark, sf_dir))
     return rounded(best.select("ts_code", "trade_date", "name", "score", "gap_pct", "position"))
+
+
+def _list(strategy: str, score: str, order: str, source: str) -> str:
+    return f"SELECT '{strategy}' AS strategy, {CODE}, name, {r(score, 'score')}, {r('amount20 / 100000', 'amount_unit')}, position FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY {order}, ts_code) AS position FROM {source} LEFT JOIN instruments USING (ts_code) WHERE {_OK}) WHERE position <= 8"
+
+
+@query(with_(["tech", "losers", "instruments"], " UNION ALL ".join([
+    _list("breakout", "breakout_strength * 10 + vol_ratio20", "breakout_strength DESC, amount20 DESC", "(SELECT * FROM tech WHERE breakout_signal)"),
+    _list("trend", "trend_score", "trend_score DESC, amount20 DESC", "(SELECT * FROM tech WHERE trend_signal)"),
+    _list("r1", "amount20 / 100000", "amount20 DESC", "losers"),
+])))
+def recommend_technical(spark, sf_dir):
+    """The best eight of each date for breakouts, trends and reversal observations (those whatever the regime)."""
+    rows = ind.breakout_and_trend(ind.reversal_features(panel.bars(spark, sf_dir)))
+    names = F.broadcast(panel.instruments(spark, sf_dir).select("ts_code", "name"))
+
+    def best(strategy, hits, score, *order):
+        own = hits.join(names, "ts_code", "left").where(~is_risky(F.col("name")))
+        top = screens.top_by_date(own, *order, n=screens.RECOMMENDED)
+        return top.select(F.lit(strategy).alias("strategy"), "ts_code", "trade_date", "name", score.alias("score"), (F.col("amount20") / 100_000).alias("amount_unit"), "position")
+
+    a = best("breakout", rows.where("breakout_signal"), F.col("breakout_strength") * 10 + F.col("vol_ratio20"), F.desc("breakout_strength"), F.desc("amount20"))
+    b = best("trend", rows.where("trend_signal"), F.col("trend_score"), F.desc("trend_score"), F.desc("amount20"))
+    c = best("r1", screens.reversal_candidates(rows), F.col("amount20") / 100_000, F.desc("amount20"))
+    return rounded(a.union(b).union(c))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.exprs import rounded
+from ..operators import backtests as bt
 from ..operators import combine as comb
 from ..operators import indicators as ind
 from ..operators import nextday as nd
@@ -89,3 +90,28 @@ def month_manifest(spark, sf_dir):
     """What a manifest of the bar table's partitions holds."""
     m = panel.bars(spark, sf_dir).groupBy(F.trunc("trade_date", "MM").alias("trade_month")).agg(F.count("*").alias("row_count"), F.countDistinct("ts_code").alias("instruments"), (F.sum("amount") / 1e6).alias("amount_m"))
     return rounded(m.withColumn("is_latest", F.col("trade_month") == F.max("trade_month").over(Window.partitionBy())))
+
+
+@query(with_(["calendar", "tech"], f"SELECT {d('trade_date')}, 0.0::DOUBLE AS daily_return, 1.0::DOUBLE AS nav, 0.0::DOUBLE AS drawdown FROM (SELECT trade_date FROM calendar WHERE trade_date NOT IN (SELECT trade_date FROM tech WHERE breakout_signal)) t"))
+def cash_days(spark, sf_dir):
+    """The cash curve over the dates on which no breakout fires."""
+    bars = panel.bars(spark, sf_dir)
+    busy = ind.breakout_and_trend(ind.reversal_features(bars)).where("breakout_signal").select("trade_date").distinct()
+    return rounded(bt.cash_curve(panel.calendar(bars).join(F.broadcast(busy), "trade_date", "left_anti")))
+
+
+@query(with_(["b1", "pit", "members"], "SELECT ts_code FROM b1 WHERE b1 UNION SELECT ts_code FROM pit WHERE signal = 1 UNION SELECT ts_code FROM members WHERE concept_code = 'Brand#1'"))
+def exported_codes(spark, sf_dir):
+    """Distinct codes that any of three lists names."""
+    bars = panel.bars(spark, sf_dir)
+    hits = ind.wide(bars).where(screens.is_b1())
+    pit = ind.golden_pit(bars).where("signal = 1")
+    return comb.distinct_codes(hits, pit, panel.concept_members(spark, sf_dir).where("concept_code = 'Brand#1'"))
+
+
+@query(with_(["bars"], f"SELECT ts_code, {d()}, {r('CASE WHEN base > 0 THEN (close / base - 1) * 100 END', 'change_pct')} FROM (SELECT *, coalesce(CASE WHEN pre_close > 0 THEN pre_close END, lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date)) AS base FROM bars)"))
+def bar_change(spark, sf_dir):
+    """A bar's change from its previous close, or from the bar before where that is missing."""
+    bars = panel.bars(spark, sf_dir)
+    base = F.coalesce(F.when(F.col("pre_close") > 0, F.col("pre_close")), F.lag("close").over(Window.partitionBy("ts_code").orderBy("trade_date")))
+    return rounded(bars.select("ts_code", "trade_date", ((F.try_divide(F.col("close"), base) - 1) * 100).alias("change_pct")))
