@@ -72,4 +72,14 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 FROM (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: bin(('0x' || h[i])::INT).lpad(4, '0')), 'string_agg', '') AS bits FROM f)
 """
 
-ORACLES: dict[str, str] = {"op5_warc_zstd": _OP5, "op8_licence_scan": licences.oracle_sql()}
+_OP1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM l),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+k AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)), y AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+reach(d, r) AS (SELECT a, b FROM y UNION SELECT reach.d, y.b FROM reach JOIN y ON reach.r = y.a)
+SELECT l.doc_id, len(s)::BIGINT AS n_shingles, least(l.doc_id, coalesce(m, l.doc_id)) AS component_id FROM l LEFT JOIN (SELECT d, min(r) AS m FROM reach GROUP BY d) ON d = l.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op5_warc_zstd": _OP5, "op8_licence_scan": licences.oracle_sql()}
