@@ -36,14 +36,14 @@ def strategy_rows(spark, sf_dir: str) -> DataFrame:
         "_close20": after("close", HOLD), "_i20": after("trade_index", HOLD), "_open21": after("idx_open", OPEN_HOLD + 1), "_idx1": after("idx_open"), "_i21": after("trade_index", OPEN_HOLD + 1),
         **{f"_x{i}": after("trade_index", i) for i in (2, 3, 4)},
     })
-    ends = screens.month_ends(bars).withColumn("_end", F.lit(True))
-    feats = ind.wide(feats.drop("ma20", "ma60")).join(F.broadcast(ends), "trade_date", "left")
+    feats = ind.wide(feats.drop("ma20", "ma60"))
     price, offset = bt.stop_exit(4)
     stop_ret = F.try_divide(price, F.col("open_t1")) - 1
     stop_at = F.element_at(F.array(F.lit(None).cast("long"), "_x2", "_x3", "_x4"), offset)
     open_ret = F.try_divide("_open21", "_idx1") - 1
     item = lambda name, hit, ret, at: F.struct(F.lit(name).alias("strategy"), F.coalesce(hit, F.lit(False)).alias("is_signal"), ret.alias("ret"), F.when(ret.isNotNull(), at).alias("exit_index"))
-    losers = screens.reversal_candidates(feats).where("open_regime")
+    # from the light features, so that the recursions above run once
+    losers = screens.reversal_candidates(ind.reversal_features(bars)).where("open_regime")
     r1 = screens.top_by_date(losers, F.desc("amount20")).select("ts_code", "trade_date", F.lit(True).alias("_r1"))
     feats = feats.join(r1, ["ts_code", "trade_date"], "left")
     items = F.array(
