@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import claim, slices
+
 #: Chunks and pre-tokens remembered by a worker, in entries; emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class ByteBPE:
@@ -85,7 +87,7 @@ class ByteBPE:
     def fits(self, a: int, b: int) -> bool:
         ok = self._fits.get((a, b))
         if ok is None:
-            if len(self._fits) > 4 * REMEMBERED:
+            if len(self._fits) > REMEMBERED:
                 self._fits.clear()
             ok = self._fits[a, b] = self._apart(a, b)
         return ok
@@ -206,26 +208,25 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
     """
 
     def encoded(batches):
+        claim("byte_bpe", load.cache_clear)
         bpe = load(vocabulary, pattern)
-        for b in batches:
-            # rows of very long texts make large lists; send them on in small batches
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                counts, ids_out, ids_sha, text_sha = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    ids, digits = bpe.encode_with_digits(text or "")
-                    counts.append(len(ids))
-                    if digests:
-                        ids_sha.append(hashlib.sha256(digits.encode()).hexdigest())
-                        text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                    else:
-                        ids_out.append(np.array(ids, np.int32))
-                own = [part.column("doc_id"), pa.array(counts, pa.int64())]
+        # rows of very long texts make large lists; they are sent on in small batches
+        for part in slices(batches, 512):
+            counts, ids_out, ids_sha, text_sha = [], [], [], []
+            for text in part.column("text").to_pylist():
+                ids, digits = bpe.encode_with_digits(text or "")
+                counts.append(len(ids))
                 if digests:
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    ids_sha.append(hashlib.sha256(digits.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 else:
-                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids_out) if ids_out else np.zeros(0, np.int32)))], ["doc_id", "n_tokens", "token_ids"])
+                    ids_out.append(np.array(ids, np.int32))
+            own = [part.column("doc_id"), pa.array(counts, pa.int64())]
+            if digests:
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            else:
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids_out) if ids_out else np.zeros(0, np.int32)))], ["doc_id", "n_tokens", "token_ids"])
 
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, schema)
@@ -235,6 +236,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoke
     """(doc_id, text) from (doc_id, token_ids). Bytes that are no UTF-8 become U+FFFD; null ids give a null text."""
 
     def decoded(batches):
+        claim("byte_bpe", load.cache_clear)
         bpe = load(vocabulary)
         for b in batches:
             texts = [None if ids is None else bpe.decode(ids).decode("utf-8", "replace") for ids in b.column("token_ids").to_pylist()]

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import claim
+
 #: Hashed n-gram features, and texts multiplied at once.
 FEATURES, AT_ONCE = 1 << 15, 128
 UNKNOWN = "und"
@@ -120,6 +122,7 @@ def predict(docs: DataFrame, model: KernelClassifier | None, sharpness: float =
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
+        claim("language_id", lambda: None)
         m = known.value
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import zstandard
@@ -34,6 +35,23 @@ def bucket_count(spark: SparkSession, per_shuffle_partition: int = 4) -> int:
     return per_shuffle_partition * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+_CLAIMED: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called where an operator starts in a worker: frees what other operators remember there, as workers are reused."""
+    for other in [x for x in _CLAIMED if x != name]:
+        _CLAIMED.pop(other)()
+    _CLAIMED[name] = clear
+
+
+def slices(batches, rows: int):
+    """Arrow batches of at most so many rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Bytes of an integer array, transposed by significance so that equal high bytes compress away."""
     v = np.ascontiguousarray(values, dtype=np.uint64)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import REMEMBERED, _place
+from .shared import claim
 
 SPACE = "▁"
 #: How far below the least score an unknown character lies: a fixed value of the tokenizer.
@@ -101,6 +102,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> Da
     """
 
     def counted(batches):
+        claim("token_counts", load.cache_clear)
         counter = load(vocabulary)
         for b in batches:
             texts = b.column("text").to_pylist()
