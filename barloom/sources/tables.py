@@ -83,6 +83,9 @@ def upsert(rows: DataFrame, path: str, key: list[str], partition: str, version:
         touched = F.broadcast(rows.select(partition).distinct())
         old = spark.read.parquet(path).join(touched, partition, "left_semi")
         new = last_write(old.unionByName(new, allowMissingColumns=True), key, F.col(version))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
     new.checkpoint(eager=True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
