@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import claim
+from .shared import claim, slices
 
 #: Hashed n-gram features, and texts multiplied at once.
 FEATURES, AT_ONCE = 1 << 15, 128
@@ -112,6 +112,26 @@ def train(docs: DataFrame, per_language: int = 300, most_languages: int = 64, **
     return KernelClassifier(**params).fit(x, [r["lang"] for r in rows])
 
 
+def _named(model: KernelClassifier | None, texts: list[str | None], sharpness: float) -> tuple[list[str], list[float]]:
+    """The class and its share for each of a few texts."""
+    names, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    lettered = [i for i, t in enumerate(texts) if has_letter(t)]
+    if model is not None and lettered:
+        x = np.zeros((len(lettered), FEATURES), np.uint8)
+        for row, i in zip(x, lettered, strict=True):
+            presence(texts[i], row)
+        s = model.scores(x)
+        best = s.argmax(1)
+        p = 1 / np.exp(sharpness * (s - s.max(1, keepdims=True))).sum(1)
+        for k, i in enumerate(lettered):
+            names[i], shares[i] = model.classes[best[k]], min(1.0, float(p[k]))
+    return names, shares
+
+
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def predict(docs: DataFrame, model: KernelClassifier | None, sharpness: float = 4.0) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs`` (doc_id, text; other columns are no inputs).
 
@@ -123,28 +143,34 @@ def predict(docs: DataFrame, model: KernelClassifier | None, sharpness: float =
 
     def scored(batches):
         claim("language_id", lambda: None)
-        m = known.value
-        for b in batches:
-            for at in range(0, b.num_rows, AT_ONCE):
-                part = b.slice(at, AT_ONCE)
-                texts = part.column("text").to_pylist()
-                lettered = [m is not None and t is not None and any(map(str.isalpha, t)) for t in texts]
-                x = np.zeros((len(texts), FEATURES), np.uint8)
-                for i, t in enumerate(texts):
-                    if lettered[i]:
-                        presence(t, x[i])
-                names, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if m is not None:
-                    s = m.scores(x)
-                    best = s.argmax(1)
-                    p = 1 / np.exp(sharpness * (s - s.max(1, keepdims=True))).sum(1)
-                    for i in np.flatnonzero(lettered):
-                        names[i], shares[i] = m.classes[best[i]], min(1.0, float(p[i]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        for part in slices(batches, AT_ONCE):
+            names, shares = _named(known.value, part.column("text").to_pylist(), sharpness)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(scored, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: KernelClassifier | None, sharpness: float = 4.0) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in whose text predict() finds a language.
+
+    Each row is decided by its own text, whatever its doc_id: null texts and those without a letter go. Without a model
+    nothing can be told apart, and every text with a letter stays. Repeated rows stay; an empty table gives none.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        claim("language_id", lambda: None)
+        for part in slices(batches, AT_ONCE):
+            texts = part.column("text").to_pylist()
+            if known.value is None:
+                ok = [has_letter(t) for t in texts]
+            else:
+                ok = [n != UNKNOWN for n in _named(known.value, texts, sharpness)[0]]
+            yield part.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def identify(docs: DataFrame, **params) -> DataFrame:
     """predict() with a model that train() learns from the same table, if it has labels (lang)."""
     return predict(docs, train(docs, **params) if "lang" in docs.columns else None)
