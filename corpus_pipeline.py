@@ -14,18 +14,22 @@ ORACLE_SQL = None
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found: null texts and those without a letter."""
-    found = language_id.identify(docs).where(F.col("lang_pred") == language_id.UNKNOWN)
-    rejected = saved(found.select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    # few: the join is a broadcast one if Spark measures them as small
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").where(F.col("text").isNotNull())
+    """Drops documents in which no language is found: null texts and those without a letter. Rows decide for themselves."""
+    return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies (five-word shingles, Jaccard similarity of 0.8 or more) make groups; the smallest doc_id of each stays."""
-    found = ngram_join.similar_documents(docs, words=5, num=80, den=100)
-    dropped = saved(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
+    """Near copies (five-word shingles, Jaccard similarity of 0.8 or more) make groups; the smallest doc_id of each stays.
+
+    A row without a doc_id goes by a large number from its text, so it yields to any that has one. Of rows with equal
+    doc_id and text one stays; rows with one doc_id and several texts stay or go together."""
+    unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 2)
+    own = F.coalesce(F.col("doc_id").cast("long"), unnamed)
+    found = ngram_join.similar_documents(docs.select(own.alias("doc_id"), "text"), words=5, num=80, den=100)
+    dropped = saved(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped_id")).distinct(), "dropped")
+    keyed = docs.withColumns({"_own_id": own, "_text_hash": F.xxhash64("text")})
+    kept = keyed.join(dropped, F.col("_own_id") == F.col("_dropped_id"), "left_anti").dropDuplicates(["_own_id", "_text_hash"])
+    return kept.drop("_own_id", "_text_hash")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
