@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .embeddings import cosines, is_valid, matrix, unit, valid_vectors
+from .embeddings import cosines, is_valid, matrix, unit, valid_vectors, vector_type
 from .shared import saved, smallest_ids
 
 #: Rows of a bucket that one task compares at once; vectors for which the bits aim a bucket.
@@ -58,7 +58,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, miss: float = 0.
                 ends = pa.array(np.arange(0, len(v) * tables + 1, tables, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("copies"), part.column("embedding"), pa.ListArray.from_arrays(ends, pa.array(codes.ravel()))], ["node", "copies", "embedding", "codes"])
 
-    coded = saved(nodes.select("node", "copies", "embedding").mapInArrow(signed, "node long, copies long, embedding array<float>, codes array<long>"), "signed")
+    coded = saved(nodes.select("node", "copies", "embedding").mapInArrow(signed, f"node long, copies long, embedding {vector_type(vectors)}, codes array<long>"), "signed")
     dim = F.size("embedding").alias("dim")
     each = coded.select("node", "copies", "embedding", "codes", dim, F.posexplode("codes").alias("t", "code"))
     hot = saved(each.groupBy("dim", "t", "code").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("dim", "t", "code", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "hot")

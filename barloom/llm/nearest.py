@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .embeddings import cosines, matrix, unit, valid_vectors
+from .embeddings import cosines, matrix, unit, valid_vectors, vector_type
 from .shared import saved
 
 #: Rows that fit the index (the sample's bound), most lists, columns a block, and rows of a list, or queries, in one task.
@@ -101,7 +101,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, recall: float = 0.9
                 own = (unit(matrix(b.column("embedding"))) @ turn @ centroids.T).argmax(1)
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(own.astype(np.int32))], ["vec_id", "embedding", "list"])
 
-    indexed = saved(valid.mapInArrow(assigned, "vec_id long, embedding array<float>, list int"), "indexed")
+    indexed = saved(valid.mapInArrow(assigned, f"vec_id long, embedding {vector_type(vectors)}, list int"), "indexed")
     sizes = np.zeros(len(centroids), np.int64)
     for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = r["n"]
@@ -130,7 +130,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, recall: float = 0.9
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("embedding").take(take), pa.array(key, pa.int32()), pa.array(block, pa.int32())], ["vec_id", "embedding", "list", "block"])
 
     part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    asked = queries.select("vec_id", "embedding").mapInArrow(probed, "vec_id long, embedding array<float>, list int, block int").withColumn("part", part)
+    asked = queries.select("vec_id", "embedding").mapInArrow(probed, f"vec_id long, embedding {vector_type(vectors)}, list int, block int").withColumn("part", part)
     of_list = F.element_at(F.array(*(F.lit(int(n)) for n in blocks)), F.col("list") + 1)
     offered = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_list).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
