@@ -64,6 +64,14 @@ def test_near_duplicates_repeated_null_and_empty(spark):
     assert embedding_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_double_vectors_beyond_the_range_of_floats(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1.0, -1.0]), (3, [1e300, 0.9e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(0, 2, 0), (1, 2, 0), (2, 0, 2), (3, 2, 0)]
+    assert [r.vec_id for r in nearest.nearest(df).orderBy("rank").collect()] == [1, 3, 2]
+
+
 def test_nearest_recall_order_and_scores(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK", 64)
     rows = vectors(1, groups=20, alone=500)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from barloom.llm import queries
 
@@ -26,6 +28,27 @@ def test_stages_and_run(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == held["byte_bpe"].count()
 
 
+def test_rows_without_a_doc_id_and_clashing_columns(spark, tmp_path):
+    near = " ".join(f"word{k}" for k in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id long, score double, node long, s string, h long, t long"
+    rows = [(None, "12 34", "en"), (None, "a clear text of its own kind", "en"), (None, "another clear text with nothing shared", None), (None, "another clear text with nothing shared", None)]
+    rows += [(None, near + " tail", "en"), (9, near, "en"), (9, near, "en"), (4, "one more document of a few words", "fr"), (None, None, None)]
+    docs = spark.createDataFrame([(*r, None, 5, 1, 0.5, 2, "x", 3, 4) for r in rows], schema)
+    known = corpus_pipeline.keep_known_languages(spark, docs, "")
+    assert known.columns == docs.columns and known.count() == 7
+    kept = corpus_pipeline.keep_one_of_each_group(spark, known, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, rows[1][1]), (0, rows[2][1]), (9, near), (4, rows[7][1])])
+    mixed = corpus_pipeline.mix_sources(spark, corpus_pipeline.redact_secrets(spark, kept, ""), "")
+    assert mixed.columns == docs.columns and {r.text for r in mixed.collect()} == {r.text for r in kept.collect()}
+    # without labels nothing is rejected but what has no letter; an empty table passes through
+    assert corpus_pipeline.keep_known_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").count() == 7
+    df = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, "")
+    assert df.count() == 0
+
+
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
