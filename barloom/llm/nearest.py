@@ -107,32 +107,36 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, recall: float = 0.9
         sizes[r["list"]] = r["n"]
     blocks = np.maximum(1, -(-sizes // BLOCK))
     queries = indexed.where(F.pmod("vec_id", F.lit(every)) == 0)
-    parts = max(1, -(-queries.count() // BLOCK))
 
     def probed(batches):
-        """A row for each query and each block of the lists that it probes."""
+        """A row for each query and each list that it probes."""
         turn, centroids = model.value
         for b in batches:
             if not b.num_rows:
                 continue
             q = unit(matrix(b.column("embedding"))) @ turn
             order = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
-            row, key, block = [], [], []
+            row, key = [], []
             for i in range(len(q)):
                 have = np.cumsum(sizes[order[i]])
                 n = max(probes, int(np.searchsorted(have, k + 1)) + 1)
-                for c in order[i, :n]:
-                    for at in range(blocks[c] if sizes[c] else 0):
-                        row.append(i)
-                        key.append(c)
-                        block.append(at)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("embedding").take(take), pa.array(key, pa.int32()), pa.array(block, pa.int32())], ["vec_id", "embedding", "list", "block"])
-
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    asked = queries.select("vec_id", "embedding").mapInArrow(probed, f"vec_id long, embedding {vector_type(vectors)}, list int, block int").withColumn("part", part)
-    of_list = F.element_at(F.array(*(F.lit(int(n)) for n in blocks)), F.col("list") + 1)
-    offered = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_list).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+                own = order[i, :n]
+                own = own[sizes[own] > 0]
+                row.append(np.full(len(own), i))
+                key.append(own)
+            take = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("embedding").take(take), pa.array(np.concatenate(key).astype(np.int32))], ["vec_id", "embedding", "list"])
+
+    asked = queries.select("vec_id", "embedding").mapInArrow(probed, f"vec_id long, embedding {vector_type(vectors)}, list int")
+    # a list's rows go to as many parts as its own queries fill, and to none if no query probes it
+    parts = np.zeros(len(centroids), np.int64)
+    for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect():
+        parts[r["list"]] = -(-r["n"] // BLOCK)
+    of_list = lambda n: F.element_at(F.array(*(F.lit(int(x)) for x in n)), F.col("list") + 1)
+    every_of = lambda n: F.explode(F.when(of_list(n) > 0, F.sequence(F.lit(0), of_list(n) - 1)))
+    one_of = lambda n: F.pmod(F.xxhash64("vec_id"), F.greatest(of_list(n), F.lit(1))).cast("int")
+    asked = asked.withColumn("part", one_of(parts)).withColumn("block", every_of(blocks))
+    offered = indexed.withColumn("block", one_of(blocks)).withColumn("part", every_of(parts))
 
     def scanned(asked, offered):
         turn, _ = model.value
