@@ -9,7 +9,9 @@ every partner, goes to inverted lists. Two skips follow.
 * Answer skips. In a long list each node is first joined to the head of its block's head only. The links found give every node
   the answers of the highly similar set it hangs from: in the second turn a node skips all that already shares its class,
   and only pairs across classes are listed. Long lists are dealt in block pairs, so that none is held by one task. Pairs
-  from short lists are counted over all lists, and most are dropped because they share too few shingles.
+  from short lists are counted over all lists, and most are dropped because they share too few shingles, even if they
+  share all that both have in long lists. Pairs that share no short list are bounded by positions in the long ones: there
+  the first shingle shared is the first of all.
 
 Every candidate is then verified on whole sets. No partner or candidate is capped.
 """
@@ -304,7 +306,8 @@ def _lists(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFra
 
 
 def _may_link(n1, p1, n2, p2, num, den):
-    """By sizes and by the positions of a shared shingle that is the first one shared."""
+    """By sizes and by the positions of a shared shingle that is the first one shared (pairs that share a short list don't
+    depend on this: they are verified apart)."""
     need = num * (n1 + n2)
     return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & ((den + num) * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= need)
 
@@ -381,12 +384,15 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     texts, buckets = docs.select("text"), bucket_count(docs.sparkSession)
     lists = _lists(texts, words, num, den, buckets)
-    # of pairs in short lists, those that share enough: what both prefixes share and the rest of the longer set's
-    largest = F.greatest("n", "head_n")
-    enough = (den + num) * (F.col("shared") + F.ceil(num * largest / den) - 1) >= num * (F.col("n") + F.col("head_n"))
     counted = lists.where("token is null").groupBy("node", "head").agg(F.first("n").alias("n"), F.first("head_n").alias("head_n"), F.sum("shared").alias("shared"))
-    near = saved(counted.where(enough).select(F.col("node").alias("a"), F.col("head").alias("b")), "near")
     lists = lists.where("token is not null")
+    # of pairs in short lists, those that may share enough: in short lists, in long ones and in the rest of the longer set
+    long = saved(lists.groupBy("node").agg(F.count("*").alias("n_long")), "long")
+    counted = counted.join(long, "node", "left").join(long.select(F.col("node").alias("head"), F.col("n_long").alias("head_long")), "head", "left")
+    most = F.col("shared") + F.least(F.coalesce("n_long", F.lit(0)), F.coalesce("head_long", F.lit(0)))
+    largest = F.greatest("n", "head_n")
+    enough = (den + num) * (most + F.ceil(num * largest / den) - 1) >= num * (F.col("n") + F.col("head_n"))
+    near = saved(counted.where(enough).select(F.col("node").alias("a"), F.col("head").alias("b")), "near")
     member = near.select(F.col("a").alias("node")).union(near.select("b")).union(lists.select("node")).distinct()
     seen = spark.sparkContext.broadcast(bitmap_of(member, "node"))
 

@@ -72,6 +72,22 @@ def test_large_near_copy_group_and_long_text(spark, monkeypatch):
     assert run(spark, rows, words=4, num=85) == brute(rows, 4, 85, 100)
 
 
+def test_pairs_that_share_rare_and_frequent_shingles(spark, monkeypatch):
+    """Pairs with too few shared shingles in short lists alone and too late positions in long ones alone."""
+    monkeypatch.setattr(ngram_join, "SHORT", 4)
+    rng = np.random.default_rng(7)
+    rows = []
+    for f, (own, shared) in enumerate([(3, 6), (3, 9), (4, 8), (5, 9), (2, 12), (8, 8)]):
+        pool = [f"c{f}_{i}" for i in range(100 - own - shared)]
+        for x in "ab":
+            words = pool + [f"s{f}_{i}" for i in range(shared)] + [f"{x}{f}_{i}" for i in range(own)]
+            rows.append((len(rows), " ".join(rng.permutation(words))))
+        for _ in range(40):  # make the pool frequent, and link with nothing
+            rows.append((len(rows), " ".join(rng.choice(pool, 55, replace=False))))
+    assert run(spark, rows, words=1, num=80) == (want := brute(rows, 1, 80, 100))
+    assert all(want[i + 1][1] == i for i in range(0, len(rows), 42))
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, "z")], "doc_id long, text string")
