@@ -19,6 +19,33 @@ def test_licences(spark):
     assert licences.scan_licences(df.limit(0)).count() == 0
 
 
+def test_titles_markers_and_catalogues(spark):
+    known = licences.LICENCES
+    files = {r.license_id: r.text for r in licences.default_catalogue(spark).collect()}
+    star = known["BSD-3-Clause"].replace("\n1. ", "\n * ").replace("\n2. ", "\n * ").replace("\n3. ", "\n * ")
+    bare = known["BSD-2-Clause"].replace("\n1. ", "\n").replace("\n2. ", "\n")
+    rows = [
+        ("MIT License\n\nCopyright (c) 2020 Someone\n\n" + known["MIT"], "MIT", None),
+        ("The MIT License (MIT)\n" + known["MIT"], "MIT", None),
+        ("ISC License\n\n(c) 2021 A. Body\n\n" + known["ISC"], "ISC", None),
+        ("BSD 3-Clause License\n\nCopyright 2019, X\nAll rights reserved.\n\n" + star, "BSD-3-Clause", None),
+        (bare, "BSD-2-Clause", None),
+        (known["BSD-2-Clause"].replace("\n1. ", "\n(a) ").replace("\n2. ", "\n(b) "), "BSD-2-Clause", None),
+        ("\n".join("# " + x for x in ("MIT License\n\nCopyright (c) X\n\n" + known["MIT"]).split("\n")), "MIT", None),
+        ("MIT License\n\n" + known["MIT"] + " More.", None, None),
+        ("MIT License\n", None, None), ("\n\n* \n", None, None), (None, None, None),
+        ("Some text.\nReleased under the ISC License\n# SPDX-License-Identifier: MPL-2.0\nEnd", None, "ISC,MPL-2.0"),
+    ]
+    rows += [(files[i], i, None) for i in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense")]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.license_id, r.notice_ids) for r in licences.scan_licences(df).collect()}
+    assert {i: got[i][0] for i in got} == {i: r[1] for i, r in enumerate(rows)}
+    assert all(got[i][1] == r[2] for i, r in enumerate(rows[:12]))
+    own = spark.createDataFrame([("Own-2", "Own License\n\n1. Do as you like."), ("Own-1", "Do as you like."), ("None", "")], "license_id string, text string")
+    few = spark.createDataFrame([(1, "- Do as you like"), (2, "Do as you like"), (3, ""), (4, known["MIT"]), (5, "Own License\n1. Do as you like")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licences.scan_licences(few, own).collect()} == {1: "Own-1", 2: "Own-1", 3: None, 4: None, 5: "Own-2"}
+
+
 SYLLABLES = {"aa": ["the", "an", "ing", "of"], "bb": ["ñor", "que", "la", "ción"], "cc": ["sch", "und", "ß", "ein"]}
 
 
