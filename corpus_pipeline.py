@@ -22,14 +22,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Near copies (five-word shingles, Jaccard similarity of 0.8 or more) make groups; the smallest doc_id of each stays.
 
     A row without a doc_id goes by a large number from its text, so it yields to any that has one. Of rows with equal
-    doc_id and text one stays; rows with one doc_id and several texts stay or go together."""
+    doc_id and text one stays. Rows with one doc_id and several texts are decided each by its own text; if they are near
+    copies of each other, the one whose text has the smallest hash goes first."""
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 2)
-    own = F.coalesce(F.col("doc_id").cast("long"), unnamed)
-    found = ngram_join.similar_documents(docs.select(own.alias("doc_id"), "text"), words=5, num=80, den=100)
-    dropped = saved(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped_id")).distinct(), "dropped")
-    keyed = docs.withColumns({"_own_id": own, "_text_hash": F.xxhash64("text")})
-    kept = keyed.join(dropped, F.col("_own_id") == F.col("_dropped_id"), "left_anti").dropDuplicates(["_own_id", "_text_hash"])
-    return kept.drop("_own_id", "_text_hash")
+    keyed = docs.withColumn("_own_id", F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_key", F.xxhash64("_own_id", "text"))
+    found = ngram_join.similar_documents(keyed.select(F.col("_row_key").alias("doc_id"), "text"), words=5, num=80, den=100)
+    members = found.select(F.col("doc_id").alias("_row_key"), "component_id").distinct()
+    named = saved(keyed.select("_row_key", "_own_id", "_text_hash").distinct().join(members, "_row_key"), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct("_own_id", "_text_hash", "_row_key")).alias("first"))
+    stays = saved(first.select(F.col("first._row_key").alias("_row_key")), "stays")
+    kept = keyed.join(stays, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return kept.select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

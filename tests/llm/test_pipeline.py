@@ -49,6 +49,16 @@ def test_rows_without_a_doc_id_and_clashing_columns(spark, tmp_path):
     assert df.count() == 0
 
 
+def test_rows_with_one_doc_id_and_several_texts(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(60)) for x in ("one", "two"))
+    clear = "a clear text that has no copy anywhere at all"
+    rows = [(3, one), (7, one + " tail"), (7, clear), (7, clear), (8, two), (8, two + " end"), (9, two), (None, one + " end"), (-4, "a negative number is a doc_id as well")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    assert len(kept) == 4 and {(3, one), (7, clear), rows[8]} <= set(kept)
+    assert [t in (two, two + " end") for i, t in kept if i == 8] == [True]
+
+
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
