@@ -21,14 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import claim, slices
+from .shared import Remembered, claim, slices
 
-#: Chunks and pre-tokens remembered by a worker, in entries; emptied when full.
-REMEMBERED = 250_000
+#: Bytes of chunks, pre-tokens and compatible pairs that a worker remembers, about; each emptied when full.
+REMEMBERED = 128 << 20
 
 
 class ByteBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, digits: bool = True):
+        """digits: whether the decimals of ids are kept with the chunks."""
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
@@ -37,7 +38,7 @@ class ByteBPE:
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
         self._shorter: dict[int, int | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits = Remembered(remembered // 5)
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for t, i in sorted(ranks.items(), key=lambda x: x[1]):
@@ -50,8 +51,9 @@ class ByteBPE:
                     self.halves[i] = (left, right)
                     break
                 left = self.shorter(left)
-        self._words: dict[bytes, tuple[int, ...]] = {}
-        self._chunks: dict[str, tuple[int, str, bytes]] = {}
+        self._words: dict[bytes, tuple[int, ...]] = Remembered(3 * remembered // 10)
+        self._chunks: dict[str, tuple[tuple[int, ...], str]] = Remembered(remembered // 2)
+        self._digits = digits
 
     def shorter(self, token: int) -> int | None:
         """The longest entry that is a proper prefix of the token."""
@@ -87,9 +89,8 @@ class ByteBPE:
     def fits(self, a: int, b: int) -> bool:
         ok = self._fits.get((a, b))
         if ok is None:
-            if len(self._fits) > REMEMBERED:
-                self._fits.clear()
-            ok = self._fits[a, b] = self._apart(a, b)
+            ok = self._apart(a, b)
+            self._fits.put((a, b), ok, 160)
         return ok
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
@@ -130,13 +131,11 @@ class ByteBPE:
             w = m.encode()
             t = self._words.get(w)
             if t is None:
-                if len(self._words) >= REMEMBERED:
-                    self._words.clear()
                 t = self.encode_word(w)
                 if len(w) < 64:
-                    self._words[w] = t
+                    self._words.put(w, t, 200 + len(w) + 20 * len(t))
             ids += t
-        return tuple(ids), " ".join(map(str, ids))
+        return tuple(ids), " ".join(map(str, ids)) if self._digits else ""
 
     def _parts(self, text: str):
         """Chunks (ids, decimal ids) of the text. Cut at single spaces between visible characters, where the pattern
@@ -156,11 +155,9 @@ class ByteBPE:
             yield known.get(held) or self._remember(held)
 
     def _remember(self, text: str):
-        if len(self._chunks) >= REMEMBERED:
-            self._chunks.clear()
         c = self._chunk(text)
         if len(text) < 64:
-            self._chunks[text] = c
+            self._chunks.put(text, c, 260 + len(text) + 20 * len(c[0]) + 2 * len(c[1]))
         return c
 
     def encode(self, text: str) -> list[int]:
@@ -187,8 +184,8 @@ def _place(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(2)
-def load(vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> ByteBPE:
+@lru_cache(1)
+def load(vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, remembered: int = REMEMBERED, digits: bool = True) -> ByteBPE:
     """A rank file by its path, or by its name among the installed public tokenizers."""
     if pattern is None:
         import public_tokenizers
@@ -196,10 +193,10 @@ def load(vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None)
         pattern = public_tokenizers.PATTERN
     with open(_place(vocabulary), "rb") as f:
         ranks = {base64.b64decode(t): int(i) for t, i in (x.split() for x in f if x.strip())}
-    return ByteBPE(ranks, pattern)
+    return ByteBPE(ranks, pattern, remembered, digits)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, digests: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, n_tokens, token_ids) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Whole texts are encoded without special tokens; a null text counts as empty and gives no tokens. With ``digests``
@@ -209,9 +206,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
 
     def encoded(batches):
         claim("byte_bpe", load.cache_clear)
-        bpe = load(vocabulary, pattern)
+        bpe = load(vocabulary, pattern, remembered, digests)
         # rows of very long texts make large lists; they are sent on in small batches
-        for part in slices(batches, 512):
+        for part in slices(batches, 256):
             counts, ids_out, ids_sha, text_sha = [], [], [], []
             for text in part.column("text").to_pylist():
                 ids, digits = bpe.encode_with_digits(text or "")

@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: KernelClassifier | None, sharpness: float =
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        claim("language_id", lambda: None)
+        claim("language_id")
         for part in slices(batches, AT_ONCE):
             names, shares = _named(known.value, part.column("text").to_pylist(), sharpness)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -159,7 +159,7 @@ def keep_identified(docs: DataFrame, model: KernelClassifier | None, sharpness:
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches):
-        claim("language_id", lambda: None)
+        claim("language_id")
         for part in slices(batches, AT_ONCE):
             texts = part.column("text").to_pylist()
             if known.value is None:

@@ -407,8 +407,7 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
                 sizes.append(len(s))
                 sets.append(s if len(s) and nodes[-1] not in held else None)
                 held[nodes[-1]] = True
-            hashes = spark_hash(np.array([x or 0 for x in nodes], np.int64))
-            wanted = in_bitmap(seen.value, hashes)
+            wanted = in_bitmap(seen.value, np.array([x or 0 for x in nodes], np.int64))
             yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([pack_sorted(s) if s is not None and w else None for s, w in zip(sets, wanted, strict=True)], pa.binary())], ["doc_id", "node", "n_shingles", "set"])
 
     known = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, node long, n_shingles long, set binary"), "known")
@@ -426,16 +425,3 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     some = known.where("node is not null").join(named, "node", "left").select("doc_id", "n_shingles", "component_id")
     none = known.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.union(none)
-
-
-def spark_hash(values: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 (seed 42) of long values."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    with np.errstate(over="ignore"):
-        h = np.uint64(42) + p5 + np.uint64(8)
-        h = rot(h ^ (rot(values.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-

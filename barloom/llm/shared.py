@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and driver and executors are one process, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that driver and executors share. On a cluster it must be set: a local one would be another on each machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or LOCAL_SHARED
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,11 +44,52 @@ def bucket_count(spark: SparkSession, per_shuffle_partition: int = 4) -> int:
 _CLAIMED: dict[str, Callable[[], None]] = {}
 
 
-def claim(name: str, clear: Callable[[], None]) -> None:
-    """Called where an operator starts in a worker: frees what other operators remember there, as workers are reused."""
-    for other in [x for x in _CLAIMED if x != name]:
-        _CLAIMED.pop(other)()
+def claim(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called where an operator starts in a worker: frees what others have left there, as workers are reused.
+
+    What they remember is cleared, and memory that Arrow's pool and the allocator still hold goes back to the system."""
+    if name in _CLAIMED:
+        return
+    while _CLAIMED:
+        _CLAIMED.popitem()[1]()
     _CLAIMED[name] = clear
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+class Remembered(dict):
+    """A dict that is emptied when what was put in has cost so many bytes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = self.left = limit
+
+    def put(self, key, value, cost: int) -> None:
+        if cost > self.left:
+            self.clear()
+            self.left = self.limit
+        self.left -= cost
+        self[key] = value
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, each with as many underscores appended as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of ``df``, as select() takes them whatever is in their names."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
 def slices(batches, rows: int):
@@ -75,8 +122,8 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 
 def bitmap_of(df: DataFrame, column: str, log2_words: int = 20) -> np.ndarray:
-    """A one-hash Bloom bitmap of a long column: at most 2**log2_words words of 64 bits whatever the input's size."""
-    h = F.xxhash64(column)
+    """A one-hash Bloom bitmap of a column of hashes: at most 2**log2_words words of 64 bits whatever the input's size."""
+    h = F.col(column)
     word = h.bitwiseAND(F.lit((1 << log2_words) - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
     rows = df.where(F.col(column).isNotNull()).select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -86,7 +133,6 @@ def bitmap_of(df: DataFrame, column: str, log2_words: int = 20) -> np.ndarray:
 
 
 def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    """hashed: xxhash64 of the values, as Spark computes it."""
     h = hashed.astype(np.int64).view(np.uint64)
     return (bitmap[(h & np.uint64(len(bitmap) - 1)).astype(np.int64)] >> (h >> np.uint64(58))) & np.uint64(1) == 1
 

@@ -17,8 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import REMEMBERED, _place
-from .shared import claim
+from .byte_bpe import _place
+from .shared import Remembered, claim
+
+#: Bytes of words that a worker remembers, about.
+REMEMBERED = 48 << 20
 
 SPACE = "▁"
 #: How far below the least score an unknown character lies: a fixed value of the tokenizer.
@@ -36,7 +39,7 @@ class UnigramCounter:
         pieces = {p for p, _ in vocabulary}
         self.pieces = pieces
         self.bytes = byte_fallback and all(f"<0x{i:02X}>" in pieces for i in range(256))
-        self._known: dict[str, int] = {}
+        self._known: dict[str, int] = Remembered(REMEMBERED)
 
     def count_word(self, word: str) -> int:
         size = len(word)
@@ -73,11 +76,9 @@ class UnigramCounter:
         for w in words:
             n = known.get(w)
             if n is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
                 n = self.count_word(SPACE + w)
                 if len(w) < 64:
-                    known[w] = n
+                    known.put(w, n, 160 + len(w))
             total += n
         return total
 
