@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from barloom.llm import byte_bpe, language_id, mixing, ngram_join, secrets
 from barloom.llm.queries import MAX_REPETITION
-from barloom.llm.shared import saved
+from barloom.llm.shared import free_names, quoted, saved
 
+#: Bytes that a worker of the last stage remembers, beside what the executor holds from the stages before.
+REMEMBERED = 48 << 20
 #: No SQL expresses the language classifier, the random field or the merges.
 ORACLE_SQL = None
 
@@ -24,15 +26,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A row without a doc_id goes by a large number from its text, so it yields to any that has one. Of rows with equal
     doc_id and text one stays. Rows with one doc_id and several texts are decided each by its own text; if they are near
     copies of each other, the one whose text has the smallest hash goes first."""
+    own_id, text_hash, row_key = free_names(docs, "_own_id", "_text_hash", "_row_key")
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 2)
-    keyed = docs.withColumn("_own_id", F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_key", F.xxhash64("_own_id", "text"))
-    found = ngram_join.similar_documents(keyed.select(F.col("_row_key").alias("doc_id"), "text"), words=5, num=80, den=100)
-    members = found.select(F.col("doc_id").alias("_row_key"), "component_id").distinct()
-    named = saved(keyed.select("_row_key", "_own_id", "_text_hash").distinct().join(members, "_row_key"), "named")
-    first = named.groupBy("component_id").agg(F.min(F.struct("_own_id", "_text_hash", "_row_key")).alias("first"))
-    stays = saved(first.select(F.col("first._row_key").alias("_row_key")), "stays")
-    kept = keyed.join(stays, "_row_key", "left_semi").dropDuplicates(["_row_key"])
-    return kept.select(*docs.columns)
+    keyed = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn(text_hash, F.xxhash64("text")).withColumn(row_key, F.xxhash64(own_id, "text"))
+    found = ngram_join.similar_documents(keyed.select(F.col(row_key).alias("doc_id"), "text"), words=5, num=80, den=100)
+    members = found.select(F.col("doc_id").alias(row_key), "component_id").distinct()
+    named = saved(keyed.select(row_key, F.col(own_id).alias("own"), F.col(text_hash).alias("hash")).distinct().join(members, row_key), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct("own", "hash", F.col(row_key).alias("key"))).alias("first"))
+    stays = saved(first.select(F.col("first.key").alias(row_key)), "stays")
+    kept = keyed.join(stays, row_key, "left_semi").dropDuplicates([row_key])
+    return kept.select(*quoted(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +45,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources, up to a limit; every document appears at least once."""
-    return mixing.mix(docs, max_repetition=MAX_REPETITION).select(*docs.columns)
+    return mixing.mix(docs, max_repetition=MAX_REPETITION).select(*quoted(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids), one row for each time a document is seen."""
-    return byte_bpe.encode_documents(docs)
+    return byte_bpe.encode_documents(docs, remembered=REMEMBERED)
 
 
 STAGES = [
