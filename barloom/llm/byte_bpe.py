@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import Remembered, claim, slices
 
 #: Bytes of chunks, pre-tokens and compatible pairs that a worker remembers, about; each emptied when full.
-REMEMBERED = 128 << 20
+REMEMBERED = 256 << 20
 
 
 class ByteBPE:

@@ -4,22 +4,22 @@ Method. A document's set of word shingles is a *node*; equal sets share one. Set
 (shingles seen often come last, by how often, then by hash), and each node's prefix, which must share a shingle with
 every partner, goes to inverted lists. Two skips follow.
 
-* Index skips. A list is ordered by set size and cut into blocks in which the largest set can still meet the smallest;
-  pairs beyond a block's reach by size, or by the positions of the shared shingle, are passed over unread.
-* Answer skips. In a long list each node is first joined to the head of its block's head only. The links found give every node
-  the answers of the highly similar set it hangs from: in the second turn a node skips all that already shares its class,
-  and only pairs across classes are listed. Long lists are dealt in block pairs, so that none is held by one task. Pairs
-  from short lists are counted over all lists, and most are dropped because they share too few shingles, even if they
-  share all that both have in long lists. Pairs that share no short list are bounded by positions in the long ones: there
-  the first shingle shared is the first of all.
-
-Every candidate is then verified on whole sets. No partner or candidate is capped.
+* Index skips. A list is ordered by set size and position and cut into blocks of equal ones; block against block is
+  decided once, and blocks whose sizes or positions leave too little to share are passed over unread.
+* Answer skips. In a long list each node is first joined to a head only. The links found give every node the answers of
+  the highly similar set it hangs from: in the second turn it skips all that already shares its class. For pairs across
+  classes the heads' answers are computed once; a node's own follow from its head's, corrected by how many shingles the
+  two differ in: the distance |A ^ B| obeys the triangle inequality, so most pairs are decided without reading a set, and
+  only the rest are verified. Long lists are dealt in block pairs, so that none is held by one task. Pairs from short
+  lists are counted over all lists, and most are dropped because they share too few shingles, even if they share all that
+  both have in long lists. Pairs that share no short list are bounded by positions in the long ones: there the first
+  shingle shared is the first of all.
+
+Every other candidate is verified on whole sets. No partner or candidate is capped.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +30,8 @@ from .shared import bitmap_of, bucket_count, claim, connected_components, in_bit
 
 #: Rows whose sets a task holds at once, shingle keys that it counts in one go, and postings that it sends in one go.
 ROWS, COUNT_BUFFER, POST_BUFFER = 1000, 1_500_000, 500_000
+#: Bytes of text, and postings of the second turn, for each group that one call handles: there are as many groups as the data fill.
+GROUP_BYTES, GROUP_POSTINGS = 64 << 20, 500_000
 #: At most so many frequent shingles are made known to all tasks (16 MB); the rest are ordered by hash alone.
 KNOWN_FREQUENT = 1_000_000
 #: A list longer than this is dealt in blocks of this length.
@@ -38,26 +40,19 @@ BLOCK = 2048
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-#: Bytes of text hashed at once.
-SLICE = 1 << 20
-_BYTES = np.random.default_rng(0x5EED).integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+#: Bytes of text hashed at once, and of a word up to which it is hashed in step with the others.
+SLICE, STEPPED = 1 << 20, 64
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of some bytes, and where they begin. No word goes over one of ``starts``.
+    """64-bit hashes of the words of some bytes, A-Z as a-z, and where they begin. No word goes over one of ``starts``.
 
-    A word's hash is a polynomial in the random values of its bytes, as a difference of sums over all bytes before.
+    Eight bytes at a time are mixed in, for all words at once; no two words of at most eight bytes and one length share a
+    hash. Words longer than STEPPED are hashed one by one by xxh3.
     """
     shown = ~_BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -66,12 +61,23 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     first[1:] &= ~shown[:-1] | edge[1:-1]
     last = shown.copy()
     last[:-1] &= ~shown[1:] | edge[1:-1]
-    at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(max(SLICE + 1, 1 << len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[at]) * down[at]
-    return h ^ (h >> np.uint64(31)), at
+    at, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = size - at
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[data]
+    eight = np.ndarray(len(data) + 1, "<u8", low, 0, (1,))  # the eight bytes from each place
+    h = size.astype(np.uint64) * _MIX[2]
+    rows = np.arange(len(at))
+    for step in range(0, STEPPED, 8):
+        rows = rows[size[rows] > step]
+        if not len(rows):
+            break
+        h[rows] = (h[rows] ^ (eight[at[rows] + step] & _FIRST[np.minimum(size[rows] - step, 8)])) * _MIX[0]
+        h[rows] = (h[rows] ^ h[rows] >> np.uint64(32)) * _MIX[3]
+        h[rows] ^= h[rows] >> np.uint64(29)
+    for i in np.flatnonzero(size > STEPPED):
+        h[i] = xxhash.xxh3_64_intdigest(low[at[i] : at[i] + size[i]].tobytes())
+    return h, at
 
 
 def _mixed(w: np.ndarray, span: int) -> np.ndarray:
@@ -136,7 +142,7 @@ def _node(s: np.ndarray) -> int:
 
 def _distinct_sets(batches, k):
     """For each slice of Arrow batches of texts, its distinct sets by node."""
-    claim("ngram_join", _powers.cache_clear)
+    claim("ngram_join")
     for b in slices(batches, ROWS):
         out = {}
         for s in shingle_sets(b.column("text"), k):
@@ -315,10 +321,11 @@ def _may_link(n1, p1, n2, p2, num, den):
 def _pairs_across(lists: DataFrame, classes: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
     """Candidate pairs of nodes that share a list but no class yet."""
     own = saved(lists.select("token", "node", "n", "pos").join(classes, F.col("node") == F.col("id"), "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("cls")), "classed")
-    live = saved(own.groupBy("token").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "live")
+    live = saved(own.groupBy("token").agg(F.count("*").alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "live")
+    buckets = max(buckets, (live.agg(F.sum(F.col("c") * F.col("blocks"))).first()[0] or 0) // GROUP_POSTINGS)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        own.join(live, "token")
+        own.join(live.drop("c"), "token")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("token", "node", "n", "pos", "cls", "mine", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"))
@@ -327,27 +334,34 @@ def _pairs_across(lists: DataFrame, classes: DataFrame, num: int, den: int, buck
 
     def paired(table):
         c = {x: table[x].to_numpy() for x in ("token", "node", "n", "pos", "cls", "mine", "b1", "b2")}
-        order = np.lexsort((c["node"], c["n"], c["b2"], c["b1"], c["token"]))
+        order = np.lexsort((c["node"], c["pos"], c["n"], c["b2"], c["b1"], c["token"]))
         c = {x: v[order] for x, v in c.items()}
-        size = len(order)
-        if not size:
+        if not len(order):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         fresh = np.concatenate([[True], (c["token"][1:] != c["token"][:-1]) | (c["b1"][1:] != c["b1"][:-1]) | (c["b2"][1:] != c["b2"][:-1])])
         starts = np.flatnonzero(fresh)
         found, held = np.zeros((0, 2), np.int64), []
-        for i, e in zip(starts, np.append(starts[1:], size), strict=True):
+        for i, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
             n, pos, cls, node, mine = (c[x][i:e].astype(np.int64) for x in ("n", "pos", "cls", "node", "mine"))
             if cls.min() == cls.max():
                 continue
             across = c["b1"][i] != c["b2"][i]
-            reach = np.searchsorted(n, n * den // num, side="right")
-            for x in range(len(n) - 1):
-                y = slice(x + 1, reach[x])
-                ok = (cls[y] != cls[x]) & ((den + num) * (1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)) >= num * (n[x] + n[y]))
-                if across:
-                    ok &= mine[y] != mine[x]
-                other = node[y][ok]
-                held.append(np.stack([np.minimum(other, node[x]), np.maximum(other, node[x])], 1))
+            # blocks of one size and position; each goes once over those that its size reaches
+            start = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])]))
+            end = np.append(start[1:], len(n))
+            size_of, rest = n[start], n[start] - pos[start] - 1
+            reach = np.searchsorted(size_of, size_of * den // num, side="right")
+            for x in range(len(start)):
+                y = x + np.flatnonzero((den + num) * (1 + np.minimum(rest[x], rest[x : reach[x]])) >= num * (size_of[x] + size_of[x : reach[x]]))
+                if not len(y):
+                    continue
+                right = np.concatenate([np.arange(start[z], end[z]) for z in y])
+                for left in range(start[x], end[x]):
+                    ok = (right > left) & (cls[right] != cls[left])
+                    if across:
+                        ok &= mine[right] != mine[left]
+                    other = node[right[ok]]
+                    held.append(np.stack([np.minimum(other, node[left]), np.maximum(other, node[left])], 1))
             if sum(map(len, held)) > 1_000_000:
                 found, held = np.unique(np.concatenate([found, *held]), axis=0), []
         found = np.unique(np.concatenate([found, *held]), axis=0)
@@ -356,21 +370,55 @@ def _pairs_across(lists: DataFrame, classes: DataFrame, num: int, den: int, buck
     return dealt.groupBy("bucket").applyInArrow(paired, "a long, b long").distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of candidate pairs (a, b), those whose whole sets are similar enough."""
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, d) for pairs (a, b) of nodes: the sizes of the whole sets and that of their symmetric difference."""
 
-    def checked(batches):
+    def measured(batches):
         for b in batches:
-            ok = []
+            n_a, n_b, d = [], [], []
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
                 x, y = unpack_sorted(x), unpack_sorted(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                n_a.append(len(x))
+                n_b.append(len(y))
+                d.append(len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(c, pa.int64()) for c in (n_a, n_b, d))], ["a", "b", "n_a", "n_b", "d"])
 
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    one = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(checked, "a long, b long")
+    return two.select("a", "b", "set_a", "set_b").mapInArrow(measured, "a long, b long, n_a long, n_b long, d long")
+
+
+def _near_enough(d, n_a, n_b, num: int, den: int):
+    """den * |A & B| >= num * |A | B|, by the symmetric difference's size."""
+    return (den + num) * d <= (den - num) * (n_a + n_b)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of candidate pairs (a, b), those whose whole sets are similar enough, with sizes and distance."""
+    return _distances(pairs, sets).where(_near_enough(F.col("d"), F.col("n_a"), F.col("n_b"), num, den))
+
+
+def _derived(pairs: DataFrame, links: DataFrame, heads: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among pairs of nodes, from the answers of the heads that the nodes hang from.
+
+    links: verified pairs (a, b, d); heads: (node). A node hangs from the nearest head that it is linked with, or is its
+    own. |A ^ B| lies within |H ^ G| -+ (|A ^ H| + |B ^ G|); only pairs for which that doesn't decide are read.
+    """
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("head"), "d").union(links.select("b", "a", "d"))
+    hung = ends.join(heads.select(F.col("node").alias("head")), "head", "left_semi").groupBy("node").agg(F.min(F.struct("d", "head")).alias("to"))
+    hung = saved(hung.join(heads, "node", "left_anti").select("node", "to.head", "to.d"), "hung")
+    of = lambda x: hung.select(F.col("node").alias(x), F.col("head").alias(f"h_{x}"), F.col("d").alias(f"d_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    both = both.select("a", "b", *(F.coalesce(f"h_{x}", x).alias(f"h_{x}") for x in "ab"), (F.coalesce("d_a", F.lit(0)) + F.coalesce("d_b", F.lit(0))).alias("off"))
+    size = sets.select("node", "n")
+    both = both.join(size.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    lo, hi = F.least("h_a", "h_b").alias("lo"), F.greatest("h_a", "h_b").alias("hi")
+    both = saved(both.select("a", "b", "n_a", "n_b", "off", lo, hi), "hanging")
+    between = saved(_distances(both.where("lo != hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), sets).select(F.col("a").alias("lo"), F.col("b").alias("hi"), "d"), "between")
+    both = both.join(between, ["lo", "hi"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    sure = both.where(_near_enough(F.col("d") + F.col("off"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+    open_ = both.where(~_near_enough(F.col("d") + F.col("off"), F.col("n_a"), F.col("n_b"), num, den) & _near_enough(F.col("d") - F.col("off"), F.col("n_a"), F.col("n_b"), num, den))
+    return sure.union(_linked(open_, sets, num, den).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -382,7 +430,9 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     null where no doc_id is known. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    texts, buckets = docs.select("text"), bucket_count(docs.sparkSession)
+    texts = docs.select("text")
+    volume = texts.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(bucket_count(spark), volume // GROUP_BYTES)
     lists = _lists(texts, words, num, den, buckets)
     counted = lists.where("token is null").groupBy("node", "head").agg(F.first("n").alias("n"), F.first("head_n").alias("head_n"), F.sum("shared").alias("shared"))
     lists = lists.where("token is not null")
@@ -398,7 +448,7 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 
     def described(batches):
         """Every row's node and size; for nodes that may have a partner, the set once a slice."""
-        claim("ngram_join", _powers.cache_clear)
+        claim("ngram_join")
         for b in slices(batches, ROWS):
             ids, nodes, sizes, sets, hashes = b.column("doc_id"), [], [], [], []
             held = {}
@@ -411,14 +461,16 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
             yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([pack_sorted(s) if s is not None and w else None for s, w in zip(sets, wanted, strict=True)], pa.binary())], ["doc_id", "node", "n_shingles", "set"])
 
     known = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, node long, n_shingles long, set binary"), "known")
-    sets = saved(known.where("set is not null").select("node", "set").dropDuplicates(["node"]), "sets")
+    sets = saved(known.where("set is not null").select("node", F.col("n_shingles").alias("n"), "set").dropDuplicates(["node"]), "sets")
 
     size = lambda p: (F.col("head_n" if p == "head" else "n"), F.col("head_pos" if p == "head" else "pos"))
     first = lists.where((F.col("head") != F.col("node")) & _may_link(*size("head"), *size("node"), num, den)).select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).union(near).distinct()
     links = saved(_linked(first, sets, num, den), "links")
     classes = saved(connected_components(links), "classes")
-    more = saved(_linked(_pairs_across(lists, classes, num, den, buckets), sets, num, den), "links")
-    links = links.union(more)
+    across = saved(_pairs_across(lists, classes, num, den, buckets), "across")
+    heads = lists.select(F.col("head").alias("node")).distinct()
+    more = saved(_derived(across, links, heads, sets, num, den), "links")
+    links = links.select("a", "b").union(more)
 
     owner = saved(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "owners")
     named = smallest_ids(owner, links)

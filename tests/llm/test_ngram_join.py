@@ -116,3 +116,32 @@ def test_shingle_sets_by_bytes(monkeypatch):
         assert len(s) == len(want)
         assert by_set.setdefault(want, s.tobytes()) == s.tobytes()
     assert len(set(by_set.values())) == len(by_set)
+
+
+def test_long_words_that_are_hard_to_tell_apart(spark):
+    """Words whose polynomial hashes modulo a power of two are equal; words around eight and 64 bytes."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate({97: 98, 98: 97})
+    other = one.translate({97: 98, 98: 97})
+    words = [one, other] + [one[:n] for n in (7, 8, 9, 63, 64, 65, 127, 1024)] + [other[:n] for n in (7, 8, 9, 63, 64, 65, 127, 1024)]
+    rows = [(i, w) for i, w in enumerate(words)] + [(100 + i, f"p q r {w} t u") for i, w in enumerate(words)]
+    assert run(spark, rows, words=4, num=85) == brute(rows, 4, 85, 100)
+
+
+def test_answers_derived_from_heads(spark, monkeypatch):
+    """Groups whose members all lie near a head, at every distance from each other around the threshold."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "SHORT", 4)
+    rng = np.random.default_rng(11)
+    rows = []
+    pool = [f"c{i}" for i in range(100)]
+    for g in range(12):
+        head = pool[: 100 - g] + [f"g{g}_{i}" for i in range(3 * g)]
+        for _ in range(8):
+            words = list(head)
+            for _ in range(int(rng.integers(0, 6))):
+                words[int(rng.integers(len(words)))] = f"x{int(rng.integers(0, 60))}"
+            rows.append((len(rows), " ".join(words)))
+    for num in (80, 85):
+        assert run(spark, rows, words=1, num=num) == brute(rows, 1, num, 100)
