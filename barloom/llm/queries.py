@@ -8,6 +8,8 @@ from . import byte_bpe, embedding_dedup, language_id, licences, mixing, nearest,
 
 #: The most repeated source is seen at most so often where the least repeated one is seen once.
 MAX_REPETITION = 1.5
+#: How far the mixture's entropy goes from the corpus's own towards that of equal weights.
+EVENNESS = 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), max_repetition=MAX_REPETITION)
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), evenness=EVENNESS)
     return mixed.selectExpr("doc_id", "source", "_mix_tokens AS n_tokens", "_mix_epoch AS epoch", "_mix_weight AS weight", "_mix_key AS mix_key")
 
 
