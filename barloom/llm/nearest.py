@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cosine: probed lists and an adaptive dimension scan.
 
 Vectors are made unit, rotated at random and assigned to the nearest of a few centroids (k-means on a bounded sample); how
-many lists a query probes is calibrated on that sample. Within a list, rotated vectors lie in blocks of columns: after each
-block a hypothesis test compares what the partial distances suggest with the query's fifth-best distance so far, and
+many lists a query probes is calibrated on that sample. Vectors of each length have an index of their own. Within a list, rotated vectors lie in blocks of columns: after each
+block a hypothesis test compares what the partial distances suggest with the query's k-th best distance so far, and
 abandons the candidates that would almost surely lose. The rest are scored exactly on the original vectors.
 """
 
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from .embeddings import cosines, matrix, unit, valid_vectors, vector_type
 from .shared import saved
 
-#: Rows that fit the index (the sample's bound), most lists, columns a block, and rows of a list, or queries, in one task.
-SAMPLE, MOST_LISTS, COLUMNS, BLOCK = 20_000, 1024, 16, 4096
+#: Rows that fit a length's index, at least (or all there are) and at most; rows of them for a list. There are as many lists
+#: as the root of the rows, up to LARGEST / PER_LIST.
+SAMPLE, LARGEST, PER_LIST = 20_000, 200_000, 20
+#: Columns a block, and rows of a list, or queries, in one task.
+COLUMNS, BLOCK = 16, 4096
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -61,102 +64,133 @@ def scan(q: np.ndarray, blocks: list[np.ndarray], k: int, epsilon: float, skip:
     d = sum(b.shape[1] for b in blocks)
     edges = np.cumsum([0, *(b.shape[1] for b in blocks)])
     whole = lambda rows: sum(((b[rows] - q[s:e]) ** 2).sum(1) for b, s, e in zip(blocks, edges, edges[1:], strict=False))
-    part = np.zeros(n)
+    part, bound = np.zeros(n), np.inf
     for at, b in enumerate(blocks):
         s, e = edges[at], edges[at + 1]
         part[live] += ((b[live] - q[s:e]) ** 2).sum(1)
-        # the nearest so far by what is known give a sound bound: their whole distances
-        if at == 0:
-            first = live[np.argpartition(part[live], k - 1)[: 4 * k]]
-            bound = np.partition(whole(first), k - 1)[k - 1]
+        if len(live) <= 4 * k:
+            return live
         if e < d:
+            # whole distances of the nearest by what is known give a sound bound, tighter with each block
+            first = live[np.argpartition(part[live], 4 * k - 1)[: 4 * k]]
+            bound = min(bound, np.partition(whole(first), k - 1)[k - 1])
             live = live[part[live] * d / e <= bound * (1 + epsilon / np.sqrt(e)) ** 2 + 1e-12]
     return live[part[live] <= bound + 1e-9]
 
 
+class Index:
+    """Of the vectors of one length: a rotation, centroids, lists to probe and the number of the first list."""
+
+    def __init__(self, x: np.ndarray, lists: int, k: int, recall: float, first: int, seed: int):
+        self.turn = rotation(x.shape[1], seed)
+        x = unit(x) @ self.turn
+        self.centroids = fit_centroids(x, lists, seed)
+        self.probes = probes_for(x, self.centroids, k, recall) if len(x) > k else len(self.centroids)
+        self.first = first
+
+    def turned(self, v: np.ndarray) -> np.ndarray:
+        return unit(v) @ self.turn
+
+
+def _by_length(batches, indexes: dict[int, Index]):
+    """Parts of Arrow batches whose vectors are equally long, with their index."""
+    for b in batches:
+        lengths = np.diff(b.column("embedding").offsets.to_numpy())
+        for d in np.unique(lengths):
+            yield (b if len(lengths) and (lengths == d).all() else b.filter(pa.array(lengths == d))), indexes[int(d)]
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, recall: float = 0.97, epsilon: float = 2.1, seed: int = 23) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, its k nearest other rows.
 
     score is the cosine in double precision on the original vectors; the nearest comes first, of equal ones the smaller
-    vec_id. Candidates are all rows with another vec_id. Null or zero vectors, those with null or non-finite components,
-    those with a null vec_id and those whose length is not the most frequent one take no part. Equal rows count once.
-    A query that has fewer candidates than k gets them all. An empty table gives none.
+    vec_id. Candidates are all rows of the query's length but the query's own row: repeated rows each count, and each is a
+    query of its own. Null or zero vectors, those with null or non-finite components and those with a null vec_id take no
+    part. A query that has fewer candidates than k gets them all. An empty table gives none.
     """
     spark = vectors.sparkSession
     valid = valid_vectors(vectors).where("vec_id is not null")
-    lengths = valid.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    d, total = (lengths[0]["d"], lengths[0]["n"]) if lengths else (1, 0)
-    valid = valid.where(F.size("embedding") == d).dropDuplicates(["vec_id", "embedding"])
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-    turn = rotation(d, seed)
-    x = unit(matrix(sample["embedding"])) @ turn if len(sample) else np.zeros((0, d))
-    centroids = fit_centroids(x, max(1, min(MOST_LISTS, round(total**0.5))), seed) if len(x) else np.ones((1, d))
-    probes = probes_for(x, centroids, k, recall) if len(x) > k else len(centroids)
-    model = spark.sparkContext.broadcast((turn, centroids))
+    size = F.size("embedding")
+    counts = {r["d"]: r["n"] for r in valid.groupBy(size.alias("d")).agg(F.count("*").alias("n")).collect()}
+    lists = {d: max(1, min(LARGEST // PER_LIST, round(n**0.5))) for d, n in counts.items()}
+    rates = [F.when(size == d, F.lit(max(SAMPLE, PER_LIST * lists[d]) / n)) for d, n in counts.items()]
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "vec_id"), 11).cast("double") / float(1 << 53)
+    drawn = valid.where(chance < F.coalesce(*rates, F.lit(0.0))).orderBy("vec_id").select("embedding").toArrow()["embedding"] if counts else None
+    indexes, held = {}, np.zeros(0, np.int64)
+    if counts:
+        drawn = drawn.combine_chunks()
+        lengths = np.diff(drawn.offsets.to_numpy())
+        first = 0
+        for d in sorted(counts):
+            mine = drawn.filter(pa.array(lengths == d))
+            x = matrix(mine) if len(mine) else np.eye(1, d)
+            indexes[d] = Index(x, lists[d], k, recall, first, seed)
+            first += len(indexes[d].centroids)
+        held = np.zeros(first, np.int64)
+    model = spark.sparkContext.broadcast(indexes)
 
     def assigned(batches):
-        turn, centroids = model.value
-        for b in batches:
-            if b.num_rows:
-                own = (unit(matrix(b.column("embedding"))) @ turn @ centroids.T).argmax(1)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(own.astype(np.int32))], ["vec_id", "embedding", "list"])
-
-    indexed = saved(valid.mapInArrow(assigned, f"vec_id long, embedding {vector_type(vectors)}, list int"), "indexed")
-    sizes = np.zeros(len(centroids), np.int64)
+        for b, index in _by_length(batches, model.value):
+            own = (index.turned(matrix(b.column("embedding"))) @ index.centroids.T).argmax(1) + index.first
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("embedding"), pa.array(own.astype(np.int32))], ["row", "vec_id", "embedding", "list"])
+
+    kind = vector_type(vectors)
+    # written, so that a row keeps its number
+    rows = valid.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    indexed = saved(rows.mapInArrow(assigned, f"row long, vec_id long, embedding {kind}, list int"), "indexed")
     for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():
-        sizes[r["list"]] = r["n"]
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    queries = indexed.where(F.pmod("vec_id", F.lit(every)) == 0)
+        held[r["list"]] = r["n"]
 
     def probed(batches):
         """A row for each query and each list that it probes."""
-        turn, centroids = model.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q = unit(matrix(b.column("embedding"))) @ turn
-            order = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
+        for b, index in _by_length(batches, model.value):
+            q = index.turned(matrix(b.column("embedding")))
+            sizes = held[index.first : index.first + len(index.centroids)]
+            order = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
             row, key = [], []
             for i in range(len(q)):
                 have = np.cumsum(sizes[order[i]])
-                n = max(probes, int(np.searchsorted(have, k + 1)) + 1)
-                own = order[i, :n]
+                own = order[i, : max(index.probes, int(np.searchsorted(have, k + 1)) + 1)]
                 own = own[sizes[own] > 0]
                 row.append(np.full(len(own), i))
-                key.append(own)
+                key.append(own + index.first)
             take = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("embedding").take(take), pa.array(np.concatenate(key).astype(np.int32))], ["vec_id", "embedding", "list"])
-
-    asked = queries.select("vec_id", "embedding").mapInArrow(probed, f"vec_id long, embedding {vector_type(vectors)}, list int")
-    # a list's rows go to as many parts as its own queries fill, and to none if no query probes it
-    parts = np.zeros(len(centroids), np.int64)
-    for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect():
-        parts[r["list"]] = -(-r["n"] // BLOCK)
-    of_list = lambda n: F.element_at(F.array(*(F.lit(int(x)) for x in n)), F.col("list") + 1)
-    every_of = lambda n: F.explode(F.when(of_list(n) > 0, F.sequence(F.lit(0), of_list(n) - 1)))
-    one_of = lambda n: F.pmod(F.xxhash64("vec_id"), F.greatest(of_list(n), F.lit(1))).cast("int")
-    asked = asked.withColumn("part", one_of(parts)).withColumn("block", every_of(blocks))
-    offered = indexed.withColumn("block", one_of(blocks)).withColumn("part", every_of(parts))
+            yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("embedding").take(take), pa.array(np.concatenate(key).astype(np.int32))], ["row", "embedding", "list"])
+
+    queries = indexed.where(F.pmod("vec_id", F.lit(every)) == 0)
+    asked = queries.select("row", "embedding").mapInArrow(probed, f"row long, embedding {kind}, list int")
+    # a list's rows go to as many parts as its own queries fill, and to none if no query probes it; a row a list, of which
+    # there are at most LARGEST / PER_LIST for a length, is broadcast
+    dealt = [(r["list"], int(-(-held[r["list"]] // BLOCK)), -(-r["n"] // BLOCK)) for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()]
+    dealt = F.broadcast(spark.createDataFrame(dealt, "list int, blocks int, parts int"))
+    one_of = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(dealt, "list").withColumn("part", one_of("parts")).withColumn("block", every_of("blocks"))
+    offered = indexed.join(dealt, "list").withColumn("block", one_of("blocks")).withColumn("part", every_of("parts"))
 
     def scanned(asked, offered):
-        turn, _ = model.value
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query": [], "row": [], "vec_id": [], "score": []}
         if len(asked) and len(offered):
-            qids, ids = asked["vec_id"].to_numpy(), offered["vec_id"].to_numpy()
+            asking, rows, ids = asked["row"].to_numpy(), offered["row"].to_numpy(), offered["vec_id"].to_numpy()
             q, v = matrix(asked["embedding"]), matrix(offered["embedding"])
-            turned, cand = unit(q) @ turn, unit(v) @ turn
+            d = v.shape[1]
+            index = model.value[d]
+            turned, cand = index.turned(q), index.turned(v)
             columns = [np.ascontiguousarray(cand[:, at : at + COLUMNS]) for at in range(0, d, COLUMNS)]
-            for i, qid in enumerate(qids):
-                rows = scan(turned[i], columns, k, epsilon, ids == qid)
-                score = cosines(np.broadcast_to(q[i], (len(rows), d)), v[rows]) if len(rows) else np.zeros(0)
-                best = np.lexsort((ids[rows], -score))[:k]
-                out["query_id"].append(np.full(len(best), qid))
-                out["vec_id"].append(ids[rows][best])
+            for i, mine in enumerate(asking):
+                near = scan(turned[i], columns, k, epsilon, rows == mine)
+                score = cosines(np.broadcast_to(q[i], (len(near), d)), v[near]) if len(near) else np.zeros(0)
+                best = np.lexsort((rows[near], ids[near], -score))[:k]
+                out["query"].append(np.full(len(best), mine))
+                out["row"].append(rows[near][best])
+                out["vec_id"].append(ids[near][best])
                 out["score"].append(score[best])
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        return pa.table({"query_id": join(out["query_id"], np.int64), "vec_id": join(out["vec_id"], np.int64), "score": join(out["score"], np.float64)})
+        return pa.table({c: join(x, np.float64 if c == "score" else np.int64) for c, x in out.items()})
 
     key = ["list", "block", "part"]
-    found = asked.groupBy(*key).cogroup(offered.select("vec_id", "embedding", *key).groupBy(*key)).applyInArrow(scanned, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = asked.groupBy(*key).cogroup(offered.select("row", "vec_id", "embedding", *key).groupBy(*key)).applyInArrow(scanned, "query long, row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    named = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return best.join(named, "query").select("query_id", "rank", "vec_id", "score")
