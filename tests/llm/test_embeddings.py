@@ -94,10 +94,44 @@ def test_nearest_recall_order_and_scores(spark, monkeypatch):
 def test_nearest_few_candidates_and_empty(spark):
     rows = [(0, [1.0, 0.0]), (7, [0.9, 0.1]), (8, [-1.0, 0.0]), (8, [-1.0, 0.0])]
     got = [(r.query_id, r.rank, r.vec_id) for r in nearest.nearest(frame(spark, rows)).orderBy("rank").collect()]
-    assert got == [(0, 1, 7), (0, 2, 8)]
+    assert got == [(0, 1, 7), (0, 2, 8), (0, 3, 8)]  # repeated rows each count
     assert nearest.nearest(frame(spark, [])).count() == 0
 
 
+def test_nearest_of_each_length_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [0.9, 0.1, 0.0]), (2, [0.8, 0.3, 0.1]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (50, [1.0, 0.0]), (51, [0.5, 0.5]), (100, [1.0, 2.0, 3.0, 4.0]), (150, [2.0, 1.0]), (150, [2.0, 1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest.nearest(frame(spark, rows), every=50).collect())
+    assert [x for x in got if x[0] == 0] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 3)]
+    assert [x for x in got if x[0] == 50] == [(50, 1, 150), (50, 2, 150), (50, 3, 51)]
+    assert [x for x in got if x[0] == 100] == []  # alone of its length
+    assert [x for x in got if x[0] == 150] == [(150, 1, 150), (150, 1, 150), (150, 2, 51), (150, 2, 51), (150, 3, 50), (150, 3, 50)]
+
+
+def test_near_duplicates_planted_among_thousands(spark):
+    """Pairs around the threshold, groups of near copies (dealt in blocks) and loose vectors, at the length of the table."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x)
+    vecs = [unit(rng.standard_normal(64)) for _ in range(3000)]
+    for i in range(300):  # cosines of 0.86 to 0.98 with an earlier one
+        c = 0.86 + 0.12 * (i / 300)
+        off = rng.standard_normal(64)
+        off = unit(off - (off @ vecs[i]) * vecs[i])
+        vecs.append(c * vecs[i] + math.sqrt(1 - c * c) * off)
+    vecs += [unit(vecs[5] + 0.03 * rng.standard_normal(64)) for _ in range(300)]
+    rows = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(vecs)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame(spark, rows)).collect()}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= want).all() and found.sum() >= 0.985 * want.sum()
+    assert (found[:3300] >= want[:3300] - 1).all()
+    component = [got[i].component_id for i in range(len(rows))]
+    assert all(component[i] == 5 for i in range(3300, 3600))
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((2000, 64))
