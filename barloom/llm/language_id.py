@@ -1,22 +1,26 @@
 """Language identification with a blended-spectrum string kernel.
 
-A text is the set of its character n-grams (n = 1, 2, 3), hashed to a fixed number of features; the kernel of two texts
-is the size of the sets' intersection over the geometric mean of their sizes. A few labelled texts serve as Nystroem
-landmarks; one-versus-rest kernel ridge regression is solved in the space they span, on a bounded sample of labelled rows.
-Texts are scored in batches, by one product of the presence matrix with the landmarks' and one with the coefficients.
+A text is the set of its character n-grams (n = 1, 2, 3); the kernel of two texts is the size of the sets' intersection
+over the geometric mean of their sizes. n-grams are whole numbers that tell each from every other, so nothing is hashed.
+A few labelled texts serve as Nystroem landmarks; one-versus-rest kernel ridge regression is solved in the space they
+span, on a bounded sample of labelled rows. Only n-grams of landmarks can add to a kernel value: they are columns of a
+matrix, and texts are scored in batches by the product of their sparse presence rows with it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import claim, slices
+from .shared import claim, saved
 
-#: Hashed n-gram features, and texts multiplied at once.
-FEATURES, AT_ONCE = 1 << 15, 128
+#: Characters of texts scored at once (or one text), so that memory doesn't follow the batch.
+AT_ONCE = 1 << 18
+#: Rows that learn a language, and all together, which bounds the rows of each where there are many languages; but at least
+#: LEAST_ROWS of each. Landmarks a language and all together, at least one of each.
+ROWS, ALL_ROWS, LEAST_ROWS, LANDMARKS, ALL_LANDMARKS = 300, 12_000, 10, 40, 256
 UNKNOWN = "und"
 
 
@@ -25,47 +29,63 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def presence(text: str, row: np.ndarray) -> None:
-    """Marks the features of a whole text in a row of zeros."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def ngrams(text: str) -> np.ndarray:
+    """The distinct n-grams of a whole text, ascending: up to three code points of 21 bits, each plus one."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     if not len(c):
-        return
-    h = c * np.uint32(0x9E3779B1)
-    row[h >> np.uint32(17)] = 1
-    for salt in (0x85EBCA77, 0xC2B2AE3D):
-        if len(h) < 2:
-            return
-        # the n-grams one character longer
-        c = c[1:]
-        h = (h[:-1] ^ np.uint32(salt)) * np.uint32(0x27D4EB2F) + c * np.uint32(0x165667B1)
-        h ^= h >> np.uint32(15)
-        row[(h * np.uint32(0x9E3779B1)) >> np.uint32(17)] = 1
-
-
-def kernel(x: np.ndarray, landmarks: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """x: presence rows; landmarks: presence columns; norms: square roots of the landmarks' sizes."""
-    own = np.sqrt(np.maximum(x.sum(1, dtype=np.float32), 1))
-    return (x.astype(np.float32) @ landmarks) / own[:, None] / norms[None, :]
+        return c
+    two = c[:-1] << np.uint64(21) | c[1:]
+    every = np.sort(np.concatenate([c, two, two[:-1] << np.uint64(21) | c[2:]]))
+    return every[np.concatenate([[True], every[1:] != every[:-1]])]
+
+
+class Landmarks:
+    """Texts that others are compared with; columns of the presence matrix are their n-grams."""
+
+    def __init__(self, texts: list[str]):
+        sets = [ngrams(t) for t in texts]
+        self.columns = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        self.presence = np.zeros((len(self.columns), len(sets)), np.float32)
+        for k, s in enumerate(sets):
+            self.presence[np.searchsorted(self.columns, s), k] = 1 / np.sqrt(max(1, len(s)))
+
+    def products(self, texts: list[str], matrix: np.ndarray) -> np.ndarray:
+        """Presence rows, over the root of each text's number of n-grams, times a matrix with a row a column here."""
+        out = np.zeros((len(texts), matrix.shape[1]))
+        hits, ends, roots = [], [], []
+        for t in texts:
+            own = ngrams(t)
+            at = np.searchsorted(self.columns, own)
+            inside = at < len(self.columns)
+            inside[inside] = self.columns[at[inside]] == own[inside]
+            hits.append(at[inside])
+            ends.append(len(hits[-1]))
+            roots.append(np.sqrt(max(1, len(own))))
+        full = np.flatnonzero(ends)
+        if len(full):
+            starts = np.cumsum([0, *np.array(ends)[full][:-1]])
+            out[full] = np.add.reduceat(matrix[np.concatenate(hits)], starts, axis=0, dtype=np.float64)
+        return out / np.array(roots)[:, None]
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        return self.products(texts, self.presence)
 
 
 class KernelClassifier:
-    """fit() on presence rows and labels; scores() gives one decision value per class."""
+    """One-versus-rest ridge regression on kernel values; scores() gives one decision value per class."""
 
-    def __init__(self, landmarks_per_class: int = 40, ridge: float = 1e-3, most_landmarks: int = 256):
-        self.per_class, self.ridge, self.most = landmarks_per_class, ridge, most_landmarks
+    def __init__(self, landmarks: Landmarks, ridge: float = 1e-3):
+        self.landmarks, self.ridge = landmarks, ridge
 
-    def fit(self, x: np.ndarray, labels: list[str]):
+    def fit(self, own: np.ndarray, k: np.ndarray, labels: list[str]):
+        """own: the kernel among landmarks; k: that of the sample's rows with landmarks."""
         self.classes = sorted(set(labels))
-        y = np.array([self.classes.index(v) for v in labels])
-        each = max(1, min(self.per_class, self.most // max(1, len(self.classes))))
-        chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(self.classes))])
-        self.landmarks = np.ascontiguousarray(x[chosen].T.astype(np.float32))
-        self.norms = np.sqrt(np.maximum(x[chosen].sum(1, dtype=np.float32), 1))
-        own = kernel(x[chosen], self.landmarks, self.norms).astype(np.float64)
+        place = {c: i for i, c in enumerate(self.classes)}
+        y = np.array([place[v] for v in labels])
         val, vec = np.linalg.eigh(own)
         keep = val > 1e-6 * max(val.max(), 1e-12)
         root = vec[:, keep] / np.sqrt(val[keep])
-        phi = kernel(x, self.landmarks, self.norms).astype(np.float64) @ root
+        phi = k @ root
         mean = phi.mean(0)
         target = np.where(y[:, None] == np.arange(len(self.classes)), 1.0, -1.0)
         # rows weigh so that every class has the same total
@@ -73,43 +93,62 @@ class KernelClassifier:
         centred = phi - mean
         shift = (w * target).mean(0)
         beta = np.linalg.solve(centred.T @ (w * centred) + self.ridge * len(y) * np.eye(centred.shape[1]), centred.T @ (w * (target - shift)))
-        self.coefficients, self.bias = root @ beta, shift - mean @ beta
+        self.bias = shift - mean @ beta
+        # the landmarks' presence and the coefficients are one matrix, as both products are linear
+        self.matrix = (self.landmarks.presence @ (root @ beta)).astype(np.float32)
         return self
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return kernel(x, self.landmarks, self.norms).astype(np.float64) @ self.coefficients + self.bias
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return self.landmarks.products(texts, self.matrix) + self.bias
 
 
-def train(docs: DataFrame, per_language: int = 300, most_languages: int = 64, **params) -> KernelClassifier | None:
+def train(docs: DataFrame, ridge: float = 1e-3, rows: int = ROWS, all_rows: int = ALL_ROWS, landmarks: int = LANDMARKS, all_landmarks: int = ALL_LANDMARKS) -> KernelClassifier | None:
     """Learns from rows with a language, a text and a doc_id that is not held out.
 
-    About ``per_language`` rows of each of the ``most_languages`` most frequent languages are drawn by a hash of doc_id:
-    the sample is bounded whatever the input's size, and only its hashed features (4 KB a row) reach the driver. None if
-    there is no such row.
+    About ``rows`` rows of each language are drawn by a hash of doc_id, fewer where there are so many languages that all
+    would be more than ``all_rows``, but no language is left out. The landmarks' texts and a kernel row of at most
+    ``all_landmarks`` numbers (or one a language) for each row of the sample reach the driver. None if there is no such row.
     """
-    labelled = docs.select(F.col("doc_id"), "text", "lang").where("lang is not null and text is not null").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    if not counts:
+    labelled = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out())
+    counts = saved(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    classes = counts.count()
+    if not classes:
         return None
-    rates = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11).cast("double") / float(1 << 53)
-    drawn = labelled.where(chance < F.coalesce(rates[F.col("lang")], F.lit(0.0))).select("doc_id", "text", "lang")
+    each = min(rows, max(LEAST_ROWS, all_rows // classes))
+    order = F.xxhash64(F.lit(11), "doc_id", "text")
+    chance = F.shiftrightunsigned(order, 11).cast("double") / float(1 << 53)
+    # a little more than is wanted, of which the first by hash are kept
+    likely = labelled.join(counts, "lang").where(chance < (F.lit(each) + 4 * F.sqrt(F.lit(each)) + 8) / F.col("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))
+    sample = saved(likely.select("lang", "text", place.alias("place")).where(F.col("place") <= each), "language-sample")
+    marks = max(1, min(landmarks, all_landmarks // classes))
+    chosen = sample.where(F.col("place") <= marks).select("lang", "place", "text").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    model = Landmarks(chosen["text"].to_pylist())
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
-    def marked(batches):
+    def compared(batches):
+        claim("language_id")
         for b in batches:
-            bits = []
-            for text in b.column("text").to_pylist():
-                row = np.zeros(FEATURES, np.uint8)
-                presence(text, row)
-                bits.append(np.packbits(row).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(bits, pa.binary())], ["doc_id", "lang", "bits"])
-
-    rows = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(marked, "doc_id long, lang string, bits binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["bits"]))
-    if not rows:
-        return None
-    x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    return KernelClassifier(**params).fit(x, [r["lang"] for r in rows])
+            for part in _portions(b):
+                k = known.value.kernel(part.column("text").to_pylist())
+                ends = pa.array(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.ListArray.from_arrays(ends, pa.array(k.ravel()))], ["lang", "place", "k"])
+
+    table = sample.select("lang", "place", "text").mapInArrow(compared, "lang string, place int, k array<double>").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    k = table["k"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    return KernelClassifier(model, ridge).fit(k[table["place"].to_numpy() <= marks], k, table["lang"].to_pylist())
+
+
+def _portions(batch: pa.RecordBatch, text: str = "text"):
+    """Consecutive rows of a batch with about AT_ONCE characters."""
+    at, size = 0, 0
+    for i, s in enumerate(batch.column(text)):
+        size += len(s.as_buffer()) if s.is_valid else 0
+        if size >= AT_ONCE or i - at >= 1023:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def _named(model: KernelClassifier | None, texts: list[str | None], sharpness: float) -> tuple[list[str], list[float]]:
@@ -117,10 +156,7 @@ def _named(model: KernelClassifier | None, texts: list[str | None], sharpness: f
     names, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
     lettered = [i for i, t in enumerate(texts) if has_letter(t)]
     if model is not None and lettered:
-        x = np.zeros((len(lettered), FEATURES), np.uint8)
-        for row, i in zip(x, lettered, strict=True):
-            presence(texts[i], row)
-        s = model.scores(x)
+        s = model.scores([texts[i] for i in lettered])
         best = s.argmax(1)
         p = 1 / np.exp(sharpness * (s - s.max(1, keepdims=True))).sum(1)
         for k, i in enumerate(lettered):
@@ -143,9 +179,10 @@ def predict(docs: DataFrame, model: KernelClassifier | None, sharpness: float =
 
     def scored(batches):
         claim("language_id")
-        for part in slices(batches, AT_ONCE):
-            names, shares = _named(known.value, part.column("text").to_pylist(), sharpness)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        for b in batches:
+            for part in _portions(b):
+                names, shares = _named(known.value, part.column("text").to_pylist(), sharpness)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(scored, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -160,13 +197,14 @@ def keep_identified(docs: DataFrame, model: KernelClassifier | None, sharpness:
 
     def kept(batches):
         claim("language_id")
-        for part in slices(batches, AT_ONCE):
-            texts = part.column("text").to_pylist()
-            if known.value is None:
-                ok = [has_letter(t) for t in texts]
-            else:
-                ok = [n != UNKNOWN for n in _named(known.value, texts, sharpness)[0]]
-            yield part.filter(pa.array(ok, pa.bool_()))
+        for b in batches:
+            for part in _portions(b):
+                texts = part.column("text").to_pylist()
+                if known.value is None:
+                    ok = [has_letter(t) for t in texts]
+                else:
+                    ok = [n != UNKNOWN for n in _named(known.value, texts, sharpness)[0]]
+                yield part.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -77,10 +77,59 @@ def test_no_labels_and_empty(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
-def test_kernel_is_normalised_presence():
-    x = np.zeros((2, language_id.FEATURES), np.uint8)
-    language_id.presence("abc", x[0])
-    language_id.presence("abcabc", x[1])
-    assert x[0].sum() == 6  # a b c ab bc abc
-    k = language_id.kernel(x, x.T.astype(np.float32), np.sqrt(x.sum(1, dtype=np.float32)))
-    assert np.allclose(np.diag(k), 1) and np.isclose(k[0, 1], 6 / np.sqrt(6 * x[1].sum()))
+def grams(text):
+    t = text.lower()
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_kernel_against_sets():
+    texts = ["abc", "abcabc", "", "Zß\U0001f600x", "xyz"]
+    k = language_id.Landmarks(texts[:4]).kernel(texts)
+    want = [[len(grams(a) & grams(b)) / np.sqrt(max(1, len(grams(a))) * max(1, len(grams(b)))) for b in texts[:4]] for a in texts]
+    assert np.allclose(k, want, atol=1e-6)
+
+
+def test_predictions_against_brute_force(spark):
+    """Sets of strings, the same sample, one dense solve."""
+    rng = np.random.default_rng(4)
+    rows = [(i, t + " " + "".join(rng.choice(list("abcdeß ñó"), 12)), lang) for i, t, lang in corpus(150, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df, landmarks=5, all_rows=60, rows=25).collect()}
+    # the sample: the first of each language by Spark's hash
+    order = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(11, string(doc_id), text) AS h").collect()}
+    taught = {}
+    for i, t, lang in sorted(rows, key=lambda r: (order[r[0]], str(r[0]))):
+        if zlib.crc32(str(i).encode()) % 5:
+            taught.setdefault(lang, []).append(t)
+    langs = sorted(taught)
+    assert all(len(v) > 20 for v in taught.values())
+    sample = [(lang, t, n) for lang in langs for n, t in enumerate(taught[lang][:20])]
+    marks = [t for _, t, n in sample if n < 5]
+    kernel = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+    own = np.array([[kernel(a, b) for b in marks] for a in marks])
+    val, vec = np.linalg.eigh(own)
+    root = (vec / np.sqrt(val))[:, val > 1e-6 * val.max()]
+    phi = np.array([[kernel(t, b) for b in marks] for _, t, _ in sample]) @ root
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _, _ in sample])
+    bias = np.ones((len(sample), 1))
+    a = np.hstack([phi, bias])
+    fine = 1e-3 * len(sample) * np.diag([1.0] * phi.shape[1] + [0.0])
+    beta = np.linalg.solve(a.T @ a + fine, a.T @ y)
+    for i, t, _ in rows:
+        s = np.append(np.array([kernel(t, b) for b in marks]) @ root, 1) @ beta
+        p = np.exp(4 * (s - s.max()))
+        assert got[i].lang_pred == langs[int(s.argmax())]
+        assert abs(got[i].score - p.max() / p.sum()) < 1e-4
+
+
+def test_many_languages(spark):
+    """No language is left out, whatever their number."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for lang in range(80):
+        letters = [chr(0x4E00 + 3 * lang + j) for j in range(3)]
+        rows += [(len(rows) + j, " ".join("".join(rng.choice(letters, 4)) for _ in range(12)), f"l{lang:02d}") for j in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df).collect()}
+    assert len(set(got.values())) == 80
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95
