@@ -2,13 +2,15 @@
 
 Words (runs between spaces) are tagged begin, inside or outside from their shape, their neighbours and features of the
 whole text; Viterbi decoding finds the best tags. The model learns here, on a bounded sample whose labels are the fixed
-patterns' finds. A word's scores are looked up by its form, so a text costs a few array operations; Viterbi itself only
+patterns' finds. So that it learns more than the patterns, some finds are shown without what the patterns go by (keywords,
+prefixes), found values are also shown alone among other words, and look-alikes that are no secrets are mixed in. A word's scores are looked up by its form, so a text costs a few array operations; Viterbi itself only
 runs where a word is not bound to be outside: if ``outside`` leads by more than all that transitions could make up, every
 best path goes through it, and the chain falls apart there without loss.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import claim
+from .shared import claim, saved
 
 KINDS = ["assign", "access", "hex", "crf"]
 KEYWORD = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
@@ -30,6 +32,8 @@ HEX = re.compile("[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Forms of words remembered by a worker; rows sampled for training, windows kept of them, and words on either side.
 REMEMBERED, SAMPLE, WINDOWS, SIDE = 300_000, 16_000, 6_000, 5
+#: Places of a word's features, and of the text's, that tell which pattern found it.
+GIVEAWAYS, TEXT_GIVEAWAYS = (29, 30), (1, 2)
 B, I, O = 0, 1, 2  # noqa: E741
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -247,11 +251,80 @@ class Scanner:
         return sorted(base + self.added(text or "", base))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> TaggingModel | None:
+def look_alikes(words: list[str], mark: int) -> list[str]:
+    """Words with digits, signs or capitals that are no secrets, made from a text's own words and a number."""
+    plain = [w for w in words if w.isalpha() and w.isascii() and 3 <= len(w) <= 12][:50] or ["page", "item"]
+    one, two = plain[mark % len(plain)].lower(), plain[(mark >> 8) % len(plain)].lower()
+    n = mark >> 16
+    return [
+        f"{one}.{two}{n % 100}@{two}.com", f"{one}.{n % 100:02d}@{two}{n % 10}.{one}.com", f"{one}{two}.{n % 100:02d}@mail{n % 10}.{two}.org", f"{two}{n % 1000}@{one}{n % 100}.net", f"https://www.{one}.org/{two}/{n % 10**6}", f"https://{two}.net/{one}?id={n % 10**8}&page=2", f"{one}_{two}_{n % 1000}",
+        f"{1990 + n % 40}-{1 + n % 12:02d}-{1 + n % 28:02d}T{n % 24:02d}:{n % 60:02d}:00Z", f"+{1 + n % 90}-{n % 10**3:03d}-{n % 10**7:07d}", f"v{n % 20}.{n % 7}.{n % 30}-rc{n % 5}",
+        f"{one.capitalize()}{two.capitalize()}{n % 100}", f"/usr/{one}/{two}{n % 10}.txt", f"{n % 256}.{n % 250}.{n % 240}.{n % 230}", f"{n % 10**12:012d}", f"{n % 16**7:07x}", f"{one}-{two}-{n % 10**4}", f"#{n % 10**5}", f"${n % 10**4}.{n % 100:02d}",
+        f"{one.upper()}-{n % 10**4}", f"{one}={two}", f"{one}:{n % 100}", f"{n % 16**8:08x}-{n % 16**4:04x}-4{n % 16**3:03x}-a{n % 16**3:03x}-{n % 16**12:012x}",
+    ]
+
+
+def respelled(value: str) -> list[str]:
+    """The value, and random ones made from it in other alphabets and lengths."""
+    raw = hashlib.sha512(value.encode()).digest()
+    cut = lambda text, k: text[: 16 + raw[k] % 33].strip("-_=")
+    return [value, cut(base64.b64encode(raw).decode(), 0), cut(base64.b32encode(raw).decode(), 1), cut(base64.urlsafe_b64encode(raw[::-1]).decode(), 2), cut(raw.hex().upper(), 3)]
+
+
+def _values(text: str, spans: list[Span]) -> list[str]:
+    """Found values that look random, without keyword."""
+    out = []
+    for s, kind, e in spans:
+        v = ASSIGN.match(text, s)[2] if kind == 0 else text[s:e]
+        if len(v) >= 10 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
+            out.append(v)
+    return out
+
+
+def window(words: list[str], tags, centre: int, extra: np.ndarray, hide: bool) -> tuple[int, np.ndarray, np.ndarray]:
+    """(words, features, tags) of SIDE words before a word and SIDE + 2 after; ``hide`` blanks what patterns go by."""
+    lo, hi = max(0, centre - SIDE), min(len(words), centre + SIDE + 3)
+    near = [shape(w) for w in words[max(0, lo - 2) : hi + 1]]
+    get = lambda k: near[k - max(0, lo - 2)] if max(0, lo - 2) <= k < max(0, lo - 2) + len(near) else np.zeros(N_SHAPE, np.float32)
+    x = np.zeros((2 * SIDE + 3, N_FEATURES), np.uint8)
+    for k in range(lo, hi):
+        x[k - lo] = np.concatenate([get(k), get(k - 1), get(k - 2), get(k + 1), extra])
+    if hide:
+        x[:, [g + r * N_SHAPE for g in GIVEAWAYS for r in range(4)] + [4 * N_SHAPE + g for g in TEXT_GIVEAWAYS]] = 0
+    y = np.full(2 * SIDE + 3, O, np.uint8)
+    y[: hi - lo] = tags[lo:hi]
+    return hi - lo, x, y
+
+
+def windows_of(text: str):
+    """Stretches of a text to learn from: (mark, found, words, features, tags)."""
+    words = split_words(text)
+    spans = base_spans(text)
+    tags = gold_tags(words, spans)
+    mark = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+    extra = text_features(text)
+    at = mark % len(words)
+    yield mark, False, *window(words, tags, at, extra, False)
+    for k, i in enumerate(np.flatnonzero(tags == B)[:4]):
+        yield mark + 7919 * int(i), True, *window(words, tags, int(i), extra, bool((mark >> k) & 1))
+    # a stretch without finds, into which values and look-alikes are put
+    lo, hi = max(0, at - 8), min(len(words), at + 9)
+    if (tags[lo:hi] == O).all():
+        around, middle = words[lo:hi], at - lo
+        for k, v in enumerate(w for value in _values(text, spans)[:1] for w in respelled(value)):
+            yield mark + 15485863 * (k + 1), True, *window(around[:middle] + [v] + around[middle:], [O] * middle + [B] + [O] * (len(around) - middle), middle, extra * 0, True)
+        others = look_alikes(words, mark)
+        for k in range(2):
+            w = others[(mark >> 5 * k) % len(others)]
+            yield mark + 32452843 * (k + 1), False, *window(around[:middle] + [w] + around[middle:], [O] * (len(around) + 1), middle, extra, bool(k))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, skip: str | None = None) -> TaggingModel | None:
     """Learns from about ``sample`` rows drawn by a hash, of which at most ``windows`` stretches of words reach the driver.
 
-    A stretch is a base find with SIDE words on either side, or as many words around one drawn by a hash. None without
-    any base find in the sample: nothing is added then.
+    Half of the stretches, at most, have a secret; each half is drawn by hash. ``skip`` leaves out texts with base finds
+    of that kind, to measure how the model does on what it hasn't seen. None without any base find in the sample: nothing
+    is added then.
     """
     total = docs.count()
     rate = min(1.0, sample / max(1, total))
@@ -263,29 +336,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Tagg
         for b in batches:
             out = {"order": [], "found": [], "n": [], "x": [], "y": []}
             for text in b.column("text").to_pylist():
-                words = split_words(text)
-                tags = gold_tags(words, base_spans(text))
-                mark = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
-                extra = text_features(text)
-                centres = [(int(i), True) for i in np.flatnonzero(tags == B)[:4]] + [(mark % len(words), False)]
-                for i, found in centres:
-                    lo, hi = max(0, i - SIDE), min(len(words), i + SIDE + 3)
-                    near = [shape(w) for w in words[max(0, lo - 2) : hi + 1]]
-                    get = lambda k, lo=lo, near=near: near[k - max(0, lo - 2)] if max(0, lo - 2) <= k < max(0, lo - 2) + len(near) else np.zeros(N_SHAPE, np.float32)
-                    x = np.zeros((size, N_FEATURES), np.uint8)
-                    for k in range(lo, hi):
-                        x[k - lo] = np.concatenate([get(k), get(k - 1), get(k - 2), get(k + 1), extra])
-                    y = np.full(size, O, np.uint8)
-                    y[: hi - lo] = tags[lo:hi]
-                    out["order"].append((mark + 7919 * i) & (1 << 53) - 1)
-                    out["found"].append(found)
-                    out["n"].append(hi - lo)
-                    out["x"].append(np.packbits(x).tobytes())
-                    out["y"].append(y.tobytes())
+                if skip is not None and any(KINDS[k] == skip for _, k, _ in base_spans(text)):
+                    continue
+                for mark, found, n, x, y in windows_of(text):
+                    for c, v in zip(out, (mark & (1 << 53) - 1, found, n, np.packbits(x).tobytes(), y.tobytes()), strict=True):
+                        out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("order", pa.int64()), ("found", pa.bool_()), ("n", pa.int32()), ("x", pa.binary()), ("y", pa.binary())]))
 
-    got = drawn.mapInArrow(cut, "order long, found boolean, n int, x binary, y binary")
-    rows = got.orderBy(F.desc("found"), "order", "n").limit(windows).toArrow().to_pylist() if windows else []
+    got = saved(drawn.mapInArrow(cut, "order long, found boolean, n int, x binary, y binary"), "stretches")
+    half = lambda cond: got.where(cond).orderBy("order", "n", "x").limit(windows // 2)
+    rows = half("found").union(half("NOT found")).toArrow().to_pylist() if windows else []
     if not any(r["found"] for r in rows):
         return None
     width = size * N_FEATURES

@@ -97,3 +97,34 @@ def test_without_finds_and_edge_rows(spark):
     assert red[3].text == "<secret> and Secret: 'abc' <secret>\""
     assert red[None].text == "<secret>"
     assert secrets.find_secrets(df.limit(0), None).count() == 0
+
+
+def test_model_finds_what_no_pattern_does(spark):
+    """Learns from hexadecimal tokens alone; random values of other alphabets are found, look-alikes are left alone."""
+    import random
+    import string
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("etaoinshrdlu", k=rnd.randint(2, 9)))
+    prose = lambda n: [word() for _ in range(n)]
+    rows = []
+    for i in range(600):
+        w = prose(60)
+        if i % 2:
+            w.insert(rnd.randrange(20), 'token = "' + "".join(rnd.choices("0123456789abcdef", k=40)) + '"')
+        rows.append((i, " ".join(w)))
+    model = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    scanner = secrets.Scanner(model)
+
+    def flagged(value):
+        w = prose(60)
+        k = rnd.randrange(60)
+        text = " ".join(w[:k] + [value] + w[k:])
+        at = len(" ".join(w[:k])) + (k > 0)
+        return any(s < at + len(value) and e > at for s, _, e in scanner.added(text, secrets.base_spans(text)))
+
+    letters = string.ascii_letters + string.digits
+    assert sum(flagged("".join(rnd.choices(letters, k=32))) for _ in range(100)) >= 90
+    assert sum(flagged("".join(rnd.choices(string.ascii_uppercase + string.digits, k=28))) for _ in range(100)) >= 80
+    assert sum(flagged(v) for i in range(10) for v in secrets.look_alikes(prose(30), rnd.getrandbits(56))) <= 8
+    assert sum(len(scanner.added(" ".join(prose(80)), [])) for _ in range(100)) == 0
