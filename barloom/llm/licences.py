@@ -19,7 +19,8 @@ SPELLINGS = [
     ("authoris", "authoriz"), ("organis", "organiz"), ("recognis", "recogniz"), ("favour", "favor"), ("whilst", "while"), ("per cent", "percent"),
     ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("https", "http"), ("version 2 0", "version 2"), ("version 3 0", "version 3"),
 ]
-COPYRIGHT_LINE = r"(?m)^[ \t\r]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A statement: with a mark, a year, a placeholder or "by"; not a clause's line that happens to begin with the word.
+COPYRIGHT_LINE = r"(?m)^[ \t\r]*(?:copyright(?:[ \t:,]*(?:\(c\)|©|by |[\[<{])|[^\n]*(?:19|20)[0-9][0-9])|\(c\)[ \t]*(?:copyright|by |(?:19|20)[0-9][0-9])|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 #: What may stand before a line: bullets and comment signs, and then a number or letter of a list.
 BULLET = r"(?m)^[ \t\r*•#/;+-]+"

@@ -46,6 +46,21 @@ def test_titles_markers_and_catalogues(spark):
     assert {r.doc_id: r.license_id for r in licences.scan_licences(few, own).collect()} == {1: "Own-1", 2: "Own-1", 3: None, 4: None, 5: "Own-2"}
 
 
+def test_wrapped_lines_ties_and_very_long_texts(spark):
+    mit = licences.LICENCES["MIT"]
+    words = mit.split()
+    at = words.index("COPYRIGHT")
+    wrapped = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + " ".join(words[:at]) + "\n" + " ".join(words[at:])  # a line begins with COPYRIGHT HOLDERS
+    years = "Copyright 2019-2021, Some Body <a@b.c>\n(c) 2001 Other\n(C) Copyright Third\nAll rights reserved.\n" + mit
+    lettered = "(c) You must do so\n" + mit  # no statement
+    long = "word " * 300_000
+    catalogue = spark.createDataFrame([("B", "Do as you like"), ("A", "do as YOU like."), ("Long", long)], "license_id string, text string")
+    df = spark.createDataFrame([(1, wrapped), (2, years), (3, lettered), (4, long), (5, long + "x")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licences.scan_licences(df).collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None}
+    df = df.union(spark.createDataFrame([(6, "DO AS YOU LIKE!")], df.schema))
+    assert {r.doc_id: r.license_id for r in licences.scan_licences(df, catalogue).collect()} == {1: None, 2: None, 3: None, 4: "Long", 5: None, 6: "A"}
+
+
 SYLLABLES = {"aa": ["the", "an", "ing", "of"], "bb": ["ñor", "que", "la", "ción"], "cc": ["sch", "und", "ß", "ein"]}
 
 
