@@ -58,6 +58,11 @@ def is_risky(name: Column) -> Column:
     return F.upper(F.coalesce(name, F.lit(""))).rlike("ST|退")
 
 
+def is_specially_treated(name: Column) -> Column:
+    """By its name; a missing name passes."""
+    return F.contains(F.upper(F.coalesce(name, F.lit(""))), F.lit("ST"))
+
+
 def industry_or_none(industry: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(industry), F.lit("")), F.lit(NO_INDUSTRY))
 

@@ -105,3 +105,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             c = c.cast("long")
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+def with_date_median(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the median of a column over all rows of the date.
+
+    Only (date, value) pairs are shuffled by date; the medians come back by broadcast, as there is one a date, whatever the
+    number of instruments, so rows stay where the windows on the instrument have put them."""
+    medians = rows.groupBy("trade_date").agg(F.median(value).alias(name))
+    return rows.join(F.broadcast(medians), "trade_date", "left").select(*rows.columns, name)

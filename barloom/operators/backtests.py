@@ -39,10 +39,11 @@ def with_stop_trades(rows: DataFrame, hold: int = 4) -> DataFrame:
 
 def with_baseline(rows: DataFrame, signal: Column) -> DataFrame:
     """Signal rows (cohort signal) and every row on their dates (cohort baseline)."""
-    own = rows.withColumn("_signal", signal)
+    own = rows.withColumn("_signal", F.coalesce(signal, F.lit(False)))
+    # one a date, whatever the number of instruments
     dates = own.where("_signal").select("trade_date").distinct()
-    base = own.join(F.broadcast(dates), "trade_date", "left_semi").withColumn("cohort", F.lit("baseline"))
-    return own.where("_signal").withColumn("cohort", F.lit("signal")).unionByName(base).drop("_signal")
+    cohorts = F.when(F.col("_signal"), F.array(F.lit("signal"), F.lit("baseline"))).otherwise(F.array(F.lit("baseline")))
+    return own.join(F.broadcast(dates), "trade_date").select(*rows.columns, F.explode(cohorts).alias("cohort"))
 
 
 def cohort_stats(rows: DataFrame, returns: list[str], by: list[str], days: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import canonical_code, industry_or_none
 
-#: Column names that hold codes and names.
-CODE_NAMES, NAME_NAMES = ("ts_code", "stock_code", "code", "symbol", "代码", "股票代码"), ("name", "stock_name", "名称", "股票名称")
-PREFERRED = ("trade_date", "signal_date", "ts_code", "stock_code", "name", "industry", "close")
+#: Column names that hold codes and names, without blanks, dots and dashes and in lower case; others are passed.
+CODE_NAMES = ("tscode", "code", "symbol", "seccode", "securitycode", "ticker", "代码", "证券代码")
+NAME_NAMES = ("name", "shortname", "securityname", "名称", "简称", "证券名称", "证券简称")
+PREFERRED = ("source_file", "ts_code", "code", "证券代码", "name", "证券简称", "trade_date", "date", "industry", "close")
+EXCHANGES = ("SH", "SZ", "BJ")
 
 
 def combine(signals: DataFrame, predictions: DataFrame, code: str = "ts_code") -> DataFrame:
@@ -40,25 +43,48 @@ def distinct_codes(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, (f.select("ts_code") for f in frames)).where("ts_code IS NOT NULL").distinct()
 
 
+def plain_name(column: str) -> str:
+    return re.sub(r"[\s_\-.]+", "", column.strip().lower())
+
+
+def is_code_like(text: str) -> bool:
+    """Six digits, with or without an exchange."""
+    return re.fullmatch(rf"\d{{6}}(\.({'|'.join(EXCHANGES)}))?", text.strip().upper()) is not None
+
+
 def code_variants(text: str) -> list[str]:
+    """A code as it is; without its exchange, if it has one; with each of them, if it is six digits."""
     t = text.strip().upper()
-    return sorted({t, t.split(".")[0]})
+    bare = [f"{t}.{x}" for x in EXCHANGES] if re.fullmatch(r"\d{6}", t) else []
+    return sorted({t, t.split(".")[0], *bare})
 
 
-def search(rows: DataFrame, text: str) -> DataFrame:
-    """Rows whose code is the text, with or without its suffix, or whose name has it in any case; over all columns if
-    none is a code or a name."""
-    codes, names = ([c for c in rows.columns if c.lower() in known] for known in (CODE_NAMES, NAME_NAMES))
-    if not codes and not names:
-        names = rows.columns
+def search(rows: DataFrame, text: str, code_names: tuple[str, ...] = CODE_NAMES, name_names: tuple[str, ...] = NAME_NAMES, all_columns: bool = False) -> DataFrame:
+    """Rows in which the text is found in a column of codes or names, or in any column if there is none or all are asked for.
+
+    A text that looks like a code is compared with codes, with or without their exchange; otherwise, and in columns of other
+    kinds, any value that has the text in it, in any case, is a hit. Column names are compared without blanks, dots, dashes
+    and case. Nulls never match."""
+    codes, names = ([c for c in rows.columns if plain_name(c) in {plain_name(x) for x in known}] for known in (code_names, name_names))
+    targets = list(dict.fromkeys([*codes, *names]))
+    if all_columns or not targets:
+        targets = rows.columns
     tests: list[Column] = []
-    for c in codes:
-        v = F.upper(F.trim(F.col(c).cast("string")))
-        tests += [v.isin(code_variants(text)), F.split_part(v, F.lit("."), F.lit(1)).isin(code_variants(text))]
-    tests += [F.lower(F.col(c).cast("string")).contains(text.strip().lower()) for c in names]
-    return rows.where(F.coalesce(reduce(lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)), tests), F.lit(False)))
+    for c in targets:
+        v = F.trim(F.col(f"`{c}`").cast("string"))
+        if c in codes and is_code_like(text):
+            tests += [F.upper(v).isin(code_variants(text)), F.split_part(F.upper(v), F.lit("."), F.lit(1)).isin(code_variants(text))]
+        else:
+            tests.append(F.contains(F.lower(v), F.lit(text.lower())))
+    return rows.where(reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests)))
+
+
+def dated_rows(frames: dict[str, DataFrame], date: str = "trade_date") -> DataFrame:
+    """All rows of several tables as one that can be searched: source, signal_date and the columns of all, null where absent."""
+    own = [f.select(F.lit(name).alias("source"), F.col(date).alias("signal_date"), *(c for c in f.columns if c != date)) for name, f in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
 
 
-def ordered_columns(rows: DataFrame) -> DataFrame:
-    first = [c for c in PREFERRED if c in rows.columns]
+def ordered_columns(rows: DataFrame, preferred: tuple[str, ...] = PREFERRED) -> DataFrame:
+    first = [c for c in preferred if c in rows.columns]
     return rows.select(*first, *(c for c in rows.columns if c not in first))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import by_date, series, after, before, crosses_above, crosses_below, holds, rolling_max, rolling_mean, rolling_min, rolling_std, rolling_sum
+from ..functions.exprs import after, before, crosses_above, crosses_below, holds, rolling_max, rolling_mean, rolling_min, rolling_std, rolling_sum, series, with_date_median
 
 #: Periods and seeds.
 KDJ_PERIOD, KDJ_SEED = 9, 50.0
@@ -127,7 +127,7 @@ def reversal_features(bars: DataFrame) -> DataFrame:
     step = F.lit(1.0) + F.greatest(F.coalesce(F.col("pct_chg") / 100, F.lit(0.0)), F.lit(-0.95))
     out = bars.withColumn("_step", step).withColumn("idx", F.product("_step").over(series().rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
     out = out.withColumns({"idx_open": F.col("idx") * F.col("open") / F.col("close"), "amount20": rolling_mean("amount", 20), "formation": F.try_divide(before("idx", 5), before("idx", 65)) - 1, "ret20": F.try_divide(F.col("idx"), before("idx", 20)) - 1})
-    return out.withColumn("median20", F.median("ret20").over(by_date()))
+    return with_date_median(out, "ret20", "median20")
 
 
 #: Thresholds of the breakout and trend screens.

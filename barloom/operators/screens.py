@@ -32,7 +32,8 @@ def is_b2() -> Column:
 
 
 def gap_pct() -> Column:
-    return (F.col("bull_bear") / F.col("trend_short") - 1) * 100
+    """How far the short line lies below the long one, in percent of the long one."""
+    return (F.col("bull_bear") - F.col("trend_short")) / F.col("bull_bear") * 100
 
 
 def b1_hits(rows: DataFrame, instruments: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def b1_hits(rows: DataFrame, instruments: DataFrame, calendar: DataFrame) -> Dat
     w = Window.partitionBy("ts_code").orderBy("trade_date")
     near = F.datediff("trade_date", F.lag("trade_date").over(w)) <= HISTORY_DAYS
     own = own.withColumns({"last_signal": F.when(near, F.lag("trade_date").over(w)), "days_since": F.when(near, F.col("trade_index") - F.lag("trade_index").over(w))})
-    own = own.join(F.broadcast(instruments.select("ts_code", "name", "industry")), "ts_code", "left").withColumn("industry", F.coalesce("industry", F.lit("(unknown)")))
+    own = own.join(instruments.select("ts_code", "name", "industry"), "ts_code", "left").withColumn("industry", F.coalesce("industry", F.lit("(unknown)")))
     group = Window.partitionBy("trade_date", "industry")
     own = own.withColumns({"_n": F.count("*").over(group), "_j": F.avg("j").over(group)})
     order = Window.partitionBy("trade_date").orderBy(F.desc("_n"), "_j", "industry", "j", "ts_code")
@@ -95,9 +96,52 @@ def annotate_pit(hits: DataFrame, pit: DataFrame, calendar: DataFrame) -> DataFr
 
 def recommend(rows: DataFrame, score: Column, reasons: list[Column], instruments: DataFrame, sectors: DataFrame | None = None, n: int = RECOMMENDED) -> DataFrame:
     """The best n of each date by score, amount and code, without risky names, with their reasons as one text."""
-    out = rows.join(F.broadcast(instruments.select("ts_code", "name", "industry")), "ts_code", "left").where(~is_risky(F.col("name")))
+    out = rows.join(instruments.select("ts_code", "name", "industry"), "ts_code", "left").where(~is_risky(F.col("name")))
     if sectors is not None:
         out = out.join(sectors.select("trade_date", "industry", F.col("score").alias("_s"), F.col("rank").alias("_k")), ["trade_date", "industry"], "left")
         out = out.withColumns({"sector_score": F.coalesce("_s", F.lit(0.0)), "sector_rank": F.coalesce("_k", F.lit(999))}).drop("_s", "_k")
     out = out.withColumns({"score": score, "reasons": F.array_join(F.array_compact(F.array(*reasons)), "; ")})
     return top_by_date(out, F.desc("score"), F.desc("amount"), n=n)
+
+
+#: Limits of the recommendations, and the sector ranks that add to a score.
+CROSS_AMOUNT, CROSS_CHANGE, CROSS_EXTENSION = 50_000, (-5, 8), (0, 12)
+GAP_LIMITS, GAP_CHANGE, LEAST_LIQUIDITY, LEADING = (3, 12), (0, 5), 1.0, 10
+
+
+def _score(x: Column) -> Column:
+    """To six digits, so that the last bits of a sum decide no order."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
+def _leading() -> Column:
+    return F.when(F.col("sector_rank") <= LEADING, 1.0).otherwise(0.0)
+
+
+def _sector_reason() -> Column:
+    return F.when(F.col("sector_rank") <= LEADING, F.concat(F.lit("sector rank "), F.col("sector_rank").cast("string")))
+
+
+def recommend_cross(rows: DataFrame, instruments: DataFrame, sectors: DataFrame, least_amount: float = CROSS_AMOUNT, change: tuple = CROSS_CHANGE, extension: tuple = CROSS_EXTENSION) -> DataFrame:
+    """Of rows with ``golden``, those liquid, not too far up and not too far over the long average."""
+    ext, liquidity = (F.col("close") / F.col("ma60") - 1) * 100, F.col("amount") / 100_000
+    own = rows.where(F.col("golden") & (F.col("amount") >= least_amount) & F.col("pct_chg").between(*change) & ext.between(*extension))
+    score = 50 * F.col("sector_score") + 18 * _leading() + 1.5 * F.least(liquidity, F.lit(12.0)) - 1.2 * F.abs(ext - 3) - 2 * F.greatest(F.col("pct_chg") - 5, F.lit(0.0))
+    return recommend(own, _score(score), [F.lit("moving averages crossed"), _sector_reason()], instruments, sectors)
+
+
+def recommend_b1(rows: DataFrame, instruments: DataFrame, sectors: DataFrame, least_liquidity: float = LEAST_LIQUIDITY) -> DataFrame:
+    """Of the B1 screen's hits, those liquid whose volume is below its mean but not nil."""
+    liquidity, ratio = F.col("amount") / 100_000, F.col("vol_ratio")
+    own = rows.where(is_b1() & (ratio > 0) & (ratio < 1) & (liquidity >= least_liquidity) & (F.col("j") < J_BELOW))
+    score = F.greatest(J_BELOW - F.col("j"), F.lit(0.0)) + 10 * F.greatest(1 - ratio, F.lit(0.0)) + 0.5 * F.least(liquidity, F.lit(10.0)) + 5 * _leading()
+    return recommend(own, _score(score), [F.lit("oversold"), F.lit("volume below its mean"), F.lit("close above the long lines"), _sector_reason()], instruments, sectors)
+
+
+def recommend_b2(rows: DataFrame, instruments: DataFrame, sectors: DataFrame, gap: tuple = GAP_LIMITS, least_liquidity: float = LEAST_LIQUIDITY, change: tuple = GAP_CHANGE) -> DataFrame:
+    """Of the B2 screen's hits, those with a moderate gap that are liquid and have begun to rise."""
+    liquidity = F.col("amount") / 100_000
+    own = rows.where(is_b2()).withColumn("gap_pct", gap_pct())
+    own = own.where(F.col("gap_pct").between(*gap) & (liquidity >= least_liquidity) & F.col("pct_chg").between(*change))
+    score = 18 - F.abs(F.col("gap_pct") - 6) + F.least(liquidity, F.lit(10.0)) + 5 * _leading()
+    return recommend(own, _score(score), [F.lit("short line below the long one"), F.lit("rising today"), _sector_reason()], instruments, sectors)

@@ -19,7 +19,7 @@ def factors(bars: DataFrame, instruments: DataFrame, calendar: DataFrame) -> Dat
     A window's return takes in instruments that traded within it but not on its last date: each bar is dealt to the end
     dates that it can serve, a fixed number, and all windows are aggregated in one pass with map-side combination.
     """
-    own = bars.join(F.broadcast(instruments.select("ts_code", "industry")), "ts_code").where("industry IS NOT NULL AND industry NOT IN ('None', '')").join(F.broadcast(calendar), "trade_date")
+    own = bars.join(instruments.select("ts_code", "industry"), "ts_code").where("industry IS NOT NULL AND industry NOT IN ('None', '')").join(F.broadcast(calendar), "trade_date")
     longest, last = max(WINDOWS), calendar.agg(F.max("trade_index").alias("_last"))
     served = own.where("close IS NOT NULL").select("ts_code", "industry", "trade_index", "close").join(F.broadcast(last))
     served = served.withColumn("end", F.explode(F.sequence(F.col("trade_index"), F.least(F.col("trade_index") + longest - 1, F.col("_last")))))
@@ -66,7 +66,7 @@ def rank(factor_rows: DataFrame, least_members: int = LEAST_MEMBERS) -> DataFram
 
 def leaders(bars: DataFrame, instruments: DataFrame, calendar: DataFrame, n: int = 5) -> DataFrame:
     """Per date and industry, the best returns over five intervals of the calendar."""
-    own = bars.join(F.broadcast(instruments.select("ts_code", "name", "industry")), "ts_code").where("industry IS NOT NULL").join(F.broadcast(calendar), "trade_date").select("ts_code", "name", "industry", "trade_date", "trade_index", "close")
+    own = bars.join(instruments.select("ts_code", "name", "industry"), "ts_code").where("industry IS NOT NULL").join(F.broadcast(calendar), "trade_date").select("ts_code", "name", "industry", "trade_date", "trade_index", "close")
     past = own.select("ts_code", (F.col("trade_index") + 5).alias("trade_index"), F.col("close").alias("_first"))
     both = own.join(past, ["ts_code", "trade_index"]).withColumn("ret_5d", F.try_divide("close", "_first") - 1)
     w = Window.partitionBy("trade_date", "industry").orderBy(F.desc("ret_5d"), "ts_code")
@@ -121,7 +121,7 @@ def rank_boards(members: DataFrame, bars: DataFrame) -> DataFrame:
 def limit_up_counts(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int = 10) -> DataFrame:
     """Leading boards with their members' limit-ups; null if no member has prices that day."""
     listed = boards.where(F.col("rank") <= top).select("trade_date", "concept_code", "rank")
-    m = listed.join(members.select("trade_date", "concept_code", "ts_code"), ["trade_date", "concept_code"]).join(F.broadcast(instruments.select("ts_code", "name")), "ts_code", "left").join(bars.select("trade_date", "ts_code", "pre_close", "close"), ["trade_date", "ts_code"], "left")
+    m = listed.join(members.select("trade_date", "concept_code", "ts_code"), ["trade_date", "concept_code"]).join(instruments.select("ts_code", "name"), "ts_code", "left").join(bars.select("trade_date", "ts_code", "pre_close", "close"), ["trade_date", "ts_code"], "left")
     up = is_limit_up(F.col("ts_code"), F.col("name"), F.col("trade_date"), F.col("pre_close"), F.col("close"))
     priced = F.count(F.when(F.col("close").isNotNull() & F.col("pre_close").isNotNull(), 1))
     return m.groupBy("trade_date", "concept_code", "rank").agg(F.count("*").alias("members"), F.when(priced > 0, F.sum(F.when(up, 1).otherwise(0))).alias("limit_ups"))
@@ -138,7 +138,7 @@ def focus(boards: DataFrame, members: DataFrame, bars: DataFrame, top: int = 10,
 
 def industry_trends(hits: DataFrame, instruments: DataFrame) -> DataFrame:
     """Hits by date and industry on a dense grid, with the change against the date before, first sight, new and removed."""
-    own = hits.join(F.broadcast(instruments.select("ts_code", "industry")), "ts_code", "left").withColumn("industry", F.coalesce(F.nullif(F.trim("industry"), F.lit("")), F.lit(NO_INDUSTRY)))
+    own = hits.join(instruments.select("ts_code", "industry"), "ts_code", "left").withColumn("industry", F.coalesce(F.nullif(F.trim("industry"), F.lit("")), F.lit(NO_INDUSTRY)))
     n = own.groupBy("trade_date", "industry").agg(F.count("*").alias("n"))
     grid = n.select("trade_date").distinct().crossJoin(F.broadcast(n.select("industry").distinct()))  # two small dimensions
     w = Window.partitionBy("industry").orderBy("trade_date")

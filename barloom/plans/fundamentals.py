@@ -67,3 +67,11 @@ t AS (SELECT *, floor((quality * 0.65 + value * 0.35) * 100 * 1e6 + 0.5) / 1e6 A
 SELECT ts_code, {d()}, {r('pe')}, {r('pb')}, {r('quality')}, {r('value')}, {r('score')}, row_number() OVER (PARTITION BY t.trade_date ORDER BY score DESC, amount20 DESC, ts_code) AS position FROM t QUALIFY position <= 20"""))
 def value_quality(spark, sf_dir):
     return rounded(fun.value_quality(_snapshots(spark, sf_dir), _LIMITS).select("ts_code", "trade_date", "pe", "pb", "quality", "value", "score", "position"))
+
+
+@query(with_(["reports"], f"SELECT {d('report_date')} FROM (SELECT report_date, max(announcement_date + (hash_day % 400)::INT) AS fetched_at FROM (SELECT *, length(ts_code) * year(report_date) AS hash_day FROM reports) GROUP BY report_date) t WHERE datediff('day', fetched_at, DATE '2000-01-01') >= 7"))
+def stale_reports(spark, sf_dir):
+    """Report years whose last fetch is a week or more ago on 2000-01-01."""
+    reports = panel.fundamentals(spark, sf_dir)
+    fetched = reports.select("report_date", F.date_add("announcement_date", (F.length("ts_code") * F.year("report_date") % 400).cast("int")).alias("fetched_at"))
+    return rounded(fun.stale_years(fetched, "2000-01-01"))

@@ -40,7 +40,7 @@ _PROB = f"1 / (1 + exp(-greatest(-35, least(35, {_FIXED.weights[0]!r} + {' + '.j
 
 
 @query(with_(["nd", "b1", "instruments"], f"""SELECT ts_code, {d()}, name, {r('prob_up')}, row_number() OVER (PARTITION BY t.trade_date ORDER BY floor(prob_up * 1e6 + 0.5) DESC, ts_code) AS prediction_rank FROM (
-  SELECT nd.*, name, {_PROB} AS prob_up FROM nd SEMI JOIN (SELECT * FROM b1 WHERE b1) h USING (ts_code, trade_date) LEFT JOIN instruments USING (ts_code) WHERE {_KNOWN} AND amount >= 20000 AND NOT regexp_matches(upper(coalesce(name, '')), 'ST|退')) t"""))
+  SELECT nd.*, name, {_PROB} AS prob_up FROM nd SEMI JOIN (SELECT * FROM b1 WHERE b1) h USING (ts_code, trade_date) LEFT JOIN instruments USING (ts_code) WHERE {_KNOWN} AND amount >= 20000 AND NOT contains(upper(coalesce(name, '')), 'ST')) t"""))
 def next_day_score(spark, sf_dir):
     """Given weights over the instruments that the B1 screen hits."""
     pool = frames.wide(spark, sf_dir).where(screens.is_b1()).select("trade_date", "ts_code")

@@ -45,14 +45,13 @@ def b1_industry_dist(spark, sf_dir):
     return rounded(screens.industry_distribution(frames.wide(spark, sf_dir).where(screens.is_b1()).join(own, "ts_code", "left")))
 
 
-@query(with_(["b1", "instruments"], f"""SELECT {CODE}, name, industry, {r('bull_bear / trend_short - 1', 'gap')}, row_number() OVER (PARTITION BY b1.trade_date ORDER BY floor((bull_bear / trend_short - 1) * 1e6 + 0.5) DESC, ts_code) AS position
+@query(with_(["b1", "instruments"], f"""SELECT {CODE}, name, industry, {r('(bull_bear - trend_short) / bull_bear', 'gap')}, row_number() OVER (PARTITION BY b1.trade_date ORDER BY floor((bull_bear - trend_short) / bull_bear * 1e6 + 0.5) DESC, ts_code) AS position
   FROM b1 LEFT JOIN instruments USING (ts_code) WHERE trend_short < bull_bear AND bull_bear > 0"""))
 def b2_screen(spark, sf_dir):
     hits = frames.wide(spark, sf_dir).where(screens.is_b2()).withColumn("gap", screens.gap_pct() / 100)
     # ordered by the rounded gap, so that the last bits of a sum decide nothing
-    hits = screens.top_by_date(hits.withColumn("_g", F.floor((F.col("bull_bear") / F.col("trend_short") - 1) * 1e6 + 0.5)), F.desc("_g"), n=1 << 30)
-    names = F.broadcast(panel.instruments(spark, sf_dir).select("ts_code", "name", "industry"))
-    return rounded(hits.join(names, "ts_code", "left").select("ts_code", "trade_date", "name", "industry", (F.col("bull_bear") / F.col("trend_short") - 1).alias("gap"), "position"))
+    hits = screens.top_by_date(hits.withColumn("_g", F.floor(F.col("gap") * 1e6 + 0.5)), F.desc("_g"), n=1 << 30)
+    return rounded(hits.join(panel.instruments(spark, sf_dir).select("ts_code", "name", "industry"), "ts_code", "left").select("ts_code", "trade_date", "name", "industry", "gap", "position"))
 
 
 @query(with_(["losers"], f"""SELECT {CODE}, {r('formation')}, {r('amount20')}, {r('share')}, coalesce(median20 > 0, false) AS open_regime,
@@ -86,39 +85,42 @@ def _top(score: str, extra: str, source: str) -> str:
     return f"SELECT {CODE}, name, {r('score')}, {extra}, position FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, amount DESC, ts_code) AS position FROM (SELECT *, floor(({score}) * 1e6 + 0.5) / 1e6 AS score FROM {source} LEFT JOIN instruments USING (ts_code) WHERE {_OK})) WHERE position <= 8"
 
 
-_XS = f"(SELECT *, coalesce(s.score0, 0) AS ss, coalesce(s.rank0, 999) AS sr FROM (SELECT b1.*, i.industry AS ind, (close / ma60 - 1) * 100 AS ext, amount / 100000 AS liq FROM b1 JOIN gold g USING (ts_code, trade_date) LEFT JOIN instruments i USING (ts_code) WHERE g.golden AND amount >= 50000 AND pct_chg BETWEEN -50 AND 80 AND (close / ma60 - 1) * 100 BETWEEN 0 AND 300) x LEFT JOIN (SELECT trade_date AS td, industry AS i2, score AS score0, rank AS rank0 FROM ranked) s ON s.td = x.trade_date AND s.i2 = x.ind)"
+def _ranked(source: str) -> str:
+    """Rows with the score and rank of their industry on the date."""
+    return f"(SELECT *, coalesce(s.score0, 0) AS ss, coalesce(s.rank0, 999) AS sr FROM (SELECT w.*, i.industry AS ind, (close / ma60 - 1) * 100 AS ext, amount / 100000 AS liq FROM {source} w LEFT JOIN instruments i USING (ts_code)) x LEFT JOIN (SELECT trade_date AS td, industry AS i2, score AS score0, rank AS rank0 FROM ranked) s ON s.td = x.trade_date AND s.i2 = x.ind)"
 
 
-@query(with_(["b1", "gold", "instruments", "ranked"], _top("50 * ss + 18 * (sr <= 10)::INT + 1.5 * least(liq, 12) - 1.2 * abs(ext - 3) - 2 * greatest(pct_chg - 5, 0)", "sr::BIGINT AS sector_rank", _XS)))
+def _why(*reasons: str) -> str:
+    return f"concat_ws('; ', {', '.join(repr(x) for x in reasons)}, CASE WHEN sr <= 10 THEN 'sector rank ' || sr::BIGINT END) AS reasons"
+
+
+#: Wider limits than the defaults: this panel moves more than a market.
+_CHANGE_CROSS, _EXTENSION, _CHANGE_B2 = (-50, 80), (0, 300), (0, 500)
+
+
+@query(with_(["b1", "gold", "instruments", "ranked"], _top("50 * ss + 18 * (sr <= 10)::INT + 1.5 * least(liq, 12) - 1.2 * abs(ext - 3) - 2 * greatest(pct_chg - 5, 0)", "sr::BIGINT AS sector_rank, " + _why("moving averages crossed"), f"(SELECT * FROM {_ranked('(SELECT b1.* FROM b1 JOIN gold g USING (ts_code, trade_date) WHERE g.golden AND amount >= 50000 AND pct_chg BETWEEN -50 AND 80)')} WHERE ext BETWEEN 0 AND 300)")))
 def recommend_cross(spark, sf_dir):
     from . import sectors
 
     rows = ind.crosses(panel.bars(spark, sf_dir), 20, 60)
-    ext, liq = (F.col("close") / F.col("ma60") - 1) * 100, F.col("amount") / 100_000
-    # the extension and change limits are wider than the defaults: this panel moves more than a market
-    rows = rows.where(F.col("golden") & (F.col("amount") >= 50_000) & F.col("pct_chg").between(-50, 80) & ext.between(0, 300))
-    near = F.when(F.col("sector_rank") <= 10, 1).otherwise(0)
-    score = 50 * F.col("sector_score") + 18 * near + 1.5 * F.least(liq, F.lit(12.0)) - 1.2 * F.abs(ext - 3) - 2 * F.greatest(F.col("pct_chg") - 5, F.lit(0.0))
-    best = screens.recommend(rows, F.floor(score * 1e6 + 0.5) / 1e6, [F.when(near == 1, F.lit("leading sector")), F.lit("moving averages crossed")], panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir))
-    return rounded(best.select("ts_code", "trade_date", "name", "score", F.col("sector_rank").cast("long").alias("sector_rank"), "position"))
+    best = screens.recommend_cross(rows, panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir), change=_CHANGE_CROSS, extension=_EXTENSION)
+    return rounded(best.select("ts_code", "trade_date", "name", "score", F.col("sector_rank").cast("long").alias("sector_rank"), "reasons", "position"))
 
 
-@query(with_(["b1", "instruments"], _top("greatest(15 - j, 0) + 10 * (1 - vol_ratio) + 0.5 * least(amount / 100000, 10)", r("j"), "(SELECT * FROM b1 WHERE b1)")))
+@query(with_(["b1", "instruments", "ranked"], _top("greatest(15 - j, 0) + 10 * greatest(1 - vol_ratio, 0) + 0.5 * least(liq, 10) + 5 * (sr <= 10)::INT", f"{r('j')}, sr::BIGINT AS sector_rank, {_why('oversold', 'volume below its mean', 'close above the long lines')}", _ranked("(SELECT * FROM b1 WHERE b1 AND vol_ratio > 0 AND vol_ratio < 1 AND amount >= 100000)"))))
 def recommend_b1(spark, sf_dir):
-    rows = frames.wide(spark, sf_dir).where(screens.is_b1())
-    score = F.greatest(15 - F.col("j"), F.lit(0.0)) + 10 * (1 - F.col("vol_ratio")) + 0.5 * F.least(F.col("amount") / 100_000, F.lit(10.0))
-    best = screens.recommend(rows, F.floor(score * 1e6 + 0.5) / 1e6, [F.lit("pullback")], panel.instruments(spark, sf_dir))
-    return rounded(best.select("ts_code", "trade_date", "name", "score", "j", "position"))
+    from . import sectors
+
+    best = screens.recommend_b1(frames.wide(spark, sf_dir), panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir))
+    return rounded(best.select("ts_code", "trade_date", "name", "score", "j", F.col("sector_rank").cast("long").alias("sector_rank"), "reasons", "position"))
 
 
-@query(with_(["b1", "instruments"], _top("18 - abs((bull_bear / trend_short - 1) * 100 - 6) + least(amount / 100000, 10)", r("(bull_bear / trend_short - 1) * 100", "gap_pct"), "(SELECT * FROM b1 WHERE trend_short < bull_bear AND bull_bear > 0 AND (bull_bear / trend_short - 1) * 100 BETWEEN 3 AND 12 AND amount >= 100000 AND pct_chg BETWEEN 0 AND 500)")))
+@query(with_(["b1", "instruments", "ranked"], _top("18 - abs(gp - 6) + least(liq, 10) + 5 * (sr <= 10)::INT", f"{r('gp', 'gap_pct')}, sr::BIGINT AS sector_rank, {_why('short line below the long one', 'rising today')}", _ranked("(SELECT * FROM (SELECT *, (bull_bear - trend_short) / bull_bear * 100 AS gp FROM b1 WHERE trend_short < bull_bear AND bull_bear > 0) WHERE gp BETWEEN 3 AND 12 AND amount >= 100000 AND pct_chg BETWEEN 0 AND 500)"))))
 def recommend_b2(spark, sf_dir):
-    liq = F.col("amount") / 100_000
-    rows = frames.wide(spark, sf_dir).where(screens.is_b2()).withColumn("gap_pct", screens.gap_pct())
-    rows = rows.where(F.col("gap_pct").between(3, 12) & (liq >= 1) & F.col("pct_chg").between(0, 500))
-    score = 18 - F.abs(F.col("gap_pct") - 6) + F.least(liq, F.lit(10.0))
-    best = screens.recommend(rows, F.floor(score * 1e6 + 0.5) / 1e6, [F.lit("gap to the long line")], panel.instruments(spark, sf_dir))
-    return rounded(best.select("ts_code", "trade_date", "name", "score", "gap_pct", "position"))
+    from . import sectors
+
+    best = screens.recommend_b2(frames.wide(spark, sf_dir), panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir), change=_CHANGE_B2)
+    return rounded(best.select("ts_code", "trade_date", "name", "score", "gap_pct", F.col("sector_rank").cast("long").alias("sector_rank"), "reasons", "position"))
 
 
 def _list(strategy: str, score: str, order: str, source: str) -> str:

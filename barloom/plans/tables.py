@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -41,10 +43,24 @@ def code_resolve(spark, sf_dir):
     return rounded(codes.resolve_codes(_raw(spark, sf_dir), "raw", panel.instruments(spark, sf_dir)).select("p_partkey", "ts_code"))
 
 
-@query(with_(["bars", "instruments"], f"SELECT ts_code, {d()}, name FROM bars LEFT JOIN instruments USING (ts_code) WHERE ts_code = '300001.SZ' OR split_part(ts_code, '.', 1) = '300001' OR contains(lower(name), '300001')"))
+_NAMED = "SELECT ts_code, trade_date, name, industry FROM bars LEFT JOIN instruments USING (ts_code)"
+
+
+@query(with_(["bars", "instruments"], f"""SELECT 'six digits' AS layout, ts_code, {d()}, name FROM ({_NAMED}) t WHERE split_part(ts_code, '.', 1) = '300001' OR contains(lower(name), '300001')
+UNION ALL SELECT 'full code', ts_code, {d()}, name FROM ({_NAMED}) t WHERE split_part(ts_code, '.', 1) = '688002' OR contains(lower(name), '688002.sh')
+UNION ALL SELECT 'name', ts_code, {d()}, name FROM ({_NAMED}) t WHERE contains(lower(name), lower('#000000007')) OR contains(lower(ts_code), lower('#000000007'))
+UNION ALL SELECT 'any column', ts_code, {d()}, name FROM ({_NAMED}) t WHERE contains(lower(industry), 'fran') OR contains(lower(ts_code), 'fran') OR contains(lower(name), 'fran')"""))
 def search_rows(spark, sf_dir):
-    rows = tables.with_names(panel.bars(spark, sf_dir), panel.instruments(spark, sf_dir)).select("ts_code", "trade_date", "name")
-    return rounded(comb.search(rows, "300001"))
+    """A code without and with its exchange, a part of a name, and a text in any column, over tables of several layouts."""
+    rows = tables.with_names(panel.bars(spark, sf_dir), panel.instruments(spark, sf_dir)).select("ts_code", "trade_date", "name", "industry")
+    found = [
+        ("six digits", comb.search(rows, "300001")),
+        ("full code", comb.search(rows.toDF("Security-Code", "trade_date", "Short Name", "industry"), "688002.SH").toDF(*rows.columns)),
+        ("name", comb.search(rows, "#000000007")),
+        ("any column", comb.search(rows.select(F.col("ts_code").alias("a"), F.col("trade_date").alias("b"), F.col("name").alias("c"), F.col("industry").alias("d")), "FRAN").toDF(*rows.columns)),
+    ]
+    parts = [f.select(F.lit(n).alias("layout"), "ts_code", "trade_date", "name") for n, f in found]
+    return rounded(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y%m%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
@@ -58,12 +74,59 @@ def pending_dates(spark, sf_dir):
     return rounded(tables.pending_days(panel.bars(spark, sf_dir), "2001-12-31"))
 
 
-@query("SELECT event_id, 'k' AS key, (props::JSON ->> 'k')::DOUBLE AS value FROM events WHERE event_type = 'click' AND (props::JSON ->> 'k') IS NOT NULL")
+@query("SELECT event_id, key, TRY_CAST(props::JSON ->> key AS DOUBLE) AS value FROM (SELECT event_id, props, unnest(json_keys(props::JSON)) AS key FROM events)")
 def json_snapshot(spark, sf_dir):
     """Events' JSON text parsed to a map and exploded to rows, numbers read leniently."""
-    e = panel.table(spark, sf_dir, "events").where("event_type = 'click'")
-    out = e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "text"))
-    return rounded(out.select("event_id", "key", codes.lenient_number(F.col("text")).alias("value")).where("key = 'k'"))
+    out = panel.table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "text"))
+    return rounded(out.select("event_id", "key", codes.lenient_number(F.col("text")).alias("value")))
+
+
+@query("""SELECT user_id, event_id::VARCHAR AS key, event_type AS name, floor(value * 1e6 + 0.5) / 1e6 AS pct_chg, CASE WHEN event_id % 3 > 0 THEN event_id % 3 END::DOUBLE AS net_inflow
+FROM events WHERE event_type <> '' AND event_id % 5 <> 0 AND NOT starts_with(event_type, 'view')""")
+def page_snapshot(spark, sf_dir):
+    """Pages with a hidden input of a JSON object of objects, as a source lands them (built here, one a user), parsed to rows."""
+    e = panel.table(spark, sf_dir, "events")
+    item = F.struct(F.concat(F.lit(" "), "event_type").alias("name"), F.when(F.col("event_id") % 5 == 0, "--").otherwise(F.col("value").cast("string")).alias("pct_chg"), F.when(F.col("event_id") % 3 == 0, "").otherwise((F.col("event_id") % 3).cast("string")).alias("net_inflow"))
+    held = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string").alias("k"), item.alias("v")))).alias("m"))
+    pages = held.select("user_id", F.concat(F.lit("<html><input type='hidden' id='snap' value='"), F.regexp_replace(F.to_json("m"), '"', "&quot;"), F.lit("'></html>")).alias("html"))
+    out = tables.parse_snapshot(pages, "html", "snap", "name string, pct_chg string, net_inflow string", ("view",))
+    return rounded(out.select("user_id", "key", "name", "pct_chg", "net_inflow"))
+
+
+_DATED = "SELECT 'b1' AS source, trade_date AS signal_date, ts_code, close, NULL::DOUBLE AS var2z FROM b1 WHERE b1 UNION ALL SELECT 'pit', trade_date, ts_code, NULL, var2z FROM pit WHERE signal = 1 UNION ALL SELECT 'cross', trade_date, ts_code, close, NULL FROM b1 JOIN gold USING (ts_code, trade_date) WHERE golden"
+
+
+def _dated(spark, sf_dir):
+    bars = panel.bars(spark, sf_dir)
+    hits = ind.wide(bars).where(screens.is_b1()).select("ts_code", "trade_date", "close")
+    pit = ind.golden_pit(bars).where("signal = 1").select("ts_code", "trade_date", "var2z")
+    cross = ind.crosses(bars, 20, 60).where("golden").select("ts_code", "trade_date", "close")
+    return comb.dated_rows({"b1": hits, "pit": pit, "cross": cross})
+
+
+@query(with_(["b1", "pit", "gold"], f"SELECT source, {d('signal_date')}, ts_code, {r('close')}, {r('var2z')} FROM ({_DATED}) t"))
+def dated_index(spark, sf_dir):
+    """All dated lists as one table that can be searched."""
+    return rounded(_dated(spark, sf_dir).select("source", "signal_date", "ts_code", "close", "var2z"))
+
+
+@query(with_(["b1", "pit", "gold"], f"SELECT {d('signal_date')}, string_agg(DISTINCT source || '.csv', ',' ORDER BY source || '.csv') AS files, count(DISTINCT source) AS file_count, count(*) AS row_count, t.signal_date = max(t.signal_date) OVER () AS is_latest FROM ({_DATED}) t GROUP BY t.signal_date"))
+def dated_manifest(spark, sf_dir):
+    """Per date the files that hold its rows, their number and the rows."""
+    m = tables.manifest(_dated(spark, sf_dir).withColumn("source_file", F.concat("source", F.lit(".csv"))))
+    return rounded(m.withColumn("files", F.array_join("files", ",")))
+
+
+@query(with_(["b1"], f"SELECT 'b1' AS strategy, ts_code, {d()}, {r('close')}, count(*) OVER () AS n FROM b1 WHERE b1"))
+def signal_log(spark, sf_dir):
+    """The B1 screen's hits written to the signal log twice, then its history and count."""
+    path = f"{tables.shared_folder(spark).rstrip('/')}/barloom/signals-{uuid.uuid4().hex}"
+    hits = frames.wide(spark, sf_dir).where(screens.is_b1())
+    for at in ("2001-01-01 00:00:00", "2001-01-02 00:00:00"):
+        tables.persist_signals(hits, path, "b1", at)
+    log = spark.read.parquet(path)
+    history = tables.signal_history(log, "b1")
+    return rounded(history.join(F.broadcast(tables.signal_count(log, "b1"))).select("strategy", "ts_code", "trade_date", "close", "n"))
 
 
 @query(with_(["b1"], "SELECT ts_code, count(*) AS n, string_agg(strftime(trade_date, '%Y%m%d'), ',' ORDER BY trade_date) AS dates FROM b1 WHERE b1 GROUP BY ts_code"))
@@ -100,13 +163,13 @@ def cash_days(spark, sf_dir):
     return rounded(bt.cash_curve(panel.calendar(bars).join(F.broadcast(busy), "trade_date", "left_anti")))
 
 
-@query(with_(["b1", "pit", "members"], "SELECT ts_code FROM b1 WHERE b1 UNION SELECT ts_code FROM pit WHERE signal = 1 UNION SELECT ts_code FROM members WHERE concept_code = 'Brand#1'"))
+@query(with_(["b1", "pit", "members"], "SELECT ts_code FROM b1 WHERE b1 UNION SELECT ts_code FROM pit WHERE signal = 1 UNION SELECT ts_code FROM members"))
 def exported_codes(spark, sf_dir):
     """Distinct codes that any of three lists names."""
     bars = panel.bars(spark, sf_dir)
     hits = ind.wide(bars).where(screens.is_b1())
     pit = ind.golden_pit(bars).where("signal = 1")
-    return comb.distinct_codes(hits, pit, panel.concept_members(spark, sf_dir).where("concept_code = 'Brand#1'"))
+    return comb.distinct_codes(hits, pit, panel.concept_members(spark, sf_dir))
 
 
 @query(with_(["bars"], f"SELECT ts_code, {d()}, {r('CASE WHEN base > 0 THEN (close / base - 1) * 100 END', 'change_pct')} FROM (SELECT *, coalesce(CASE WHEN pre_close > 0 THEN pre_close END, lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date)) AS base FROM bars)"))

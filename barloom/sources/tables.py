@@ -22,7 +22,7 @@ def load_bars(spark: SparkSession, path: str, start=None, end=None, columns: lis
 
 
 def with_names(bars: DataFrame, instruments: DataFrame) -> DataFrame:
-    return bars.join(F.broadcast(instruments.select("ts_code", "name", "industry")), "ts_code", "left")
+    return bars.join(instruments.select("ts_code", "name", "industry"), "ts_code", "left")
 
 
 def file_day(path: Column) -> Column:
@@ -64,6 +64,14 @@ def last_write(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(order.desc_nulls_last()))).where("_r = 1").drop("_r")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. On a cluster it must be set: a local one would be another on each machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or "file:///tmp/checkpoints"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
@@ -85,7 +93,7 @@ def upsert(rows: DataFrame, path: str, key: list[str], partition: str, version:
         new = last_write(old.unionByName(new, allowMissingColumns=True), key, F.col(version))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(spark))
     new.checkpoint(eager=True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
@@ -105,6 +113,17 @@ def signal_history(log: DataFrame, strategy: str, ts_code: str | None = None, st
     return out.orderBy("trade_date", "ts_code")
 
 
+def persist_signals(hits: DataFrame, path: str, strategy: str, ingested) -> None:
+    """Logs a strategy's hits (ts_code, trade_date, close), one row for each; logged again, they are replaced."""
+    rows = hits.select(F.lit(strategy).alias("strategy"), "ts_code", "trade_date", "close", F.lit(ingested).cast("timestamp").alias("ingest_ts"))
+    upsert(rows.withColumn("trade_month", F.date_format("trade_date", "yyyy-MM")), path, ["strategy", "ts_code", "trade_date"], "trade_month")
+
+
+def signal_count(log: DataFrame, strategy: str, ts_code: str | None = None, start=None, end=None) -> DataFrame:
+    """How many signals signal_history() has for the same arguments, as one row."""
+    return signal_history(log, strategy, ts_code, start, end).agg(F.count("*").alias("n"))
+
+
 def write_screen(hits: DataFrame, path: str, digits: dict[str, int]) -> None:
     """A CSV folder for each date, with the columns in order and numbers rounded."""
     out = hits.select(*(F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in hits.columns))

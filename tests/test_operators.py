@@ -161,7 +161,7 @@ def test_codes_and_limits(spark):
 def test_search(spark):
     df = spark.createDataFrame([("600000.SH", "Alpha Bank", 1), ("000001.SZ", "Beta", 2), (None, None, 3)], "ts_code string, name string, i int")
     ids = lambda t: sorted(r.i for r in combine.search(df, t).collect())
-    assert ids("600000") == ids("600000.sh") == ids("alpha") == [1] and ids("a.k") == [] and ids("SZ") == []
+    assert ids("600000") == ids("600000.sh") == ids("alpha") == [1] and ids("a.k") == [] and ids("SZ") == [2]
     assert combine.search(df.select(F.col("i").alias("x"), F.lit("Q1").alias("y")), "q").count() == 3
 
 
@@ -246,3 +246,48 @@ def test_score_is_monotone_and_explains(spark):
     p = [r.prob_up for r in got]
     assert p == sorted(p) and p[1] == 0.5 and abs(p[3] - 1 / (1 + np.exp(-8))) < 1e-12
     assert got[3].reasons.startswith("ret_1d+") and got[0].reasons.startswith("ret_1d-")
+
+
+def test_search_layouts(spark):
+    df = spark.createDataFrame([("600001.SH", "Alpha ST", "x600001"), ("000002.SZ", None, "y"), ("600001", "beta", "z"), (None, "GAMMA", "600001.sh")], "`Security-Code` string, `Short Name` string, note string")
+    found = lambda *a, **k: sorted(r.note for r in combine.search(df, *a, **k).collect())
+    assert found("600001") == ["x600001", "z"] and found("600001.SH") == ["x600001", "z"] and found("600001.sz") == ["x600001", "z"]
+    assert found("60000") == ["x600001", "z"]  # not a code: a part of any code or name
+    assert found("alpha") == ["x600001"] and found("gamma") == ["600001.sh"]
+    assert found("y") == [] and found("y", all_columns=True) == ["y"]
+    assert found("600001", all_columns=True) == ["600001.sh", "x600001", "z"]
+    assert found("z", name_names=("note",)) == ["y", "z"]
+    assert combine.code_variants("600001") == ["600001", "600001.BJ", "600001.SH", "600001.SZ"] and combine.code_variants(" 1.sz ") == ["1", "1.SZ"]
+    odd = spark.createDataFrame([("v", "1", "2")], "value string, date string, ts_code string")
+    assert combine.ordered_columns(odd).columns == ["ts_code", "date", "value"]
+    assert combine.dated_rows({"a": odd, "b": odd.drop("value")}, "date").columns == ["source", "signal_date", "value", "ts_code"]
+
+
+RECOMMENDED = "ts_code string, trade_date string, close double, ma60 double, amount double, pct_chg double, golden boolean, vol_ratio double, j double, trend_short double, bull_bear double"
+
+
+def test_recommendations_by_default_limits(spark):
+    names = spark.createDataFrame([(c, n, i) for c, n, i in [("A", "a", "lead"), ("B", "b", "tail"), ("C", "*st c", "lead"), ("D", None, None), ("E", "e", "lead"), ("F", "f", "lead")]], "ts_code string, name string, industry string")
+    sectors = spark.createDataFrame([("d", "lead", 0.8, 3), ("d", "tail", 0.1, 40)], "trade_date string, industry string, score double, rank int")
+    base = {"trade_date": "d", "close": 103.0, "ma60": 100.0, "amount": 200_000.0, "pct_chg": 2.0, "golden": True, "vol_ratio": 0.5, "j": 5.0, "trend_short": 102.0, "bull_bear": 101.0}
+    rows = lambda *changes: spark.createDataFrame([tuple(({**base, "ts_code": c} | x)[k.split()[0]] for k in RECOMMENDED.split(", ")) for c, x in changes], RECOMMENDED)
+    got = lambda df: [(r.ts_code, round(r.score, 6), r.reasons) for r in df.orderBy("position").collect()]
+    b1 = screens.recommend_b1(rows(("A", {}), ("B", {}), ("C", {}), ("D", {"vol_ratio": 0.9}), ("E", {"vol_ratio": 0.0}), ("F", {"amount": 99_999.0})), names, sectors)
+    assert got(b1) == [("A", 10 + 5 + 1 + 5, "oversold; volume below its mean; close above the long lines; sector rank 3"), ("B", 16.0, "oversold; volume below its mean; close above the long lines"), ("D", 12.0, "oversold; volume below its mean; close above the long lines")]
+    low = {"trend_short": 94.0, "bull_bear": 100.0}
+    b2 = screens.recommend_b2(rows(("A", low), ("B", low | {"pct_chg": 5.1}), ("D", low | {"pct_chg": 5.0}), ("E", low | {"trend_short": 97.5}), ("F", low | {"trend_short": 87.9})), names, sectors)
+    assert got(b2) == [("A", 18 + 2 + 5, "short line below the long one; rising today; sector rank 3"), ("D", 20.0, "short line below the long one; rising today")]
+    cross = screens.recommend_cross(rows(("A", {}), ("B", {}), ("D", {"pct_chg": 8.1}), ("E", {"close": 112.5}), ("F", {"golden": False})), names, sectors)
+    assert [(c, s) for c, s, _ in got(cross)] == [("A", 40 + 18 + 3.0), ("B", 5 + 3.0)]
+
+
+def test_specially_treated_only(spark):
+    scored = spark.createDataFrame([("A", "d", 0.9, 30_000.0), ("B", "d", 0.8, 30_000.0), ("C", "d", 0.7, 30_000.0), ("D", "d", 0.6, None)], "ts_code string, trade_date string, prob_up double, amount double")
+    names = spark.createDataFrame([("A", "*st a", "i"), ("B", "b退", "i"), ("C", None, "i"), ("D", "d", "i")], "ts_code string, name string, industry string")
+    assert [r.ts_code for r in nextday.prediction_table(scored, scored, names).orderBy("prediction_rank").collect()] == ["B", "C"]
+
+
+def test_baseline_holds_signals_and_all_rows_of_their_dates(spark):
+    df = spark.createDataFrame([("A", 1, True), ("B", 1, False), ("C", 1, None), ("A", 2, False)], "ts_code string, trade_date int, hit boolean")
+    got = sorted((r.cohort, r.ts_code) for r in bt.with_baseline(df, F.col("hit")).collect())
+    assert got == [("baseline", "A"), ("baseline", "B"), ("baseline", "C"), ("signal", "A")]

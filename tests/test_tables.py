@@ -107,3 +107,23 @@ def test_pending_days_and_history(spark):
     assert tables.signal_history(log, "b1").count() == 2 and tables.signal_history(log, "b1", "a", "2024-01-01", "2024-01-01").count() == 1
     cal = spark.createDataFrame([("SSE", date(2024, 1, 1), 0), ("SSE", date(2024, 1, 2), 1), ("X", date(2024, 1, 2), 1)], "exchange string, cal_date date, is_open int")
     assert [r.cal_date.day for r in tables.open_dates(cal, "SSE", "2024-01-01", "2024-01-31").collect()] == [2]
+
+
+def test_signals_logged_twice_count_once(spark, tmp_path):
+    hits = spark.createDataFrame([("A", "2024-01-05", 1.5), ("B", "2024-02-06", 2.5)], "ts_code string, trade_date string, close double").withColumn("trade_date", F.col("trade_date").cast("date"))
+    path = f"{tmp_path}/log"
+    tables.persist_signals(hits, path, "b1", "2024-03-01 00:00:00")
+    tables.persist_signals(hits.withColumn("close", F.col("close") + 1), path, "b1", "2024-03-02 00:00:00")
+    tables.persist_signals(hits.limit(1), path, "b2", "2024-03-02 00:00:00")
+    log = spark.read.parquet(path)
+    assert [(r.ts_code, r.close) for r in tables.signal_history(log, "b1").collect()] == [("A", 2.5), ("B", 3.5)]
+    assert tables.signal_count(log, "b1").first().n == 2 and tables.signal_count(log, "b1", start="2024-02-01").first().n == 1 and tables.signal_count(log, "b2").first().n == 1
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        tables.shared_folder(Cluster)
