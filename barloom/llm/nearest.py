@@ -21,6 +21,8 @@ from .shared import saved
 SAMPLE, LARGEST, PER_LIST = 20_000, 200_000, 20
 #: Columns a block, and rows of a list, or queries, in one task.
 COLUMNS, BLOCK = 16, 4096
+#: Pairs of a query and a row, or numbers of such, that are held at once.
+PAIRS = 1 << 20
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -55,27 +57,30 @@ def probes_for(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, quer
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
 
-def scan(q: np.ndarray, blocks: list[np.ndarray], k: int, epsilon: float, skip: np.ndarray) -> np.ndarray:
-    """Rows of the rotated candidates (column blocks) that may be among the query's k nearest."""
-    n = blocks[0].shape[0]
-    live = np.flatnonzero(~skip)
-    if len(live) <= 4 * k:
+def scan(q: np.ndarray, x: np.ndarray, k: int, epsilon: float, skip: np.ndarray) -> np.ndarray:
+    """Which of a list's rotated rows x may be among the k nearest of each rotated query q (queries x rows, boolean).
+
+    ``skip`` marks rows that are none. Column block by column block, for all queries of the list at once."""
+    n, d = x.shape
+    live = ~skip
+    if n <= 4 * k:
         return live
-    d = sum(b.shape[1] for b in blocks)
-    edges = np.cumsum([0, *(b.shape[1] for b in blocks)])
-    whole = lambda rows: sum(((b[rows] - q[s:e]) ** 2).sum(1) for b, s, e in zip(blocks, edges, edges[1:], strict=False))
-    part, bound = np.zeros(n), np.inf
-    for at, b in enumerate(blocks):
-        s, e = edges[at], edges[at + 1]
-        part[live] += ((b[live] - q[s:e]) ** 2).sum(1)
-        if len(live) <= 4 * k:
-            return live
+    part, bound = np.zeros(live.shape), np.full(len(q), np.inf)
+    for s in range(0, d, COLUMNS):
+        e = min(d, s + COLUMNS)
+        if live.mean() > 0.2:
+            part += (q[:, s:e] ** 2).sum(1)[:, None] + (x[:, s:e] ** 2).sum(1)[None, :] - 2 * (q[:, s:e] @ x[:, s:e].T)
+        else:
+            i, j = np.nonzero(live)
+            part[i, j] += ((q[i, s:e] - x[j, s:e]) ** 2).sum(1)
         if e < d:
             # whole distances of the nearest by what is known give a sound bound, tighter with each block
-            first = live[np.argpartition(part[live], 4 * k - 1)[: 4 * k]]
-            bound = min(bound, np.partition(whole(first), k - 1)[k - 1])
-            live = live[part[live] * d / e <= bound * (1 + epsilon / np.sqrt(e)) ** 2 + 1e-12]
-    return live[part[live] <= bound + 1e-9]
+            first = np.argpartition(np.where(live, part, np.inf), 4 * k - 1, axis=1)[:, : 4 * k]
+            whole = ((q[:, None, :] - x[first]) ** 2).sum(2)
+            whole[~np.take_along_axis(live, first, 1)] = np.inf
+            bound = np.minimum(bound, np.partition(whole, k - 1, axis=1)[:, k - 1])
+            live &= part * (d / e) <= (bound * (1 + epsilon / np.sqrt(e)) ** 2 + 1e-12)[:, None]
+    return live & (part <= bound[:, None] + 1e-9)
 
 
 class Index:
@@ -176,14 +181,17 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, recall: float = 0.9
             d = v.shape[1]
             index = model.value[d]
             turned, cand = index.turned(q), index.turned(v)
-            columns = [np.ascontiguousarray(cand[:, at : at + COLUMNS]) for at in range(0, d, COLUMNS)]
-            for i, mine in enumerate(asking):
-                near = scan(turned[i], columns, k, epsilon, rows == mine)
-                score = cosines(np.broadcast_to(q[i], (len(near), d)), v[near]) if len(near) else np.zeros(0)
-                best = np.lexsort((rows[near], ids[near], -score))[:k]
-                out["query"].append(np.full(len(best), mine))
-                out["row"].append(rows[near][best])
-                out["vec_id"].append(ids[near][best])
+            step = max(1, PAIRS // len(v))
+            for at in range(0, len(q), step):
+                mine = asking[at : at + step]
+                i, j = np.nonzero(scan(turned[at : at + step], cand, k, epsilon, rows[None, :] == mine[:, None]))
+                score = np.concatenate([np.zeros(0), *(cosines(q[at + i[c : c + max(1, PAIRS // d)]], v[j[c : c + max(1, PAIRS // d)]]) for c in range(0, len(i), max(1, PAIRS // d)))])
+                order = np.lexsort((rows[j], ids[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out["query"].append(mine[i[best]])
+                out["row"].append(rows[j[best]])
+                out["vec_id"].append(ids[j[best]])
                 out["score"].append(score[best])
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         return pa.table({c: join(x, np.float64 if c == "score" else np.int64) for c, x in out.items()})
