@@ -25,8 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named or LOCAL_SHARED
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this application and returns their number. Call it when results are written:
+    DataFrames that operators have returned read those tables."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

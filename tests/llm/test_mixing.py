@@ -137,3 +137,15 @@ def test_clashing_columns_and_very_long_text(spark):
     got = out.collect()
     assert {r.doc_id for r in got} == set(range(40)) and {(r._mix_epoch, r._mix_tokens, r.s, r.row) for r in got} == {(5, 6, "x", "y")}
     assert max(r["_mix_tokens_"] for r in got) == 200_000
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from barloom.llm import shared
+
+    shared.cleanup(spark)
+    table = shared.saved(spark.range(3).toDF("i"), "three")
+    paths = [Path(f.split(":", 1)[1].replace("//", "/")) for f in table.inputFiles()]
+    assert table.count() == 3 and all(p.exists() for p in paths)
+    assert shared.cleanup(spark) == 1 and not any(p.exists() for p in paths)
