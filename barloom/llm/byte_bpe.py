@@ -37,6 +37,7 @@ class ByteBPE:
         for t, i in ranks.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
+        self._lengths = {i: len(t) for t, i in ranks.items()}
         self._shorter: dict[int, int | None] = {}
         self._fits = Remembered(remembered // 5)
         self.merged: dict[tuple[int, int], int] = {}
@@ -99,35 +100,45 @@ class ByteBPE:
         if whole is not None:
             return (whole,)
         size = len(word)
-        longest = [(0, None)] * size
+        longest: list[int | None] = [None] * size
+        # ends ascend, so what is written last for a start is the longest
         for end, (n, token) in self.automaton.iter(word.decode("latin-1")):
-            longest[end - n + 1] = max(longest[end - n + 1], (n, token))
+            longest[end - n + 1] = token
+        lengths, shorter, fits = self._lengths, self._shorter, self._fits
         out: list[int] = []
         dead = bytearray(size + 1)
-        at, token = 0, longest[0][1]
+        at, token = 0, longest[0]
         while True:
             while token is not None:
-                end = at + len(self.tokens[token])
-                if not dead[end] and (not out or self.fits(out[-1], token)):
-                    break
-                token = self.shorter(token)
+                end = at + lengths[token]
+                if not dead[end]:
+                    if not out:
+                        break
+                    ok = fits.get((out[-1], token))
+                    if ok or (ok is None and self.fits(out[-1], token)):
+                        break
+                token = shorter[token]
             if token is not None:
                 out.append(token)
                 at = end
                 if at == size:
                     return tuple(out)
-                token = longest[at][1]
+                token = longest[at]
             elif out:
                 dead[at] = 1
                 last = out.pop()
-                at -= len(self.tokens[last])
-                token = self.shorter(last)
+                at -= lengths[last]
+                token = shorter[last]
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
 
     def _chunk(self, text: str) -> tuple[tuple[int, ...], str]:
         ids: list[int] = []
-        for m in self.find(text):
+        found = self.find(text)
+        if len(found) == 1:  # remembered as a chunk
+            ids = self.encode_word(text.encode())
+            return ids, " ".join(map(str, ids)) if self._digits else ""
+        for m in found:
             w = m.encode()
             t = self._words.get(w)
             if t is None:
