@@ -13,6 +13,7 @@ import base64
 import hashlib
 import os
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import Remembered, claim, slices
 
-#: Bytes of chunks, pre-tokens and compatible pairs that a worker remembers, about; each emptied when full.
+#: Bytes of chunks, pre-tokens and compatible pairs that a worker remembers, about; the older half of each is dropped when it is full.
 REMEMBERED = 256 << 20
 
 
@@ -37,31 +38,32 @@ class ByteBPE:
         for t, i in ranks.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
-        self._lengths = {i: len(t) for t, i in ranks.items()}
-        self._shorter: dict[int, int | None] = {}
-        self._fits = Remembered(remembered // 5)
+        size = max(ranks.values(), default=-1) + 1
+        self._lengths = [0] * size
+        # the longest entry that is a proper prefix of the token
+        self._shorter: list[int | None] = [None] * size
+        for t, i in ranks.items():
+            self._lengths[i] = len(t)
+            self._shorter[i] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), None)
+        #: by token, what is known of those after it
+        self._fits: list[dict[int, bool]] = [{} for _ in range(size)]
+        self._pairs = self._pairs_left = max(1, remembered // 5 // 100)
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for t, i in sorted(ranks.items(), key=lambda x: x[1]):
             self.halves[i] = (i, i)
-            left = self.shorter(i)
+            left = self._shorter[i]
             while left is not None:
                 right = ranks.get(t[len(self.tokens[left]) :])
                 if right is not None and left < i and right < i and self._apart(left, right):
                     self.merged[left, right] = i
                     self.halves[i] = (left, right)
                     break
-                left = self.shorter(left)
+                left = self._shorter[left]
         self._words: dict[bytes, tuple[int, ...]] = Remembered(3 * remembered // 10)
         self._chunks: dict[str, tuple[tuple[int, ...], str]] = Remembered(remembered // 2)
         self._digits = digits
-
-    def shorter(self, token: int) -> int | None:
-        """The longest entry that is a proper prefix of the token."""
-        if token not in self._shorter:
-            t = self.tokens[token]
-            self._shorter[token] = next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ranks), None)
-        return self._shorter[token]
+        self._decimals = {i: str(i) for i in ranks.values()} if digits else {}
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b leaves the two tokens side by side.
@@ -87,13 +89,6 @@ class ByteBPE:
                     if a == limit:
                         return True
 
-    def fits(self, a: int, b: int) -> bool:
-        ok = self._fits.get((a, b))
-        if ok is None:
-            ok = self._apart(a, b)
-            self._fits.put((a, b), ok, 160)
-        return ok
-
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """Tokens of one match of the pattern."""
         whole = self.ranks.get(word)
@@ -104,84 +99,106 @@ class ByteBPE:
         # ends ascend, so what is written last for a start is the longest
         for end, (n, token) in self.automaton.iter(word.decode("latin-1")):
             longest[end - n + 1] = token
-        lengths, shorter, fits = self._lengths, self._shorter, self._fits
+        lengths, shorter = self._lengths, self._shorter
         out: list[int] = []
-        dead = bytearray(size + 1)
+        dead: set[int] = set()
         at, token = 0, longest[0]
+        after = None  # what is known of tokens after the last one
         while True:
             while token is not None:
                 end = at + lengths[token]
-                if not dead[end]:
-                    if not out:
+                if end not in dead:
+                    if after is None:
                         break
-                    ok = fits.get((out[-1], token))
-                    if ok or (ok is None and self.fits(out[-1], token)):
+                    ok = after.get(token)
+                    if ok or (ok is None and self._learn(out[-1], token)):
                         break
                 token = shorter[token]
             if token is not None:
                 out.append(token)
-                at = end
-                if at == size:
+                if end == size:
                     return tuple(out)
-                token = longest[at]
+                at, token = end, longest[end]
             elif out:
-                dead[at] = 1
+                dead.add(at)
                 last = out.pop()
                 at -= lengths[last]
                 token = shorter[last]
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
+            after = self._fits[out[-1]] if out else None
+
+    def _learn(self, a: int, b: int) -> bool:
+        """Whether b may follow a, which is remembered."""
+        if not self._pairs_left:
+            for known in self._fits:
+                known.clear()
+            self._pairs_left = self._pairs
+        self._pairs_left -= 1
+        ok = self._fits[a][b] = self._apart(a, b)
+        return ok
 
     def _chunk(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids: list[int] = []
-        found = self.find(text)
+        """Ids of white space and what visible characters follow it, and their decimals."""
+        # a space and plain letters are one match
+        found = (text,) if text[0] == " " and text.isascii() and text[1:].isalpha() else self.find(text)
         if len(found) == 1:  # remembered as a chunk
             ids = self.encode_word(text.encode())
-            return ids, " ".join(map(str, ids)) if self._digits else ""
-        for m in found:
-            w = m.encode()
-            t = self._words.get(w)
-            if t is None:
-                t = self.encode_word(w)
-                if len(w) < 64:
-                    self._words.put(w, t, 200 + len(w) + 20 * len(t))
-            ids += t
-        return tuple(ids), " ".join(map(str, ids)) if self._digits else ""
-
-    def _parts(self, text: str):
-        """Chunks (ids, decimal ids) of the text. Cut at single spaces between visible characters, where the pattern
-        always begins a match, so that recurring chunks are looked up."""
-        known, held = self._chunks, ""
-        first = True
-        for x in text.split(" "):
-            if first:
-                held, first = x, False
-                continue
-            if held and x and not held[-1].isspace() and not x[0].isspace():
-                yield known.get(held) or self._remember(held)
-                held = " " + x
+        else:
+            ids = tuple(chain.from_iterable(map(self._word, found)))
+        return ids, " ".join(map(self._decimals.__getitem__, ids)) if self._digits else ""
+
+    def _word(self, match: str) -> tuple[int, ...]:
+        w = match.encode()
+        t = self._words.get(w)
+        if t is None:
+            t = self._words.older.get(w) or self.encode_word(w)
+            if len(w) < 64:
+                self._words.put(w, t, 200 + len(w) + 8 * len(t))
+        return t
+
+    def _parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """Chunks (ids, decimal ids) of the text. No match of the pattern goes on from a visible character to white space,
+        so texts are cut before each single space that follows one; chunks that recur are looked up without that space."""
+        pieces = text.split(" ")
+        chunks, out = self._chunks, []
+        known = chunks.get
+        add = out.append
+        # the first piece has no space before it
+        held: str | None = pieces[0]
+        if held and not held[-1].isspace():
+            add(self._chunk(held))
+            held = None
+        elif not held and len(pieces) == 1:
+            return out
+        for x in pieces[1:]:
+            if held is None:
+                c = known(x)
+                if c is not None:
+                    add(c)
+                elif x and not x[-1].isspace():
+                    c = chunks.older.get(x) or self._chunk(" " + x)
+                    if len(x) < 64:
+                        chunks.put(x, c, 340 + 2 * len(x) + 8 * len(c[0]) + len(c[1]))
+                    add(c)
+                else:
+                    held = " " + x
             else:
                 held += " " + x
+                if x and not x[-1].isspace():
+                    add(self._chunk(held))
+                    held = None
         if held:
-            yield known.get(held) or self._remember(held)
-
-    def _remember(self, text: str):
-        c = self._chunk(text)
-        if len(text) < 64:
-            self._chunks.put(text, c, 260 + len(text) + 20 * len(c[0]) + 2 * len(c[1]))
-        return c
+            add(self._chunk(held))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self._parts(text) for i in ids]
+        return list(chain.from_iterable([ids for ids, _ in self._parts(text)]))
 
     def encode_with_digits(self, text: str) -> tuple[list[int], str]:
         """The ids, and their decimals joined by one space."""
-        ids: list[int] = []
-        digits = []
-        for c, d in self._parts(text):
-            ids += c
-            digits.append(d)
-        return ids, " ".join(digits)
+        parts = self._parts(text)
+        return list(chain.from_iterable([ids for ids, _ in parts])), " ".join([d for _, d in parts])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -78,14 +78,17 @@ def claim(name: str, clear: Callable[[], None] = lambda: None) -> None:
 
 
 class Remembered(dict):
-    """A dict that is emptied when what was put in has cost so many bytes."""
+    """A dict of bounded cost in bytes. When half of that has been put in, it begins anew; what it held until then is
+    found in ``older``, until the next time."""
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit = self.left = limit
+        self.limit = self.left = limit // 2
+        self.older: dict = {}
 
     def put(self, key, value, cost: int) -> None:
         if cost > self.left:
+            self.older = dict(self)
             self.clear()
             self.left = self.limit
         self.left -= cost

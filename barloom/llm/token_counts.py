@@ -39,7 +39,7 @@ class UnigramCounter:
         pieces = {p for p, _ in vocabulary}
         self.pieces = pieces
         self.bytes = byte_fallback and all(f"<0x{i:02X}>" in pieces for i in range(256))
-        self._known: dict[str, int] = Remembered(REMEMBERED)
+        self._known = Remembered(REMEMBERED)
 
     def count_word(self, word: str) -> int:
         size = len(word)
@@ -76,7 +76,9 @@ class UnigramCounter:
         for w in words:
             n = known.get(w)
             if n is None:
-                n = self.count_word(SPACE + w)
+                n = known.older.get(w)
+                if n is None:
+                    n = self.count_word(SPACE + w)
                 if len(w) < 64:
                     known.put(w, n, 160 + len(w))
             total += n
