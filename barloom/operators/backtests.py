@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,18 @@ def sweep(rows: DataFrame, configs: dict[str, tuple[Column, int]]) -> DataFrame:
     return total.withColumn("lift", F.col("sig_mean") - F.col("base_mean"))
 
 
+def cohort_periods(rows: DataFrame, split: str) -> DataFrame:
+    """Of each strategy, before a day (development) and from it on (holdout): signals, mean return after cost, win rate, and
+    one cohort a signal date, their mean returns after cost chained: cohort_count, log_nav, max_drawdown."""
+    period = F.when(F.col("trade_date") < F.lit(split).cast("date"), "development").otherwise("holdout")
+    done = rows.where("is_signal AND ret IS NOT NULL").withColumn("period", period)
+    cohort = done.groupBy("strategy", "period", "trade_date").agg((F.avg("ret") - COST).alias("leg"), F.count("*").alias("k"), F.sum("ret").alias("s"), F.sum(F.when(F.col("ret") > 0, 1).otherwise(0)).alias("w"))
+    legs = cohort.withColumns({"strategy": F.struct("strategy", "period")})
+    chained = curve(legs.select("strategy", "trade_date", "leg")).groupBy("strategy").agg(F.ln(F.max_by("nav", "trade_date")).alias("log_nav"), F.min("drawdown").alias("max_drawdown"))
+    total = cohort.groupBy("strategy", "period").agg(F.sum("k").alias("signal_count"), (F.sum("s") / F.sum("k") - COST).alias("net_mean"), (F.sum("w") / F.sum("k")).alias("win_rate"), F.count("*").alias("cohort_count"))
+    return total.join(chained.select("strategy.*", "log_nav", "max_drawdown"), ["strategy", "period"])
+
+
 # --- curves -------------------------------------------------------------------------------------------------------------
 
 
@@ -204,3 +218,33 @@ GATES = [
 def gates(spark, scale: float = 1.0) -> DataFrame:
     """The gates, with the least number of signals scaled to the size of the universe."""
     return spark.createDataFrame([(s, max(1, int(n * scale)), m, e, w) for s, n, m, e, w in GATES], "strategy string, min_signals long, min_net_mean double, min_excess double, min_win_rate double")
+
+
+#: What the reversal strategy's hold-out must show before it may trade.
+HOLDOUT_COHORTS, HOLDOUT_NAV, HOLDOUT_DRAWDOWN = 3, 1.0, -0.15
+
+
+def decisions(gates: DataFrame, periods: DataFrame, regime: DataFrame) -> DataFrame:
+    """strategy, latest_approved, reason, status, action, same_status: may each strategy trade after its latest gate?
+
+    b2 is observed only and value_quality needs a review by people, whatever their gates. r1 also needs a hold-out that is
+    long and good enough, then its gate, then an open market (one row, open_regime); the first that is missing is the reason.
+    same_status counts the strategies of equal status."""
+    c, reversal, value = F.col, F.col("strategy") == "r1", F.col("strategy") == "value_quality"
+    latest = gates.groupBy("strategy").agg(F.max_by("approved", "test_start").alias("latest_approved"))
+    holdout = periods.where("period = 'holdout'").select("strategy", "cohort_count", "log_nav", "max_drawdown")
+    s = latest.join(holdout, "strategy", "left").join(F.broadcast(regime))
+    enough = F.coalesce(c("cohort_count"), F.lit(0)) >= HOLDOUT_COHORTS
+    good = F.coalesce((c("log_nav") > math.log(HOLDOUT_NAV)) & (c("max_drawdown") >= HOLDOUT_DRAWDOWN), F.lit(False))
+    reason = (
+        F.when(c("strategy") == "b2", "observed only")
+        .when(value, F.when(c("latest_approved"), "needs review").otherwise("being validated"))
+        .when(reversal & ~enough, "hold-out too short")
+        .when(reversal & ~good, "hold-out failed")
+        .when(~c("latest_approved"), "gate failed")
+        .when(reversal & ~c("open_regime"), "market closed")
+        .otherwise("gate passed")
+    )
+    s = s.withColumn("reason", reason).withColumn("status", F.when(c("reason") == "gate passed", "active").otherwise("watch"))
+    action = F.when(value, "research").when(c("status") == "active", "buy").otherwise("observe")
+    return s.select("strategy", "latest_approved", "reason", "status", action.alias("action"), F.count("*").over(Window.partitionBy("status")).alias("same_status"))

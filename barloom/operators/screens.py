@@ -79,6 +79,13 @@ def reversal_candidates(features: DataFrame) -> DataFrame:
     return at_ends.where(F.col("share") <= R1_LOSERS).withColumn("open_regime", holds(F.col("median20") > 0))
 
 
+def regime(features: DataFrame) -> DataFrame:
+    """One row, open_regime: whether the market's median was up at the last completed month's end; false without candidates."""
+    last = month_ends(features).agg(F.max("trade_date").alias("trade_date"))
+    own = last.join(reversal_candidates(features).select("trade_date", "open_regime"), "trade_date", "left")
+    return own.agg(F.coalesce(F.max("open_regime"), F.lit(False)).alias("open_regime"))
+
+
 def top_by_date(rows: DataFrame, *order: Column | str, n: int = TOP) -> DataFrame:
     """Adds position and keeps the first n of each date; ties by ts_code."""
     w = Window.partitionBy("trade_date").orderBy(*order, "ts_code")

@@ -128,23 +128,20 @@ def event_metrics(spark, sf_dir):
     return rounded(own.join(base, "strategy").withColumn("excess", F.col("mean") - F.col("baseline")))
 
 
-_SPLIT = "DATE '1999-01-01'"
+#: The first day of the hold-out period.
+_SPLIT = "1999-01-01"
 
 
-@query(with_(["strat"], f""", x AS (SELECT strategy, CASE WHEN trade_date < {_SPLIT} THEN 'development' ELSE 'holdout' END AS period, trade_date, ret FROM strat WHERE is_signal AND ret IS NOT NULL),
+_COHORTS = f""", x AS (SELECT strategy, CASE WHEN trade_date < DATE '{_SPLIT}' THEN 'development' ELSE 'holdout' END AS period, trade_date, ret FROM strat WHERE is_signal AND ret IS NOT NULL),
 c AS (SELECT strategy, period, trade_date, greatest(avg(ret) - 0.002, -0.95) AS g FROM x GROUP BY ALL),
-n AS (SELECT *, product(1 + g) OVER (PARTITION BY strategy, period ORDER BY trade_date) AS nav FROM c), dd AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY strategy, period ORDER BY trade_date), 1) - 1 AS dd FROM n)
-SELECT strategy, period, any_value(k) AS signal_count, {r('any_value(m) - 0.002', 'net_mean')}, {r('any_value(w)', 'win_rate')}, count(*) AS cohort_count, {r('ln(arg_max(nav, trade_date))', 'log_nav')}, {r('min(dd)', 'max_drawdown')}
+n AS (SELECT *, product(1 + g) OVER (PARTITION BY strategy, period ORDER BY trade_date) AS nav FROM c), dd AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY strategy, period ORDER BY trade_date), 1) - 1 AS dd FROM n)"""
+
+
+@query(with_(["strat"], _COHORTS + f""" SELECT strategy, period, any_value(k) AS signal_count, {r('any_value(m) - 0.002', 'net_mean')}, {r('any_value(w)', 'win_rate')}, count(*) AS cohort_count, {r('ln(arg_max(nav, trade_date))', 'log_nav')}, {r('min(dd)', 'max_drawdown')}
 FROM dd JOIN (SELECT strategy, period, count(*) AS k, avg(ret) AS m, avg((ret > 0)::INT) AS w FROM x GROUP BY ALL) USING (strategy, period) GROUP BY strategy, period"""))
 def cohort_split(spark, sf_dir):
     """Development and hold-out periods: one cohort a signal date, its mean return after cost chained to a NAV."""
-    period = F.when(F.col("trade_date") < F.lit("1999-01-01").cast("date"), "development").otherwise("holdout")
-    rows = frames.strategy_rows(spark, sf_dir).where("is_signal AND ret IS NOT NULL").withColumn("period", period)
-    cohort = rows.groupBy("strategy", "period", "trade_date").agg((F.avg("ret") - bt.COST).alias("leg"), F.count("*").alias("k"), F.sum("ret").alias("s"), F.sum(F.when(F.col("ret") > 0, 1).otherwise(0)).alias("w"))
-    legs = cohort.withColumns({"strategy": F.struct("strategy", "period")})
-    curve = bt.curve(legs.select("strategy", "trade_date", "leg")).groupBy("strategy").agg(F.ln(F.max_by("nav", "trade_date")).alias("log_nav"), F.min("drawdown").alias("max_drawdown"))
-    total = cohort.groupBy("strategy", "period").agg(F.sum("k").alias("signal_count"), (F.sum("s") / F.sum("k") - bt.COST).alias("net_mean"), (F.sum("w") / F.sum("k")).alias("win_rate"), F.count("*").alias("cohort_count"))
-    return rounded(total.join(curve.select("strategy.*", "log_nav", "max_drawdown"), ["strategy", "period"]))
+    return rounded(bt.cohort_periods(frames.strategy_rows(spark, sf_dir), _SPLIT))
 
 
 @query(with_(["strat"], f"SELECT strategy, CASE WHEN ret - 0.002 > 0 THEN 'win' ELSE 'loss' END AS outcome, {d()}, ts_code, {r('ret')}, {r('ret - 0.002', 'net')}, row_number() OVER (PARTITION BY strategy, ret - 0.002 > 0 ORDER BY strat.trade_date DESC, ts_code) AS position FROM strat WHERE is_signal AND ret IS NOT NULL QUALIFY position <= 4"))
@@ -231,7 +228,7 @@ def curve_stopped(spark, sf_dir):
 
 #: The universe here is about a hundredth of a market's.
 _SCALE = 0.01
-_GATES = ", ".join(f"('{s}', {max(1, int(n * _SCALE))}, {m}, {e}, {w})" for s, n, m, e, w in bt.GATES if s != "value_quality")
+_GATES = ", ".join(f"('{s}', {max(1, int(n * _SCALE))}, {m}, {e}, {w})" for s, n, m, e, w in bt.GATES)
 _WF = f""", g(strategy, mn, mm, me, mw) AS (VALUES {_GATES}),
 w AS (SELECT ts - 252 AS train_start, ts - 1 AS train_end, ts AS test_start, least(ts + 20, (SELECT max(trade_index) FROM calendar)) AS test_end FROM (SELECT unnest(range(252, (SELECT max(trade_index) + 1 FROM calendar), 21)) AS ts)),
 tr AS (SELECT s.*, w.test_start FROM strat s JOIN w ON trade_index BETWEEN train_start AND train_end AND exit_index < w.test_start WHERE ret IS NOT NULL),
@@ -247,7 +244,7 @@ def _gated(spark, sf_dir):
     # read twice below: the gates, and the signals that they let through
     rows = frames.strategy_rows(spark, sf_dir)
     windows = bt.walk_forward_windows(panel.calendar(panel.bars(spark, sf_dir)))
-    return rows, bt.walk_forward(rows, windows, bt.gates(spark, _SCALE).where("strategy != 'value_quality'"))
+    return rows, bt.walk_forward(rows, windows, bt.gates(spark, _SCALE))
 
 
 @query(with_(["strat", "calendar"], _WF + f" SELECT strategy, train_start, train_end, test_start, test_end, training_signals, {r('net_mean')}, {r('excess')}, {r('win_rate')}, approved, test_signals FROM wf"))
@@ -266,10 +263,16 @@ def walk_forward_payload(spark, sf_dir):
     return rounded(w.join(oos, "strategy", "left").select("strategy", "total_windows", "enabled_windows", zero("oos_signals"), zero("oos_completed"), "oos_net_mean", "latest_approved"))
 
 
-@query(with_(["strat", "calendar"], _WF + """ SELECT strategy, CASE WHEN arg_max(approved, test_start) THEN 'active' WHEN count(*) FILTER (approved) > 0 THEN 'paused' ELSE 'observe' END AS status, arg_max(approved, test_start) AS latest_approved, count(*) OVER (PARTITION BY CASE WHEN arg_max(approved, test_start) THEN 'active' WHEN count(*) FILTER (approved) > 0 THEN 'paused' ELSE 'observe' END) AS same_status FROM wf GROUP BY strategy"""))
+_REGIME = "coalesce((SELECT bool_or(median20 > 0) FROM losers WHERE trade_date = (SELECT max(trade_date) FROM ends)), false)"
+
+
+@query(with_(["strat", "calendar", "losers"], _WF + _COHORTS + f""", h AS (SELECT strategy, count(*) AS cohorts, arg_max(nav, trade_date) > 1 AND min(dd) >= -0.15 AS good FROM dd WHERE period = 'holdout' GROUP BY strategy),
+l AS (SELECT strategy, latest, coalesce(cohorts, 0) >= 3 AS long_enough, coalesce(cohorts, 0) >= 3 AND coalesce(good, false) AS held, {_REGIME} AS regime FROM (SELECT strategy, arg_max(approved, test_start) AS latest FROM wf GROUP BY strategy) LEFT JOIN h USING (strategy)),
+z AS (SELECT strategy, latest AS latest_approved, CASE WHEN strategy = 'b2' THEN 'observed only' WHEN strategy = 'value_quality' THEN CASE WHEN latest THEN 'needs review' ELSE 'being validated' END
+  WHEN strategy = 'r1' AND NOT long_enough THEN 'hold-out too short' WHEN strategy = 'r1' AND NOT held THEN 'hold-out failed' WHEN NOT latest THEN 'gate failed' WHEN strategy = 'r1' AND NOT regime THEN 'market closed' ELSE 'gate passed' END AS reason FROM l)
+SELECT strategy, latest_approved, reason, CASE WHEN reason = 'gate passed' THEN 'active' ELSE 'watch' END AS status, CASE WHEN strategy = 'value_quality' THEN 'research' WHEN reason = 'gate passed' THEN 'buy' ELSE 'observe' END AS action, count(*) OVER (PARTITION BY reason = 'gate passed') AS same_status FROM z"""))
 def strategy_table(spark, sf_dir):
-    """Each strategy's status: active if its latest gate approves, paused if an earlier one did, else observed only."""
-    _, gates = _gated(spark, sf_dir)
-    s = gates.groupBy("strategy").agg(F.max_by("approved", "test_start").alias("latest_approved"), F.max("approved").alias("ever"))
-    s = s.withColumn("status", F.when(F.col("latest_approved"), "active").when(F.col("ever"), "paused").otherwise("observe"))
-    return rounded(s.withColumn("same_status", F.count("*").over(Window.partitionBy("status"))).select("strategy", "status", "latest_approved", "same_status"))
+    """Seven strategies: whether each may trade now, and why not."""
+    rows, gates = _gated(spark, sf_dir)
+    regime = screens.regime(ind.reversal_features(panel.bars(spark, sf_dir)))
+    return rounded(bt.decisions(gates, bt.cohort_periods(rows, _SPLIT), regime))

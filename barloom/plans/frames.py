@@ -10,8 +10,9 @@ from ..operators import backtests as bt
 from ..operators import indicators as ind
 from ..operators import screens
 from ..sources import panel
+from . import fundamentals
 
-HOLD, OPEN_HOLD = 20, 20
+HOLD, OPEN_HOLD, VALUE_HOLD = 20, 20, 63
 
 
 def wide(spark, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def wide_forward(spark, sf_dir: str) -> DataFrame:
 
 
 def strategy_rows(spark, sf_dir: str) -> DataFrame:
-    """strategy, ts_code, trade_date, trade_index, exit_index, is_signal, ret: each bar once for each of six strategies.
+    """strategy, ts_code, trade_date, trade_index, exit_index, is_signal, ret: each bar once for each of seven strategies.
 
     All features come from one shuffle on the instrument; the strategies are an exploded array, so later stages run once.
     """
@@ -33,7 +34,7 @@ def strategy_rows(spark, sf_dir: str) -> DataFrame:
     own = bars.join(F.broadcast(cal), "trade_date")
     feats = ind.breakout_and_trend(ind.reversal_features(ind.crosses(own, 20, 60)))
     feats = ind.forward_bars(feats, 4).withColumns({
-        "_close20": after("close", HOLD), "_i20": after("trade_index", HOLD), "_open21": after("idx_open", OPEN_HOLD + 1), "_idx1": after("idx_open"), "_i21": after("trade_index", OPEN_HOLD + 1),
+        "_close20": after("close", HOLD), "_i20": after("trade_index", HOLD), "_open21": after("idx_open", OPEN_HOLD + 1), "_idx1": after("idx_open"), "_i21": after("trade_index", OPEN_HOLD + 1), "_open64": after("idx_open", VALUE_HOLD + 1), "_i64": after("trade_index", VALUE_HOLD + 1),
         **{f"_x{i}": after("trade_index", i) for i in (2, 3, 4)},
     })
     feats = ind.wide(feats.drop("ma20", "ma60"))
@@ -45,7 +46,8 @@ def strategy_rows(spark, sf_dir: str) -> DataFrame:
     # from the light features, so that the recursions above run once
     losers = screens.reversal_candidates(ind.reversal_features(bars)).where("open_regime")
     r1 = screens.top_by_date(losers, F.desc("amount20")).select("ts_code", "trade_date", F.lit(True).alias("_r1"))
-    feats = feats.join(r1, ["ts_code", "trade_date"], "left")
+    value = fundamentals.value_hits(spark, sf_dir).select("ts_code", "trade_date", F.lit(True).alias("_value"))
+    feats = feats.join(r1, ["ts_code", "trade_date"], "left").join(value, ["ts_code", "trade_date"], "left")
     items = F.array(
         item("ma20_ma60", F.col("golden"), F.try_divide("_close20", "open_t1") - 1, F.col("_i20")),
         item("b2", screens.is_b2(), stop_ret, stop_at),
@@ -53,5 +55,6 @@ def strategy_rows(spark, sf_dir: str) -> DataFrame:
         item("r1", F.col("_r1"), open_ret, F.col("_i21")),
         item("breakout", F.col("breakout_signal"), open_ret, F.col("_i21")),
         item("trend", F.col("trend_signal"), open_ret, F.col("_i21")),
+        item("value_quality", F.col("_value"), F.try_divide("_open64", "_idx1") - 1, F.col("_i64")),
     )
     return feats.select("ts_code", "trade_date", "trade_index", F.explode(items).alias("x")).select("x.strategy", "ts_code", "trade_date", "trade_index", "x.exit_index", "x.is_signal", "x.ret")

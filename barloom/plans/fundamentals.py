@@ -39,6 +39,11 @@ cte("snaps", ["r1", "reports", "instruments", "ends"], """SELECT p.ts_code, p.tr
     JOIN reports q ON q.ts_code = r1.ts_code AND announcement_date <= r1.trade_date AND report_date < r1.trade_date) p WHERE rn <= 3 GROUP BY p.ts_code, p.trade_date""")
 
 
+def value_hits(spark, sf_dir):
+    """The value-quality screen's rows at the ends of its months."""
+    return fun.value_quality(_snapshots(spark, sf_dir), _LIMITS)
+
+
 def _snapshots(spark, sf_dir):
     bars = panel.bars(spark, sf_dir)
     prices = ind.reversal_features(bars).join(F.broadcast(fun.snapshot_dates(bars)), "trade_date", "left_semi").join(F.broadcast(panel.instruments(spark, sf_dir).select("ts_code", "name")), "ts_code", "left").select("ts_code", "trade_date", "name", "close", "amount20")
@@ -60,13 +65,16 @@ def _share(c: str, order: str = "") -> str:
 _L = _LIMITS
 
 
-@query(with_(["snaps"], f""", e AS (SELECT *, close / eps AS pe, close / bvps AS pb, 1 / (close / eps) AS ey FROM snaps WHERE NOT regexp_matches(upper(coalesce(name, '')), 'ST|退') AND report_count >= 3 AND close / eps BETWEEN {_L['pe'][0]} AND {_L['pe'][1]} AND close / bvps BETWEEN 0 AND {_L['pb'][1]} AND amount20 >= 100000
+cte("value_hits", ["snaps"], f"""WITH e AS (SELECT *, close / eps AS pe, close / bvps AS pb, 1 / (close / eps) AS ey FROM snaps WHERE NOT regexp_matches(upper(coalesce(name, '')), 'ST|退') AND report_count >= 3 AND close / eps BETWEEN {_L['pe'][0]} AND {_L['pe'][1]} AND close / bvps BETWEEN 0 AND {_L['pb'][1]} AND amount20 >= 100000
   AND roe_median >= {_L['roe']} AND roe_min >= {_L['least_roe']} AND margin_median >= {_L['margin']} AND debt_max <= {_L['debt']} AND revenue_yoy_median >= {_L['growth']} AND profit_yoy_median >= {_L['growth']} AND cash_years >= 2),
 s AS (SELECT *, ({_share('roe_median')} + {_share('margin_median')} + {_share('profit_yoy_median')} + {_share('ocf_per_share')} + {_share('debt_max', 'DESC')}) / 5 AS quality, ({_share('ey')} + {_share('pb', 'DESC')}) / 2 AS value FROM e),
 t AS (SELECT *, floor((quality * 0.65 + value * 0.35) * 100 * 1e6 + 0.5) / 1e6 AS score FROM s)
-SELECT ts_code, {d()}, {r('pe')}, {r('pb')}, {r('quality')}, {r('value')}, {r('score')}, row_number() OVER (PARTITION BY t.trade_date ORDER BY score DESC, amount20 DESC, ts_code) AS position FROM t QUALIFY position <= 20"""))
+SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, amount20 DESC, ts_code) AS position FROM t QUALIFY position <= 20""")
+
+
+@query(with_(["value_hits"], f"SELECT ts_code, {d()}, {r('pe')}, {r('pb')}, {r('quality')}, {r('value')}, {r('score')}, position FROM value_hits"))
 def value_quality(spark, sf_dir):
-    return rounded(fun.value_quality(_snapshots(spark, sf_dir), _LIMITS).select("ts_code", "trade_date", "pe", "pb", "quality", "value", "score", "position"))
+    return rounded(value_hits(spark, sf_dir).select("ts_code", "trade_date", "pe", "pb", "quality", "value", "score", "position"))
 
 
 @query(with_(["reports"], f"SELECT {d('report_date')} FROM (SELECT report_date, max(announcement_date + (hash_day % 400)::INT) AS fetched_at FROM (SELECT *, length(ts_code) * year(report_date) AS hash_day FROM reports) GROUP BY report_date) t WHERE datediff('day', fetched_at, DATE '2000-01-01') >= 7"))

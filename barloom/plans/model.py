@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
+from ..operators import backtests as bt
 from ..operators import nextday as nd
 from ..operators import screens
 from ..sources import panel
@@ -60,6 +61,15 @@ def next_day_fit(spark, sf_dir):
     return spark.createDataFrame([(n, float(w), float(c), float(s), m.rows) for n, w, c, s in values], "feature string, weight double, centre double, scale double, training_rows long")
 
 
+@query()
+def next_day_walk_forward(spark, sf_dir):
+    """A model fitted at the start of each test window, and its ten best rows of that date; no SQL expresses the fits."""
+    cal = panel.calendar(panel.bars(spark, sf_dir))
+    starts = bt.walk_forward_windows(cal).join(cal, F.col("test_start") == F.col("trade_index")).select("trade_date")
+    rows = _dataset(spark, sf_dir).select("ts_code", "trade_date", "next_trade_date", "next_ret", "target", *nd.FEATURES)
+    return rounded(nd.walk_forward(rows, cal, [r[0] for r in starts.collect()], least_rows=1))
+
+
 @query(with_(["nd"], f"""SELECT {d('trade_date')}, count(*) AS picks, {r('avg(target)', 'win_rate')}, {r('avg(next_ret)', 'mean_ret')}, avg(next_ret) > 0 AS profitable FROM (
   SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY floor(prob_up * 1e6 + 0.5) DESC, ts_code) AS rn FROM (SELECT *, {_PROB} AS prob_up FROM nd WHERE {_KNOWN} AND next_ret IS NOT NULL)) t WHERE rn <= 10 GROUP BY t.trade_date"""))
 def next_day_report(spark, sf_dir):

@@ -111,13 +111,13 @@ cte("ends", ["bars"], "SELECT max(trade_date) AS trade_date FROM bars GROUP BY d
 cte("losers", ["r1", "ends"], """SELECT * FROM (SELECT *, (rank() OVER (PARTITION BY trade_date ORDER BY formation) + (count(*) OVER (PARTITION BY trade_date, formation) - 1) / 2) / count(*) OVER (PARTITION BY trade_date) AS share
   FROM r1 SEMI JOIN ends USING (trade_date) WHERE close >= 2 AND amount20 >= 100000 AND formation IS NOT NULL) WHERE share <= 0.10""")
 cte("r1sel", ["losers"], "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY amount20 DESC, ts_code) AS position FROM losers WHERE median20 > 0) WHERE position <= 20")
-_all = f"""SELECT t.*, {lead('close', 20)} AS close20, {lead('trade_index', 20)} AS i20, {lead('idx_open', 21)} / {lead('idx_open')} - 1 AS oret, {lead('trade_index', 21)} AS i21,
+_all = f"""SELECT t.*, {lead('close', 20)} AS close20, {lead('trade_index', 20)} AS i20, {lead('idx_open', 21)} / {lead('idx_open')} - 1 AS oret, {lead('trade_index', 21)} AS i21, {lead('idx_open', 64)} / {lead('idx_open')} - 1 AS vret, {lead('trade_index', 64)} AS i64,
   {lead('trade_index', 2)} AS x2, {lead('trade_index', 3)} AS x3, {lead('trade_index', 4)} AS x4, {lead('open', 1)} AS open_t1, {lead('open', 2)} AS open_t2, {lead('open', 3)} AS open_t3, {lead('open', 4)} AS open_t4, {lead('low')} AS low_t1
   FROM tech t JOIN calendar USING (trade_date)"""
 cte("feat0", ["tech", "calendar"], _all.replace("SELECT t.*", "SELECT t.*, trade_index"))
-cte("feat", ["feat0", "b1", "r1sel"], f"""SELECT f.*, b1.b1, coalesce(b1.trend_short < b1.bull_bear AND b1.bull_bear > 0, false) AS b2, b1.trend_short, b1.bull_bear, b1.j, b1.vol_ratio, b1.ma60, b1.ma20, r.position IS NOT NULL AS r1,
+cte("feat", ["feat0", "b1", "r1sel", "value_hits"], f"""SELECT f.*, b1.b1, coalesce(b1.trend_short < b1.bull_bear AND b1.bull_bear > 0, false) AS b2, b1.trend_short, b1.bull_bear, b1.j, b1.vol_ratio, b1.ma60, b1.ma20, r.position IS NOT NULL AS r1, v.position IS NOT NULL AS value_quality,
   {_stop(4)} / open_t1 - 1 AS sret, CASE WHEN coalesce(open_t2 < low_t1, false) THEN x2 WHEN coalesce(open_t3 < low_t1, false) THEN x3 ELSE x4 END AS sx
-  FROM feat0 f JOIN b1 USING (ts_code, trade_date) LEFT JOIN r1sel r USING (ts_code, trade_date)""")
+  FROM feat0 f JOIN b1 USING (ts_code, trade_date) LEFT JOIN r1sel r USING (ts_code, trade_date) LEFT JOIN value_hits v USING (ts_code, trade_date)""")
 cte("gold", ["b1"], f"SELECT ts_code, trade_date, {up('ma20', 'ma60')} AS golden FROM b1")
 _one = lambda n, hit, ret, at: f"SELECT '{n}' AS strategy, ts_code, trade_date, trade_index, CASE WHEN {ret} IS NOT NULL THEN {at} END AS exit_index, {hit} AS is_signal, {ret} AS ret FROM feat JOIN gold USING (ts_code, trade_date)"
-cte("strat", ["feat", "gold"], " UNION ALL ".join([_one("ma20_ma60", "golden", "(close20 / open_t1 - 1)", "i20"), _one("b2", "b2", "sret", "sx"), _one("b1", "b1", "sret", "sx"), _one("r1", "r1", "oret", "i21"), _one("breakout", "breakout_signal", "oret", "i21"), _one("trend", "trend_signal", "oret", "i21")]))
+cte("strat", ["feat", "gold"], " UNION ALL ".join([_one("ma20_ma60", "golden", "(close20 / open_t1 - 1)", "i20"), _one("b2", "b2", "sret", "sx"), _one("b1", "b1", "sret", "sx"), _one("r1", "r1", "oret", "i21"), _one("breakout", "breakout_signal", "oret", "i21"), _one("trend", "trend_signal", "oret", "i21"), _one("value_quality", "value_quality", "vret", "i64")]))

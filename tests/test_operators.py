@@ -231,6 +231,40 @@ def test_fit_follows_the_gradient_path(spark, bars):
         nextday.fit(rows, least_rows=10**6)
 
 
+def test_fits_of_many_dates_equal_single_ones(spark, bars):
+    rows, cal = nextday.dataset(bars), panel.calendar(bars)
+    days = [DAY + timedelta(days=n) for n in (90, 110)]
+    both = nextday.fit_dates(rows, cal, [*days, DAY], train_dates=40, steps=10, least_rows=10)
+    assert sorted(both) == days
+    for on in days:
+        one = nextday.fit(nextday.training_rows(rows, cal, on, dates=40), steps=10, least_rows=10)
+        assert both[on].rows == one.rows and both[on].centres == one.centres
+        assert np.allclose(both[on].weights, one.weights, atol=1e-9)
+    picks = nextday.walk_forward(rows, cal, days, top=2, train_dates=40, steps=10, least_rows=10)
+    best = nextday.score(both[days[0]], rows.where(F.col("trade_date") == F.lit(days[0]))).where("next_ret IS NOT NULL").orderBy(F.desc("prob_up"), "ts_code").limit(2)
+    got = [(r.ts_code, r.prob_up) for r in picks.where(F.col("trade_date") == F.lit(days[0])).orderBy("day_rank").collect()]
+    assert [c for c, _ in got] == [r.ts_code for r in best.collect()] and np.allclose([p for _, p in got], [r.prob_up for r in best.collect()])
+
+
+def test_decisions_name_the_first_missing_condition(spark):
+    names = ["ma20_ma60", "b2", "r1", "value_quality", "breakout"]
+    gates = spark.createDataFrame([(s, t, ok) for s in names for t, ok in ((1, True), (2, s != "breakout"))], "strategy string, test_start long, approved boolean")
+
+    def reasons(cohorts, log_nav, drawdown, is_open, latest=True):
+        periods = spark.createDataFrame([("r1", "holdout", cohorts, log_nav, drawdown), ("r1", "development", 9, 1.0, 0.0)], "strategy string, period string, cohort_count long, log_nav double, max_drawdown double")
+        own = gates.withColumn("approved", F.col("approved") & (F.lit(latest) | (F.col("strategy") != "r1") | (F.col("test_start") < 2)))
+        return {r.strategy: r for r in bt.decisions(own, periods, spark.createDataFrame([(is_open,)], "open_regime boolean")).collect()}
+
+    t = reasons(3, 0.1, -0.15, True)
+    assert {s: (t[s].status, t[s].reason) for s in names} == {"ma20_ma60": ("active", "gate passed"), "b2": ("watch", "observed only"), "r1": ("active", "gate passed"), "value_quality": ("watch", "needs review"), "breakout": ("watch", "gate failed")}
+    assert (t["r1"].same_status, t["b2"].same_status, t["value_quality"].action, t["b2"].action) == (2, 3, "research", "observe")
+    assert reasons(2, 0.1, -0.01, True)["r1"].reason == "hold-out too short"
+    assert reasons(3, 0.1, -0.16, True)["r1"].reason == "hold-out failed"
+    assert reasons(3, 0.0, -0.01, True)["r1"].reason == "hold-out failed"
+    assert reasons(3, 0.1, -0.01, False, latest=False)["r1"].reason == "gate failed"
+    assert reasons(3, 0.1, -0.01, False)["r1"].reason == "market closed"
+
+
 def test_training_rows_know_no_later_outcome(spark, bars):
     rows, cal = nextday.dataset(bars), panel.calendar(bars)
     on = DAY + timedelta(days=100)
