@@ -86,6 +86,19 @@ def confirmation(ranked: DataFrame, look_back: int = 20) -> DataFrame:
     return top.withColumn("strength", strength).withColumn("level", level).drop("_second", "_island")
 
 
+def main_line_payload(ranked: DataFrame, bars: DataFrame, instruments: DataFrame, top: int = 10) -> DataFrame:
+    """Per date: the main line, its score, run and level, how clear it is, and the leading sectors with their constituents,
+    largest amount first, nested. A sector's stocks on a date are a few hundred at most."""
+    signal = confirmation(ranked).select("trade_date", "main_line", "main_score", "consecutive_days", "level")
+    clarity = F.when(F.col("level").isin("strong", "emerging"), "clear").otherwise("fuzzy")
+    listed = ranked.where(F.col("rank") <= top).select("trade_date", "industry", "rank", "score")
+    own = bars.join(instruments.where("delist_date IS NULL").select("ts_code", "name", "industry"), "ts_code")
+    stock = F.struct((-F.col("amount")).alias("_order"), "ts_code", "name", "close", "pct_chg", "amount")
+    sectors = own.join(listed, ["trade_date", "industry"]).groupBy("trade_date", "industry", "rank", "score").agg(F.transform(F.array_sort(F.collect_list(stock)), lambda x: x.dropFields("_order")).alias("stocks"))
+    nested = sectors.groupBy("trade_date").agg(F.array_sort(F.collect_list(F.struct("rank", "industry", "score", "stocks"))).alias("sectors"))
+    return signal.withColumn("clarity", clarity).join(nested, "trade_date")
+
+
 def rotation(ranked: DataFrame, dates: int = 30, top: int = 12) -> DataFrame:
     """Long form of the rotation matrix: the last dates by the latest date's leading industries; score 0 where missing."""
     last = ranked.select("trade_date").distinct().withColumn("_r", F.row_number().over(Window.orderBy(F.desc("trade_date")))).where(F.col("_r") <= dates)
@@ -120,11 +133,25 @@ def rank_boards(members: DataFrame, bars: DataFrame) -> DataFrame:
 
 def limit_up_counts(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int = 10) -> DataFrame:
     """Leading boards with their members' limit-ups; null if no member has prices that day."""
+    return _board_members(boards, members, bars, instruments, top).groupBy("trade_date", "concept_code", "rank").agg(*_limit_ups())
+
+
+def board_payload(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int = 10) -> DataFrame:
+    """The same with stocks: each board's members by code, nested, with the dimension's names and the day's bar where there is one."""
+    stock = F.struct("ts_code", "name", "industry", "close", "pct_chg", "amount")
+    return _board_members(boards, members, bars, instruments, top).groupBy("trade_date", "concept_code", "rank").agg(*_limit_ups(), F.array_sort(F.collect_list(stock)).alias("stocks"))
+
+
+def _board_members(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int) -> DataFrame:
     listed = boards.where(F.col("rank") <= top).select("trade_date", "concept_code", "rank")
-    m = listed.join(members.select("trade_date", "concept_code", "ts_code"), ["trade_date", "concept_code"]).join(instruments.select("ts_code", "name"), "ts_code", "left").join(bars.select("trade_date", "ts_code", "pre_close", "close"), ["trade_date", "ts_code"], "left")
+    own = listed.join(members.select("trade_date", "concept_code", "ts_code"), ["trade_date", "concept_code"])
+    return own.join(instruments.select("ts_code", "name", "industry"), "ts_code", "left").join(bars.select("trade_date", "ts_code", "pre_close", "close", "pct_chg", "amount"), ["trade_date", "ts_code"], "left")
+
+
+def _limit_ups() -> list[Column]:
     up = is_limit_up(F.col("ts_code"), F.col("name"), F.col("trade_date"), F.col("pre_close"), F.col("close"))
     priced = F.count(F.when(F.col("close").isNotNull() & F.col("pre_close").isNotNull(), 1))
-    return m.groupBy("trade_date", "concept_code", "rank").agg(F.count("*").alias("members"), F.when(priced > 0, F.sum(F.when(up, 1).otherwise(0))).alias("limit_ups"))
+    return [F.count("*").alias("members"), F.when(priced > 0, F.sum(F.when(up, 1).otherwise(0))).alias("limit_ups")]
 
 
 def focus(boards: DataFrame, members: DataFrame, bars: DataFrame, top: int = 10, least: int = 2) -> DataFrame:

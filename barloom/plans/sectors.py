@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import limit_rate
 from ..functions.exprs import rounded
 from ..operators import indicators as ind
 from ..operators import screens
@@ -59,9 +60,12 @@ def sector_leaders(spark, sf_dir):
 cte("tops", ["ranked"], "SELECT trade_date, max(industry) FILTER (rank = 1) AS main_line, max(score) FILTER (rank = 1) AS main_score, max(industry) FILTER (rank = 2) AS second_line, coalesce(max(score) FILTER (rank = 2), 0) AS second FROM ranked GROUP BY trade_date")
 
 
-@query(with_(["tops"], f"""SELECT {d()}, main_line, main_score, second_line, gap, consecutive_days, strength, CASE WHEN strength = 2 AND consecutive_days >= 3 THEN 'strong' WHEN strength = 2 THEN 'emerging' WHEN strength = 1 THEN 'candidate' ELSE 'none' END AS level FROM (
+cte("signal", ["tops"], """SELECT trade_date, main_line, main_score, second_line, gap, consecutive_days, strength, CASE WHEN strength = 2 AND consecutive_days >= 3 THEN 'strong' WHEN strength = 2 THEN 'emerging' WHEN strength = 1 THEN 'candidate' ELSE 'none' END AS level FROM (
   SELECT *, CASE WHEN main_score >= 0.7 AND gap >= 0.1 THEN 2::BIGINT WHEN main_score >= 0.7 THEN 1 ELSE 0 END AS strength, least(row_number() OVER (PARTITION BY main_line, island ORDER BY trade_date), 20) AS consecutive_days FROM (
-  SELECT *, floor((main_score - second) * 1e6 + 0.5) / 1e6 AS gap, row_number() OVER (ORDER BY trade_date) - row_number() OVER (PARTITION BY main_line ORDER BY trade_date) AS island FROM tops))"""))
+  SELECT *, floor((main_score - second) * 1e6 + 0.5) / 1e6 AS gap, row_number() OVER (ORDER BY trade_date) - row_number() OVER (PARTITION BY main_line ORDER BY trade_date) AS island FROM tops))""")
+
+
+@query(with_(["signal"], f"SELECT {d()}, main_line, main_score, second_line, gap, consecutive_days, strength, level FROM signal"))
 def mainline_signal(spark, sf_dir):
     return rounded(sec.confirmation(ranking(spark, sf_dir)))
 
@@ -88,6 +92,15 @@ def sector_pool(spark, sf_dir):
     return rounded(lists.select("trade_date", "industry", "rank", F.size("l").alias("n_stocks"), F.array_join(F.col("l.ts_code"), ",").alias("stocks")))
 
 
+@query(with_(["signal", "own"], f""", k AS (SELECT k.trade_date, k.industry, k.rank, k.score, string_agg(o.ts_code, ',' ORDER BY o.amount DESC, o.ts_code) AS stocks FROM ranked k JOIN own o ON o.trade_date = k.trade_date AND o.industry = k.industry WHERE k.rank <= 10 GROUP BY ALL)
+SELECT {d('trade_date')}, main_line, main_score, consecutive_days, level, CASE WHEN level IN ('strong', 'emerging') THEN 'clear' ELSE 'fuzzy' END AS clarity, sectors FROM signal s JOIN (SELECT trade_date, string_agg(rank || ':' || industry || ':' || floor(score * 10000 + 0.5)::BIGINT || ':' || stocks, '|' ORDER BY rank) AS sectors FROM k GROUP BY trade_date) USING (trade_date)"""))
+def mainline_payload(spark, sf_dir):
+    """The nested sectors are written as text, which SQL engines agree on."""
+    found = sec.main_line_payload(ranking(spark, sf_dir), panel.bars(spark, sf_dir), panel.instruments(spark, sf_dir))
+    text = F.transform("sectors", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["industry"], F.floor(x["score"] * 10000 + 0.5).cast("string"), F.array_join(x["stocks"]["ts_code"], ",")))
+    return rounded(found.withColumn("sectors", F.array_join(text, "|")))
+
+
 @query(with_(["calendar"], "SELECT strftime(day, '%Y%m%d') AS day, strftime(max(trade_date), '%Y%m%d') AS known FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) LEFT JOIN calendar ON trade_date <= day GROUP BY day"))
 def asof_date(spark, sf_dir):
     """For each order date, the latest trading date that isn't later."""
@@ -114,22 +127,36 @@ def concept_rank(spark, sf_dir):
 _RATE = "CASE WHEN ts_code LIKE '%.BJ' THEN 0.30 WHEN substr(ts_code, 1, 3) IN ('300','301','688','689') THEN 0.20 WHEN contains(upper(coalesce(name, '')), 'ST') AND trade_date < DATE '2026-07-06' THEN 0.05 ELSE 0.10 END::DECIMAL(4,2)"
 
 
-@query(with_(["boards", "instruments"], f""", pb AS (SELECT *, CASE WHEN substr(ts_code, 4, 3)::INT % 5 = 0 THEN floor(close / (1 + {_RATE})::DOUBLE * 100 + 0.5) / 100 ELSE pre END AS pc FROM (SELECT bars.* EXCLUDE (close), floor(close * 100 + 0.5) / 100 AS close, floor(pre_close * 100 + 0.5) / 100 AS pre, name FROM bars LEFT JOIN instruments USING (ts_code))),
-m AS (SELECT k.trade_date, k.concept_code, k.rank, b.close, b.pc, b.pc > 0 AND b.close::DECIMAL(18,2) = round(b.pc::DECIMAL(18,2) * (1 + {_RATE.replace('trade_date', 'k.trade_date').replace('ts_code', 'm.ts_code')}), 2)::DECIMAL(18,2) AS up FROM boards k JOIN members m USING (trade_date, concept_code) LEFT JOIN pb b ON b.trade_date = k.trade_date AND b.ts_code = m.ts_code WHERE k.rank <= 10)
-SELECT {d('trade_date')}, concept_code, rank, count(*) AS members, CASE WHEN count(*) FILTER (close IS NOT NULL AND pc IS NOT NULL) > 0 THEN count(*) FILTER (up) END AS limit_ups FROM m GROUP BY m.trade_date, concept_code, rank"""))
-def concept_limit_up(spark, sf_dir):
-    """Limit-ups practically never occur here, so a fifth of the instruments get the previous close of one."""
-    from ..functions.codes import limit_rate
+_LIMIT_UPS = f""", pb AS (SELECT *, CASE WHEN substr(ts_code, 4, 3)::INT % 5 = 0 THEN floor(close / (1 + {_RATE})::DOUBLE * 100 + 0.5) / 100 ELSE pre END AS pc FROM (SELECT bars.* EXCLUDE (close), floor(close * 100 + 0.5) / 100 AS close, floor(pre_close * 100 + 0.5) / 100 AS pre, name FROM bars LEFT JOIN instruments USING (ts_code))),
+m AS (SELECT k.trade_date, k.concept_code, k.rank, m.ts_code, b.close, b.pc, b.pc > 0 AND b.close::DECIMAL(18,2) = round(b.pc::DECIMAL(18,2) * (1 + {_RATE.replace('trade_date', 'k.trade_date').replace('ts_code', 'm.ts_code')}), 2)::DECIMAL(18,2) AS up FROM boards k JOIN members m USING (trade_date, concept_code) LEFT JOIN pb b ON b.trade_date = k.trade_date AND b.ts_code = m.ts_code WHERE k.rank <= 10)"""
+_COUNTED = "count(*) AS members, CASE WHEN count(*) FILTER (close IS NOT NULL AND pc IS NOT NULL) > 0 THEN count(*) FILTER (up) END AS limit_ups"
 
-    bars, members, boards = _boards(spark, sf_dir)
+
+def _limit_bars(spark, sf_dir):
+    """Limit-ups practically never occur here, so a fifth of the instruments get the previous close of one."""
     names = panel.instruments(spark, sf_dir)
-    own = bars.join(F.broadcast(names.select("ts_code", "name")), "ts_code", "left")
+    own = panel.bars(spark, sf_dir).join(names.select("ts_code", "name"), "ts_code", "left")
     rate = F.lit(1).cast("decimal(4,2)") + limit_rate(F.col("ts_code"), F.col("name"), F.col("trade_date"))
     tick = lambda c: F.floor(c * 100 + 0.5).cast("double") / 100
     own = own.withColumns({"close": tick(F.col("close")), "pre_close": tick(F.col("pre_close"))})
     made = tick(F.col("close") / rate.cast("double"))
-    own = own.withColumn("pre_close", F.when(F.substring("ts_code", 4, 3).cast("int") % 5 == 0, made).otherwise(F.col("pre_close"))).drop("name")
-    return rounded(sec.limit_up_counts(boards, members, own, names))
+    return own.withColumn("pre_close", F.when(F.substring("ts_code", 4, 3).cast("int") % 5 == 0, made).otherwise(F.col("pre_close"))).drop("name"), names
+
+
+@query(with_(["boards", "instruments"], _LIMIT_UPS + f" SELECT {d('trade_date')}, concept_code, rank, {_COUNTED} FROM m GROUP BY m.trade_date, concept_code, rank"))
+def concept_limit_up(spark, sf_dir):
+    _, members, boards = _boards(spark, sf_dir)
+    return rounded(sec.limit_up_counts(boards, members, *_limit_bars(spark, sf_dir)))
+
+
+@query(with_(["boards", "instruments"], _LIMIT_UPS + f" SELECT {d('trade_date')}, concept_code, rank, {_COUNTED}, string_agg(ts_code || ':' || coalesce(i.name, '') || ':' || coalesce(i.industry, '') || ':' || coalesce((floor(close * 100 + 0.5)::BIGINT)::VARCHAR, ''), '|' ORDER BY ts_code) AS stocks FROM m LEFT JOIN instruments i USING (ts_code) GROUP BY m.trade_date, concept_code, rank"))
+def concept_payload(spark, sf_dir):
+    """The nested members are written as text, which SQL engines agree on; closes in hundredths."""
+    _, members, boards = _boards(spark, sf_dir)
+    found = sec.board_payload(boards, members, *_limit_bars(spark, sf_dir))
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    text = F.transform("stocks", lambda x: F.concat_ws(":", x["ts_code"], blank(x["name"]), blank(x["industry"]), blank(F.floor(x["close"] * 100 + 0.5))))
+    return rounded(found.withColumn("stocks", F.array_join(text, "|")))
 
 
 @query(with_(["boards"], f"""SELECT {d()}, ts_code, concepts, concept_count, row_number() OVER (PARTITION BY f.trade_date ORDER BY concept_count DESC, pct_chg DESC NULLS LAST, amount DESC NULLS LAST, ts_code) AS focus_rank FROM (
