@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, language_id, licences, mixing, nearest, ngram_join, secrets, token_counts, warc
+from . import byte_bpe, embedding_dedup, language_id, licences, mixing, nearest, ngram_join, secrets, token_counts, warc, whitening
 
 #: The most repeated source is seen at most so often where the least repeated one is seen once.
 MAX_REPETITION = 1.5
@@ -59,10 +59,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), top=16)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_embedding_dedup, op4_source_mixing, op5_warc_zstd, op6_secret_scan, op7_nearest_neighbours, op8_licence_scan, op9_token_counts, op10_language_id)
-}
+    for f in (
+        op1_ngram_jaccard_join, op2_byte_bpe, op3_embedding_dedup, op4_source_mixing, op5_warc_zstd, op6_secret_scan, op7_nearest_neighbours, op8_licence_scan, op9_token_counts, op10_language_id,
+        op13_embedding_whitening,
+    )
+}
 
 _OP5 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
