@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, language_id, licences, mixing, nearest, ngram_join, secrets, token_counts, warc, whitening
+from . import byte_bpe, embedding_dedup, language_id, licences, mixing, nearest, ngram_join, secrets, spelling, token_counts, warc, whitening
 
 #: The most repeated source is seen at most so often where the least repeated one is seen once.
 MAX_REPETITION = 1.5
@@ -59,6 +59,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"), least_length=7, least_count=2, ratio=10)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), top=16)
 
@@ -67,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_byte_bpe, op3_embedding_dedup, op4_source_mixing, op5_warc_zstd, op6_secret_scan, op7_nearest_neighbours, op8_licence_scan, op9_token_counts, op10_language_id,
-        op13_embedding_whitening,
+        op11_spelling_variants, op13_embedding_whitening,
     )
 }
 
@@ -91,4 +95,21 @@ reach(d, r) AS (SELECT a, b FROM y UNION SELECT reach.d, y.b FROM reach JOIN y O
 SELECT l.doc_id, len(s)::BIGINT AS n_shingles, least(l.doc_id, coalesce(m, l.doc_id)) AS component_id FROM l LEFT JOIN (SELECT d, min(r) AS m FROM reach GROUP BY d) ON d = l.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op5_warc_zstd": _OP5, "op8_licence_scan": licences.oracle_sql()}
+_OP11 = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents),
+l AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM r),
+x AS (SELECT run, hex(encode(doc_id::VARCHAR || ':' || run)) AS bytes FROM l),
+h AS (SELECT run, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM x, t),
+w AS (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+i AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+s AS (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS rest FROM i),
+d AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS rest FROM i),
+p AS (SELECT a.word, b.word AS o, b.n AS m FROM s a JOIN s b USING (rest) WHERE a.word <> b.word UNION ALL SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = rest UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = rest),
+q AS (SELECT word, count(*) AS n_near, max(m) AS form_n, arg_min(o, row(-m, o)) AS form FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN q USING (word)),
+c(word, root) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.root WHERE e.form IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op11_spelling_variants": _OP11, "op1_ngram_jaccard_join": _OP1, "op5_warc_zstd": _OP5, "op8_licence_scan": licences.oracle_sql()}
