@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, language_id, licences, mixing, nearest, ngram_join, secrets, spelling, token_counts, warc, whitening
+from . import byte_bpe, embedding_dedup, language_id, licences, mixing, nearest, ngram_join, personal_data, secrets, spelling, token_counts, warc, whitening
 
 #: The most repeated source is seen at most so often where the least repeated one is seen once.
 MAX_REPETITION = 1.5
@@ -63,6 +63,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(_table(spark, sf_dir, "documents"), least_length=7, least_count=2, ratio=10)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), top=16)
 
@@ -71,7 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_byte_bpe, op3_embedding_dedup, op4_source_mixing, op5_warc_zstd, op6_secret_scan, op7_nearest_neighbours, op8_licence_scan, op9_token_counts, op10_language_id,
-        op11_spelling_variants, op13_embedding_whitening,
+        op11_spelling_variants, op12_personal_data, op13_embedding_whitening,
     )
 }
 
