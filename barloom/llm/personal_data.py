@@ -155,7 +155,7 @@ def _votes(kind: str, x: Column) -> list[Column]:
         "phone": _vote(like(hit, r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,5}){1,4}$"), like(hit, r"[ ().-]{3}")),
         "mail": _vote(like(hit, r"(?i)[(\[{<]\x20?at"), None),
         "number": _vote(like(hit, r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[.-][0-9]{4}|0[0-9]{2,4}[ /-][0-9 /-]{5,})$"), like(hit, r"^(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2})|[0-9]\.[0-9]")),
-        "name": _vote(F.size(F.split(hit, "[ -]")) > 1, F.size(F.split(hit, "[ -]")) > 4),
+        "name": _vote(like(hit, rf"^(?:{_TITLES})\.?\x20"), F.size(F.split(hit, "[ -]")) > 4),
     }[kind]
     checked = F.call_function("luhn_check", digits)
     checksum = {"card": _vote(checked), "number": F.when(F.length(digits) >= 13, _vote(checked, ~checked)).otherwise(0)}.get(kind, F.lit(0))
@@ -164,15 +164,14 @@ def _votes(kind: str, x: Column) -> list[Column]:
     known = {
         "email": _vote(ending.isin(ENDINGS), ~ending.isin(ENDINGS)), "mail": _vote(ending.isin(ENDINGS), ~ending.isin(ENDINGS)),
         "phone": _vote(code.isin(COUNTRY_CODES) | F.substring(code, 1, 2).isin(COUNTRY_CODES) | F.substring(code, 1, 1).isin(COUNTRY_CODES), code.startswith("0")),
-        "name": _vote(F.split(first, "[ -]")[0].isin(FIRST_NAMES)),
+        "name": _vote(F.split(first, "[ -]")[0].isin(FIRST_NAMES) & (F.size(F.split(first, "[ -]")) <= 3)),
     }.get(kind, F.lit(0))
     counter = {
         "ip": _vote(None, like(hit, r"^(?:0|127|255)\.")), "number": _vote(None, like(digits, r"^([0-9])\1+$|^0?123456789")), "card": _vote(None, like(digits, r"^([0-9])\1+$")),
         "name": _vote(None, F.arrays_overlap(F.split(first, "[ -]"), F.array(*(F.lit(w) for w in sorted(set(NO_NAMES)))))), "email": _vote(None, like(hit, r"(?i)^(?:no-?reply|postmaster|abuse)@")),
     }.get(kind, F.lit(0))
     glue = like(left, r"[\p{L}\p{N}_=/#&$€£-]$") | like(right, r"^[\p{L}\p{N}_=/#&$€£-]")
-    free = like(left, r"(?:^|[\s(:,;\"'<])$") & like(right, r"^(?:$|[\s.,;:!?)\"'>])")
-    return [v.cast("tinyint") for v in (form, checksum, known, counter, _vote(like(F.lower(left), CUES[kind])), _vote(None, like(F.lower(left), COUNTER_CUES[kind])), _vote(None, like(F.lower(right), UNITS)), _vote(free, glue))]
+    return [v.cast("tinyint") for v in (form, checksum, known, counter, _vote(like(F.lower(left), CUES[kind])), _vote(None, like(F.lower(left), COUNTER_CUES[kind])), _vote(None, like(F.lower(right), UNITS)), _vote(None, glue))]
 
 
 def _shape(hit: Column) -> Column:
