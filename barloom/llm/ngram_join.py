@@ -20,6 +20,9 @@ Every other candidate is verified on whole sets. No partner or candidate is capp
 
 from __future__ import annotations
 
+import random
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,7 +40,12 @@ KNOWN_FREQUENT = 1_000_000
 #: A list longer than this is dealt in blocks of this length.
 BLOCK = 2048
 
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+@lru_cache(4)
+def _mixers(seed: int) -> list[np.uint64]:
+    """Odd multipliers. A call draws its own seed, so nobody can write texts whose words or shingles share hashes."""
+    draw = random.Random(seed)
+    return [np.uint64(draw.getrandbits(64) | 1) for _ in range(4)]
 
 
 #: Bytes of text hashed at once, and of a word up to which it is hashed in step with the others.
@@ -48,12 +56,13 @@ _LOWER[65:91] += 32
 _FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: np.ndarray, starts: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some bytes, A-Z as a-z, and where they begin. No word goes over one of ``starts``.
 
     Eight bytes at a time are mixed in, for all words at once; no two words of at most eight bytes and one length share a
     hash. Words longer than STEPPED are hashed one by one by xxh3.
     """
+    mix = _mixers(seed)
     shown = ~_BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = edge[-1] = True
@@ -66,26 +75,27 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     low = np.zeros(len(data) + 8, np.uint8)
     low[: len(data)] = _LOWER[data]
     eight = np.ndarray(len(data) + 1, "<u8", low, 0, (1,))  # the eight bytes from each place
-    h = size.astype(np.uint64) * _MIX[2]
+    h = size.astype(np.uint64) * mix[2]
     rows = np.arange(len(at))
     for step in range(0, STEPPED, 8):
         rows = rows[size[rows] > step]
         if not len(rows):
             break
-        h[rows] = (h[rows] ^ (eight[at[rows] + step] & _FIRST[np.minimum(size[rows] - step, 8)])) * _MIX[0]
-        h[rows] = (h[rows] ^ h[rows] >> np.uint64(32)) * _MIX[3]
+        h[rows] = (h[rows] ^ (eight[at[rows] + step] & _FIRST[np.minimum(size[rows] - step, 8)])) * mix[0]
+        h[rows] = (h[rows] ^ h[rows] >> np.uint64(32)) * mix[3]
         h[rows] ^= h[rows] >> np.uint64(29)
     for i in np.flatnonzero(size > STEPPED):
-        h[i] = xxhash.xxh3_64_intdigest(low[at[i] : at[i] + size[i]].tobytes())
+        h[i] = xxhash.xxh3_64_intdigest(low[at[i] : at[i] + size[i]].tobytes(), seed)
     return h, at
 
 
-def _mixed(w: np.ndarray, span: int) -> np.ndarray:
+def _mixed(w: np.ndarray, span: int, seed: int = 0) -> np.ndarray:
+    mix = _mixers(seed)
     h = np.full(len(w) - span + 1, span, np.uint64)
     for i in range(span):
-        h = (h ^ w[i : len(w) - span + 1 + i]) * _MIX[i % 4]
+        h = (h ^ w[i : len(w) - span + 1 + i]) * mix[i % 4]
         h ^= h >> np.uint64(29)
-    return h * _MIX[0] ^ (h >> np.uint64(32))
+    return h * mix[0] ^ (h >> np.uint64(32))
 
 
 def _sorted_set(h: np.ndarray) -> np.ndarray:
@@ -93,7 +103,7 @@ def _sorted_set(h: np.ndarray) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
-def shingle_sets(texts: pa.Array, k: int):
+def shingle_sets(texts: pa.Array, k: int, seed: int = 0):
     """For each text, the ascending distinct 64-bit hashes of its k-word shingles; one for the whole sequence if shorter.
 
     Only A-Z are lower-cased; words are split at the six ASCII white-space characters. Works on the column's bytes, a
@@ -115,20 +125,20 @@ def shingle_sets(texts: pa.Array, k: int):
                     j, size = min(e, i + 2 * size), 2 * size
                 if j < e:
                     j = i + int(np.flatnonzero(cut)[-1]) + 1
-                parts.append(_word_hashes(data[i:j], np.zeros(1, np.int64))[0])
+                parts.append(_word_hashes(data[i:j], np.zeros(1, np.int64), seed)[0])
                 i = j
             w = np.concatenate(parts)
-            yield _sorted_set(_mixed(w, min(k, len(w)))) if len(w) else w
+            yield _sorted_set(_mixed(w, min(k, len(w)), seed)) if len(w) else w
         else:
             piece, own = data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
-            w, where = _word_hashes(piece, own[:-1])
+            w, where = _word_hashes(piece, own[:-1], seed)
             cut = np.searchsorted(where, own)
-            h = _mixed(w, k) if len(w) >= k else np.zeros(0, np.uint64)
+            h = _mixed(w, k, seed) if len(w) >= k else np.zeros(0, np.uint64)
             for i, j in zip(cut, cut[1:], strict=False):
                 if j - i >= k:
                     yield _sorted_set(h[i : j - k + 1])
                 else:
-                    yield _mixed(w[i:j], j - i) if j > i else np.zeros(0, np.uint64)
+                    yield _mixed(w[i:j], j - i, seed) if j > i else np.zeros(0, np.uint64)
         at = to
 
 
@@ -136,18 +146,18 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return next(shingle_sets(pa.array([text], pa.string()), k))
 
 
-def _node(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _node(s: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed) - (1 << 63)
 
 
-def _distinct_sets(batches, k):
+def _distinct_sets(batches, k, seed):
     """For each slice of Arrow batches of texts, its distinct sets by node."""
     claim("ngram_join")
     for b in slices(batches, ROWS):
         out = {}
-        for s in shingle_sets(b.column("text"), k):
+        for s in shingle_sets(b.column("text"), k, seed):
             if len(s):
-                out.setdefault(_node(s), s)
+                out.setdefault(_node(s, seed), s)
         yield out
 
 
@@ -157,7 +167,7 @@ def _split(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _frequent(docs: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, k: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (a shingle hash's upper 40 bits, ascending) of the most frequent shingles, and how often each was met."""
 
     def counted(batches):
@@ -169,7 +179,7 @@ def _frequent(docs: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             at = [i for i in range(n) if cut[i] < cut[i + 1]]
             return pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "keys": [pack_sorted(keys[cut[i] : cut[i + 1]]) for i in at], "counts": [pack(counts[cut[i] : cut[i + 1]]) for i in at]})
 
-        for sets in _distinct_sets(batches, k):
+        for sets in _distinct_sets(batches, k, seed):
             for s in sets.values():
                 held.append(s >> np.uint64(24))
                 size += len(s)
@@ -227,21 +237,22 @@ _DEALT = 1 << 40
 _LISTED = "token long, node long, n int, pos int, head long, head_n int, head_pos int, shared int"
 
 
-def _lists(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
+def _lists(docs: DataFrame, k: int, num: int, den: int, buckets: int, seed: int) -> DataFrame:
     """What the inverted lists of prefix shingles hold, in two kinds of rows.
 
     Of lists longer than SHORT, the postings, each with the head of its block (token is set). Of the short ones, pairs of
     nodes whose sizes may match (node, head), and how many of a bucket's short lists they share (token is null).
     """
-    known = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, buckets))
+    known = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, buckets, seed))
 
     def posted(batches):
         keys, met = known.value
+        mix = _mixers(seed)
         held, size = [], 0
 
         def flush():
             token, node, n, pos, deal = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = ((token ^ (deal * _MIX[1])) * _MIX[0] >> np.uint64(33)) % np.uint64(buckets)
+            bucket = ((token ^ (deal * mix[1])) * mix[0] >> np.uint64(33)) % np.uint64(buckets)
             order = np.lexsort((token, bucket))
             token, node, n, pos, bucket = token[order], node[order], n[order], pos[order], bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
@@ -249,7 +260,7 @@ def _lists(docs: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFra
             parts = [slice(cut[i], cut[i + 1]) for i in at]
             return pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "token": [pack_sorted(token[p]) for p in parts], "node": [node[p].tobytes() for p in parts], "n": [pack(n[p]) for p in parts], "pos": [pack(pos[p]) for p in parts]})
 
-        for sets in _distinct_sets(batches, k):
+        for sets in _distinct_sets(batches, k, seed):
             for node, s in sets.items():
                 p = len(s) - -(-num * len(s) // den) + 1
                 token, often = _prefix(s, p, keys, met)
@@ -433,7 +444,8 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     texts = docs.select("text")
     volume = texts.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(bucket_count(spark), volume // GROUP_BYTES)
-    lists = _lists(texts, words, num, den, buckets)
+    seed = random.SystemRandom().getrandbits(64)
+    lists = _lists(texts, words, num, den, buckets, seed)
     counted = lists.where("token is null").groupBy("node", "head").agg(F.first("n").alias("n"), F.first("head_n").alias("head_n"), F.sum("shared").alias("shared"))
     lists = lists.where("token is not null")
     # of pairs in short lists, those that may share enough: in short lists, in long ones and in the rest of the longer set
@@ -452,8 +464,8 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
         for b in slices(batches, ROWS):
             ids, nodes, sizes, sets, hashes = b.column("doc_id"), [], [], [], []
             held = {}
-            for s in shingle_sets(b.column("text"), words):
-                nodes.append(_node(s) if len(s) else None)
+            for s in shingle_sets(b.column("text"), words, seed):
+                nodes.append(_node(s, seed) if len(s) else None)
                 sizes.append(len(s))
                 sets.append(s if len(s) and nodes[-1] not in held else None)
                 held[nodes[-1]] = True

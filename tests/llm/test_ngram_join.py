@@ -145,3 +145,15 @@ def test_answers_derived_from_heads(spark, monkeypatch):
             rows.append((len(rows), " ".join(words)))
     for num in (80, 85):
         assert run(spark, rows, words=1, num=num) == brute(rows, 1, num, 100)
+
+
+def test_no_words_or_shingles_share_a_hash_by_design(spark):
+    import pyarrow as pa
+
+    one, other = "i-eqh524@\\\\^`@@`", "t5/d-19t>[@_-->?"
+    rows = [(1, one), (2, other), (3, f"alpha beta gamma delta epsilon {one}"), (4, f"alpha beta gamma delta epsilon {other}")]
+    for seed in (0, 1, 99):
+        a, b = (ngram_join.shingle_sets(pa.array([x]), 5, seed) for x in (one, other))
+        assert next(a).tolist() != next(b).tolist()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
