@@ -37,33 +37,39 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         pieces = {p for p, _ in vocabulary}
+        self.longest = max(map(len, pieces))
         self.pieces = pieces
         self.bytes = byte_fallback and all(f"<0x{i:02X}>" in pieces for i in range(256))
         self._known = Remembered(REMEMBERED)
 
     def count_word(self, word: str) -> int:
-        size = len(word)
-        starts: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        for end, (n, score) in self.automaton.iter(word):
-            starts[end - n + 1].append((n, score))
-        best = [None] * (size + 1)
-        count = [0] * (size + 1)
-        joined = [False] * (size + 1)  # the path ends in an unknown character
-        best[0] = 0.0
-        for at in range(size):
-            here, so_far = best[at], count[at]
-            single = False
-            for n, score in sorted(starts[at]):
-                single |= n == 1
-                total = score + here
-                if best[at + n] is None or total > best[at + n]:
-                    best[at + n], count[at + n], joined[at + n] = total, so_far + 1, False
-            if not single:
-                total = self.unknown + here
-                if best[at + 1] is None or total > best[at + 1]:
-                    more = len(word[at].encode("utf-8", "surrogatepass")) if self.bytes else int(not joined[at])
-                    best[at + 1], count[at + 1], joined[at + 1] = total, so_far + more, True
-        return count[size]
+        # best score, its number of pieces and whether it ends in an unknown character, of the last ends that a piece can begin at
+        ring = self.longest + 1
+        best, count, joined = [0.0] * ring, [0] * ring, [False] * ring
+        hits = self.automaton.iter(word)
+        hit = next(hits, None)
+        for end in range(len(word)):
+            own = []
+            while hit is not None and hit[0] == end:
+                own.append(hit[1])
+                hit = next(hits, None)
+            if len(own) > 1:
+                own.sort(reverse=True)  # the earliest start first
+            top, pieces, unknown, size = None, 0, False, 0
+            for size, score in own:
+                at = (end + 1 - size) % ring
+                total = score + best[at]
+                if top is None or total > top:
+                    top, pieces = total, count[at] + 1
+            if size != 1:
+                at = end % ring
+                total = self.unknown + best[at]
+                if top is None or total > top:
+                    more = len(word[end].encode("utf-8", "surrogatepass")) if self.bytes else int(not joined[at])
+                    top, pieces, unknown = total, count[at] + more, True
+            at = (end + 1) % ring
+            best[at], count[at], joined[at] = top, pieces, unknown
+        return count[len(word) % ring]
 
     def count(self, text: str) -> int:
         if not text:

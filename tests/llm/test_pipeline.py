@@ -61,5 +61,5 @@ def test_rows_with_one_doc_id_and_several_texts(spark):
 
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.ORACLES) <= set(names)

@@ -36,3 +36,15 @@ def test_documents(spark):
     counter = token_counts.load()
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_chars) for r in got) == sorted((i or -1, counter.count(t or ""), len(t or "")) for i, t, _ in rows)
     assert token_counts.count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_memory_does_not_follow_long_words():
+    import tracemalloc
+
+    counter = token_counts.load()
+    word = "ab3é" * 500_000
+    tracemalloc.start()
+    n = counter.count(word)
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20 and n > 100_000
+    tracemalloc.stop()
+    assert counter.count("ab3é" * 50 + " ") == counter.count("ab3é" * 50) + counter.count(" ")
