@@ -24,18 +24,18 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Near copies (five-word shingles, Jaccard similarity of 0.8 or more) make groups; the smallest doc_id of each stays.
 
     A row without a doc_id goes by a large number from its text, so it yields to any that has one. Of rows with equal
-    doc_id and text one stays. Rows with one doc_id and several texts are decided each by its own text; if they are near
-    copies of each other, the one whose text has the smallest hash goes first."""
+    doc_id and text one stays, if the text has a word. Rows with one doc_id and several texts are decided each by its own text; if
+    they are near copies of each other, the one whose text has the smallest hash goes first. Rows are told apart by numbers given once and
+    written down with them."""
     own_id, text_hash, row_key = free_names(docs, "_own_id", "_text_hash", "_row_key")
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 2)
-    keyed = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn(text_hash, F.xxhash64("text")).withColumn(row_key, F.xxhash64(own_id, "text"))
+    keyed = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn(text_hash, F.xxhash64("text")).withColumn(row_key, F.monotonically_increasing_id())
+    keyed = saved(keyed, "keyed")
     found = ngram_join.similar_documents(keyed.select(F.col(row_key).alias("doc_id"), "text"), words=5, num=80, den=100)
-    members = found.select(F.col("doc_id").alias(row_key), "component_id").distinct()
-    named = saved(keyed.select(row_key, F.col(own_id).alias("own"), F.col(text_hash).alias("hash")).distinct().join(members, row_key), "named")
-    first = named.groupBy("component_id").agg(F.min(F.struct("own", "hash", F.col(row_key).alias("key"))).alias("first"))
+    named = keyed.select(F.col(row_key).alias("key"), F.col(own_id).alias("own"), F.col(text_hash).alias("hash")).join(found.select(F.col("doc_id").alias("key"), "component_id"), "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct("own", "hash", "key")).alias("first"))
     stays = saved(first.select(F.col("first.key").alias(row_key)), "stays")
-    kept = keyed.join(stays, row_key, "left_semi").dropDuplicates([row_key])
-    return kept.select(*quoted(docs))
+    return keyed.join(stays, row_key, "left_semi").select(*quoted(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
