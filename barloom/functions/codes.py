@@ -68,14 +68,16 @@ def industry_or_none(industry: Column) -> Column:
 
 
 def limit_rate(ts_code: Column, name: Column, trade_date: Column) -> Column:
+    """By board; a main-board name that begins with ST, after any asterisks, has the special rate until that ends."""
     rate = lambda key: F.lit(LIMITS[key]).cast("decimal(4,2)")
-    growth = F.substring(ts_code, 1, 3).isin(GROWTH_PREFIXES)
-    special = F.upper(F.coalesce(name, F.lit(""))).contains("ST") & (trade_date < F.lit(SPECIAL_LIMIT_ENDS))
-    return F.when(ts_code.endswith(".BJ"), rate("BJ")).when(growth, rate("growth")).when(special, rate("special")).otherwise(rate("main"))
+    code = F.upper(ts_code)
+    growth = F.substring(code, 1, 3).isin(GROWTH_PREFIXES)
+    special = F.startswith(F.ltrim(F.upper(F.coalesce(name, F.lit(""))), F.lit("*")), F.lit("ST")) & (trade_date < F.lit(SPECIAL_LIMIT_ENDS))
+    return F.when(code.endswith(".BJ"), rate("BJ")).when(growth, rate("growth")).when(special, rate("special")).otherwise(rate("main"))
 
 
 def is_limit_up(ts_code: Column, name: Column, trade_date: Column, pre_close: Column, close: Column) -> Column:
-    """The close is the board's limit over the previous close, to the tick, rounded half up. Null without prices."""
-    before = pre_close.cast("decimal(18,2)")
+    """The close, in ticks, is the board's limit over the previous close as it is, both rounded half up. False without prices."""
+    before = pre_close.cast("decimal(24,8)")
     limit = F.round(before * (F.lit(1).cast("decimal(4,2)") + limit_rate(ts_code, name, trade_date)), 2)
-    return F.when(pre_close.isNotNull() & close.isNotNull(), (pre_close > 0) & (close.cast("decimal(18,2)") == limit))
+    return F.coalesce((pre_close > 0) & (F.round(close.cast("decimal(24,8)"), 2) == limit), F.lit(False))

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import canonical_code, industry_or_none
 
-#: Column names that hold codes and names, without blanks, dots and dashes and in lower case; others are passed.
-CODE_NAMES = ("tscode", "code", "symbol", "seccode", "securitycode", "ticker", "代码", "证券代码")
-NAME_NAMES = ("name", "shortname", "securityname", "名称", "简称", "证券名称", "证券简称")
-PREFERRED = ("source_file", "ts_code", "code", "证券代码", "name", "证券简称", "trade_date", "date", "industry", "close")
-EXCHANGES = ("SH", "SZ", "BJ")
+#: What the names of columns of codes and of names of instruments end in, and columns that stand first in a listing.
+CODE_ENDS, NAME_ENDS = ("code", "symbol", "ticker", "代码"), ("name", "简称", "名称")
+LEADING = ("source_file", "ts_code", "code", "name", "trade_date", "date", "industry", "close")
+_CODE = r"^\s*([0-9]{6})(?:\.[A-Za-z]{2})?\s*$"
 
 
 def combine(signals: DataFrame, predictions: DataFrame, code: str = "ts_code") -> DataFrame:
@@ -43,40 +42,28 @@ def distinct_codes(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, (f.select("ts_code") for f in frames)).where("ts_code IS NOT NULL").distinct()
 
 
-def plain_name(column: str) -> str:
-    return re.sub(r"[\s_\-.]+", "", column.strip().lower())
+def columns_ending(rows: DataFrame, ends: tuple[str, ...]) -> list[str]:
+    return [c for c in rows.columns if c.lower().rstrip(" ._-").endswith(ends)]
 
 
-def is_code_like(text: str) -> bool:
-    """Six digits, with or without an exchange."""
-    return re.fullmatch(rf"\d{{6}}(\.({'|'.join(EXCHANGES)}))?", text.strip().upper()) is not None
+def six_digits(value: Column) -> Column:
+    """The digits of a six-digit code, whatever exchange follows; null for anything else."""
+    return F.nullif(F.regexp_extract(value, _CODE, 1), F.lit(""))
 
 
-def code_variants(text: str) -> list[str]:
-    """A code as it is; without its exchange, if it has one; with each of them, if it is six digits."""
-    t = text.strip().upper()
-    bare = [f"{t}.{x}" for x in EXCHANGES] if re.fullmatch(r"\d{6}", t) else []
-    return sorted({t, t.split(".")[0], *bare})
+def search(rows: DataFrame, text: str, codes: list[str] | None = None, names: list[str] | None = None, all_columns: bool = False) -> DataFrame:
+    """Rows in which the text is found in a column of codes or of names, or in any column if there is none or all are asked for.
 
-
-def search(rows: DataFrame, text: str, code_names: tuple[str, ...] = CODE_NAMES, name_names: tuple[str, ...] = NAME_NAMES, all_columns: bool = False) -> DataFrame:
-    """Rows in which the text is found in a column of codes or names, or in any column if there is none or all are asked for.
-
-    A text that looks like a code is compared with codes, with or without their exchange; otherwise, and in columns of other
-    kinds, any value that has the text in it, in any case, is a hit. Column names are compared without blanks, dots, dashes
-    and case. Nulls never match."""
-    codes, names = ([c for c in rows.columns if plain_name(c) in {plain_name(x) for x in known}] for known in (code_names, name_names))
-    targets = list(dict.fromkeys([*codes, *names]))
-    if all_columns or not targets:
-        targets = rows.columns
-    tests: list[Column] = []
-    for c in targets:
-        v = F.trim(F.col(f"`{c}`").cast("string"))
-        if c in codes and is_code_like(text):
-            tests += [F.upper(v).isin(code_variants(text)), F.split_part(F.upper(v), F.lit("."), F.lit(1)).isin(code_variants(text))]
-        else:
-            tests.append(F.contains(F.lower(v), F.lit(text.lower())))
-    return rows.where(reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests)))
+    ``codes`` and ``names`` say which columns those are; by default, their names' ends do. A six-digit code, with or without an exchange,
+    is found in a column of codes by its digits; everything else, and everywhere else, by being part of the value, in any case. Nulls
+    never match."""
+    codes = columns_ending(rows, CODE_ENDS) if codes is None else codes
+    names = columns_ending(rows, NAME_ENDS) if names is None else names
+    looked = rows.columns if all_columns or not codes and not names else [c for c in rows.columns if c in codes or c in names]
+    wanted = re.match(_CODE, text)
+    value = {c: F.col(f"`{c}`").cast("string") for c in looked}
+    found = [six_digits(v) == wanted[1] if wanted and c in codes else F.contains(F.lower(v), F.lit(text.lower())) for c, v in value.items()]
+    return rows.where(F.coalesce(F.greatest(*found, F.lit(False)), F.lit(False)))
 
 
 def dated_rows(frames: dict[str, DataFrame], date: str = "trade_date") -> DataFrame:
@@ -85,6 +72,11 @@ def dated_rows(frames: dict[str, DataFrame], date: str = "trade_date") -> DataFr
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
 
 
-def ordered_columns(rows: DataFrame, preferred: tuple[str, ...] = PREFERRED) -> DataFrame:
-    first = [c for c in preferred if c in rows.columns]
-    return rows.select(*first, *(c for c in rows.columns if c not in first))
+def ordered_columns(rows: DataFrame, leading: tuple[str, ...] = LEADING) -> DataFrame:
+    """The leading columns that there are, in that order, and then all others in theirs."""
+    return rows.select(*(c for c in leading if c in rows.columns), *(c for c in rows.columns if c not in leading))
+
+
+def rows_of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose instrument and date are among the pairs, each once however often its pair is there."""
+    return rows.join(pairs.select("ts_code", "trade_date"), ["ts_code", "trade_date"], "left_semi")

@@ -33,29 +33,71 @@ def _smooth(x: np.ndarray, alpha: float, seed: float | None = None) -> np.ndarra
     return out if seed is None else out[1:]
 
 
-def recursive(bars: DataFrame) -> DataFrame:
+#: What a recursion needs of all bars before: one row an instrument.
+STATE = "ts_code string, last_date date, k double, d double, ema double, trend double, highs array<double>, lows array<double>"
+
+
+def _recursion():
+    """Arrays of an instrument's highs, lows and closes in date order, and what was there before, to arrays of the recursive values."""
+
+    def runs(highs: pd.Series, lows: pd.Series, closes: pd.Series, k0: pd.Series, d0: pd.Series, e0: pd.Series, t0: pd.Series, before_highs: pd.Series, before_lows: pd.Series) -> pd.DataFrame:
+        out = []
+        for high, low, close, k, d, e, t, more_high, more_low in zip(highs, lows, closes, k0, d0, e0, t0, before_highs, before_lows):
+            high, low, close, more_high, more_low = (np.asarray(x if x is not None else [], float) for x in (high, low, close, more_high, more_low))
+            n, gap = len(close), KDJ_PERIOD - 1
+            padded = [np.concatenate([np.full(gap, np.nan), more, own])[-(n + gap) :] for more, own in ((more_high, high), (more_low, low))]
+            top, bottom = (f(np.lib.stride_tricks.sliding_window_view(x, KDJ_PERIOD), 1) for f, x in ((np.max, padded[0]), (np.min, padded[1])))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                rsv = np.where(top > bottom, (close - bottom) / (top - bottom) * 100, np.nan)
+            known, kk, dd = ~np.isnan(rsv), np.full(n, np.nan), np.full(n, np.nan)
+            kk[known] = _smooth(rsv[known], 1 / 3, KDJ_SEED if k is None or np.isnan(k) else k)
+            dd[known] = _smooth(kk[known], 1 / 3, KDJ_SEED if d is None or np.isnan(d) else d)
+            alpha = 2 / (TREND_SPAN + 1)
+            ema = _smooth(close, alpha, None if e is None or np.isnan(e) else e)
+            trend = _smooth(ema, alpha, None if t is None or np.isnan(t) else t)
+            out.append((rsv, kk, dd, ema, trend))
+        return pd.DataFrame(out, columns=["rsv", "k", "d", "ema", "trend"])
+
+    return F.pandas_udf(runs, "rsv array<double>, k array<double>, d array<double>, ema array<double>, trend array<double>")
+
+
+def _resumed(bars: DataFrame, state: DataFrame | None) -> DataFrame:
+    """An instrument's bars as one array in date order, the recursive values beside it and its state before."""
+    rows = bars.groupBy("ts_code").agg(F.array_sort(F.collect_list(F.struct("trade_date", *(c for c in bars.columns if c not in ("ts_code", "trade_date"))))).alias("_bars"))
+    names = {c: f"_{c}0" for c in ("k", "d", "ema", "trend", "highs", "lows")}
+    if state is None:
+        types = {"highs": "array<double>", "lows": "array<double>"}
+        rows = rows.withColumns({n: F.lit(None).cast(types.get(c, "double")) for c, n in names.items()})
+    else:
+        rows = rows.join(state.select("ts_code", *(F.col(c).alias(n) for c, n in names.items())), "ts_code", "left")
+    line = lambda c: F.transform("_bars", lambda b: b[c].cast("double"))
+    return rows.withColumn("_own", _recursion()(line("high"), line("low"), line("close"), *(F.col(n) for n in names.values())))
+
+
+def recursive(bars: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Adds rsv, k, d, j and trend_short, the values that only a recursion over an instrument's bars gives.
 
-    rsv is null where the nine-bar range is zero or not full; such bars are skipped, not reset, and have no k, d, j.
-    One grouped helper does both recursions, on the shuffle that the windows have already made.
+    rsv is null where the nine-bar range is zero or not full; such bars are skipped, not reset, and have no k, d, j. Bars that follow others
+    need none of them but their recursion_state(). Only highs, lows and closes go through the helper, an array an instrument; the other
+    columns stay where they are, on the shuffle that the windows have already made.
     """
-    own = bars.withColumns({"_hi": rolling_max("high", KDJ_PERIOD), "_lo": rolling_min("low", KDJ_PERIOD)})
-    own = own.withColumn("rsv", F.when(F.col("_hi") > F.col("_lo"), (F.col("close") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100)).drop("_hi", "_lo")
+    known = _resumed(bars, state)
+    values = F.arrays_zip("_own.rsv", "_own.k", "_own.d", "_own.trend")
+    each = known.select("ts_code", F.explode(F.zip_with("_bars", values, lambda b, v: F.struct(b.alias("b"), v.alias("v")))).alias("_x"))
+    kept = [F.col(f"_x.b.{c}").alias(c) if c != "ts_code" else F.col("ts_code") for c in bars.columns]
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    out = each.select(*kept, *(clean(f"_x.v.{c}").alias(n) for c, n in (("rsv", "rsv"), ("k", "k"), ("d", "d"), ("trend", "trend_short"))))
+    return out.withColumn("j", 3 * F.col("k") - 2 * F.col("d")).select(*bars.columns, "rsv", "k", "d", "j", "trend_short")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("trade_date")
-        rsv = g["rsv"].to_numpy(dtype=float, na_value=np.nan)
-        known = ~np.isnan(rsv)
-        k, d = np.full(len(g), np.nan), np.full(len(g), np.nan)
-        k[known] = _smooth(rsv[known], 1 / 3, KDJ_SEED)
-        d[known] = _smooth(k[known], 1 / 3, KDJ_SEED)
-        close = g["close"].to_numpy(dtype=float, na_value=np.nan)
-        alpha = 2 / (TREND_SPAN + 1)
-        return g.assign(k=k, d=d, j=3 * k - 2 * d, trend_short=_smooth(_smooth(close, alpha), alpha))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    out = own.groupBy("ts_code").applyInPandas(run, f"{fields}, k double, d double, j double, trend_short double")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("k", "d", "j", "trend_short", "rsv")})
+def recursion_state(bars: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """STATE after these bars, for the next call of recursive(); of instruments without bars, the state as it was."""
+    known = _resumed(bars, state)
+    none = F.array().cast("array<double>")
+    tail = lambda c, before_: F.slice(F.concat(F.coalesce(before_, none), F.transform("_bars", lambda b: b[c].cast("double"))), -F.least(F.lit(KDJ_PERIOD - 1), F.size("_bars") + F.size(F.coalesce(before_, none))), F.lit(KDJ_PERIOD - 1))
+    last = lambda c: F.try_element_at(F.filter(F.concat(F.array(f"_{c}0"), F.transform(f"_own.{c}", lambda x: F.when(~F.isnan(x), x))), lambda x: x.isNotNull()), F.lit(-1))
+    now = known.select("ts_code", F.element_at("_bars", -1)["trade_date"].alias("last_date"), *(last(c).alias(c) for c in ("k", "d", "ema", "trend")), tail("high", F.col("_highs0")).alias("highs"), tail("low", F.col("_lows0")).alias("lows"))
+    return now if state is None else now.unionByName(state.join(now.select("ts_code"), "ts_code", "left_anti"))
 
 
 def kdj(bars: DataFrame) -> DataFrame:
@@ -153,6 +195,12 @@ def breakout_and_trend(features: DataFrame) -> DataFrame:
     return out.drop(*(c for c in out.columns if c.startswith("_")))
 
 
+def bar_change(bars: DataFrame) -> DataFrame:
+    """Adds change_pct: the close against the previous close as it was given, or the bar before where that is missing or not positive."""
+    base = F.coalesce(F.when(F.col("pre_close") > 0, F.col("pre_close")), before("close"))
+    return bars.withColumn("change_pct", (F.try_divide(F.col("close"), base) - 1) * 100)
+
+
 def last_bars(bars: DataFrame, n: int = 120) -> DataFrame:
     """One row an instrument with its last n bars, ascending, as an array of structs."""
     recent = bars.withColumn("_r", F.row_number().over(Window.partitionBy("ts_code").orderBy(F.desc("trade_date")))).where(F.col("_r") <= n)

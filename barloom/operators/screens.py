@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import is_risky
+from ..functions.codes import NO_INDUSTRY, is_risky
 from ..functions.exprs import holds, rank_share
 
 #: Thresholds of the screens.
@@ -152,3 +152,58 @@ def recommend_b2(rows: DataFrame, instruments: DataFrame, sectors: DataFrame, ga
     own = own.where(F.col("gap_pct").between(*gap) & (liquidity >= least_liquidity) & F.col("pct_chg").between(*change))
     score = 18 - F.abs(F.col("gap_pct") - 6) + F.least(liquidity, F.lit(10.0)) + 5 * _leading()
     return recommend(own, _score(score), [F.lit("short line below the long one"), F.lit("rising today"), _sector_reason()], instruments, sectors)
+
+
+def tenths(x: Column) -> Column:
+    """A number with one decimal, as text."""
+    return (F.floor(x * 10 + 0.5) / 10).cast("decimal(18,1)").cast("string")
+
+
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+def _listed(own: DataFrame, strategy: str, score: Column, digits: int, reasons: list[Column], instruments: DataFrame, *order: Column) -> DataFrame:
+    """The best of each date without risky names: strategy, code, date, name, close, amount in units, score, position and reasons."""
+    named = own.drop("name", "industry", "position").join(instruments.select("ts_code", "name", "industry"), "ts_code", "left").where(~is_risky(F.col("name")))
+    best = top_by_date(named, *order, F.desc("amount20"), n=RECOMMENDED)
+    unit = F.floor(F.col("amount20") / 100_000 * 10 + 0.5) / 10
+    return best.select(
+        F.lit(strategy).alias("strategy"), "ts_code", "trade_date", F.coalesce("name", "ts_code").alias("name"), F.coalesce("industry", F.lit(NO_INDUSTRY)).alias("industry"), "close",
+        unit.alias("amount_unit"), (F.floor(score * 10.0**digits + 0.5) / 10.0**digits).alias("score"), "position", F.array_join(F.array(*reasons), "; ").alias("reasons"),
+    )
+
+
+def _turnover() -> Column:
+    return _said("mean amount of 20 bars ", tenths(F.col("amount20") / 100_000))
+
+
+def recommend_breakouts(rows: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Of rows with breakout_signal, by how far they broke out."""
+    strength, ratio = F.col("breakout_strength"), F.col("vol_ratio20")
+    why = [_said("above the high of 55 bars by ", tenths(strength), "%"), _said("volume ", tenths(ratio), " times its mean"), _turnover()]
+    return _listed(rows.where("breakout_signal"), "breakout", strength * 10 + ratio, 2, why, instruments, F.desc("breakout_strength"))
+
+
+def recommend_trends(rows: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Of rows with trend_signal, by score."""
+    why = [F.lit("means of 20, 60 and 120 in order"), F.lit("the slowest rising for 20 bars"), _said("return of 120 bars ", tenths(F.col("ret120") * 100), "%"), _turnover()]
+    return _listed(rows.where("trend_signal"), "trend", F.col("trend_score"), 2, why, instruments, F.desc("trend_score"))
+
+
+def observe_reversals(features: DataFrame, instruments: DataFrame) -> DataFrame:
+    """The month ends' reversal pool, whatever the regime. The pool is cut to its size first; risky names leave gaps in it."""
+    pool = top_by_date(reversal_candidates(features), F.desc("amount20"))
+    why = [_said("formation return ", tenths(F.col("formation") * 100), "%"), F.lit("the latest week left out"), _turnover(), _said("market median of 20 bars ", tenths(F.col("median20") * 100), "%")]
+    return _listed(pool, "r1", F.col("amount20") / 100_000, 1, why, instruments)
+
+
+def recommend_values(selected: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Of the value-quality screen's selected rows, by score; a list to look into."""
+    c = F.col
+    pair = lambda a, b: (tenths(c(a)), " and ", tenths(c(b)))
+    why = [
+        _said("return on equity, median and least of the reports ", *pair("roe_median", "roe_min")), _said("margin ", tenths(c("margin_median"))),
+        _said("growth of revenue and profit ", *pair("revenue_yoy_median", "profit_yoy_median")), _said("price to earnings and book ", *pair("pe", "pb")), F.lit("cash flow positive in the reports"),
+    ]
+    return _listed(selected, "value_quality", c("score"), 1, why, instruments, F.desc("score"))

@@ -64,6 +64,36 @@ def rank(factor_rows: DataFrame, least_members: int = LEAST_MEMBERS) -> DataFram
     return out.drop(*(c for c in out.columns if c.startswith("_")))
 
 
+#: Fixed value: sessions that a ranking may look back, the longest window and the highs and some more.
+LOOK_BACK = max(WINDOWS) + HIGH_DATES + 20
+
+
+def pending(calendar: DataFrame, stored: DataFrame | None, until=None) -> DataFrame:
+    """Dates of the calendar, up to one of them, that the stored rankings lack."""
+    own = calendar if until is None else calendar.where(F.col("trade_date") <= F.lit(until).cast("date"))
+    return own if stored is None else own.join(stored.select("trade_date").distinct(), "trade_date", "left_anti")
+
+
+def rank_pending(load, instruments: DataFrame, calendar: DataFrame, stored: DataFrame | None = None, until=None, least_members: int = LEAST_MEMBERS) -> DataFrame | None:
+    """Rankings of the pending dates, from the bars that they can depend on; None if none is pending.
+
+    ``load(start, end)`` reads the bars of a range, so that its table prunes by date. The range goes from LOOK_BACK sessions before the first
+    pending date to the last one, as two dates that come to the driver."""
+    wanted = pending(calendar, stored, until)
+    ends = wanted.agg(F.min("trade_index").alias("first"), F.max("trade_index").alias("last")).first()
+    if ends["first"] is None:
+        return None
+    span = calendar.where(F.col("trade_index").between(ends["first"] - LOOK_BACK, ends["last"]))
+    start, end = span.agg(F.min("trade_date"), F.max("trade_date")).first()
+    return rank(factors(load(start, end), instruments, span), least_members).join(wanted.select("trade_date"), "trade_date", "left_semi")
+
+
+def last_dates(ranked: DataFrame, n: int) -> DataFrame:
+    """The rankings of the last n distinct dates."""
+    days = ranked.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(n)
+    return ranked.join(days, "trade_date", "left_semi")
+
+
 def leaders(bars: DataFrame, instruments: DataFrame, calendar: DataFrame, n: int = 5) -> DataFrame:
     """Per date and industry, the best returns over five intervals of the calendar."""
     own = bars.join(instruments.select("ts_code", "name", "industry"), "ts_code").where("industry IS NOT NULL").join(F.broadcast(calendar), "trade_date").select("ts_code", "name", "industry", "trade_date", "trade_index", "close")
@@ -73,8 +103,10 @@ def leaders(bars: DataFrame, instruments: DataFrame, calendar: DataFrame, n: int
     return both.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).select("trade_date", "industry", "ts_code", "name", "ret_5d", "position")
 
 
-def confirmation(ranked: DataFrame, look_back: int = 20) -> DataFrame:
-    """Per date: leader, its score, the gap to the second, dates on top in a row (up to look_back) and the level."""
+def confirmation(ranked: DataFrame, look_back: int = 20, level_strength: bool = False) -> DataFrame:
+    """Per date: leader, its score, the gap to the second, dates on top in a row (up to look_back) and the level.
+
+    strength is 2, 1 or 0 by score and gap alone, or, with ``level_strength``, by the level: strong, emerging or candidate, none."""
     top = ranked.where("rank <= 2").groupBy("trade_date").agg(F.max(F.when(F.col("rank") == 1, F.col("industry"))).alias("main_line"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("main_score"), F.max(F.when(F.col("rank") == 2, F.col("industry"))).alias("second_line"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("_second"))
     # one row a date; islands of the same leader by the difference of two row numbers
     w, own = Window.orderBy("trade_date"), Window.partitionBy("main_line").orderBy("trade_date")
@@ -82,28 +114,45 @@ def confirmation(ranked: DataFrame, look_back: int = 20) -> DataFrame:
     streak = F.row_number().over(Window.partitionBy("main_line", "_island").orderBy("trade_date"))
     top = top.withColumns({"consecutive_days": F.least(streak, F.lit(look_back)), "gap": F.floor((F.col("main_score") - F.coalesce("_second", F.lit(0.0))) * 1e6 + 0.5) / 1e6})
     strength = F.when((F.col("main_score") >= SCORE_LIMIT) & (F.col("gap") >= GAP_LIMIT), 2).when(F.col("main_score") >= SCORE_LIMIT, 1).otherwise(0)
+    top = top.withColumn("strength", strength)
     level = F.when((F.col("strength") == 2) & (F.col("consecutive_days") >= CONFIRM_DAYS), "strong").when(F.col("strength") == 2, "emerging").when(F.col("strength") == 1, "candidate").otherwise("none")
-    return top.withColumn("strength", strength).withColumn("level", level).drop("_second", "_island")
+    top = top.withColumn("level", level)
+    if level_strength:
+        top = top.withColumn("strength", F.when(F.col("level") == "strong", 2).when(F.col("level") == "none", 0).otherwise(1))
+    return top.drop("_second", "_island")
+
+
+#: Dates before the leader's own that its run is counted back, and the units and digits of a payload's factors.
+RUN_BACK = 10
+PAYLOAD = {"return_5d": ("return_5d", 100, 2), "turnover_billion": ("turnover", 1e-8, 1), "breadth_pct": ("breadth", 100, 1), "new_high_pct": ("new_high_ratio", 100, 1), "relative_strength": ("relative_strength", 1, 2)}
+
+
+def _digits(c: Column, n: int) -> Column:
+    return F.floor(c * 10.0**n + 0.5) / 10.0**n
 
 
 def main_line_payload(ranked: DataFrame, bars: DataFrame, instruments: DataFrame, top: int = 10) -> DataFrame:
-    """Per date: the main line, its score, run and level, how clear it is, and the leading sectors with their constituents,
-    largest amount first, nested. A sector's stocks on a date are a few hundred at most."""
-    signal = confirmation(ranked).select("trade_date", "main_line", "main_score", "consecutive_days", "level")
-    clarity = F.when(F.col("level").isin("strong", "emerging"), "clear").otherwise("fuzzy")
-    listed = ranked.where(F.col("rank") <= top).select("trade_date", "industry", "rank", "score")
-    own = bars.join(instruments.where("delist_date IS NULL").select("ts_code", "name", "industry"), "ts_code")
-    stock = F.struct((-F.col("amount")).alias("_order"), "ts_code", "name", "close", "pct_chg", "amount")
-    sectors = own.join(listed, ["trade_date", "industry"]).groupBy("trade_date", "industry", "rank", "score").agg(F.transform(F.array_sort(F.collect_list(stock)), lambda x: x.dropFields("_order")).alias("stocks"))
-    nested = sectors.groupBy("trade_date").agg(F.array_sort(F.collect_list(F.struct("rank", "industry", "score", "stocks"))).alias("sectors"))
-    return signal.withColumn("clarity", clarity).join(nested, "trade_date")
+    """Per date: the main line, its score, gap, run, level and strength, how clear it is, and the leading sectors with their factors and
+    constituents, largest amount first, nested. A sector's constituents on a date are a few hundred at most; a sector without
+    any has an empty list. Scores and gaps have four digits and decide with them."""
+    own = ranked.withColumn("score", _digits(F.col("score"), 4))
+    signal = confirmation(own, RUN_BACK + 1, level_strength=True).select("trade_date", "main_line", "main_score", "gap", "consecutive_days", "level", "strength")
+    clarity = F.when(F.col("level").isin("strong", "emerging"), "clear").when(F.col("level").isNotNull(), "fuzzy").otherwise("rotating")
+    listed = own.where(F.col("rank") <= top).select("trade_date", "industry", "rank", "score", *(_digits(F.col(c) * unit, n).alias(name) for name, (c, unit, n) in PAYLOAD.items()))
+    known = bars.join(instruments.where("delist_date IS NULL").select("ts_code", "name", "industry"), "ts_code").select("trade_date", "industry", "ts_code", "name", "close", "pct_chg", "amount")
+    member = F.struct((-F.col("amount")).alias("_order"), "ts_code", "name", "close", "pct_chg", "amount")
+    members = F.when(F.col("ts_code").isNotNull(), member)  # collect_list leaves nulls out
+    keys = ["trade_date", "industry", "rank", "score", *PAYLOAD]
+    sectors = listed.join(known, ["trade_date", "industry"], "left").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(members)), lambda x: x.dropFields("_order")).alias("constituents"))
+    nested = sectors.groupBy("trade_date").agg(F.array_sort(F.collect_list(F.struct("rank", "industry", "score", *PAYLOAD, "constituents"))).alias("sectors"))
+    return nested.join(signal, "trade_date", "left").withColumn("clarity", clarity)
 
 
 def rotation(ranked: DataFrame, dates: int = 30, top: int = 12) -> DataFrame:
     """Long form of the rotation matrix: the last dates by the latest date's leading industries; score 0 where missing."""
-    last = ranked.select("trade_date").distinct().withColumn("_r", F.row_number().over(Window.orderBy(F.desc("trade_date")))).where(F.col("_r") <= dates)
-    names = ranked.join(F.broadcast(last.where("_r = 1").select("trade_date")), "trade_date", "left_semi").where(F.col("rank") <= top).select("industry")
-    grid = F.broadcast(last.select("trade_date")).crossJoin(F.broadcast(names))  # dates x top cells, both parameters
+    ranked = last_dates(ranked, dates)
+    names = last_dates(ranked, 1).where(F.col("rank") <= top).select("industry")
+    grid = F.broadcast(ranked.select("trade_date").distinct()).crossJoin(F.broadcast(names))  # dates x top cells, both parameters
     return grid.join(ranked.select("trade_date", "industry", "score"), ["trade_date", "industry"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -113,10 +162,17 @@ def rotation_matrix(ranked: DataFrame, dates: int = 30, top: int = 12) -> DataFr
 
 
 def as_of(dates: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each asked date, the latest known one that isn't later, by one sorted pass over both."""
-    both = dates.select(F.col("trade_date").alias("day"), F.col("trade_date").alias("known"), F.lit(0).alias("_q")).union(asked.select("day", F.lit(None).cast("date"), F.lit(1)))
-    w = Window.orderBy("day", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("known", F.last("known", ignorenulls=True).over(w)).where("_q = 1").select("day", "known").distinct()
+    """For each distinct asked day, the latest known trade_date that isn't later; null where there is none.
+
+    Both are merged month by month; a month's first days carry on the last date of the months before, of which one row each is ordered
+    in one task."""
+    month = lambda c: F.trunc(c, "MM").alias("_m")
+    known = dates.select("trade_date").distinct().select(month("trade_date"), F.col("trade_date").alias("day"), F.col("trade_date").alias("known"))
+    both = known.unionByName(asked.select("day").distinct().select(month("day"), "day", F.lit(None).cast("date").alias("known")).withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    inside = F.last("known", ignorenulls=True).over(Window.partitionBy("_m").orderBy("day", F.col("_asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    months = both.groupBy("_m").agg(F.max("known").alias("_last"))
+    carried = months.select("_m", F.last("_last", ignorenulls=True).over(Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    return both.withColumn("known", inside).where("_asked").join(carried, "_m").select("day", F.coalesce("known", "_carried").alias("known"))
 
 
 # --- concept boards -----------------------------------------------------------------------------------------------------
@@ -131,27 +187,48 @@ def rank_boards(members: DataFrame, bars: DataFrame) -> DataFrame:
     return b.withColumn("rank", F.row_number().over(w))
 
 
+def member_bridge(landed: DataFrame, instruments: DataFrame) -> DataFrame:
+    """(trade_date, concept_code, ts_code, stock_name, member_rank) from members as pages list them: trade_date, concept_code, symbol,
+    stock_name, page, place.
+
+    Of a symbol that a board lists several times the first place counts; member_rank numbers those that stay. A symbol becomes a code by
+    the instruments; of several instruments with one symbol the smallest code. Symbols that no instrument has are left out."""
+    first = Window.partitionBy("trade_date", "concept_code", "symbol").orderBy("page", "place", "stock_name")
+    order = Window.partitionBy("trade_date", "concept_code").orderBy("page", "place", "symbol")
+    once = landed.withColumn("symbol", F.trim("symbol")).withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("member_rank", F.row_number().over(order))
+    codes = instruments.groupBy("symbol").agg(F.min("ts_code").alias("ts_code"))
+    return once.join(codes, "symbol").select("trade_date", "concept_code", "ts_code", "stock_name", "member_rank")
+
+
 def limit_up_counts(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int = 10) -> DataFrame:
     """Leading boards with their members' limit-ups; null if no member has prices that day."""
     return _board_members(boards, members, bars, instruments, top).groupBy("trade_date", "concept_code", "rank").agg(*_limit_ups())
 
 
 def board_payload(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int = 10) -> DataFrame:
-    """The same with stocks: each board's members by code, nested, with the dimension's names and the day's bar where there is one."""
-    stock = F.struct("ts_code", "name", "industry", "close", "pct_chg", "amount")
-    return _board_members(boards, members, bars, instruments, top).groupBy("trade_date", "concept_code", "rank").agg(*_limit_ups(), F.array_sort(F.collect_list(stock)).alias("stocks"))
+    """The same with what the boards are and their members, in rank order, nested, with the dimension's names, or else those that the
+    board's page gave, and the day's bar where there is one. A board without members has an empty list."""
+    member = F.when(F.col("ts_code").isNotNull(), F.struct("member_rank", "ts_code", "name", "industry", *(_digits(F.col(c), 2).alias(c) for c in ("close", "pct_chg", "amount"))))
+    keys = ["trade_date", "concept_code", "rank", "pct_chg", "net_inflow", "breadth_pct"]
+    own = _board_members(boards, members, bars, instruments, top)
+    board = boards.where(F.col("rank") <= top).select("trade_date", "concept_code", _digits(F.col("pct_chg"), 2).alias("pct_chg"), _digits(F.col("amount") / 1e8, 2).alias("net_inflow"), _digits(F.col("breadth_pct"), 1).alias("breadth_pct"))
+    nested = own.groupBy("trade_date", "concept_code", "rank").agg(*_limit_ups(), F.array_sort(F.collect_list(member)).alias("members_listed"))
+    return nested.join(board, ["trade_date", "concept_code"]).select(*keys, "members", "limit_ups", "members_listed")
 
 
 def _board_members(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int) -> DataFrame:
+    """Leading boards' members, in a row of nulls for a board without any."""
     listed = boards.where(F.col("rank") <= top).select("trade_date", "concept_code", "rank")
-    own = listed.join(members.select("trade_date", "concept_code", "ts_code"), ["trade_date", "concept_code"])
-    return own.join(instruments.select("ts_code", "name", "industry"), "ts_code", "left").join(bars.select("trade_date", "ts_code", "pre_close", "close", "pct_chg", "amount"), ["trade_date", "ts_code"], "left")
+    given = F.col("stock_name") if "stock_name" in members.columns else F.lit(None).cast("string")
+    own = listed.join(members.select("trade_date", "concept_code", "ts_code", "member_rank", given.alias("_given")), ["trade_date", "concept_code"], "left")
+    named = own.join(instruments.select("ts_code", "name", "industry"), "ts_code", "left").withColumn("name", F.coalesce("name", "_given")).drop("_given")
+    return named.join(bars.select("trade_date", "ts_code", "pre_close", "close", "pct_chg", "amount"), ["trade_date", "ts_code"], "left")
 
 
 def _limit_ups() -> list[Column]:
     up = is_limit_up(F.col("ts_code"), F.col("name"), F.col("trade_date"), F.col("pre_close"), F.col("close"))
     priced = F.count(F.when(F.col("close").isNotNull() & F.col("pre_close").isNotNull(), 1))
-    return [F.count("*").alias("members"), F.when(priced > 0, F.sum(F.when(up, 1).otherwise(0))).alias("limit_ups")]
+    return [F.count("ts_code").alias("members"), F.when(priced > 0, F.sum(F.when(up, 1).otherwise(0))).alias("limit_ups")]
 
 
 def focus(boards: DataFrame, members: DataFrame, bars: DataFrame, top: int = 10, least: int = 2) -> DataFrame:

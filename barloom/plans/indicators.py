@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rounded
+from ..functions.exprs import crosses_above, rounded
 from ..operators import indicators as ind
-from ..sources import panel
+from ..sources import panel, stored, tables
 from .registry import query
 from .sql import d, full, lead, r, up, with_
 
@@ -44,6 +46,24 @@ def kdj(spark, sf_dir):
     return rounded(ind.kdj(panel.bars(spark, sf_dir)))
 
 
+@query(with_(["kdj"], f"SELECT {CODE}, {r('k')}, {r('d')}, {r('j')} FROM kdj"))
+def kdj_resumed(spark, sf_dir):
+    """The same in two parts: the later bars with the state after the earlier ones, none of which they read."""
+    bars = panel.bars(spark, sf_dir)
+    early, late = bars.where("trade_date < '1996-06-01'"), bars.where("trade_date >= '1996-06-01'")
+    both = ind.recursive(early).union(ind.recursive(late, ind.recursion_state(early)))
+    return rounded(both.where("k is not null").select("ts_code", "trade_date", "k", "d", "j"))
+
+
+@query(with_(["kdj"], f"SELECT {CODE}, {r('k')}, {r('d')} FROM (SELECT *, {up('k', 'd')} AS hit FROM kdj) WHERE hit"))
+def stored_kdj_crosses(spark, sf_dir):
+    """Where k crosses above d, over the indicator as a table stored by instrument: its windows need no shuffle."""
+    name = f"kdj_{uuid.uuid4().hex}"
+    stored.store_indicator(ind.kdj(panel.bars(spark, sf_dir)), name, f"{tables.shared_folder(spark).rstrip('/')}/barloom/{name}", 8)
+    rows = stored.load_indicator(spark, name)
+    return rounded(rows.withColumn("hit", crosses_above("k", "d")).where("hit").select("ts_code", "trade_date", "k", "d"))
+
+
 @query(with_(["lines"], f"SELECT {CODE}, {r('trend_short / close', 'trend_short_ratio')}, {r('bull_bear / close', 'bull_bear_ratio')} FROM lines JOIN bars USING (ts_code, trade_date)"))
 def trend_lines(spark, sf_dir):
     return rounded(ind.recursive(ind.add_bull_bear(panel.bars(spark, sf_dir))).select("ts_code", "trade_date", (F.col("trend_short") / F.col("close")).alias("trend_short_ratio"), (F.col("bull_bear") / F.col("close")).alias("bull_bear_ratio")))

@@ -123,26 +123,31 @@ def recommend_b2(spark, sf_dir):
     return rounded(best.select("ts_code", "trade_date", "name", "score", "gap_pct", F.col("sector_rank").cast("long").alias("sector_rank"), "reasons", "position"))
 
 
-def _list(strategy: str, score: str, order: str, source: str) -> str:
-    return f"SELECT '{strategy}' AS strategy, {CODE}, name, {r(score, 'score')}, {r('amount20 / 100000', 'amount_unit')}, position FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY {order}, ts_code) AS position FROM {source} LEFT JOIN instruments USING (ts_code) WHERE {_OK}) WHERE position <= 8"
+def _list(strategy: str, score: str, digits: int, order: str, source: str, *why: str) -> str:
+    reasons = " || '; ' || ".join(why)
+    return f"""SELECT '{strategy}' AS strategy, ts_code, {d()}, coalesce(name, ts_code) AS name, coalesce(industry, '未分类') AS industry, {r('close')}, floor(amount20 / 100000 * 10 + 0.5) / 10 AS amount_unit,
+  floor(({score}) * 1e{digits} + 0.5) / 1e{digits} AS score, position, {reasons} AS reasons FROM (SELECT t.*, i.name, i.industry, row_number() OVER (PARTITION BY trade_date ORDER BY {order}, ts_code) AS position FROM ({source}) t LEFT JOIN instruments i USING (ts_code) WHERE {_OK.replace('name', 'i.name')}) WHERE position <= 8"""
 
 
-@query(with_(["tech", "losers", "instruments"], " UNION ALL ".join([
-    _list("breakout", "breakout_strength * 10 + vol_ratio20", "breakout_strength DESC, amount20 DESC", "(SELECT * FROM tech WHERE breakout_signal)"),
-    _list("trend", "trend_score", "trend_score DESC, amount20 DESC", "(SELECT * FROM tech WHERE trend_signal)"),
-    _list("r1", "amount20 / 100000", "amount20 DESC", "losers"),
+def _t(x: str) -> str:
+    return f"(floor(({x}) * 10 + 0.5) / 10)::DECIMAL(18,1)::VARCHAR"
+
+
+_LIQUID = "'mean amount of 20 bars ' || " + _t("amount20 / 100000")
+
+
+@query(with_(["tech", "losers", "instruments", "value_hits"], " UNION ALL ".join([
+    _list("breakout", "breakout_strength * 10 + vol_ratio20", 2, "breakout_strength DESC, amount20 DESC", "SELECT * FROM tech WHERE breakout_signal", f"'above the high of 55 bars by ' || {_t('breakout_strength')} || '%'", f"'volume ' || {_t('vol_ratio20')} || ' times its mean'", _LIQUID),
+    _list("trend", "trend_score", 2, "trend_score DESC, amount20 DESC", "SELECT * FROM tech WHERE trend_signal", "'means of 20, 60 and 120 in order'", "'the slowest rising for 20 bars'", f"'return of 120 bars ' || {_t('ret120 * 100')} || '%'", _LIQUID),
+    _list("r1", "amount20 / 100000", 1, "amount20 DESC", "SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY amount20 DESC, ts_code) AS place FROM losers) WHERE place <= 20", f"'formation return ' || {_t('formation * 100')} || '%'", "'the latest week left out'", _LIQUID, f"'market median of 20 bars ' || {_t('median20 * 100')} || '%'"),
+    _list("value_quality", "score", 1, "score DESC, amount20 DESC", "SELECT * EXCLUDE (name, position) FROM value_hits", f"'return on equity, median and least of the reports ' || {_t('roe_median')} || ' and ' || {_t('roe_min')}", f"'margin ' || {_t('margin_median')}",
+          f"'growth of revenue and profit ' || {_t('revenue_yoy_median')} || ' and ' || {_t('profit_yoy_median')}", f"'price to earnings and book ' || {_t('pe')} || ' and ' || {_t('pb')}", "'cash flow positive in the reports'"),
 ])))
 def recommend_technical(spark, sf_dir):
-    """The best eight of each date for breakouts, trends and reversal observations (those whatever the regime)."""
-    rows = ind.breakout_and_trend(ind.reversal_features(panel.bars(spark, sf_dir)))
-    names = F.broadcast(panel.instruments(spark, sf_dir).select("ts_code", "name"))
-
-    def best(strategy, hits, score, *order):
-        own = hits.join(names, "ts_code", "left").where(~is_risky(F.col("name")))
-        top = screens.top_by_date(own, *order, n=screens.RECOMMENDED)
-        return top.select(F.lit(strategy).alias("strategy"), "ts_code", "trade_date", "name", score.alias("score"), (F.col("amount20") / 100_000).alias("amount_unit"), "position")
+    """The best eight of each date with their reasons: breakouts, trends, the reversal pool whatever the regime, and the value screen's rows."""
+    from . import fundamentals
 
-    a = best("breakout", rows.where("breakout_signal"), F.col("breakout_strength") * 10 + F.col("vol_ratio20"), F.desc("breakout_strength"), F.desc("amount20"))
-    b = best("trend", rows.where("trend_signal"), F.col("trend_score"), F.desc("trend_score"), F.desc("amount20"))
-    c = best("r1", screens.reversal_candidates(rows), F.col("amount20") / 100_000, F.desc("amount20"))
-    return rounded(a.union(b).union(c))
+    rows = ind.breakout_and_trend(ind.reversal_features(panel.bars(spark, sf_dir)))
+    names = panel.instruments(spark, sf_dir)
+    lists = [screens.recommend_breakouts(rows, names), screens.recommend_trends(rows, names), screens.observe_reversals(rows, names), screens.recommend_values(fundamentals.value_hits(spark, sf_dir), names)]
+    return rounded(lists[0].union(lists[1]).union(lists[2]).union(lists[3]))

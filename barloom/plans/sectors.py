@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.exprs import rounded
 from ..operators import indicators as ind
 from ..operators import screens
 from ..operators import sectors as sec
-from ..sources import panel
+from ..sources import panel, tables
 from .registry import query
 from .sql import cte, d, r, with_
 
@@ -92,13 +94,47 @@ def sector_pool(spark, sf_dir):
     return rounded(lists.select("trade_date", "industry", "rank", F.size("l").alias("n_stocks"), F.array_join(F.col("l.ts_code"), ",").alias("stocks")))
 
 
-@query(with_(["signal", "own"], f""", k AS (SELECT k.trade_date, k.industry, k.rank, k.score, string_agg(o.ts_code, ',' ORDER BY o.amount DESC, o.ts_code) AS stocks FROM ranked k JOIN own o ON o.trade_date = k.trade_date AND o.industry = k.industry WHERE k.rank <= 10 GROUP BY ALL)
-SELECT {d('trade_date')}, main_line, main_score, consecutive_days, level, CASE WHEN level IN ('strong', 'emerging') THEN 'clear' ELSE 'fuzzy' END AS clarity, sectors FROM signal s JOIN (SELECT trade_date, string_agg(rank || ':' || industry || ':' || floor(score * 10000 + 0.5)::BIGINT || ':' || stocks, '|' ORDER BY rank) AS sectors FROM k GROUP BY trade_date) USING (trade_date)"""))
+_INTS = {"return_5d": ("return_5d * 100", 2), "turnover_billion": ("turnover * 1e-8", 1), "breadth_pct": ("breadth * 100", 1), "new_high_pct": ("new_high_ratio * 100", 1), "relative_strength": ("relative_strength", 2)}
+_FOUR = """, four AS (SELECT * EXCLUDE (score), floor(score * 1e4 + 0.5) / 1e4 AS score FROM ranked),
+lead4 AS (SELECT trade_date, max(industry) FILTER (rank = 1) AS main_line, max(score) FILTER (rank = 1) AS main_score, coalesce(max(score) FILTER (rank = 2), 0) AS second FROM four GROUP BY trade_date),
+run4 AS (SELECT *, floor((main_score - second) * 1e6 + 0.5) / 1e6 AS gap, row_number() OVER (ORDER BY trade_date) - row_number() OVER (PARTITION BY main_line ORDER BY trade_date) AS island FROM lead4),
+sig4 AS (SELECT *, CASE WHEN main_score >= 0.7 AND gap >= 0.1 THEN CASE WHEN days >= 3 THEN 'strong' ELSE 'emerging' END WHEN main_score >= 0.7 THEN 'candidate' ELSE 'none' END AS level FROM (SELECT *, least(row_number() OVER (PARTITION BY main_line, island ORDER BY trade_date), 11) AS days FROM run4))"""
+
+
+@query(with_(["ranked", "own", "instruments"], _FOUR + f""", k AS (SELECT k.trade_date, k.industry, k.rank, k.score, {', '.join(f'any_value(floor(k.{x} * 1e{n} + 0.5))::BIGINT AS {c}' for c, (x, n) in _INTS.items())}, coalesce(string_agg(o.ts_code || '/' || i.name || '/' || floor(o.close * 1e4 + 0.5)::BIGINT, ',' ORDER BY o.amount DESC, o.ts_code), '') AS listed
+  FROM four k LEFT JOIN own o ON o.trade_date = k.trade_date AND o.industry = k.industry LEFT JOIN instruments i ON i.ts_code = o.ts_code WHERE k.rank <= 10 GROUP BY ALL)
+SELECT {d('trade_date')}, main_line, main_score, gap, days AS consecutive_days, level, CASE level WHEN 'strong' THEN 2::BIGINT WHEN 'none' THEN 0 ELSE 1 END AS strength, CASE WHEN level IN ('strong', 'emerging') THEN 'clear' ELSE 'fuzzy' END AS clarity, sectors FROM sig4 s
+JOIN (SELECT trade_date, string_agg(concat_ws(':', rank, industry, floor(score * 10000 + 0.5)::BIGINT, {', '.join(_INTS)}, listed), '|' ORDER BY rank) AS sectors FROM k GROUP BY trade_date) USING (trade_date)"""))
 def mainline_payload(spark, sf_dir):
-    """The nested sectors are written as text, which SQL engines agree on."""
+    """The nested sectors are written as text, which SQL engines agree on; factors in units of their last digit."""
     found = sec.main_line_payload(ranking(spark, sf_dir), panel.bars(spark, sf_dir), panel.instruments(spark, sf_dir))
-    text = F.transform("sectors", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["industry"], F.floor(x["score"] * 10000 + 0.5).cast("string"), F.array_join(x["stocks"]["ts_code"], ",")))
-    return rounded(found.withColumn("sectors", F.array_join(text, "|")))
+    whole = lambda x, n: F.coalesce(F.floor(x * 10**n + 0.5).cast("string"), F.lit(None))
+    one = lambda m: F.concat_ws("/", m["ts_code"], m["name"], whole(m["close"], 4))
+    text = F.transform("sectors", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["industry"], whole(x["score"], 4), *(whole(x[c], n) for c, (_, n) in _INTS.items()), F.array_join(F.transform(x["constituents"], one), ",")))
+    return rounded(found.withColumn("sectors", F.array_join(text, "|")).select("trade_date", "main_line", "main_score", "gap", "consecutive_days", "level", "strength", "clarity", "sectors"))
+
+
+@query(with_(["ranked"], f"SELECT {d()}, industry, score, rank, {r('return_5d')}, {r('turnover / 1e8', 'turnover')} FROM ranked"))
+def backfilled_rankings(spark, sf_dir):
+    """The stored ranking of every date, in two runs: the first stops half-way, the second takes the dates that it lacks."""
+    at = f"{tables.shared_folder(spark).rstrip('/')}/barloom/backfill-{uuid.uuid4().hex}"
+    bars = panel.bars(spark, sf_dir)
+    tables.put_partitions(bars.withColumn("trade_month", F.trunc("trade_date", "MM")), f"{at}/bars", "trade_month")
+    load = lambda start, end: tables.load_bars(spark, f"{at}/bars", start, end)
+    names, calendar = panel.instruments(spark, sf_dir), panel.calendar(load(None, None))
+    for until in ("1996-06-30", None):
+        stored = tables.read_table(spark, f"{at}/rankings") if until is None else None
+        fresh = sec.rank_pending(load, names, calendar, stored, until)
+        if fresh is not None:
+            tables.put_partitions(fresh.withColumn("trade_month", F.trunc("trade_date", "MM")) if stored is None else _with_stored_months(fresh, stored), f"{at}/rankings", "trade_month")
+    out = tables.read_table(spark, f"{at}/rankings")
+    return rounded(out.select("trade_date", "industry", "score", "rank", "return_5d", (F.col("turnover") / 1e8).alias("turnover")))
+
+
+def _with_stored_months(fresh, stored):
+    """The new rows and what is stored of their months, as a month is put in place whole."""
+    own = fresh.withColumn("trade_month", F.trunc("trade_date", "MM"))
+    return own.unionByName(stored.join(own.select("trade_month").distinct(), "trade_month", "left_semi"))
 
 
 @query(with_(["calendar"], "SELECT strftime(day, '%Y%m%d') AS day, strftime(max(trade_date), '%Y%m%d') AS known FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) LEFT JOIN calendar ON trade_date <= day GROUP BY day"))
@@ -124,11 +160,11 @@ def concept_rank(spark, sf_dir):
     return rounded(_boards(spark, sf_dir)[2].select("trade_date", "concept_code", "rank", "pct_chg", "breadth_pct", "members"))
 
 
-_RATE = "CASE WHEN ts_code LIKE '%.BJ' THEN 0.30 WHEN substr(ts_code, 1, 3) IN ('300','301','688','689') THEN 0.20 WHEN contains(upper(coalesce(name, '')), 'ST') AND trade_date < DATE '2026-07-06' THEN 0.05 ELSE 0.10 END::DECIMAL(4,2)"
+_RATE = "CASE WHEN ts_code LIKE '%.BJ' THEN 0.30 WHEN substr(ts_code, 1, 3) IN ('300','301','688','689') THEN 0.20 WHEN starts_with(ltrim(upper(coalesce(name, '')), '*'), 'ST') AND trade_date < DATE '2026-07-06' THEN 0.05 ELSE 0.10 END::DECIMAL(4,2)"
 
 
 _LIMIT_UPS = f""", pb AS (SELECT *, CASE WHEN substr(ts_code, 4, 3)::INT % 5 = 0 THEN floor(close / (1 + {_RATE})::DOUBLE * 100 + 0.5) / 100 ELSE pre END AS pc FROM (SELECT bars.* EXCLUDE (close), floor(close * 100 + 0.5) / 100 AS close, floor(pre_close * 100 + 0.5) / 100 AS pre, name FROM bars LEFT JOIN instruments USING (ts_code))),
-m AS (SELECT k.trade_date, k.concept_code, k.rank, m.ts_code, b.close, b.pc, b.pc > 0 AND b.close::DECIMAL(18,2) = round(b.pc::DECIMAL(18,2) * (1 + {_RATE.replace('trade_date', 'k.trade_date').replace('ts_code', 'm.ts_code')}), 2)::DECIMAL(18,2) AS up FROM boards k JOIN members m USING (trade_date, concept_code) LEFT JOIN pb b ON b.trade_date = k.trade_date AND b.ts_code = m.ts_code WHERE k.rank <= 10)"""
+m AS (SELECT k.trade_date, k.concept_code, k.rank, m.ts_code, b.close, b.pc, b.pc > 0 AND b.close::DECIMAL(18,2) = round(b.pc::DECIMAL(24,8) * (1 + {_RATE.replace('trade_date', 'k.trade_date').replace('ts_code', 'm.ts_code')}), 2)::DECIMAL(18,2) AS up FROM boards k JOIN members m USING (trade_date, concept_code) LEFT JOIN pb b ON b.trade_date = k.trade_date AND b.ts_code = m.ts_code WHERE k.rank <= 10)"""
 _COUNTED = "count(*) AS members, CASE WHEN count(*) FILTER (close IS NOT NULL AND pc IS NOT NULL) > 0 THEN count(*) FILTER (up) END AS limit_ups"
 
 
@@ -149,14 +185,42 @@ def concept_limit_up(spark, sf_dir):
     return rounded(sec.limit_up_counts(boards, members, *_limit_bars(spark, sf_dir)))
 
 
-@query(with_(["boards", "instruments"], _LIMIT_UPS + f" SELECT {d('trade_date')}, concept_code, rank, {_COUNTED}, string_agg(ts_code || ':' || coalesce(i.name, '') || ':' || coalesce(i.industry, '') || ':' || coalesce((floor(close * 100 + 0.5)::BIGINT)::VARCHAR, ''), '|' ORDER BY ts_code) AS stocks FROM m LEFT JOIN instruments i USING (ts_code) GROUP BY m.trade_date, concept_code, rank"))
+cte("landed", [], f"""SELECT date_trunc('week', l_shipdate)::DATE AS trade_date, p_brand AS concept_code, CASE WHEN l_suppkey % 11 = 4 THEN '999' || l_suppkey ELSE ' ' || split_part({_CODE}, '.', 1) END AS symbol, 'given ' || l_suppkey AS stock_name, l_linenumber AS page, l_orderkey AS place
+  FROM lineitem JOIN part ON l_partkey = p_partkey""")
+cte("bridge", ["landed", "instruments"], """SELECT trade_date, concept_code, i.ts_code, stock_name, member_rank FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, concept_code ORDER BY page, place, symbol) AS member_rank FROM (
+  SELECT * EXCLUDE (symbol), trim(symbol) AS symbol, row_number() OVER (PARTITION BY trade_date, concept_code, trim(symbol) ORDER BY page, place, stock_name) AS rn FROM landed) WHERE rn = 1) m JOIN (SELECT symbol, min(ts_code) AS ts_code FROM instruments GROUP BY symbol) i USING (symbol)""")
+
+
+def _landed(spark, sf_dir):
+    """Members as pages list them: every shipment of a brand is one, so instruments repeat; some symbols are unknown."""
+    line = panel.table(spark, sf_dir, "lineitem").join(panel.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    own = F.concat(F.lit(" "), F.split_part(panel.instrument_code("l_suppkey"), F.lit("."), F.lit(1)))
+    symbol = F.when(F.col("l_suppkey") % 11 == 4, F.concat(F.lit("999"), F.col("l_suppkey").cast("string"))).otherwise(own)
+    return line.select(F.to_date(F.date_trunc("week", "l_shipdate")).alias("trade_date"), F.col("p_brand").alias("concept_code"), symbol.alias("symbol"), F.concat(F.lit("given "), F.col("l_suppkey").cast("string")).alias("stock_name"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("place"))
+
+
+@query(with_(["bridge"], f"SELECT {d()}, concept_code, ts_code, stock_name, member_rank FROM bridge"))
+def member_bridge(spark, sf_dir):
+    """Boards' members by code, from pages with repeated and unknown symbols."""
+    return rounded(sec.member_bridge(_landed(spark, sf_dir), panel.instruments(spark, sf_dir)))
+
+
+@query(with_(["boards", "instruments", "bridge"], _LIMIT_UPS.split("\nm AS")[0].rstrip(",") + f""", names AS (SELECT * FROM instruments WHERE right(symbol, 1) <> '7'),
+m AS (SELECT k.trade_date, k.concept_code, k.rank, k.pct_chg AS board_change, k.amount AS board_amount, k.breadth_pct, m.ts_code, m.member_rank, coalesce(i.name, m.stock_name) AS name, i.industry, b.close, b.pc, b.pct_chg, b.amount,
+  coalesce(b.pc > 0 AND b.close::DECIMAL(18,2) = round(b.pc::DECIMAL(24,8) * (1 + {_RATE.replace('trade_date', 'k.trade_date').replace('ts_code', 'm.ts_code').replace('name', 'coalesce(i.name, m.stock_name)')}), 2)::DECIMAL(18,2), false) AS up
+  FROM boards k LEFT JOIN (SELECT * FROM bridge WHERE concept_code <> 'Brand#13') m USING (trade_date, concept_code) LEFT JOIN names i ON i.ts_code = m.ts_code LEFT JOIN pb b ON b.trade_date = k.trade_date AND b.ts_code = m.ts_code WHERE k.rank <= 10)
+SELECT {d('trade_date')}, concept_code, rank, floor(any_value(board_change) * 100 + 0.5) / 100 AS pct_chg, floor(any_value(board_amount) / 1e8 * 100 + 0.5) / 100 AS net_inflow, floor(any_value(breadth_pct) * 10 + 0.5) / 10 AS breadth_pct, count(ts_code) AS members, CASE WHEN count(*) FILTER (close IS NOT NULL AND pc IS NOT NULL) > 0 THEN count(*) FILTER (up) END AS limit_ups,
+  coalesce(string_agg(concat_ws(':', member_rank, ts_code, coalesce(name, ''), coalesce(industry, ''), coalesce((floor(close * 100 + 0.5)::BIGINT)::VARCHAR, ''), coalesce((floor(amount * 100 + 0.5)::BIGINT)::VARCHAR, '')), '|' ORDER BY member_rank) FILTER (ts_code IS NOT NULL), '') AS listed FROM m GROUP BY m.trade_date, concept_code, rank"""))
 def concept_payload(spark, sf_dir):
-    """The nested members are written as text, which SQL engines agree on; closes in hundredths."""
-    _, members, boards = _boards(spark, sf_dir)
-    found = sec.board_payload(boards, members, *_limit_bars(spark, sf_dir))
+    """Boards with members in the order of their pages, written as text, which SQL engines agree on; some instruments are unnamed and one brand's pages missing."""
+    boards = _boards(spark, sf_dir)[2]
+    own, names = _limit_bars(spark, sf_dir)
+    members = sec.member_bridge(_landed(spark, sf_dir), names).where("concept_code <> 'Brand#13'")
+    found = sec.board_payload(boards, members, own, names.where("right(symbol, 1) <> '7'"))
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    text = F.transform("stocks", lambda x: F.concat_ws(":", x["ts_code"], blank(x["name"]), blank(x["industry"]), blank(F.floor(x["close"] * 100 + 0.5))))
-    return rounded(found.withColumn("stocks", F.array_join(text, "|")))
+    cents = lambda c: blank(F.floor(c * 100 + 0.5))
+    text = F.transform("members_listed", lambda x: F.concat_ws(":", x["member_rank"].cast("string"), x["ts_code"], blank(x["name"]), blank(x["industry"]), cents(x["close"]), cents(x["amount"])))
+    return rounded(found.withColumn("listed", F.array_join(text, "|")).drop("members_listed"))
 
 
 @query(with_(["boards"], f"""SELECT {d()}, ts_code, concepts, concept_count, row_number() OVER (PARTITION BY f.trade_date ORDER BY concept_count DESC, pct_chg DESC NULLS LAST, amount DESC NULLS LAST, ts_code) AS focus_rank FROM (

@@ -81,18 +81,71 @@ def json_snapshot(spark, sf_dir):
     return rounded(out.select("event_id", "key", codes.lenient_number(F.col("text")).alias("value")))
 
 
-@query("""SELECT user_id, event_id::VARCHAR AS key, event_type AS name, floor(value * 1e6 + 0.5) / 1e6 AS pct_chg, CASE WHEN event_id % 3 > 0 THEN event_id % 3 END::DOUBLE AS net_inflow
+@query("""SELECT user_id, event_id::VARCHAR AS key, event_type || ' & <' || chr(233) || '>' AS name, floor(value * 1e6 + 0.5) / 1e6 AS pct_chg, CASE WHEN event_id % 3 > 0 THEN event_id % 3 END::DOUBLE AS net_inflow
 FROM events WHERE event_type <> '' AND event_id % 5 <> 0 AND NOT starts_with(event_type, 'view')""")
 def page_snapshot(spark, sf_dir):
-    """Pages with a hidden input of a JSON object of objects, as a source lands them (built here, one a user), parsed to rows."""
+    """Pages with a hidden input of a JSON object of objects, as a source lands them (built here, one a user), parsed to rows.
+
+    Attributes stand in several orders and quotes, other inputs before and after, signs are written as character references."""
     e = panel.table(spark, sf_dir, "events")
-    item = F.struct(F.concat(F.lit(" "), "event_type").alias("name"), F.when(F.col("event_id") % 5 == 0, "--").otherwise(F.col("value").cast("string")).alias("pct_chg"), F.when(F.col("event_id") % 3 == 0, "").otherwise((F.col("event_id") % 3).cast("string")).alias("net_inflow"))
-    held = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string").alias("k"), item.alias("v")))).alias("m"))
-    pages = held.select("user_id", F.concat(F.lit("<html><input type='hidden' id='snap' value='"), F.regexp_replace(F.to_json("m"), '"', "&quot;"), F.lit("'></html>")).alias("html"))
-    out = tables.parse_snapshot(pages, "html", "snap", "name string, pct_chg string, net_inflow string", ("view",))
+    label = F.concat(F.lit(" "), "event_type", F.lit(" & <"), F.char(F.lit(233)), F.lit("> "))
+    item = F.struct(label.alias("platename"), F.when(F.col("event_id") % 5 == 0, "--").otherwise(F.col("value").cast("string")).alias("199112"), F.when(F.col("event_id") % 3 == 0, "").otherwise((F.col("event_id") % 3).cast("string")).alias("zjjlr"))
+    held = e.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string").alias("k"), item.alias("v"))))).alias("m"))
+    escaped = F.col("m")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&#x3E;"), ('"', "&quot;"), ("\u00e9", "&#233;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(name))
+    tag = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("<input type='hidden' id='snap' value='"), escaped, F.lit("'>")))
+    tag = tag.when(F.col("user_id") % 3 == 1, F.concat(F.lit('<INPUT value="'), escaped, F.lit('" data-x="a>b" ID="snap"/>'))).otherwise(F.concat(F.lit('<input\nvalue = "'), escaped, F.lit('" id=snap >')))
+    pages = held.select("user_id", F.concat(F.lit("<html><input id='other' value='{}'>"), tag, F.lit("<input value='1'></html>")).alias("html"))
+    out = tables.parse_snapshot(pages, "html", "snap", {"name": "platename"}, {"pct_chg": "199112", "net_inflow": "zjjlr"}, required=("name", "pct_chg"), keep_prefixes_out=("view",))
     return rounded(out.select("user_id", "key", "name", "pct_chg", "net_inflow"))
 
 
+_CUT = "1998-01-01"
+_ENTRIES = "SELECT '{0}' AS strategy, ts_code, count(*) AS n, strftime(max(trade_date), '%Y%m%d') AS last_date FROM {1} GROUP BY ts_code"
+
+
+@query(with_(["b1", "pit"], f""", hits AS (SELECT * FROM b1 WHERE b1), old AS ({_ENTRIES.format('b1', f"hits WHERE trade_date < DATE '{_CUT}'")} UNION ALL {_ENTRIES.format('pit', f"pit WHERE signal = 1 AND trade_date < DATE '{_CUT}'")}),
+new AS (SELECT * FROM ({_ENTRIES.format('b1', 'hits')}) WHERE ts_code IN (SELECT ts_code FROM hits WHERE trade_date >= DATE '{_CUT}'))
+SELECT *, CASE strategy WHEN 'b1' THEN 2::BIGINT ELSE 1 END AS version FROM (SELECT * FROM new UNION ALL SELECT * FROM old WHERE strategy <> 'b1' OR ts_code NOT IN (SELECT ts_code FROM new))"""))
+def partial_refresh(spark, sf_dir):
+    """A stored document a strategy, with an entry an instrument. One strategy's document gets entries of instruments with new signals; its other
+    entries and the other document stay."""
+    path = f"{tables.shared_folder(spark).rstrip('/')}/barloom/documents-{uuid.uuid4().hex}"
+    bars = panel.bars(spark, sf_dir)
+    hits = {"b1": ind.wide(bars).where(screens.is_b1()), "pit": ind.golden_pit(bars).where("signal = 1")}
+
+    def document(strategy, rows, version):
+        entries = rows.groupBy("ts_code").agg(F.count("*").alias("n"), F.max("trade_date").alias("last_date"))
+        return entries.agg(F.array_sort(F.collect_list(F.struct("ts_code", "n", "last_date"))).alias("entries")).select(F.lit(strategy).alias("strategy"), "entries", F.lit(version).cast("long").alias("version"))
+
+    early = [document(k, rows.where(F.col("trade_date") < F.lit(_CUT).cast("date")), 1) for k, rows in hits.items()]
+    tables.put_partitions(early[0].union(early[1]), path, "strategy")
+    late = hits["b1"].where(F.col("trade_date") >= F.lit(_CUT).cast("date")).select("ts_code").distinct()
+    stored = tables.read_table(spark, path).where("strategy = 'b1'")
+    merged = tables.refresh_documents(stored, document("b1", hits["b1"].join(late, "ts_code", "left_semi"), 2), "strategy", "entries", "ts_code")
+    tables.put_partitions(merged, path, "strategy")
+    return rounded(tables.read_table(spark, path).select("strategy", "version", F.inline("entries")))
+
+
+#: A file's name has a date only from the year 2000 on.
+_FILE_DAY = "CASE WHEN year(trade_date) >= 2000 THEN strftime(trade_date, '%Y%m%d') END"
+
+
+@query(with_(["b1", "pit"], f"""SELECT 'b1_' || strftime(trade_date, '%Y%m%d') || '.csv' AS source_file, {_FILE_DAY} AS signal_date, ts_code, (floor(close * 100 + 0.5)::BIGINT)::VARCHAR AS close, NULL::VARCHAR AS note FROM b1 WHERE b1
+UNION ALL SELECT 'pit-' || strftime(trade_date, '%Y%m%d') || 'x.csv', {_FILE_DAY}, ts_code, NULL, 'a "note", of ' || ts_code || chr(10) || 'and more' FROM pit WHERE signal = 1"""))
+def dated_files(spark, sf_dir):
+    """Dated CSV files with two headers, with and without a mark, quotes and line breaks, read back as one table."""
+    bars = panel.bars(spark, sf_dir)
+    lines = lambda rows, line: rows.groupBy("trade_date").agg(F.array_join(F.array_sort(F.collect_list(line)), "\r\n").alias("lines"))
+    day = F.date_format("trade_date", "yyyyMMdd")
+    b1 = lines(ind.wide(bars).where(screens.is_b1()), F.concat_ws(",", "ts_code", F.floor(F.col("close") * 100 + 0.5).cast("string")))
+    pit = lines(ind.golden_pit(bars).where("signal = 1"), F.concat(F.lit('"a ""note"", of '), "ts_code", F.lit('\nand more",'), "ts_code"))
+    files = b1.select(F.concat(F.lit("landed/b1_"), day, F.lit(".csv")).alias("path"), F.encode(F.concat(F.lit("\ufeffts_code,close\r\n"), "lines"), "UTF-8").alias("content"))
+    files = files.union(pit.select(F.concat(F.lit("landed/pit-"), day, F.lit("x.csv")), F.encode(F.concat(F.lit("note,ts_code\r\n"), "lines"), "UTF-8")))
+    return rounded(tables.parse_csvs(files).select("source_file", "signal_date", "ts_code", "close", "note"))
+
+
 _DATED = "SELECT 'b1' AS source, trade_date AS signal_date, ts_code, close, NULL::DOUBLE AS var2z FROM b1 WHERE b1 UNION ALL SELECT 'pit', trade_date, ts_code, NULL, var2z FROM pit WHERE signal = 1 UNION ALL SELECT 'cross', trade_date, ts_code, close, NULL FROM b1 JOIN gold USING (ts_code, trade_date) WHERE golden"
 
 
@@ -175,6 +228,4 @@ def exported_codes(spark, sf_dir):
 @query(with_(["bars"], f"SELECT ts_code, {d()}, {r('CASE WHEN base > 0 THEN (close / base - 1) * 100 END', 'change_pct')} FROM (SELECT *, coalesce(CASE WHEN pre_close > 0 THEN pre_close END, lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date)) AS base FROM bars)"))
 def bar_change(spark, sf_dir):
     """A bar's change from its previous close, or from the bar before where that is missing."""
-    bars = panel.bars(spark, sf_dir)
-    base = F.coalesce(F.when(F.col("pre_close") > 0, F.col("pre_close")), F.lag("close").over(Window.partitionBy("ts_code").orderBy("trade_date")))
-    return rounded(bars.select("ts_code", "trade_date", ((F.try_divide(F.col("close"), base) - 1) * 100).alias("change_pct")))
+    return rounded(ind.bar_change(panel.bars(spark, sf_dir)).select("ts_code", "trade_date", "change_pct"))

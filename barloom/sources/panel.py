@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _code(key: str):
+def instrument_code(key: str):
     prefix = F.element_at(F.array(*(F.lit(x) for x in ("600", "300", "688", "920"))), (F.col(key) % 4 + 1).cast("int"))
     suffix = F.element_at(F.array(*(F.lit(x) for x in ("SH", "SZ", "SH", "BJ"))), (F.col(key) % 4 + 1).cast("int"))
     digits = F.col(key).cast("string")
@@ -25,7 +25,7 @@ def _code(key: str):
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts_code, trade_date, open, high, low, close, pre_close, change, pct_chg, vol, amount."""
     line = table(spark, sf_dir, "lineitem").select(
-        _code("l_suppkey").alias("ts_code"),
+        instrument_code("l_suppkey").alias("ts_code"),
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("trade_date"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").alias("at"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -52,7 +52,7 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = (F.broadcast(table(spark, sf_dir, t)) for t in ("nation", "region"))
     key = F.col("s_suppkey")
     named = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    code = _code("s_suppkey")
+    code = instrument_code("s_suppkey")
     return named.select(
         code.alias("ts_code"),
         F.split_part(code, F.lit("."), F.lit(1)).alias("symbol"),
@@ -74,7 +74,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     money = F.col("l_extendedprice").cast("decimal(18,2)")
     year = (
-        line.groupBy(_code("l_suppkey").alias("ts_code"), F.year("l_shipdate").alias("y"))
+        line.groupBy(instrument_code("l_suppkey").alias("ts_code"), F.year("l_shipdate").alias("y"))
         .agg(F.sum(money).cast("double").alias("revenue"), F.count("*").alias("n"), F.sum("l_quantity").alias("units"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)).alias("returned"))
     )
     w = Window.partitionBy("ts_code").orderBy("y")
@@ -101,7 +101,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concept_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trade_date, concept_code, ts_code, member_rank: brands that an instrument shipped in a week."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", _code("l_suppkey").alias("ts_code"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("trade_date"), "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", instrument_code("l_suppkey").alias("ts_code"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("trade_date"), "l_extendedprice")
     own = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("trade_date", F.col("p_brand").alias("concept_code"), "ts_code").agg(F.max("l_extendedprice").alias("best"))
     rank = F.row_number().over(Window.partitionBy("trade_date", "concept_code").orderBy(F.desc("best"), "ts_code"))
     return own.select("trade_date", "concept_code", "ts_code", rank.alias("member_rank"))

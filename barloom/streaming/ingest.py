@@ -22,11 +22,14 @@ def refresh_bars(spark: SparkSession, folder: str, table: str, checkpoint: str,
     changes nothing. ``then`` gets the instruments touched, to recompute what derives from their bars alone."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        upsert(batch, table, ["ts_code", "trade_date"], "trade_month")
-        if then:
-            then(batch.select("ts_code").distinct())
+        batch.persist()  # the merge reads it twice, then() once more
+        try:
+            if not batch.isEmpty():
+                upsert(batch, table, ["ts_code", "trade_date"], "trade_month")
+                if then:
+                    then(batch.select("ts_code").distinct())
+        finally:
+            batch.unpersist()
 
     return bar_stream(spark, folder).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

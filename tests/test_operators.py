@@ -149,7 +149,7 @@ def test_codes_and_limits(spark):
     short = spark.createDataFrame([("1", "000001.SZ"), ("300001.XY", "300001.SZ"), ("999999", None)], "raw string, want string").withColumn("got", codes.code_of(F.col("raw")))
     assert all(r.got == r.want for r in short.collect())
     rows = [("600000.SH", "A", "2026-01-05", 10.0, 11.0, True), ("300001.SZ", "A", "2026-01-05", 10.0, 12.0, True), ("830001.BJ", "A", "2026-01-05", 10.0, 13.0, True), ("600001.SH", "*ST B", "2026-07-03", 10.0, 10.5, True),
-            ("600001.SH", "*ST B", "2026-07-06", 10.0, 10.5, False), ("600001.SH", "*ST B", "2026-07-06", 10.0, 11.0, True), ("600000.SH", "A", "2026-01-05", 0.0, 0.0, False), ("600000.SH", "A", "2026-01-05", None, 1.0, None), ("600000.SH", "A", "2026-01-05", 3.35, 3.69, True)]
+            ("600001.SH", "*ST B", "2026-07-06", 10.0, 10.5, False), ("600001.SH", "*ST B", "2026-07-06", 10.0, 11.0, True), ("600000.SH", "A", "2026-01-05", 0.0, 0.0, False), ("600000.SH", "A", "2026-01-05", None, 1.0, False), ("600000.SH", "A", "2026-01-05", 3.35, 3.69, True)]
     lim = spark.createDataFrame(rows, "ts_code string, name string, d string, pre double, close double, want boolean").withColumn("got", codes.is_limit_up(F.col("ts_code"), F.col("name"), F.col("d").cast("date"), F.col("pre"), F.col("close")))
     assert all(r.got == r.want for r in lim.collect())
     num = spark.createDataFrame([("1.5", 1.5), ("--", None), ("", None), ("x", None)], "t string, want double").withColumn("got", codes.lenient_number(F.col("t")))
@@ -290,8 +290,8 @@ def test_search_layouts(spark):
     assert found("alpha") == ["x600001"] and found("gamma") == ["600001.sh"]
     assert found("y") == [] and found("y", all_columns=True) == ["y"]
     assert found("600001", all_columns=True) == ["600001.sh", "x600001", "z"]
-    assert found("z", name_names=("note",)) == ["y", "z"]
-    assert combine.code_variants("600001") == ["600001", "600001.BJ", "600001.SH", "600001.SZ"] and combine.code_variants(" 1.sz ") == ["1", "1.SZ"]
+    assert found("z", names=["note"]) == ["y", "z"]
+    assert combine.columns_ending(df, combine.CODE_ENDS) == ["Security-Code"] and combine.columns_ending(df, combine.NAME_ENDS) == ["Short Name"]
     odd = spark.createDataFrame([("v", "1", "2")], "value string, date string, ts_code string")
     assert combine.ordered_columns(odd).columns == ["ts_code", "date", "value"]
     assert combine.dated_rows({"a": odd, "b": odd.drop("value")}, "date").columns == ["source", "signal_date", "value", "ts_code"]
@@ -325,3 +325,76 @@ def test_baseline_holds_signals_and_all_rows_of_their_dates(spark):
     df = spark.createDataFrame([("A", 1, True), ("B", 1, False), ("C", 1, None), ("A", 2, False)], "ts_code string, trade_date int, hit boolean")
     got = sorted((r.cohort, r.ts_code) for r in bt.with_baseline(df, F.col("hit")).collect())
     assert got == [("baseline", "A"), ("baseline", "B"), ("baseline", "C"), ("signal", "A")]
+
+
+def test_recursion_goes_on_from_its_state(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for code in ("a", "b", "c"):
+        for i in range(60):
+            low, high = sorted(rng.integers(1, 6, 2).tolist())
+            rows.append((code, date(2024, 1, 1) + timedelta(days=i), float(high), float(low), float(rng.integers(low, high + 1)), i))
+    bars = spark.createDataFrame(rows, "ts_code string, trade_date date, high double, low double, close double, note int").where("ts_code <> 'c' OR note > 40")
+    whole = indicators.recursive(bars)
+    for cuts in ([5], [30], [3, 9, 31, 50]):
+        state, parts, last = None, [], -1
+        for cut in [*cuts, 99]:
+            own = bars.where((F.col("note") > last) & (F.col("note") <= cut))
+            parts.append(indicators.recursive(own, state).collect())
+            state, last = spark.createDataFrame(indicators.recursion_state(own, state).collect(), indicators.STATE), cut
+        key = lambda r: (r.ts_code, r.trade_date)
+        assert sorted((r for p in parts for r in p), key=key) == sorted(whole.collect(), key=key)
+        assert {r.ts_code: r.last_date for r in state.collect()} == {r.ts_code: r.last_date for r in indicators.recursion_state(bars).collect()}
+    assert "FlatMapGroups" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_limit_up_names_and_previous_closes(spark):
+    rows = [("600000.SH", "*ST X", 5.0, 5.25, True), ("600000.SH", "BEST", 5.0, 5.25, False), ("600000.SH", "best", 5.0, 5.5, True), ("600000.SH", "st y", 5.0, 5.25, True), ("600000.SH", None, 5.005, 5.51, True), ("600000.SH", None, 5.0045, 5.5, True), ("600000.SH", "x", None, 5.0, False), ("600000.SH", "x", 0.0, 0.0, False)]
+    df = spark.createDataFrame([(*r[:2], date(2024, 1, 2), *r[2:]) for r in rows], "ts_code string, name string, d date, pre double, close double, want boolean")
+    assert all(r.want == r.got for r in df.withColumn("got", codes.is_limit_up(F.col("ts_code"), F.col("name"), F.col("d"), F.col("pre"), F.col("close"))).collect())
+
+
+def test_as_of_by_months(spark):
+    day = lambda *ds: spark.createDataFrame([(date.fromisoformat(d),) for d in ds], "day date")
+    known = day("2024-01-31", "2024-02-10", "2024-05-01").withColumnRenamed("day", "trade_date")
+    got = {str(r.day): r.known and str(r.known) for r in sectors.as_of(known, day("2024-01-01", "2024-01-31", "2024-02-01", "2024-02-10", "2024-02-11", "2024-04-30", "2024-07-01", "2024-07-01")).collect()}
+    assert got == {"2024-01-01": None, "2024-01-31": "2024-01-31", "2024-02-01": "2024-01-31", "2024-02-10": "2024-02-10", "2024-02-11": "2024-02-10", "2024-04-30": "2024-02-10", "2024-07-01": "2024-05-01"}
+
+
+def test_bridge_and_boards_without_members(spark):
+    landed = spark.createDataFrame([("d", "b", "600001", "first", 1, 2), ("d", "b", "600001 ", "again", 1, 1), ("d", "b", "1", "none", 1, 3), ("d", "b", "000002", "other", 2, 1), ("d", "b", "000002", "late", 3, 1)], "trade_date string, concept_code string, symbol string, stock_name string, page int, place int")
+    names = spark.createDataFrame([("600001.SH", "600001", None, "I"), ("000002.SZ", "000002", "Two", None), ("000002.SH", "000002", "Index", None)], "ts_code string, symbol string, name string, industry string")
+    m = sectors.member_bridge(landed, names)
+    assert sorted(tuple(r) for r in m.collect()) == [("d", "b", "000002.SH", "other", 3), ("d", "b", "600001.SH", "again", 1)]
+    boards = spark.createDataFrame([("d", "b", 1, 1.0, 2e8, 50.0), ("d", "empty", 2, None, None, None)], "trade_date string, concept_code string, rank int, pct_chg double, amount double, breadth_pct double")
+    prices = spark.createDataFrame([("d", "000002.SH", 10.0, 11.0, 10.0, 1.0)], "trade_date string, ts_code string, pre_close double, close double, pct_chg double, amount double").withColumn("trade_date", F.lit("d"))
+    got = {r.concept_code: (r.members, r.limit_ups, [(x.member_rank, x.name) for x in r.members_listed]) for r in sectors.board_payload(boards, m, prices, names).collect()}
+    assert got == {"b": (2, 1, [(1, "again"), (3, "Index")]), "empty": (0, None, [])}
+
+
+def test_pending_rankings_prune_and_equal_a_full_run(spark):
+    import random
+
+    rnd = random.Random(3)
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(140)]
+    rows = [(f"s{k}", d, float(rnd.randint(5, 9)), float(rnd.randint(5, 9)), rnd.uniform(-3, 3), float(rnd.randint(1, 99))) for k in range(20) for d in days if rnd.random() < 0.9]
+    bars = spark.createDataFrame(rows, "ts_code string, trade_date date, high double, close double, pct_chg double, amount double")
+    names = spark.createDataFrame([(f"s{k}", "A" if k % 2 else "B") for k in range(20)], "ts_code string, industry string")
+    calendar = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "trade_date date, trade_index int")
+    asked = []
+
+    def load(start, end):
+        asked.append((start, end))
+        return bars.where(F.col("trade_date").between(F.lit(start), F.lit(end)))
+
+    whole = sectors.rank(sectors.factors(bars, names, calendar))
+    stored = whole.where(F.col("trade_date") < days[130])
+    rest = sectors.rank_pending(load, names, calendar, stored)
+    clean = lambda df: sorted((r.trade_date, r.industry, r.rank, round(r.score, 6), round(r.return_20d, 9)) for r in df.where(F.col("trade_date") >= days[130]).collect())
+    assert clean(rest) == clean(whole) and asked == [(days[130 - sectors.LOOK_BACK], days[-1])]
+    assert sectors.rank_pending(load, names, calendar, whole) is None
+    assert sectors.last_dates(whole, 3).select("trade_date").distinct().count() == 3
+    pairs = spark.createDataFrame([("s1", days[0]), ("s1", days[0]), ("zz", days[0])], "ts_code string, trade_date date")
+    assert combine.rows_of_pairs(bars, pairs).count() <= 1

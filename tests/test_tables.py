@@ -95,7 +95,7 @@ def test_screen_and_nested_sinks(spark, tmp_path):
 def test_snapshot_page(spark):
     html = """<html><input type="hidden" id="board" value='{"1":{"name":"AI","pct_chg":"1.5","net_inflow":"--"},"2":{"name":" ","pct_chg":"2"},"3":{"name":"Z","pct_chg":""},"4":{"name":"Test x","pct_chg":"1"}}'></html>"""
     df = spark.createDataFrame([(1, html), (2, "<html></html>")], "i int, html string")
-    got = tables.parse_snapshot(df, "html", "board", "name:string,pct_chg:string,net_inflow:string", ("Test",)).collect()
+    got = tables.parse_snapshot(df, "html", "board", {"name": "name"}, {"pct_chg": "pct_chg", "net_inflow": "net_inflow"}, ("name", "pct_chg"), keep_prefixes_out=("Test",)).collect()
     assert [(r.i, r.key, r.name, r.pct_chg, r.net_inflow) for r in got] == [(1, "1", "AI", 1.5, None)]
 
 
@@ -127,3 +127,75 @@ def test_no_local_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         tables.shared_folder(Cluster)
+
+
+def test_pages_in_any_form(spark):
+    head = "<input id=x value='{}'>"
+    pages = [
+        (1, head + """<INPUT type=hidden VALUE = "{&quot;1&quot;:{&quot;n&quot;:&quot;A &amp;amp; B&#33;&quot;,&quot;v&quot;:1.5}}" ID = 'board' >"""),
+        (2, """<input id="board" data-a='>' value='{"2":{"n":"C&#x4e2d;","v":"--"}}'/>""" + head),
+        (3, """<input id=board value='{"3":{"n":"old"}}'><input value='{"4":{"n":"last","v":"2"}}' id=board>"""),
+        (4, "<input id='boards' value='{}'>"), (5, "<input id='board' value='no json'>"), (6, None), (7, "<input id='board'>"), (8, "<input id='board' value='{&#0;}'>"),
+    ]
+    df = spark.createDataFrame(pages, "i int, html string")
+    got = tables.parse_snapshot(df, "html", "board", {"name": "n"}, {"change": "v"}).collect()
+    assert sorted((r.i, r.key, r.name, r.change) for r in got) == [(1, "1", "A &amp; B!", 1.5), (2, "2", "C中", None), (3, "4", "last", 2.0)]
+    assert tables.parse_snapshot(df, "html", "board", {"name": "n"}, {"change": "v"}, required=("change",), keep_prefixes_out=("last",)).count() == 1
+    long = "<input " + "a='b' " * 20_000 + "id='board' value='{\"1\":{\"n\":\"x\"}}'>" + "<p>&#33;" * 20_000
+    assert tables.parse_snapshot(spark.createDataFrame([(1, long)], "i int, html string"), "html", "board", {"name": "n"}, {}).count() == 1
+
+
+def test_encodings_and_headers_of_csvs(spark, tmp_path):
+    rows = {"a_20240101.csv": "代码,名称\n600000,浦发银行\n".encode("gb18030"), "b_20240102.csv": "代码,note\n1,\"x,\ny\"\n2\n\n".encode("utf-8-sig"), "c.csv": b"", "d_20240103.csv": "代码,代码\n7,8\n".encode()}
+    for name, content in rows.items():
+        (tmp_path / name).write_bytes(content)
+    df = tables.read_dated_csvs(spark, [str(tmp_path / n) for n in rows])
+    assert set(df.columns) == {"代码", "名称", "note", "source_file", "signal_date"}
+    by = {(r["代码"], r.note) for r in df.collect()}
+    assert by == {("600000", None), ("1", "x,\ny"), ("2", ""), ("7", None)}
+    (tmp_path / "bad.csv").write_bytes(b"a\n\xff\xff\xff\n")
+    with pytest.raises(Exception, match="none of"):
+        tables.read_dated_csvs(spark, [str(tmp_path / "bad.csv")]).collect()
+
+
+def test_a_broken_write_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    key = ["ts_code", "trade_date"]
+    tables.upsert(bars(spark, [("a", 1, 2, 1.0, 1), ("b", 2, 1, 3.0, 1)]), path, key, "trade_month")
+    before = read(spark, path)
+    broken = bars(spark, [("a", 1, 2, 9.0, 3), ("c", 3, 1, 9.0, 3)]).withColumn("close", F.when(F.col("ts_code") == "c", F.raise_error(F.lit("no"))).otherwise(F.col("close")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        tables.upsert(broken, path, key, "trade_month")
+    assert read(spark, path) == before and not [p for p in (tmp_path / "bars").iterdir() if p.name.startswith("_staged")]
+    # what is staged whole, but put in place in part only, is finished by the next reader
+    new = bars(spark, [("a", 1, 2, 5.0, 4), ("d", 4, 1, 6.0, 4)])
+    new.write.partitionBy("trade_month").parquet(f"{path}/_ready-x")
+    (tmp_path / "bars" / "trade_month=2024-01-01").rename(tmp_path / "moved")
+    assert read(spark, path) == [("b", 2, 1, 3.0)]
+    got = sorted((r.ts_code, r.close) for r in tables.read_table(spark, path).collect())
+    assert got == [("a", 5.0), ("b", 3.0), ("d", 6.0)] and tables.finish_swaps(spark, path) == 0
+
+
+def test_refresh_of_some_entries(spark):
+    schema = "id string, entries array<struct<code:string,n:int>>, version int, note string"
+    stored = spark.createDataFrame([("x", [("a", 1), ("b", 2)], 1, "keep"), ("y", [("c", 3)], 1, None), ("z", None, 1, "n")], schema)
+    fresh = spark.createDataFrame([("x", [("b", 9), ("d", 4)], 2), ("w", [("e", 5)], 2), ("z", [("f", 6)], None)], "id string, entries array<struct<code:string,n:int>>, version int")
+    got = {r.id: ([tuple(e) for e in r.entries], r.version, r.note) for r in tables.refresh_documents(stored, fresh, "id", "entries", "code").collect()}
+    assert got == {"x": ([("a", 1), ("b", 9), ("d", 4)], 2, "keep"), "y": ([("c", 3)], 1, None), "w": ([("e", 5)], 2, None), "z": ([("f", 6)], 1, "n")}
+    gone = spark.createDataFrame([("x", "a"), ("y", "q")], "id string, code string")
+    got = {r.id: [e.code for e in r.entries] for r in tables.refresh_documents(stored, fresh, "id", "entries", "code", gone).collect()}
+    assert got["x"] == ["b", "d"] and got["y"] == ["c"]
+
+
+def test_stored_indicators_need_no_shuffle(spark, tmp_path):
+    from barloom.functions.exprs import before
+    from barloom.sources import stored
+
+    rows = spark.createDataFrame([(f"i{k % 7}", date(2024, 1, 1 + k // 7), float(k)) for k in range(70)], "ts_code string, trade_date date, k double")
+    stored.store_indicator(rows, "k_table", str(tmp_path / "k"), 4)
+    out = stored.load_indicator(spark, "k_table", start="2024-01-02").withColumn("b", before("k"))
+    assert out.count() == 63 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert stored.load_indicator(spark, "k_table", "i3", "2024-01-02", "2024-01-04", ["k"]).count() == 3
+    spark.sql("DROP TABLE k_table")
+    stored.attach(spark, "k_again", "ts_code string, trade_date date, k double", str(tmp_path / "k"), 4)
+    assert stored.load_indicator(spark, "k_again").count() == 70
