@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import after, share_of
+from ..functions.exprs import after, by_date, share_of
 
 COST = 0.002
 TRAIN_DAYS, TEST_DAYS, CASES = 252, 21, 4
@@ -40,12 +40,13 @@ def with_stop_trades(rows: DataFrame, hold: int = 4) -> DataFrame:
 
 
 def with_baseline(rows: DataFrame, signal: Column) -> DataFrame:
-    """Signal rows (cohort signal) and every row on their dates (cohort baseline)."""
+    """Signal rows (cohort signal) and every row on their dates (cohort baseline).
+
+    Whether a date has a signal is a window over the rows of the date, so what the rows are made from is worked out once; give only the columns
+    that are needed, as they are shuffled by date."""
     own = rows.withColumn("_signal", F.coalesce(signal, F.lit(False)))
-    # one a date, whatever the number of instruments
-    dates = own.where("_signal").select("trade_date").distinct()
     cohorts = F.when(F.col("_signal"), F.array(F.lit("signal"), F.lit("baseline"))).otherwise(F.array(F.lit("baseline")))
-    return own.join(F.broadcast(dates), "trade_date").select(*rows.columns, F.explode(cohorts).alias("cohort"))
+    return own.withColumn("_day", F.max("_signal").over(by_date())).where("_day").select(*rows.columns, F.explode(cohorts).alias("cohort"))
 
 
 def cohort_stats(rows: DataFrame, returns: list[str], by: list[str], days: str | None = None) -> DataFrame:
@@ -65,13 +66,13 @@ def exit_kinds(trades: DataFrame, by: list[str]) -> DataFrame:
 def attribution(rows: DataFrame, masks: dict[str, Column], returns: list[str]) -> DataFrame:
     """Per condition: n, dates, mean returns and lifts over all rows on the condition's own dates.
 
-    Rows are exploded by the conditions they meet; the baseline is pre-aggregated by date, so only dates are joined."""
-    full = rows.dropna(subset=returns)
-    met = full.withColumn("condition", F.explode(F.array_compact(F.array(*(F.when(m, F.lit(k)) for k, m in masks.items())))))
-    sums = [F.sum(c).alias(f"_s_{c}") for c in returns]
-    by_date = full.groupBy("trade_date").agg(F.count("*").alias("_n"), *sums)
+    Rows are exploded by the conditions they meet and by one that all meet, and summed by condition and date in one pass; a date's baseline is
+    then the sum of that one, so only conditions and dates meet."""
+    every = "_every"
+    met = rows.dropna(subset=returns).select("trade_date", *returns, F.explode(F.array_compact(F.array(F.lit(every), *(F.when(m, F.lit(k)) for k, m in masks.items())))).alias("condition"))
     own = met.groupBy("condition", "trade_date").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"_o_{c}") for c in returns))
-    own = own.join(by_date, "trade_date").groupBy("condition")
+    of_all = lambda c: F.max(F.when(F.col("condition") == every, F.col(c))).over(by_date())
+    own = own.withColumns({"_n": of_all("n"), **{f"_s_{c}": of_all(f"_o_{c}") for c in returns}}).where(F.col("condition") != every).groupBy("condition")
     mean = {c: F.sum(f"_o_{c}") / F.sum("n") for c in returns}
     return own.agg(F.sum("n").alias("n"), F.count("*").alias("n_dates"), *(mean[c].alias(f"mean_{c}") for c in returns), *((mean[c] - F.sum(f"_s_{c}") / F.sum("_n")).alias(f"lift_{c}") for c in returns))
 

@@ -9,7 +9,7 @@ from ..functions.exprs import holds, rounded, share_of
 from ..operators import backtests as bt
 from ..operators import indicators as ind
 from ..operators import screens
-from ..sources import panel
+from ..sources import panel, tables
 from . import frames
 from .registry import query
 from .sql import _stop, d, lead, r, with_
@@ -241,10 +241,9 @@ wf AS (SELECT g.strategy, train_start, train_end, test_start, test_end, coalesce
 
 
 def _gated(spark, sf_dir):
-    # read twice below: the gates, and the signals that they let through
-    rows = frames.strategy_rows(spark, sf_dir)
-    windows = bt.walk_forward_windows(panel.calendar(panel.bars(spark, sf_dir)))
-    return rows, bt.walk_forward(rows, windows, bt.gates(spark, _SCALE))
+    """What the strategies' rows are, and their gates; both read two written tables."""
+    own = frames.strategies(spark, sf_dir)
+    return own, bt.walk_forward(own.rows, bt.walk_forward_windows(own.calendar), bt.gates(spark, _SCALE))
 
 
 @query(with_(["strat", "calendar"], _WF + f" SELECT strategy, train_start, train_end, test_start, test_end, training_signals, {r('net_mean')}, {r('excess')}, {r('win_rate')}, approved, test_signals FROM wf"))
@@ -256,8 +255,9 @@ def walk_forward(spark, sf_dir):
 SELECT strategy, count(*) AS total_windows, count(*) FILTER (approved) AS enabled_windows, coalesce(any_value(o.n), 0) AS oos_signals, coalesce(any_value(o.c), 0) AS oos_completed, {r('any_value(o.m) - 0.002', 'oos_net_mean')}, arg_max(approved, test_start) AS latest_approved
 FROM wf LEFT JOIN (SELECT strategy, count(*) AS n, count(ret) AS c, avg(ret) AS m FROM oos GROUP BY 1) o USING (strategy) GROUP BY strategy"""))
 def walk_forward_payload(spark, sf_dir):
-    rows, gates = _gated(spark, sf_dir)
-    oos = bt.out_of_sample(rows, gates).groupBy("strategy").agg(F.count("*").alias("oos_signals"), F.count("ret").alias("oos_completed"), (F.avg("ret") - bt.COST).alias("oos_net_mean"))
+    own, gates = _gated(spark, sf_dir)
+    gates = tables.written(gates, "gates")
+    oos = bt.out_of_sample(own.rows, gates).groupBy("strategy").agg(F.count("*").alias("oos_signals"), F.count("ret").alias("oos_completed"), (F.avg("ret") - bt.COST).alias("oos_net_mean"))
     w = gates.groupBy("strategy").agg(F.count("*").alias("total_windows"), F.sum(F.when(F.col("approved"), 1).otherwise(0)).alias("enabled_windows"), F.max_by("approved", "test_start").alias("latest_approved"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rounded(w.join(oos, "strategy", "left").select("strategy", "total_windows", "enabled_windows", zero("oos_signals"), zero("oos_completed"), "oos_net_mean", "latest_approved"))
@@ -273,6 +273,5 @@ z AS (SELECT strategy, latest AS latest_approved, CASE WHEN strategy = 'b2' THEN
 SELECT strategy, latest_approved, reason, CASE WHEN reason = 'gate passed' THEN 'active' ELSE 'watch' END AS status, CASE WHEN strategy = 'value_quality' THEN 'research' WHEN reason = 'gate passed' THEN 'buy' ELSE 'observe' END AS action, count(*) OVER (PARTITION BY reason = 'gate passed') AS same_status FROM z"""))
 def strategy_table(spark, sf_dir):
     """Seven strategies: whether each may trade now, and why not."""
-    rows, gates = _gated(spark, sf_dir)
-    regime = screens.regime(ind.reversal_features(panel.bars(spark, sf_dir)))
-    return rounded(bt.decisions(gates, bt.cohort_periods(rows, _SPLIT), regime))
+    own, gates = _gated(spark, sf_dir)
+    return rounded(bt.decisions(gates, bt.cohort_periods(own.rows, _SPLIT), screens.regime(own.features)))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import after
 from ..operators import backtests as bt
 from ..operators import indicators as ind
 from ..operators import screens
-from ..sources import panel
+from ..sources import panel, tables
 from . import fundamentals
 
 HOLD, OPEN_HOLD, VALUE_HOLD = 20, 20, 63
@@ -24,37 +25,47 @@ def wide_forward(spark, sf_dir: str) -> DataFrame:
     return ind.wide(ind.forward_bars(panel.bars(spark, sf_dir)))
 
 
-def strategy_rows(spark, sf_dir: str) -> DataFrame:
-    """strategy, ts_code, trade_date, trade_index, exit_index, is_signal, ret: each bar once for each of seven strategies.
+class Strategies(NamedTuple):
+    """rows: strategy, ts_code, trade_date, trade_index, exit_index, is_signal, ret, each bar once for each of seven strategies; features: what the screens
+    of months are made from; calendar."""
+
+    rows: DataFrame
+    features: DataFrame
+    calendar: DataFrame
+
 
-    All features come from one shuffle on the instrument; the strategies are an exploded array, so later stages run once.
-    """
-    bars = panel.bars(spark, sf_dir)
-    cal = panel.calendar(bars)
-    own = bars.join(F.broadcast(cal), "trade_date")
+def strategies(spark, sf_dir: str) -> Strategies:
+    """All features come from one shuffle on the instrument and are written down once; the screens by month read them again, and a second, narrow
+    table has the seven strategies of a bar as an array, so later stages read neither bars nor windows."""
+    own = panel.bars(spark, sf_dir)
+    ordered = Window.partitionBy("ts_code").orderBy("trade_date")
     feats = ind.breakout_and_trend(ind.reversal_features(ind.crosses(own, 20, 60)))
-    feats = ind.forward_bars(feats, 4).withColumns({
-        "_close20": after("close", HOLD), "_i20": after("trade_index", HOLD), "_open21": after("idx_open", OPEN_HOLD + 1), "_idx1": after("idx_open"), "_i21": after("trade_index", OPEN_HOLD + 1), "_open64": after("idx_open", VALUE_HOLD + 1), "_i64": after("trade_index", VALUE_HOLD + 1),
-        **{f"_x{i}": after("trade_index", i) for i in (2, 3, 4)},
-    })
+    ahead = {"_close20": ("close", HOLD), "_d20": ("trade_date", HOLD), "_open21": ("idx_open", OPEN_HOLD + 1), "_idx1": ("idx_open", 1), "_d21": ("trade_date", OPEN_HOLD + 1), "_open64": ("idx_open", VALUE_HOLD + 1), "_d64": ("trade_date", VALUE_HOLD + 1), **{f"_d{i}": ("trade_date", i) for i in (2, 3, 4)}}
+    feats = ind.forward_bars(feats, 4).withColumns({k: F.lead(c, n).over(ordered) for k, (c, n) in ahead.items()})
     feats = ind.wide(feats.drop("ma20", "ma60"))
     price, offset = bt.stop_exit(4)
     stop_ret = F.try_divide(price, F.col("open_t1")) - 1
-    stop_at = F.element_at(F.array(F.lit(None).cast("long"), "_x2", "_x3", "_x4"), offset)
+    stop_day = F.element_at(F.array(F.lit(None).cast("date"), "_d2", "_d3", "_d4"), offset)
     open_ret = F.try_divide("_open21", "_idx1") - 1
-    item = lambda name, hit, ret, at: F.struct(F.lit(name).alias("strategy"), F.coalesce(hit, F.lit(False)).alias("is_signal"), ret.alias("ret"), F.when(ret.isNotNull(), at).alias("exit_index"))
-    # from the light features, so that the recursions above run once
-    losers = screens.reversal_candidates(ind.reversal_features(bars)).where("open_regime")
+    kept = feats.select(
+        "ts_code", "trade_date", "close", "amount20", "formation", "median20", F.col("golden").alias("_ma20_ma60"), screens.is_b2().alias("_b2"), screens.is_b1().alias("_b1"), F.col("breakout_signal").alias("_breakout"), F.col("trend_signal").alias("_trend"),
+        stop_ret.alias("_stop_ret"), stop_day.alias("_stop_day"), open_ret.alias("_open_ret"), "_d21", (F.try_divide("_close20", "open_t1") - 1).alias("_close_ret"), "_d20", (F.try_divide("_open64", "_idx1") - 1).alias("_value_ret"), "_d64",
+    )
+    kept = tables.written(kept, "strategy-features")
+    calendar = panel.calendar(kept)
+    losers = screens.reversal_candidates(kept).where("open_regime")
     r1 = screens.top_by_date(losers, F.desc("amount20")).select("ts_code", "trade_date", F.lit(True).alias("_r1"))
-    value = fundamentals.value_hits(spark, sf_dir).select("ts_code", "trade_date", F.lit(True).alias("_value"))
-    feats = feats.join(r1, ["ts_code", "trade_date"], "left").join(value, ["ts_code", "trade_date"], "left")
-    items = F.array(
-        item("ma20_ma60", F.col("golden"), F.try_divide("_close20", "open_t1") - 1, F.col("_i20")),
-        item("b2", screens.is_b2(), stop_ret, stop_at),
-        item("b1", screens.is_b1(), stop_ret, stop_at),
-        item("r1", F.col("_r1"), open_ret, F.col("_i21")),
-        item("breakout", F.col("breakout_signal"), open_ret, F.col("_i21")),
-        item("trend", F.col("trend_signal"), open_ret, F.col("_i21")),
-        item("value_quality", F.col("_value"), F.try_divide("_open64", "_idx1") - 1, F.col("_i64")),
-    )
-    return feats.select("ts_code", "trade_date", "trade_index", F.explode(items).alias("x")).select("x.strategy", "ts_code", "trade_date", "trade_index", "x.exit_index", "x.is_signal", "x.ret")
+    value = fundamentals.value_hits(spark, sf_dir, kept).select("ts_code", "trade_date", F.lit(True).alias("_value_quality"))
+    marked = kept.join(r1, ["ts_code", "trade_date"], "left").join(value, ["ts_code", "trade_date"], "left")
+    legs = {"ma20_ma60": ("_close_ret", "_d20"), "b2": ("_stop_ret", "_stop_day"), "b1": ("_stop_ret", "_stop_day"), "r1": ("_open_ret", "_d21"), "breakout": ("_open_ret", "_d21"), "trend": ("_open_ret", "_d21"), "value_quality": ("_value_ret", "_d64")}
+    item = lambda k, ret, day: F.struct(F.lit(k).alias("strategy"), F.coalesce(f"_{k}", F.lit(False)).alias("is_signal"), F.col(ret).alias("ret"), F.when(F.col(ret).isNotNull(), F.col(day)).alias("exit_date"))
+    each = tables.written(marked.select("ts_code", "trade_date", F.array(*(item(k, *x) for k, x in legs.items())).alias("items")), "strategy-rows")
+    rows = each.select("ts_code", "trade_date", F.inline("items"))
+    # dates become indices on the way in: a row a date
+    days = F.broadcast(calendar)
+    rows = rows.join(days, "trade_date").join(days.select(F.col("trade_date").alias("exit_date"), F.col("trade_index").alias("exit_index")), "exit_date", "left")
+    return Strategies(rows.select("strategy", "ts_code", "trade_date", "trade_index", "exit_index", "is_signal", "ret"), kept, calendar)
+
+
+def strategy_rows(spark, sf_dir: str) -> DataFrame:
+    return strategies(spark, sf_dir).rows

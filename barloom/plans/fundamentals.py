@@ -39,15 +39,16 @@ cte("snaps", ["r1", "reports", "instruments", "ends"], """SELECT p.ts_code, p.tr
     JOIN reports q ON q.ts_code = r1.ts_code AND announcement_date <= r1.trade_date AND report_date < r1.trade_date) p WHERE rn <= 3 GROUP BY p.ts_code, p.trade_date""")
 
 
-def value_hits(spark, sf_dir):
-    """The value-quality screen's rows at the ends of its months."""
-    return fun.value_quality(_snapshots(spark, sf_dir), _LIMITS)
+def value_hits(spark, sf_dir, features=None):
+    """The value-quality screen's rows at the ends of its months; from features that are there already, if they are."""
+    return fun.value_quality(_snapshots(spark, sf_dir, features), _LIMITS)
 
 
-def _snapshots(spark, sf_dir):
-    bars = panel.bars(spark, sf_dir)
-    prices = ind.reversal_features(bars).join(F.broadcast(fun.snapshot_dates(bars)), "trade_date", "left_semi").join(F.broadcast(panel.instruments(spark, sf_dir).select("ts_code", "name")), "ts_code", "left").select("ts_code", "trade_date", "name", "close", "amount20")
-    return fun.as_of_three(prices, panel.fundamentals(spark, sf_dir))
+def _snapshots(spark, sf_dir, features=None):
+    own = ind.reversal_features(panel.bars(spark, sf_dir)) if features is None else features
+    days = fun.snapshot_dates(panel.bars(spark, sf_dir) if features is None else features)
+    prices = own.select("ts_code", "trade_date", "close", "amount20").join(F.broadcast(days), "trade_date", "left_semi").join(panel.instruments(spark, sf_dir).select("ts_code", "name"), "ts_code", "left")
+    return fun.as_of_three(prices.select("ts_code", "trade_date", "name", "close", "amount20"), panel.fundamentals(spark, sf_dir))
 
 
 _SNAP = ("report_count", "roe_median", "roe_min", "margin_median", "revenue_yoy_median", "profit_yoy_median", "cash_years", "debt_max")

@@ -59,7 +59,7 @@ def kdj_resumed(spark, sf_dir):
 def stored_kdj_crosses(spark, sf_dir):
     """Where k crosses above d, over the indicator as a table stored by instrument: its windows need no shuffle."""
     name = f"kdj_{uuid.uuid4().hex}"
-    stored.store_indicator(ind.kdj(panel.bars(spark, sf_dir)), name, f"{tables.shared_folder(spark).rstrip('/')}/barloom/{name}", 8)
+    stored.store_indicator(ind.kdj(panel.bars(spark, sf_dir)), name, tables.scratch(spark, name), 8)
     rows = stored.load_indicator(spark, name)
     return rounded(rows.withColumn("hit", crosses_above("k", "d")).where("hit").select("ts_code", "trade_date", "k", "d"))
 

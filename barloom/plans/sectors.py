@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -117,7 +115,7 @@ def mainline_payload(spark, sf_dir):
 @query(with_(["ranked"], f"SELECT {d()}, industry, score, rank, {r('return_5d')}, {r('turnover / 1e8', 'turnover')} FROM ranked"))
 def backfilled_rankings(spark, sf_dir):
     """The stored ranking of every date, in two runs: the first stops half-way, the second takes the dates that it lacks."""
-    at = f"{tables.shared_folder(spark).rstrip('/')}/barloom/backfill-{uuid.uuid4().hex}"
+    at = tables.scratch(spark, "backfill")
     bars = panel.bars(spark, sf_dir)
     tables.put_partitions(bars.withColumn("trade_month", F.trunc("trade_date", "MM")), f"{at}/bars", "trade_month")
     load = lambda start, end: tables.load_bars(spark, f"{at}/bars", start, end)

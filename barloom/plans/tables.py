@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -111,7 +109,7 @@ SELECT *, CASE strategy WHEN 'b1' THEN 2::BIGINT ELSE 1 END AS version FROM (SEL
 def partial_refresh(spark, sf_dir):
     """A stored document a strategy, with an entry an instrument. One strategy's document gets entries of instruments with new signals; its other
     entries and the other document stay."""
-    path = f"{tables.shared_folder(spark).rstrip('/')}/barloom/documents-{uuid.uuid4().hex}"
+    path = tables.scratch(spark, "documents")
     bars = panel.bars(spark, sf_dir)
     hits = {"b1": ind.wide(bars).where(screens.is_b1()), "pit": ind.golden_pit(bars).where("signal = 1")}
 
@@ -173,7 +171,7 @@ def dated_manifest(spark, sf_dir):
 @query(with_(["b1"], f"SELECT 'b1' AS strategy, ts_code, {d()}, {r('close')}, count(*) OVER () AS n FROM b1 WHERE b1"))
 def signal_log(spark, sf_dir):
     """The B1 screen's hits written to the signal log twice, then its history and count."""
-    path = f"{tables.shared_folder(spark).rstrip('/')}/barloom/signals-{uuid.uuid4().hex}"
+    path = tables.scratch(spark, "signals")
     hits = frames.wide(spark, sf_dir).where(screens.is_b1())
     for at in ("2001-01-01 00:00:00", "2001-01-02 00:00:00"):
         tables.persist_signals(hits, path, "b1", at)

@@ -109,6 +109,34 @@ def shared_folder(spark: SparkSession) -> str:
     return named or "file:///tmp/checkpoints"
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which cleanup() removes."""
+    path = f"{shared_folder(spark).rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: what reads them several times works them out once, and lost executors cost no more than
+    the files they had not written."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes what this application has written by scratch() and returns its number. Call it when results are stored: DataFrames that queries have
+    returned read those tables."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        fs, at = _files(spark, p)
+        fs.delete(at(), True)
+    return len(paths)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
