@@ -16,18 +16,20 @@ SCORE_LIMIT, GAP_LIMIT, CONFIRM_DAYS = 0.70, 0.10, 3
 def factors(bars: DataFrame, instruments: DataFrame, calendar: DataFrame) -> DataFrame:
     """All factors by (trade_date, industry). Bars of instruments without an industry are left out.
 
-    A window's return takes in instruments that traded within it but not on its last date: each bar is dealt to the end
-    dates that it can serve, a fixed number, and all windows are aggregated in one pass with map-side combination.
+    A window's return takes in instruments that traded within it but not on its last date: a bar stands for its instrument until the next one, so
+    it serves its own date and, where dates are missing, those too. The closes of a window are at its end, on the shuffle by instrument; what
+    moves to industries is a row an instrument and date, combined before.
     """
     own = bars.join(instruments.select("ts_code", "industry"), "ts_code").where("industry IS NOT NULL AND industry NOT IN ('None', '')").join(F.broadcast(calendar), "trade_date")
     longest, last = max(WINDOWS), calendar.agg(F.max("trade_index").alias("_last"))
-    served = own.where("close IS NOT NULL").select("ts_code", "industry", "trade_index", "close").join(F.broadcast(last))
-    served = served.withColumn("end", F.explode(F.sequence(F.col("trade_index"), F.least(F.col("trade_index") + longest - 1, F.col("_last")))))
-    inside = {w: F.when(F.col("trade_index") > F.col("end") - w, F.col("trade_index")) for w in WINDOWS}
-    aggs = [f for w in WINDOWS for f in (F.min_by("close", inside[w]).alias(f"_f{w}"), F.max_by("close", inside[w]).alias(f"_l{w}"))]
-    per = served.groupBy("end", "industry", "ts_code").agg(*aggs)
+    own_series = Window.partitionBy("ts_code").orderBy("trade_index")
+    held = own.where("close IS NOT NULL").select("ts_code", "industry", "trade_index", "close").withColumns({
+        "_recent": F.collect_list(F.struct("trade_index", "close")).over(own_series.rangeBetween(-(longest - 1), 0)), "_next": F.lead("trade_index").over(own_series),
+    })
+    served = held.join(F.broadcast(last)).withColumn("end", F.explode(F.sequence("trade_index", F.least(F.col("_next") - 1, F.col("trade_index") + longest - 1, F.col("_last")))))
     # a window spans w - 1 intervals, so it needs a date w - 1 before
-    returns = per.groupBy("end", "industry").agg(*(F.avg(F.when(F.col("end") >= w - 1, F.try_divide(f"_l{w}", f"_f{w}") - 1)).alias(f"return_{w}d") for w in WINDOWS))
+    first = lambda w: F.try_element_at(F.filter("_recent", lambda x: x["trade_index"] > F.col("end") - w), F.lit(1))["close"]
+    returns = served.groupBy("end", "industry").agg(*(F.avg(F.when(F.col("end") >= w - 1, F.try_divide(F.col("close"), first(w)) - 1)).alias(f"return_{w}d") for w in WINDOWS))
 
     span = Window.partitionBy("ts_code").orderBy("trade_index").rangeBetween(-(HIGH_DATES - 1), 0)
     daily = own.withColumn("_top", F.col("high") >= F.max("high").over(span))
