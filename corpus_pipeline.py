@@ -35,7 +35,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     named = keyed.select(F.col(row_key).alias("key"), F.col(own_id).alias("own"), F.col(text_hash).alias("hash")).join(found.select(F.col("doc_id").alias("key"), "component_id"), "key")
     first = named.groupBy("component_id").agg(F.min(F.struct("own", "hash", "key")).alias("first"))
     stays = saved(first.select(F.col("first.key").alias(row_key)), "stays")
-    return keyed.join(stays, row_key, "left_semi").select(*quoted(docs))
+    # both grow with the input, so neither is ever broadcast
+    return keyed.join(stays.hint("merge"), row_key, "left_semi").select(*quoted(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
