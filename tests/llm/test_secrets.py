@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -128,3 +129,84 @@ def test_model_finds_what_no_pattern_does(spark):
     assert sum(flagged("".join(rnd.choices(string.ascii_uppercase + string.digits, k=28))) for _ in range(100)) >= 80
     assert sum(flagged(v) for i in range(10) for v in secrets.look_alikes(prose(30), rnd.getrandbits(56))) <= 8
     assert sum(len(scanner.added(" ".join(prose(80)), [])) for _ in range(100)) == 0
+
+
+def corpus(rnd, n):
+    """Texts of plain words, most with a secret of one kind, some with addresses, dates and the like."""
+    words = ["thing", "was", "there", "and", "over", "the", "river", "with", "some", "more", "words", "of", "house"]
+    draw = lambda alphabet, k: "".join(rnd.choices(alphabet, k=k))
+    upper, hexa, every = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = {"assign": lambda: f'{rnd.choice(["password", "api_key", "token"])}={draw(every, rnd.randint(16, 30))}', "access": lambda: "AKIA" + draw(upper, 16), "hex": lambda: draw(hexa, rnd.choice([32, 40]))}
+    plain = [lambda: f"{draw('abcdef', 6)}.{draw('0123456789', 2)}@mail{rnd.randint(0, 9)}.example.com", lambda: f"20{draw('0123456789', 2)}-11-0{rnd.randint(1, 9)}", lambda: f"v{rnd.randint(1, 9)}.{rnd.randint(0, 20)}.3", lambda: f"https://{draw('abcdef', 8)}.org/page"]
+    out = []
+    for _ in range(n):
+        kind = rnd.choice([*kinds, None])
+        item = kinds[kind]() if kind else rnd.choice(plain)()
+        before = " ".join(rnd.choices(words, k=rnd.randint(4, 15)))
+        out.append((f"{before} {item} {' '.join(rnd.choices(words, k=rnd.randint(4, 15)))}", kind, len(before) + 1, len(before) + 1 + len(item)))
+    return out
+
+
+def plainly(model, text, base):
+    """Tags of the whole text by the plain recursion over plainly made features."""
+    words = secrets.split_words(text)
+    zero = np.zeros(secrets.N_SHAPE)
+    shapes = [secrets.shape(w).astype(float) for w in words]
+    get = lambda k: shapes[k] if 0 <= k < len(words) else zero
+    extra = secrets.text_features(text).astype(float)
+    scores = [np.concatenate([get(k), get(k - 1), get(k - 2), get(k + 1), extra]) @ model.weights for k in range(len(words))]
+    best, ways = list(scores[0]), [[y] for y in range(3)]
+    for e in scores[1:]:
+        came = [max(range(3), key=lambda p, y=y: best[p] + model.transitions[p, y]) for y in range(3)]
+        ways = [ways[came[y]] + [y] for y in range(3)]
+        best = [best[came[y]] + model.transitions[came[y], y] + e[y] for y in range(3)]
+    tags, at, out, k = ways[int(np.argmax(best))], 0, [], 0
+    starts = []
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    while k < len(tags):
+        if tags[k] == secrets.O:
+            k += 1
+            continue
+        j = k + 1
+        while j < len(tags) and tags[j] == secrets.I:
+            j += 1
+        s, e = starts[k], starts[j - 1] + len(words[j - 1])
+        while s < e and text[s] in " \t\r\n\"'([{<":
+            s += 1
+        while s < e and text[e - 1] in " \t\r\n\"'.,;:)]}>":
+            e -= 1
+        if s < e and not any(s < b1 and b0 < e for b0, _, b1 in base):
+            out.append((s, 3, e))
+        k = j
+    return sorted(base + out)
+
+
+def test_spans_equal_a_plain_decoder(spark):
+    rnd = random.Random(12)
+    rows = corpus(rnd, 500)
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    model = secrets.train(df.where("doc_id % 3 <> 0"), skip="access")
+    got = {r.doc_id: r for r in secrets.find_secrets(df, model).collect()}
+    seen = 0
+    for i, (text, *_) in enumerate(rows):
+        # as if the fixed patterns found nothing, and as they are
+        base = secrets.base_spans(text)
+        assert got[i].spans == secrets._joined(plainly(model, text, base))
+        assert secrets.Scanner(model).added(text, []) == [s for s in plainly(model, text, []) if s[1] == 3]
+        seen += bool(secrets.Scanner(model).added(text, []))
+    assert seen > 100
+
+
+def test_kinds_that_training_has_not_seen(spark):
+    rnd = random.Random(5)
+    train = spark.createDataFrame([(i, r[0]) for i, r in enumerate(corpus(rnd, 900))], "doc_id long, text string")
+    fresh = corpus(rnd, 400)
+    for kind, least in (("access", 0.9), ("hex", 0.9)):
+        scanner = secrets.Scanner(secrets.train(train, skip=kind))
+        own = [r for r in fresh if r[1] == kind]
+        hit = sum(any(s <= at and end <= e for s, _, e in scanner.added(text, [])) for text, _, at, end in own)
+        clean = [r for r in fresh if r[1] is None]
+        wrong = sum(bool(scanner.added(r[0], [])) for r in clean)
+        assert hit / len(own) >= least and wrong / len(clean) <= 0.02, (kind, hit, len(own), wrong, len(clean))
