@@ -190,16 +190,16 @@ def rank_boards(members: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def member_bridge(landed: DataFrame, instruments: DataFrame) -> DataFrame:
-    """(trade_date, concept_code, ts_code, stock_name, member_rank) from members as pages list them: trade_date, concept_code, symbol,
-    stock_name, page, place.
+    """(trade_date, concept_code, ts_code, given_name, member_rank) from members as pages list them: trade_date, concept_code, symbol,
+    given_name, page, place.
 
     Of a symbol that a board lists several times the first place counts; member_rank numbers those that stay. A symbol becomes a code by
     the instruments; of several instruments with one symbol the smallest code. Symbols that no instrument has are left out."""
-    first = Window.partitionBy("trade_date", "concept_code", "symbol").orderBy("page", "place", "stock_name")
+    first = Window.partitionBy("trade_date", "concept_code", "symbol").orderBy("page", "place", "given_name")
     order = Window.partitionBy("trade_date", "concept_code").orderBy("page", "place", "symbol")
     once = landed.withColumn("symbol", F.trim("symbol")).withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("member_rank", F.row_number().over(order))
     codes = instruments.groupBy("symbol").agg(F.min("ts_code").alias("ts_code"))
-    return once.join(codes, "symbol").select("trade_date", "concept_code", "ts_code", "stock_name", "member_rank")
+    return once.join(codes, "symbol").select("trade_date", "concept_code", "ts_code", "given_name", "member_rank")
 
 
 def limit_up_counts(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int = 10) -> DataFrame:
@@ -221,7 +221,7 @@ def board_payload(boards: DataFrame, members: DataFrame, bars: DataFrame, instru
 def _board_members(boards: DataFrame, members: DataFrame, bars: DataFrame, instruments: DataFrame, top: int) -> DataFrame:
     """Leading boards' members, in a row of nulls for a board without any."""
     listed = boards.where(F.col("rank") <= top).select("trade_date", "concept_code", "rank")
-    given = F.col("stock_name") if "stock_name" in members.columns else F.lit(None).cast("string")
+    given = F.col("given_name") if "given_name" in members.columns else F.lit(None).cast("string")
     own = listed.join(members.select("trade_date", "concept_code", "ts_code", "member_rank", given.alias("_given")), ["trade_date", "concept_code"], "left")
     named = own.join(instruments.select("ts_code", "name", "industry"), "ts_code", "left").withColumn("name", F.coalesce("name", "_given")).drop("_given")
     return named.join(bars.select("trade_date", "ts_code", "pre_close", "close", "pct_chg", "amount"), ["trade_date", "ts_code"], "left")

@@ -41,7 +41,7 @@ def b1_counts(spark, sf_dir):
   SELECT *, row_number() OVER (ORDER BY n DESC, industry) AS rn FROM (
   SELECT coalesce(industry, '(unknown)') AS industry, count(*) AS n FROM b1 LEFT JOIN instruments USING (ts_code) WHERE b1 GROUP BY 1)) GROUP BY 1"""))
 def b1_industry_dist(spark, sf_dir):
-    own = F.broadcast(panel.instruments(spark, sf_dir).select("ts_code", F.coalesce("industry", F.lit("(unknown)")).alias("industry")))
+    own = panel.instruments(spark, sf_dir).select("ts_code", F.coalesce("industry", F.lit("(unknown)")).alias("industry"))
     return rounded(screens.industry_distribution(frames.wide(spark, sf_dir).where(screens.is_b1()).join(own, "ts_code", "left")))
 
 

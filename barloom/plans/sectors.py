@@ -82,14 +82,14 @@ def rotation_counts(spark, sf_dir):
     return rounded(n.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "industry"))).where("position <= 8"))
 
 
-@query(with_(["ranked", "own"], f"""SELECT {d()}, industry, rank, count(*) AS n_stocks, string_agg(ts_code, ',' ORDER BY amount DESC, ts_code) AS stocks FROM (SELECT k.trade_date, k.industry, k.rank, o.ts_code, o.amount FROM ranked k JOIN own o ON o.trade_date = k.trade_date AND o.industry = k.industry WHERE k.rank <= 10) t GROUP BY t.trade_date, industry, rank"""))
+@query(with_(["ranked", "own"], f"""SELECT {d()}, industry, rank, count(*) AS n_constituents, string_agg(ts_code, ',' ORDER BY amount DESC, ts_code) AS constituents FROM (SELECT k.trade_date, k.industry, k.rank, o.ts_code, o.amount FROM ranked k JOIN own o ON o.trade_date = k.trade_date AND o.industry = k.industry WHERE k.rank <= 10) t GROUP BY t.trade_date, industry, rank"""))
 def sector_pool(spark, sf_dir):
     """Constituents of the ten leading industries on each date, by amount, as one array a sector."""
     bars = panel.bars(spark, sf_dir)
-    own = bars.join(F.broadcast(panel.instruments(spark, sf_dir).where("delist_date IS NULL").select("ts_code", "industry")), "ts_code").select("trade_date", "industry", "ts_code", "amount")
+    own = bars.join(panel.instruments(spark, sf_dir).where("delist_date IS NULL").select("ts_code", "industry"), "ts_code").select("trade_date", "industry", "ts_code", "amount")
     top = ranking(spark, sf_dir).where("rank <= 10").select("trade_date", "industry", "rank")
     lists = own.join(top, ["trade_date", "industry"]).groupBy("trade_date", "industry", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("amount")).alias("a"), "ts_code"))).alias("l"))
-    return rounded(lists.select("trade_date", "industry", "rank", F.size("l").alias("n_stocks"), F.array_join(F.col("l.ts_code"), ",").alias("stocks")))
+    return rounded(lists.select("trade_date", "industry", "rank", F.size("l").alias("n_constituents"), F.array_join(F.col("l.ts_code"), ",").alias("constituents")))
 
 
 _INTS = {"return_5d": ("return_5d * 100", 2), "turnover_billion": ("turnover * 1e-8", 1), "breadth_pct": ("breadth * 100", 1), "new_high_pct": ("new_high_ratio * 100", 1), "relative_strength": ("relative_strength", 2)}
@@ -183,10 +183,10 @@ def concept_limit_up(spark, sf_dir):
     return rounded(sec.limit_up_counts(boards, members, *_limit_bars(spark, sf_dir)))
 
 
-cte("landed", [], f"""SELECT date_trunc('week', l_shipdate)::DATE AS trade_date, p_brand AS concept_code, CASE WHEN l_suppkey % 11 = 4 THEN '999' || l_suppkey ELSE ' ' || split_part({_CODE}, '.', 1) END AS symbol, 'given ' || l_suppkey AS stock_name, l_linenumber AS page, l_orderkey AS place
+cte("landed", [], f"""SELECT date_trunc('week', l_shipdate)::DATE AS trade_date, p_brand AS concept_code, CASE WHEN l_suppkey % 11 = 4 THEN '999' || l_suppkey ELSE ' ' || split_part({_CODE}, '.', 1) END AS symbol, 'given ' || l_suppkey AS given_name, l_linenumber AS page, l_orderkey AS place
   FROM lineitem JOIN part ON l_partkey = p_partkey""")
-cte("bridge", ["landed", "instruments"], """SELECT trade_date, concept_code, i.ts_code, stock_name, member_rank FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, concept_code ORDER BY page, place, symbol) AS member_rank FROM (
-  SELECT * EXCLUDE (symbol), trim(symbol) AS symbol, row_number() OVER (PARTITION BY trade_date, concept_code, trim(symbol) ORDER BY page, place, stock_name) AS rn FROM landed) WHERE rn = 1) m JOIN (SELECT symbol, min(ts_code) AS ts_code FROM instruments GROUP BY symbol) i USING (symbol)""")
+cte("bridge", ["landed", "instruments"], """SELECT trade_date, concept_code, i.ts_code, given_name, member_rank FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, concept_code ORDER BY page, place, symbol) AS member_rank FROM (
+  SELECT * EXCLUDE (symbol), trim(symbol) AS symbol, row_number() OVER (PARTITION BY trade_date, concept_code, trim(symbol) ORDER BY page, place, given_name) AS rn FROM landed) WHERE rn = 1) m JOIN (SELECT symbol, min(ts_code) AS ts_code FROM instruments GROUP BY symbol) i USING (symbol)""")
 
 
 def _landed(spark, sf_dir):
@@ -194,18 +194,18 @@ def _landed(spark, sf_dir):
     line = panel.table(spark, sf_dir, "lineitem").join(panel.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     own = F.concat(F.lit(" "), F.split_part(panel.instrument_code("l_suppkey"), F.lit("."), F.lit(1)))
     symbol = F.when(F.col("l_suppkey") % 11 == 4, F.concat(F.lit("999"), F.col("l_suppkey").cast("string"))).otherwise(own)
-    return line.select(F.to_date(F.date_trunc("week", "l_shipdate")).alias("trade_date"), F.col("p_brand").alias("concept_code"), symbol.alias("symbol"), F.concat(F.lit("given "), F.col("l_suppkey").cast("string")).alias("stock_name"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("place"))
+    return line.select(F.to_date(F.date_trunc("week", "l_shipdate")).alias("trade_date"), F.col("p_brand").alias("concept_code"), symbol.alias("symbol"), F.concat(F.lit("given "), F.col("l_suppkey").cast("string")).alias("given_name"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("place"))
 
 
-@query(with_(["bridge"], f"SELECT {d()}, concept_code, ts_code, stock_name, member_rank FROM bridge"))
+@query(with_(["bridge"], f"SELECT {d()}, concept_code, ts_code, given_name, member_rank FROM bridge"))
 def member_bridge(spark, sf_dir):
     """Boards' members by code, from pages with repeated and unknown symbols."""
     return rounded(sec.member_bridge(_landed(spark, sf_dir), panel.instruments(spark, sf_dir)))
 
 
 @query(with_(["boards", "instruments", "bridge"], _LIMIT_UPS.split("\nm AS")[0].rstrip(",") + f""", names AS (SELECT * FROM instruments WHERE right(symbol, 1) <> '7'),
-m AS (SELECT k.trade_date, k.concept_code, k.rank, k.pct_chg AS board_change, k.amount AS board_amount, k.breadth_pct, m.ts_code, m.member_rank, coalesce(i.name, m.stock_name) AS name, i.industry, b.close, b.pc, b.pct_chg, b.amount,
-  coalesce(b.pc > 0 AND b.close::DECIMAL(18,2) = round(b.pc::DECIMAL(24,8) * (1 + {_RATE.replace('trade_date', 'k.trade_date').replace('ts_code', 'm.ts_code').replace('name', 'coalesce(i.name, m.stock_name)')}), 2)::DECIMAL(18,2), false) AS up
+m AS (SELECT k.trade_date, k.concept_code, k.rank, k.pct_chg AS board_change, k.amount AS board_amount, k.breadth_pct, m.ts_code, m.member_rank, coalesce(i.name, m.given_name) AS name, i.industry, b.close, b.pc, b.pct_chg, b.amount,
+  coalesce(b.pc > 0 AND b.close::DECIMAL(18,2) = round(b.pc::DECIMAL(24,8) * (1 + {_RATE.replace('trade_date', 'k.trade_date').replace('ts_code', 'm.ts_code').replace('name', 'coalesce(i.name, m.given_name)')}), 2)::DECIMAL(18,2), false) AS up
   FROM boards k LEFT JOIN (SELECT * FROM bridge WHERE concept_code <> 'Brand#13') m USING (trade_date, concept_code) LEFT JOIN names i ON i.ts_code = m.ts_code LEFT JOIN pb b ON b.trade_date = k.trade_date AND b.ts_code = m.ts_code WHERE k.rank <= 10)
 SELECT {d('trade_date')}, concept_code, rank, floor(any_value(board_change) * 100 + 0.5) / 100 AS pct_chg, floor(any_value(board_amount) / 1e8 * 100 + 0.5) / 100 AS net_inflow, floor(any_value(breadth_pct) * 10 + 0.5) / 10 AS breadth_pct, count(ts_code) AS members, CASE WHEN count(*) FILTER (close IS NOT NULL AND pc IS NOT NULL) > 0 THEN count(*) FILTER (up) END AS limit_ups,
   coalesce(string_agg(concat_ws(':', member_rank, ts_code, coalesce(name, ''), coalesce(industry, ''), coalesce((floor(close * 100 + 0.5)::BIGINT)::VARCHAR, ''), coalesce((floor(amount * 100 + 0.5)::BIGINT)::VARCHAR, '')), '|' ORDER BY member_rank) FILTER (ts_code IS NOT NULL), '') AS listed FROM m GROUP BY m.trade_date, concept_code, rank"""))

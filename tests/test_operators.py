@@ -364,7 +364,7 @@ def test_as_of_by_months(spark):
 
 
 def test_bridge_and_boards_without_members(spark):
-    landed = spark.createDataFrame([("d", "b", "600001", "first", 1, 2), ("d", "b", "600001 ", "again", 1, 1), ("d", "b", "1", "none", 1, 3), ("d", "b", "000002", "other", 2, 1), ("d", "b", "000002", "late", 3, 1)], "trade_date string, concept_code string, symbol string, stock_name string, page int, place int")
+    landed = spark.createDataFrame([("d", "b", "600001", "first", 1, 2), ("d", "b", "600001 ", "again", 1, 1), ("d", "b", "1", "none", 1, 3), ("d", "b", "000002", "other", 2, 1), ("d", "b", "000002", "late", 3, 1)], "trade_date string, concept_code string, symbol string, given_name string, page int, place int")
     names = spark.createDataFrame([("600001.SH", "600001", None, "I"), ("000002.SZ", "000002", "Two", None), ("000002.SH", "000002", "Index", None)], "ts_code string, symbol string, name string, industry string")
     m = sectors.member_bridge(landed, names)
     assert sorted(tuple(r) for r in m.collect()) == [("d", "b", "000002.SH", "other", 3), ("d", "b", "600001.SH", "again", 1)]

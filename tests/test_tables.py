@@ -85,11 +85,11 @@ def test_screen_and_nested_sinks(spark, tmp_path):
     df = spark.createDataFrame([(date(2024, 1, 1), "a", 1.23456), (date(2024, 1, 1), "b", 2.0)], "trade_date date, ts_code string, close double")
     for _ in range(2):
         tables.write_screen(df, str(tmp_path / "csv"), {"close": 2})
-        tables.write_nested(df, str(tmp_path / "json"), ["trade_date"], "stocks")
+        tables.write_nested(df, str(tmp_path / "json"), ["trade_date"], "items")
     got = spark.read.csv(str(tmp_path / "csv"), header=True).collect()
     assert sorted((r.ts_code, r.close) for r in got) == [("a", "1.23"), ("b", "2.0")]
     nested = spark.read.json(str(tmp_path / "json")).collect()
-    assert len(nested) == 1 and [s.ts_code for s in nested[0].stocks] == ["a", "b"]
+    assert len(nested) == 1 and [s.ts_code for s in nested[0]["items"]] == ["a", "b"]
 
 
 def test_snapshot_page(spark):
