@@ -45,25 +45,35 @@ def factors(bars: DataFrame, instruments: DataFrame, calendar: DataFrame) -> Dat
 
 
 def rank(factor_rows: DataFrame, least_members: int = LEAST_MEMBERS) -> DataFrame:
-    """Score and rank of each valid industry on each date: average ranks scaled to 0..1, weighted; ties by name."""
+    """Score and rank of each valid industry on each date: average ranks scaled to 0..1, weighted; ties by name. A factor that no industry of the date
+    has counts nothing, otherwise a missing one counts as 0.
+
+    A date's industries are an array of at most a few hundred, within which a value's place is counted, so one shuffle by date serves all
+    factors."""
     valid = factor_rows.where(F.col("members") >= least_members)
-    w = Window.partitionBy("trade_date")
-    n = F.count("*").over(w)
-
-    def normal(c: str) -> Column:
-        v = Window.partitionBy("trade_date").orderBy(c)
-        ties = F.count("*").over(Window.partitionBy("trade_date", c))
-        return F.when(n > 1, (F.rank().over(v) + (ties - 1) / 2 - 1) / (n - 1)).otherwise(0.5)
-
-    known = {c: F.max(F.when(F.col(c).isNotNull(), 1).otherwise(0)).over(w) == 1 for c in WEIGHTS}
-    filled = valid.withColumns({f"_k_{c}": known[c] for c in WEIGHTS}).withColumns({f"_v_{c}": F.coalesce(c, F.lit(0.0)) for c in WEIGHTS})
-    score = F.lit(0.0)
-    for c, weight in WEIGHTS.items():
-        score = score + F.when(F.col(f"_k_{c}"), normal(f"_v_{c}") * weight).otherwise(0.0)
-    # whole millionths, so that the last bits of a sum order nothing
-    out = filled.withColumn("score", F.floor(score * 1e6 + 0.5) / 1e6)
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("score"), "industry")))
-    return out.drop(*(c for c in out.columns if c.startswith("_")))
+    rest = [c for c in valid.columns if c != "trade_date"]
+    dates = valid.groupBy("trade_date").agg(F.collect_list(F.struct(*rest)).alias("_all"))
+    filled = lambda x, c: F.coalesce(x[c], F.lit(0.0))
+    dates = dates.withColumns({f"_v_{c}": F.when(F.exists("_all", lambda x: x[c].isNotNull()), F.array_sort(F.transform("_all", lambda x: filled(x, c)))) for c in WEIGHTS})  # noqa: B023  called at once
+    n = F.size("_all")
+
+    def weighted(x: Column, c: str, weight: float) -> Column:
+        sorted_, v = F.col(f"_v_{c}"), filled(x, c)
+        below = F.array_position(sorted_, v) - 1
+        ties = F.size(F.filter(sorted_, lambda y: y == v))
+        share = F.when(n > 1, (below + (ties - 1) / 2) / (n - 1)).otherwise(0.5)
+        return F.when(sorted_.isNotNull(), share * weight).otherwise(0.0)
+
+    def score(x: Column) -> Column:
+        total = F.lit(0.0)
+        for c, weight in WEIGHTS.items():
+            total = total + weighted(x, c, weight)
+        # whole millionths, so that the last bits of a sum order nothing
+        return F.floor(total * 1e6 + 0.5) / 1e6
+
+    scored = dates.select("trade_date", F.explode(F.transform("_all", lambda x: F.struct(x.alias("x"), score(x).alias("score")))).alias("_x"))
+    out = scored.select(*(F.col("trade_date") if c == "trade_date" else F.col(f"_x.x.{c}").alias(c) for c in valid.columns), F.col("_x.score").alias("score"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("score"), "industry")))
 
 
 #: Fixed value: sessions that a ranking may look back, the longest window and the highs and some more.
