@@ -243,10 +243,14 @@ def _limit_ups() -> list[Column]:
     return [F.count("ts_code").alias("members"), F.when(priced > 0, F.sum(F.when(up, 1).otherwise(0))).alias("limit_ups")]
 
 
+def leading_members(boards: DataFrame, members: DataFrame, top: int = 10) -> DataFrame:
+    """The members of each date's leading boards."""
+    return members.join(boards.where(F.col("rank") <= top).select("trade_date", "concept_code"), ["trade_date", "concept_code"], "left_semi")
+
+
 def focus(boards: DataFrame, members: DataFrame, bars: DataFrame, top: int = 10, least: int = 2) -> DataFrame:
     """Instruments in at least two of a date's leading boards, by number of boards, change, amount and code."""
-    listed = boards.where(F.col("rank") <= top).select("trade_date", "concept_code")
-    m = members.select("trade_date", "concept_code", "ts_code").join(listed, ["trade_date", "concept_code"], "left_semi").groupBy("trade_date", "ts_code").agg(F.array_sort(F.collect_set("concept_code")).alias("concepts"))
+    m = leading_members(boards, members, top).groupBy("trade_date", "ts_code").agg(F.array_sort(F.collect_set("concept_code")).alias("concepts"))
     m = m.withColumn("concept_count", F.size("concepts")).where(F.col("concept_count") >= least).join(bars.select("trade_date", "ts_code", "pct_chg", "amount"), ["trade_date", "ts_code"], "left")
     w = Window.partitionBy("trade_date").orderBy(F.desc("concept_count"), F.desc_nulls_last("pct_chg"), F.desc_nulls_last("amount"), "ts_code")
     return m.withColumn("focus_rank", F.row_number().over(w))

@@ -112,12 +112,14 @@ def trade_index(spark, sf_dir):
 
 
 @query(with_(["bars"], """SELECT ts_code, count(*) AS n_bars, min(strftime(trade_date, '%Y%m%d')) AS first_date, max(strftime(trade_date, '%Y%m%d')) AS last_date,
-  floor(arg_min(close, trade_date) * 1e6 + 0.5) / 1e6 AS first_close, floor(arg_max(close, trade_date) * 1e6 + 0.5) / 1e6 AS last_close
+  floor(arg_min(close, trade_date) * 1e6 + 0.5) / 1e6 AS first_close, floor(arg_max(close, trade_date) * 1e6 + 0.5) / 1e6 AS last_close,
+  string_agg(strftime(trade_date, '%Y%m%d') || ':' || floor(open * 1e4 + 0.5)::BIGINT || ':' || floor(high * 1e4 + 0.5)::BIGINT || ':' || floor(low * 1e4 + 0.5)::BIGINT || ':' || floor(close * 1e4 + 0.5)::BIGINT || ':' || vol::BIGINT, ',' ORDER BY trade_date) AS kline
   FROM (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS rn FROM bars) WHERE rn <= 120 GROUP BY ts_code"""))
 def last_n_bars(spark, sf_dir):
     k = ind.last_bars(panel.bars(spark, sf_dir), 120)
     first, last = F.col("kline")[0], F.element_at("kline", -1)
-    return rounded(k.select("ts_code", F.size("kline").alias("n_bars"), first["trade_date"].alias("first_date"), last["trade_date"].alias("last_date"), first["close"].alias("first_close"), last["close"].alias("last_close")))
+    one = lambda b: F.concat_ws(":", F.date_format(b["trade_date"], "yyyyMMdd"), *(F.floor(b[c] * 1e4 + 0.5).cast("string") for c in ("open", "high", "low", "close")), b["vol"].cast("long").cast("string"))
+    return rounded(k.select("ts_code", F.size("kline").alias("n_bars"), first["trade_date"].alias("first_date"), last["trade_date"].alias("last_date"), first["close"].alias("first_close"), last["close"].alias("last_close"), F.array_join(F.transform("kline", one), ",").alias("kline")))
 
 
 @query(with_(["pit", "bars"], f"""SELECT {CODE}, {r('next_open')}, {r('latest_close')}, {r('latest_close / next_open - 1', 'ret')} FROM (

@@ -12,6 +12,7 @@ from ..operators import combine as comb
 from ..operators import indicators as ind
 from ..operators import nextday as nd
 from ..operators import screens
+from ..operators import sectors as sec
 from ..sources import panel, tables
 from . import frames
 from .model import _FIXED, _KNOWN, _PROB
@@ -214,13 +215,14 @@ def cash_days(spark, sf_dir):
     return rounded(bt.cash_curve(panel.calendar(bars).join(F.broadcast(busy), "trade_date", "left_anti")))
 
 
-@query(with_(["b1", "pit", "members"], "SELECT ts_code FROM b1 WHERE b1 UNION SELECT ts_code FROM pit WHERE signal = 1 UNION SELECT ts_code FROM members"))
+@query(with_(["b1", "pit", "members", "boards"], "SELECT ts_code FROM b1 WHERE b1 UNION SELECT ts_code FROM pit WHERE signal = 1 UNION SELECT ts_code FROM members SEMI JOIN (SELECT * FROM boards WHERE rank <= 10) b USING (trade_date, concept_code)"))
 def exported_codes(spark, sf_dir):
-    """Distinct codes that any of three lists names."""
+    """Distinct codes that any of three lists names; of boards, the leading ten of each date."""
     bars = panel.bars(spark, sf_dir)
     hits = ind.wide(bars).where(screens.is_b1())
     pit = ind.golden_pit(bars).where("signal = 1")
-    return comb.distinct_codes(hits, pit, panel.concept_members(spark, sf_dir))
+    members = panel.concept_members(spark, sf_dir)
+    return comb.distinct_codes(hits, pit, sec.leading_members(sec.rank_boards(members, bars), members))
 
 
 @query(with_(["bars"], f"SELECT ts_code, {d()}, {r('CASE WHEN base > 0 THEN (close / base - 1) * 100 END', 'change_pct')} FROM (SELECT *, coalesce(CASE WHEN pre_close > 0 THEN pre_close END, lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date)) AS base FROM bars)"))
