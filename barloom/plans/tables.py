@@ -135,6 +135,10 @@ _FILE_DAY = "CASE WHEN year(trade_date) >= 2000 THEN strftime(trade_date, '%Y%m%
 UNION ALL SELECT 'pit-' || strftime(trade_date, '%Y%m%d') || 'x.csv', {_FILE_DAY}, ts_code, NULL, 'a "note", of ' || ts_code || chr(10) || 'and more' FROM pit WHERE signal = 1"""))
 def dated_files(spark, sf_dir):
     """Dated CSV files with two headers, with and without a mark, quotes and line breaks, read back as one table."""
+    return rounded(_landed_files(spark, sf_dir).select("source_file", "signal_date", "ts_code", "close", "note"))
+
+
+def _landed_files(spark, sf_dir):
     bars = panel.bars(spark, sf_dir)
     lines = lambda rows, line: rows.groupBy("trade_date").agg(F.array_join(F.array_sort(F.collect_list(line)), "\r\n").alias("lines"))
     day = F.date_format("trade_date", "yyyyMMdd")
@@ -142,7 +146,52 @@ def dated_files(spark, sf_dir):
     pit = lines(ind.golden_pit(bars).where("signal = 1"), F.concat(F.lit('"a ""note"", of '), "ts_code", F.lit('\nand more",'), "ts_code"))
     files = b1.select(F.concat(F.lit("landed/b1_"), day, F.lit(".csv")).alias("path"), F.encode(F.concat(F.lit("\ufeffts_code,close\r\n"), "lines"), "UTF-8").alias("content"))
     files = files.union(pit.select(F.concat(F.lit("landed/pit-"), day, F.lit("x.csv")), F.encode(F.concat(F.lit("note,ts_code\r\n"), "lines"), "UTF-8")))
-    return rounded(tables.parse_csvs(files).select("source_file", "signal_date", "ts_code", "close", "note"))
+    return tables.parse_csvs(files)
+
+
+@query(with_(["b1", "pit"], f"SELECT DISTINCT {d()}, ts_code FROM (SELECT trade_date, ts_code FROM b1 WHERE b1 UNION ALL SELECT trade_date, ts_code FROM pit WHERE signal = 1) t WHERE t.trade_date BETWEEN DATE '2000-02-01' AND DATE '2001-03-31'"))
+def dated_pool(spark, sf_dir):
+    """The pool that dated files name within a range."""
+    return rounded(tables.pool_of(_landed_files(spark, sf_dir), "2000-02-01", "2001-03-31"))
+
+
+@query(with_(["bars", "instruments"], f"""SELECT {d()}, ts_code, floor(CASE WHEN month(t.trade_date) = 6 THEN amount / 2 ELSE amount END * 100 + 0.5) / 100 AS amount, CASE WHEN month(t.trade_date) = 6 THEN 2::BIGINT ELSE 1 END AS version
+FROM bars t WHERE month(t.trade_date) IN (5, 6) AND (month(t.trade_date) = 5 OR right(split_part(ts_code, '.', 1), 1) <> '3')"""))
+def replaced_snapshots(spark, sf_dir):
+    """A table of whole snapshots by date; some dates are landed again with fewer rows, and what they held before is gone."""
+    path = tables.scratch(spark, "snapshots")
+    bars = panel.bars(spark, sf_dir).where(F.month("trade_date").isin(5, 6)).select("trade_date", "ts_code", "amount")
+    tables.replace_dates(bars.withColumn("version", F.lit(1)), path)
+    again = bars.where((F.month("trade_date") == 6) & (F.right(F.split_part("ts_code", F.lit("."), F.lit(1)), F.lit(1)) != "3"))
+    tables.replace_dates(again.withColumns({"amount": F.col("amount") / 2, "version": F.lit(2)}), path)
+    out = tables.read_table(spark, path)
+    return rounded(out.select("trade_date", "ts_code", "amount", "version"), 2)
+
+
+@query(with_(["b1", "instruments"], f"SELECT {d()}, ts_code, name, round(close, 2) AS close, round(vol_ratio, 3) AS vol_ratio, round(j, 1) + 0.0 AS j FROM b1 LEFT JOIN instruments USING (ts_code) WHERE b1"))
+def screen_files(spark, sf_dir):
+    """The B1 screen's hits as a folder of CSVs for each date, numbers rounded, read back."""
+    path = tables.scratch(spark, "screens")
+    hits = tables.with_names(frames.wide(spark, sf_dir).where(screens.is_b1()), panel.instruments(spark, sf_dir)).select("trade_date", "ts_code", "name", "close", "vol_ratio", "j")
+    tables.write_screen(hits, path, {"close": 2, "vol_ratio": 3, "j": 1})
+    out = spark.read.csv(path, header=True, schema="ts_code string, name string, close double, vol_ratio double, j double, trade_date date")
+    return rounded(out.select("trade_date", "ts_code", "name", "close", "vol_ratio", "j"), 3)
+
+
+@query(with_(["calendar"], f"SELECT {d('trade_date').replace('AS trade_date', 'AS cal_date')} FROM calendar t WHERE trade_index % 7 <> 3 AND t.trade_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"))
+def open_sessions(spark, sf_dir):
+    """Open dates of one of two exchanges in a range."""
+    c = panel.calendar(panel.bars(spark, sf_dir)).select(F.col("trade_date").alias("cal_date"), "trade_index")
+    both = c.select(F.lit("SSE").alias("exchange"), "cal_date", F.when(F.col("trade_index") % 7 == 3, 0).otherwise(1).alias("is_open")).union(c.select(F.lit("SZSE"), F.date_add("cal_date", 1), F.lit(1)))
+    return rounded(tables.open_dates(both, "SSE", "1996-01-01", "1999-12-31"))
+
+
+@query(with_(["nd", "b1", "pit", "instruments"], f""", p AS (SELECT trade_date AS signal_date, ts_code, pr, row_number() OVER (PARTITION BY trade_date ORDER BY pr DESC, ts_code) AS prediction_rank FROM (SELECT nd.trade_date, ts_code, floor({_PROB} * 1e6 + 0.5) / 1e6 AS pr FROM nd SEMI JOIN (SELECT * FROM pit WHERE signal = 1) g USING (ts_code, trade_date) WHERE {_KNOWN}))
+SELECT {d('signal_date')}, ts_code AS canonical_code, prediction_rank, b.ts_code IS NOT NULL AS has_signal FROM p LEFT JOIN instruments USING (ts_code) LEFT JOIN (SELECT ts_code, trade_date AS signal_date FROM b1 WHERE b1) b USING (ts_code, signal_date) WHERE industry IS NULL"""))
+def unclassified_predictions(spark, sf_dir):
+    """Of the combined list, predictions for instruments without an industry."""
+    named = _combined(spark, sf_dir).join(panel.instruments(spark, sf_dir).select(F.col("ts_code").alias("canonical_code"), "industry"), "canonical_code", "left")
+    return rounded(comb.prediction_rows(named, codes.NO_INDUSTRY).select("signal_date", "canonical_code", "prediction_rank", "has_signal"))
 
 
 _DATED = "SELECT 'b1' AS source, trade_date AS signal_date, ts_code, close, NULL::DOUBLE AS var2z FROM b1 WHERE b1 UNION ALL SELECT 'pit', trade_date, ts_code, NULL, var2z FROM pit WHERE signal = 1 UNION ALL SELECT 'cross', trade_date, ts_code, close, NULL FROM b1 JOIN gold USING (ts_code, trade_date) WHERE golden"
@@ -192,12 +241,16 @@ SELECT {d('signal_date')}, ts_code AS canonical_code, pr AS prob_up, prediction_
   SELECT signal_date, ts_code, pr, prediction_rank, s.ok IS NOT NULL AS has_signal FROM (SELECT *, true AS ok FROM s) s FULL JOIN p USING (signal_date, ts_code)) t"""))
 def combine_predictions(spark, sf_dir):
     """B1 hits annotated with predictions for golden-pit instruments; predictions without a hit stay."""
+    return rounded(_combined(spark, sf_dir).select("signal_date", "canonical_code", "prob_up", "prediction_rank", "has_signal", "position"))
+
+
+def _combined(spark, sf_dir):
     bars = panel.bars(spark, sf_dir)
     pit = ind.golden_pit(bars).where("signal = 1").select("ts_code", "trade_date")
-    scored = nd.score(_FIXED, nd.dataset(bars)).join(pit, ["ts_code", "trade_date"], "left_semi")
+    scored = comb.rows_of_pairs(nd.score(_FIXED, nd.dataset(bars)), pit)
     pred = scored.select(F.col("trade_date").alias("signal_date"), "ts_code", (F.floor(F.col("prob_up") * 1e6 + 0.5) / 1e6).alias("prob_up"), "reasons")
     hits = ind.wide(bars).where(screens.is_b1()).select(F.col("trade_date").alias("signal_date"), "ts_code")
-    return rounded(comb.combine(hits, pred).select("signal_date", "canonical_code", "prob_up", "prediction_rank", "has_signal", "position"))
+    return comb.combine(hits, pred)
 
 
 @query(with_(["bars"], f"SELECT strftime(date_trunc('month', trade_date), '%Y%m%d') AS trade_month, count(*) AS row_count, count(DISTINCT ts_code) AS instruments, {r('sum(amount) / 1e6', 'amount_m')}, date_trunc('month', trade_date) = max(date_trunc('month', trade_date)) OVER () AS is_latest FROM bars GROUP BY date_trunc('month', trade_date)"))

@@ -87,12 +87,15 @@ def read_dated_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def load_pool(spark: SparkSession, paths: list[str], start, end) -> DataFrame:
-    """Distinct (trade_date, ts_code) of screen files dated within the range; an error if one lacks ts_code."""
-    df = read_dated_csvs(spark, paths)
-    if "ts_code" not in df.columns:
+    return pool_of(read_dated_csvs(spark, paths), start, end)
+
+
+def pool_of(rows: DataFrame, start, end) -> DataFrame:
+    """Distinct (trade_date, ts_code) of screens' rows (signal_date, ts_code) dated within the range; an error if they lack ts_code."""
+    if "ts_code" not in rows.columns:
         raise ValueError("the files have no column ts_code")
     code = F.upper(F.trim("ts_code"))
-    pool = df.where(F.col("signal_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select(F.col("signal_date").alias("trade_date"), code.alias("ts_code"))
+    pool = rows.where(F.col("signal_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select(F.col("signal_date").alias("trade_date"), code.alias("ts_code"))
     return pool.where("ts_code != ''").dropDuplicates(["trade_date", "ts_code"])
 
 
