@@ -37,7 +37,7 @@ class Strategies(NamedTuple):
 def strategies(spark, sf_dir: str) -> Strategies:
     """All features come from one shuffle on the instrument and are written down once; the screens by month read them again, and a second, narrow
     table has the seven strategies of a bar as an array, so later stages read neither bars nor windows."""
-    own = panel.bars(spark, sf_dir)
+    own = tables.written(panel.bars(spark, sf_dir), "bars")
     ordered = Window.partitionBy("ts_code").orderBy("trade_date")
     feats = ind.breakout_and_trend(ind.reversal_features(ind.crosses(own, 20, 60)))
     ahead = {"_close20": ("close", HOLD), "_d20": ("trade_date", HOLD), "_open21": ("idx_open", OPEN_HOLD + 1), "_idx1": ("idx_open", 1), "_d21": ("trade_date", OPEN_HOLD + 1), "_open64": ("idx_open", VALUE_HOLD + 1), "_d64": ("trade_date", VALUE_HOLD + 1), **{f"_d{i}": ("trade_date", i) for i in (2, 3, 4)}}

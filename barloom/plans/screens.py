@@ -102,8 +102,8 @@ _CHANGE_CROSS, _EXTENSION, _CHANGE_B2 = (-50, 80), (0, 300), (0, 500)
 def recommend_cross(spark, sf_dir):
     from . import sectors
 
-    rows = ind.crosses(panel.bars(spark, sf_dir), 20, 60)
-    best = screens.recommend_cross(rows, panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir), change=_CHANGE_CROSS, extension=_EXTENSION)
+    bars = sectors.bars_once(spark, sf_dir)
+    best = screens.recommend_cross(ind.crosses(bars, 20, 60), panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir, bars), change=_CHANGE_CROSS, extension=_EXTENSION)
     return rounded(best.select("ts_code", "trade_date", "name", "score", F.col("sector_rank").cast("long").alias("sector_rank"), "reasons", "position"))
 
 
@@ -111,7 +111,8 @@ def recommend_cross(spark, sf_dir):
 def recommend_b1(spark, sf_dir):
     from . import sectors
 
-    best = screens.recommend_b1(frames.wide(spark, sf_dir), panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir))
+    bars = sectors.bars_once(spark, sf_dir)
+    best = screens.recommend_b1(ind.wide(bars), panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir, bars))
     return rounded(best.select("ts_code", "trade_date", "name", "score", "j", F.col("sector_rank").cast("long").alias("sector_rank"), "reasons", "position"))
 
 
@@ -119,7 +120,8 @@ def recommend_b1(spark, sf_dir):
 def recommend_b2(spark, sf_dir):
     from . import sectors
 
-    best = screens.recommend_b2(frames.wide(spark, sf_dir), panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir), change=_CHANGE_B2)
+    bars = sectors.bars_once(spark, sf_dir)
+    best = screens.recommend_b2(ind.wide(bars), panel.instruments(spark, sf_dir), sectors.ranking(spark, sf_dir, bars), change=_CHANGE_B2)
     return rounded(best.select("ts_code", "trade_date", "name", "score", "gap_pct", F.col("sector_rank").cast("long").alias("sector_rank"), "reasons", "position"))
 
 

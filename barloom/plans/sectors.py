@@ -25,13 +25,18 @@ _n = lambda c: f"CASE WHEN max(({c} IS NOT NULL)::INT) OVER (PARTITION BY trade_
 cte("ranked", ["factors"], "SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, industry) AS rank FROM (SELECT *, floor((" + " + ".join(f"{w} * ({_n(c)})" for c, w in sec.WEIGHTS.items()) + ") * 1e6 + 0.5) / 1e6 AS score FROM factors WHERE members >= 5)")
 
 
-def _factors(spark, sf_dir):
-    bars = panel.bars(spark, sf_dir)
+def bars_once(spark, sf_dir):
+    """The panel written down, for what reads it several times."""
+    return tables.written(panel.bars(spark, sf_dir), "bars")
+
+
+def _factors(spark, sf_dir, bars=None):
+    bars = bars_once(spark, sf_dir) if bars is None else bars
     return sec.factors(bars, panel.instruments(spark, sf_dir), panel.calendar(bars))
 
 
-def ranking(spark, sf_dir):
-    return sec.rank(_factors(spark, sf_dir))
+def ranking(spark, sf_dir, bars=None):
+    return sec.rank(_factors(spark, sf_dir, bars))
 
 
 _COLS = list(sec.WEIGHTS)
@@ -73,7 +78,7 @@ def mainline_signal(spark, sf_dir):
 @query(with_(["ranked"], f""", l AS (SELECT DISTINCT trade_date FROM ranked ORDER BY trade_date DESC LIMIT 30), n AS (SELECT industry FROM ranked WHERE rank <= 12 AND trade_date = (SELECT max(trade_date) FROM ranked))
 SELECT {d('trade_date')}, industry, coalesce(score, 0) AS score FROM (SELECT l.trade_date, n.industry, k.score FROM l CROSS JOIN n LEFT JOIN ranked k ON k.trade_date = l.trade_date AND k.industry = n.industry)"""))
 def rotation_matrix(spark, sf_dir):
-    return rounded(sec.rotation(ranking(spark, sf_dir)))
+    return rounded(sec.rotation(tables.written(ranking(spark, sf_dir), "ranking")))
 
 
 @query(with_(["ranked"], "SELECT industry, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, industry) AS position FROM ranked WHERE rank = 1 GROUP BY industry QUALIFY position <= 8"))
@@ -85,9 +90,9 @@ def rotation_counts(spark, sf_dir):
 @query(with_(["ranked", "own"], f"""SELECT {d()}, industry, rank, count(*) AS n_constituents, string_agg(ts_code, ',' ORDER BY amount DESC, ts_code) AS constituents FROM (SELECT k.trade_date, k.industry, k.rank, o.ts_code, o.amount FROM ranked k JOIN own o ON o.trade_date = k.trade_date AND o.industry = k.industry WHERE k.rank <= 10) t GROUP BY t.trade_date, industry, rank"""))
 def sector_pool(spark, sf_dir):
     """Constituents of the ten leading industries on each date, by amount, as one array a sector."""
-    bars = panel.bars(spark, sf_dir)
+    bars = bars_once(spark, sf_dir)
     own = bars.join(panel.instruments(spark, sf_dir).where("delist_date IS NULL").select("ts_code", "industry"), "ts_code").select("trade_date", "industry", "ts_code", "amount")
-    top = ranking(spark, sf_dir).where("rank <= 10").select("trade_date", "industry", "rank")
+    top = ranking(spark, sf_dir, bars).where("rank <= 10").select("trade_date", "industry", "rank")
     lists = own.join(top, ["trade_date", "industry"]).groupBy("trade_date", "industry", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("amount")).alias("a"), "ts_code"))).alias("l"))
     return rounded(lists.select("trade_date", "industry", "rank", F.size("l").alias("n_constituents"), F.array_join(F.col("l.ts_code"), ",").alias("constituents")))
 
@@ -105,7 +110,8 @@ SELECT {d('trade_date')}, main_line, main_score, gap, days AS consecutive_days,
 JOIN (SELECT trade_date, string_agg(concat_ws(':', rank, industry, floor(score * 10000 + 0.5)::BIGINT, {', '.join(_INTS)}, listed), '|' ORDER BY rank) AS sectors FROM k GROUP BY trade_date) USING (trade_date)"""))
 def mainline_payload(spark, sf_dir):
     """The nested sectors are written as text, which SQL engines agree on; factors in units of their last digit."""
-    found = sec.main_line_payload(ranking(spark, sf_dir), panel.bars(spark, sf_dir), panel.instruments(spark, sf_dir))
+    bars = bars_once(spark, sf_dir)
+    found = sec.main_line_payload(tables.written(ranking(spark, sf_dir, bars), "ranking"), bars, panel.instruments(spark, sf_dir))
     whole = lambda x, n: F.coalesce(F.floor(x * 10**n + 0.5).cast("string"), F.lit(None))
     one = lambda m: F.concat_ws("/", m["ts_code"], m["name"], whole(m["close"], 4))
     text = F.transform("sectors", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["industry"], whole(x["score"], 4), *(whole(x[c], n) for c, (_, n) in _INTS.items()), F.array_join(F.transform(x["constituents"], one), ",")))

@@ -245,7 +245,7 @@ def combine_predictions(spark, sf_dir):
 
 
 def _combined(spark, sf_dir):
-    bars = panel.bars(spark, sf_dir)
+    bars = tables.written(panel.bars(spark, sf_dir), "bars")
     pit = ind.golden_pit(bars).where("signal = 1").select("ts_code", "trade_date")
     scored = comb.rows_of_pairs(nd.score(_FIXED, nd.dataset(bars)), pit)
     pred = scored.select(F.col("trade_date").alias("signal_date"), "ts_code", (F.floor(F.col("prob_up") * 1e6 + 0.5) / 1e6).alias("prob_up"), "reasons")
