@@ -40,7 +40,9 @@ _TRADES = f"SELECT *, {_stop(4)} / open_t1 - 1 AS ret, CASE WHEN coalesce(open_t
 
 
 def _complete(spark, sf_dir):
-    return bt.with_stop_trades(frames.wide_forward(spark, sf_dir)).where("ret IS NOT NULL")
+    """Complete trades with the screens' values; forward bars are looked up first, so that only what is needed goes on."""
+    trades = bt.with_stop_trades(ind.forward_bars(panel.bars(spark, sf_dir), 4)).select("ts_code", "trade_date", "high", "low", "close", "vol", "ret", "holding_days", "exit_kind")
+    return ind.wide(trades).where("ret IS NOT NULL")
 
 
 @query(with_(["b1fwd"], f", x AS (SELECT *, b1 AS hit FROM ({_TRADES})) SELECT cohort, {_stats(['ret'], 'days')} FROM {_BASE} GROUP BY cohort"))

@@ -42,15 +42,16 @@ def strategies(spark, sf_dir: str) -> Strategies:
     feats = ind.breakout_and_trend(ind.reversal_features(ind.crosses(own, 20, 60)))
     ahead = {"_close20": ("close", HOLD), "_d20": ("trade_date", HOLD), "_open21": ("idx_open", OPEN_HOLD + 1), "_idx1": ("idx_open", 1), "_d21": ("trade_date", OPEN_HOLD + 1), "_open64": ("idx_open", VALUE_HOLD + 1), "_d64": ("trade_date", VALUE_HOLD + 1), **{f"_d{i}": ("trade_date", i) for i in (2, 3, 4)}}
     feats = ind.forward_bars(feats, 4).withColumns({k: F.lead(c, n).over(ordered) for k, (c, n) in ahead.items()})
-    feats = ind.wide(feats.drop("ma20", "ma60"))
     price, offset = bt.stop_exit(4)
     stop_ret = F.try_divide(price, F.col("open_t1")) - 1
     stop_day = F.element_at(F.array(F.lit(None).cast("date"), "_d2", "_d3", "_d4"), offset)
     open_ret = F.try_divide("_open21", "_idx1") - 1
-    kept = feats.select(
-        "ts_code", "trade_date", "close", "amount20", "formation", "median20", F.col("golden").alias("_ma20_ma60"), screens.is_b2().alias("_b2"), screens.is_b1().alias("_b1"), F.col("breakout_signal").alias("_breakout"), F.col("trend_signal").alias("_trend"),
+    # what is kept, and what the last windows and the recursion need: they carry all columns that they are given
+    narrow = feats.select(
+        "ts_code", "trade_date", "high", "low", "close", "vol", "amount20", "formation", "median20", F.col("golden").alias("_ma20_ma60"), F.col("breakout_signal").alias("_breakout"), F.col("trend_signal").alias("_trend"),
         stop_ret.alias("_stop_ret"), stop_day.alias("_stop_day"), open_ret.alias("_open_ret"), "_d21", (F.try_divide("_close20", "open_t1") - 1).alias("_close_ret"), "_d20", (F.try_divide("_open64", "_idx1") - 1).alias("_value_ret"), "_d64",
     )
+    kept = ind.wide(narrow).withColumns({"_b1": screens.is_b1(), "_b2": screens.is_b2()}).select(*(c for c in narrow.columns if c not in ("high", "low", "vol")), "_b1", "_b2")
     kept = tables.written(kept, "strategy-features")
     calendar = panel.calendar(kept)
     losers = screens.reversal_candidates(kept).where("open_regime")
