@@ -178,6 +178,16 @@ def screen_files(spark, sf_dir):
     return rounded(out.select("trade_date", "ts_code", "name", "close", "vol_ratio", "j"), 3)
 
 
+@query(with_(["b1", "instruments"], f"SELECT {d()}, row_number() OVER (PARTITION BY t.trade_date ORDER BY j, ts_code) AS place, ts_code, name, {r('j')} FROM b1 t LEFT JOIN instruments USING (ts_code) WHERE b1"))
+def nested_files(spark, sf_dir):
+    """The B1 screen's hits as one JSON object a date, its rows nested in the order of J, read back and unfolded."""
+    path = tables.scratch(spark, "nested")
+    hits = tables.with_names(frames.wide(spark, sf_dir).where(screens.is_b1()), panel.instruments(spark, sf_dir)).select("trade_date", "j", "ts_code", "name")
+    tables.write_nested(hits, path, ["trade_date"], "hits", ["j", "ts_code"])
+    out = spark.read.json(path, schema="hits array<struct<j:double,ts_code:string,name:string>>, trade_date date")
+    return rounded(out.select("trade_date", F.posexplode("hits").alias("place", "hit")).select("trade_date", (F.col("place") + 1).alias("place"), "hit.ts_code", "hit.name", "hit.j"))
+
+
 @query(with_(["calendar"], f"SELECT {d('trade_date').replace('AS trade_date', 'AS cal_date')} FROM calendar t WHERE trade_index % 7 <> 3 AND t.trade_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"))
 def open_sessions(spark, sf_dir):
     """Open dates of one of two exchanges in a range."""
