@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import codes
 from barloom.operators import backtests as bt
-from barloom.operators import combine, fundamentals, indicators, nextday, screens, sectors
+from barloom.operators import combine, fundamentals, indicators, medians, nextday, screens, sectors
 from barloom.sources import panel
 
 DAY = date(2020, 1, 1)
@@ -231,6 +231,20 @@ def test_fit_follows_the_gradient_path(spark, bars):
         nextday.fit(rows, least_rows=10**6)
 
 
+def test_medians_keep_no_group_in_one_task(spark):
+    """Exact for even and odd counts, ties, nulls, groups without values and a null group; no aggregate holds a group's values."""
+    rng = np.random.default_rng(3)
+    rows = [(g, None if i % 7 == 3 else float(v), None if g == "c" else float(i % 3)) for g, n in (("a", 5001), ("b", 4000), (None, 3), ("c", 2)) for i, v in enumerate(rng.normal(0, 1, n).round(3))]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(7)
+    got = medians.medians(df, ["x", "y"], ["g"])
+    want = df.groupBy("g").agg(F.median("x"), F.median("y")).collect()
+    assert sorted(got.collect(), key=str) == sorted(want, key=str) and len(want) == 4
+    assert medians.medians(df, ["x"]).first()[0] == df.agg(F.median("x")).first()[0]
+    assert medians.medians(df.where("false"), ["x"]).collect() == [(None,)]
+    plans = [nextday.centre_and_scale(df.select(*(F.col("x").alias(c) for c in nextday.FEATURES))), bt.cohort_stats(df.select("g", "x", F.lit(DAY).alias("trade_date")), ["x"], ["g"])]
+    assert all("percentile" not in p._jdf.queryExecution().optimizedPlan().toString() and "median(" not in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+
+
 def test_fits_of_many_dates_equal_single_ones(spark, bars):
     rows, cal = nextday.dataset(bars), panel.calendar(bars)
     days = [DAY + timedelta(days=n) for n in (90, 110)]
