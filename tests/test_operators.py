@@ -2,14 +2,16 @@
 
 from datetime import date, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions import codes
+from barloom.functions import codes, exprs
 from barloom.operators import backtests as bt
 from barloom.operators import combine, fundamentals, indicators, medians, nextday, screens, sectors
+from barloom.plans import sql
 from barloom.sources import panel
 
 DAY = date(2020, 1, 1)
@@ -55,6 +57,29 @@ def test_rolling_values_are_null_until_full(spark, bars):
     assert np.allclose(out["ma20"].to_numpy(dtype=float), want, equal_nan=True)
 
 
+def test_means_by_sums_of_sums(spark):
+    """Equal to window frames, nulls and short series too, with no frame of n rows; the SQL's index multiplies date by date."""
+    rng = np.random.default_rng(5)
+    steps = rng.normal(1.02, 0.1, 400)
+    rows = [("a", DAY + timedelta(days=i), None if i in (7, 200) else float(x)) for i, x in enumerate(steps)] + [("b", DAY, 1.0)]
+    df = spark.createDataFrame(rows, "ts_code string, trade_date date, x double")
+    sizes = (1, 2, 3, 4, 5, 14, 16, 20, 28, 57, 60, 64, 114, 120)
+    out = exprs.with_rolling_means(df, {f"m{n}": ("x", n) for n in sizes})
+    assert "-113" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.orderBy("ts_code", "trade_date").toPandas()
+    for n in sizes:
+        want = got.groupby("ts_code")["x"].rolling(n).mean().to_numpy()
+        assert np.allclose(got[f"m{n}"].to_numpy(float), want, rtol=1e-12, atol=0, equal_nan=True)
+    con = duckdb.connect()
+    con.register("rows_", pd.DataFrame({"ts_code": "a", "trade_date": [DAY + timedelta(days=i) for i in range(400)], "open": 1.0, "close": 1.0, "amount": 1.0, "pct_chg": (steps - 1) * 100}))
+    index = con.execute(f"WITH bars AS (SELECT * FROM rows_) SELECT idx FROM ({sql.CTES['r1a'][1]}) ORDER BY trade_date").fetchnumpy()["idx"]
+    one_by_one, now = [], 1.0
+    for x in (steps - 1) * 100:
+        now *= 1 + x / 100
+        one_by_one.append(now)
+    assert list(index) == one_by_one
+
+
 @pytest.mark.parametrize("operator", [
     lambda b: indicators.wide(b).select("ts_code", "trade_date", "k", "d", "j", "trend_short", "bull_bear", "ma60", "vol_ratio"),
     lambda b: indicators.golden_pit(b),
