@@ -199,3 +199,15 @@ def test_stored_indicators_need_no_shuffle(spark, tmp_path):
     spark.sql("DROP TABLE k_table")
     stored.attach(spark, "k_again", "ts_code string, trade_date date, k double", str(tmp_path / "k"), 4)
     assert stored.load_indicator(spark, "k_again").count() == 70
+
+
+def test_refresh_compares_no_entry_with_all_others(spark):
+    """Entries meet by a join, nulls and dropped ones included; no array is searched for each entry of another."""
+    kind = "key string, entries array<struct<e:string,v:long>>, version long"
+    stored = spark.createDataFrame([("a", [("x", 1), (None, 2), ("y", 3), ("z", 4)], 1), ("b", [("x", 5)], 1)], kind)
+    fresh = spark.createDataFrame([("a", [("y", 30), ("w", 31)], 2), ("c", [("q", 6)], 2)], kind)
+    drop = spark.createDataFrame([("a", "z"), ("b", "x")], "key string, e string")
+    out = tables.refresh_documents(stored, fresh, "key", "entries", "e", drop)
+    got = {r.key: (sorted([tuple(x) for x in r.entries], key=str), r.version) for r in out.collect()}
+    assert got == {"a": ([("w", 31), ("x", 1), ("y", 30), (None, 2)], 2), "b": ([], 1), "c": ([("q", 6)], 2)}
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
