@@ -87,12 +87,16 @@ class Remembered(dict):
         self.older: dict = {}
 
     def put(self, key, value, cost: int) -> None:
+        self.put_all(((key, value),), cost)
+
+    def put_all(self, items, cost: int) -> None:
+        """Puts in pairs (key, value), of that cost together."""
         if cost > self.left:
             self.older = dict(self)
             self.clear()
             self.left = self.limit
         self.left -= cost
-        self[key] = value
+        self.update(items)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

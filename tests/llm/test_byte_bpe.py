@@ -36,6 +36,36 @@ def test_white_space_and_long_runs(reference):
         assert bpe.encode(text) == reference.encode_ordinary(text)
 
 
+def test_new_chunks_are_split_together(reference):
+    bpe, calls = byte_bpe.load(remembered=byte_bpe.REMEMBERED + 1), []
+    find = bpe.find
+    bpe.find = lambda text: calls.append(text) or find(text)
+    text = "one " + " ".join(f"w{i}-x{i},\ny" for i in range(3000))
+    assert bpe.encode(text) == reference.encode_ordinary(text)
+    assert len(calls) <= 2
+
+
+def test_groups_of_texts_and_little_memory(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 60)
+    monkeypatch.setattr(byte_bpe, "GATHERED", 5)
+    rnd, bpe = random.Random(2), byte_bpe.load(remembered=20_000)
+    parts = [" ", "  ", "\n", " \n", " the", "the", "'ll", " é", "漢", "x" * 70, " " + "ab" * 40, " 12", "-", "\x1c", "\u3000", ""]
+    texts = ["".join(rnd.choice(parts) + "abc"[: rnd.randint(0, 3)] * rnd.randint(0, 2) for _ in range(rnd.randint(0, 20))) for _ in range(3000)]
+    for text, ids in zip(texts, bpe.encode_all(texts), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(text)
+        assert bpe.decode(ids) == text.encode()
+
+
+def test_another_pattern():
+    pattern = r" ?\p{Lu}\p{Ll}*| ?\p{Ll}+|\d+ \d+|."
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.load(pattern=pattern)
+    for text in ("a camelCase wordList", "12 34 5", " x", ""):
+        assert bpe.encode(text) == other.encode_ordinary(text)
+
+
 def test_documents(spark, reference):
     rows = [(1, "Hello  world\n", "en", 0), (2, None, None, 0), (3, "", "en", 1), (None, "çava " * 50, "fr", 1), (1, "Hello  world\n", "en", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, token_ids string, n_tokens int")
